@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 from siltstone.llm import arrays
 from siltstone.llm.columns import fresh, quoted, type_of
@@ -120,7 +121,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_c
             lists = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids.astype(np.int32)))
             yield _with_columns(part, text_col, {ids_col: lists})
 
-    schema = docs.select(*map(quoted, rest)).schema.add(ids_col, "array<int>")
+    schema = docs.select(*map(quoted, rest)).schema.add(ids_col, ArrayType(IntegerType()))
     return docs.select(*map(quoted, [*rest, text_col])).mapInArrow(run, schema)
 
 
