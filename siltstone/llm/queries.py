@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from siltstone.llm import bpe, language, naming, packing, substrings, token_files
+from siltstone.llm import bpe, language, naming, near_join, packing, substrings, token_files
 from siltstone.llm.scratch import Scratch
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,6 +44,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_duplicates(documents(spark, sf_dir)).drop("row_key")
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir), BYTE_BPE)
 
@@ -54,7 +58,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path, with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op5_best_fit_packing, op7_language_id, op9_bpe_round_trip, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op5_best_fit_packing, op7_language_id, op8_ngram_jaccard_join, op9_bpe_round_trip, op10_token_files)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": r"""
