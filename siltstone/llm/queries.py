@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from siltstone.llm import bpe, language, naming, near_join, packing, sharding, substrings, token_files
+from siltstone.llm import bpe, fingerprints, language, naming, near_join, packing, sharding, substrings, token_files
 from siltstone.llm.scratch import Scratch
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +32,11 @@ def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir), shards=40)
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = documents(spark, sf_dir), Scratch(spark, "fingerprints")
+    return fingerprints.edited_likeness(docs, fingerprints.learn_lexicon(docs, scratch), scratch)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), WORD_BPE)
 
@@ -62,7 +67,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path, with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_virtual_slots, op5_best_fit_packing, op7_language_id, op8_ngram_jaccard_join, op9_bpe_round_trip, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_virtual_slots, op4_document_fingerprints, op5_best_fit_packing, op7_language_id, op8_ngram_jaccard_join, op9_bpe_round_trip, op10_token_files)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": r"""
