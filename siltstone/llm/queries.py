@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from siltstone.llm import bpe, fingerprints, language, naming, near_join, packing, sharding, substrings, token_files
+from siltstone.llm import bpe, fingerprints, language, naming, near_join, packing, quality, sharding, substrings, token_files
 from siltstone.llm.scratch import Scratch
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,6 +46,15 @@ def remainder(divisor: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % divisor
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = Scratch(spark, "quality").keep(quality.with_statistics(documents(spark, sf_dir)), "statistics")
+    model = quality.learn(found, labels, usable=remainder(3) != 1)
+    out = quality.score(found, model)
+    held_out = F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out")
+    return out.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     parser = language.learn(docs, usable=remainder(5) != 0)
@@ -67,7 +76,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path, with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_virtual_slots, op4_document_fingerprints, op5_best_fit_packing, op7_language_id, op8_ngram_jaccard_join, op9_bpe_round_trip, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_virtual_slots, op4_document_fingerprints, op5_best_fit_packing, op6_quality_classifier, op7_language_id, op8_ngram_jaccard_join, op9_bpe_round_trip, op10_token_files)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": r"""
