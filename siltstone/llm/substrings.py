@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +27,13 @@ from siltstone.llm import arrays
 from siltstone.llm.columns import fresh, parts_for, quoted
 from siltstone.llm.scratch import Scratch
 
-SLICE_BYTES = 6 << 20
-#: Super-k-mers hold about three times the text; a bucket task gets about this much of them.
-BUCKET_BYTES = 32 << 20
+SLICE_BYTES = 3 << 20
+#: Super-k-mers hold about three times the text. A task gets about this much of
+#: them, in so many buckets, of which it has one in memory at a time.
+TASK_BYTES, TASK_BUCKETS = 32 << 20, 4
 MINIMISER_WORDS = 3
-_SPANS = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("first", pa.int32()), ("span", pa.int32()), ("packed", pa.binary())])
+#: A row is what a slice sends to a bucket, or (without ``text``) the spans that it settled itself.
+_SENT = "task int, bucket int, docs binary, places binary, text binary"
 
 
 def _same(numbers: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
@@ -78,7 +81,7 @@ def _runs(flags: np.ndarray, *breaks: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first, ends + 1
 
 
-def _pack(part: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
+def _pack(part: pa.RecordBatch, width: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Super-k-mers of a slice, and the spans that the slice settles by itself."""
     data, offsets = arrays.utf8(part.column(2))
     w = arrays.words(data, offsets)
@@ -105,36 +108,62 @@ def _pack(part: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
     turn[1:] |= least[1:] != least[:-1]
     a, b = _runs(~settled, turn)
     text, shift = arrays.spaced(w.data, w.bounds).tobytes(), w.bounds + np.arange(len(w.bounds))
+    bucket = (arrays.mix64(least[a]) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    a, b, bucket = a[order], b[order], bucket[order]
     left, right = shift[starts[a]].tolist(), (shift[starts[b - 1] + width] - 1).tolist()
-    yield _rows(least[a].view(np.int64), w, starts[a], np.zeros(len(a), np.int64), docs, keys, [text[i:j] for i, j in zip(left, right, strict=True)])
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
+    out = []
+    for i, j in zip(edges, edges[1:]):  # noqa: B905
+        packed = b"\n".join([text[x:y] for x, y in zip(left[i:j], right[i:j], strict=True)])
+        out.append((int(bucket[i]), *_places(w, docs, keys, starts[a[i:j]], None), zstandard.compress(packed, 1)))
     a, b = _runs(settled, apart)
-    yield _rows(arrays.mix64(starts[a]).view(np.int64), w, starts[a], b - a - 1 + width, docs, keys, [None] * len(a))
+    if len(a):
+        out.append((int(starts[a[0]] + len(data)) % buckets, *_places(w, docs, keys, starts[a], b - a - 1 + width), None))
+    columns = list(zip(*out, strict=True)) or [()] * 4
+    bucket = pa.array(columns[0], pa.int32())
+    task = pa.array(np.array(columns[0], np.int32) // TASK_BUCKETS)
+    yield pa.RecordBatch.from_arrays([task, bucket, *(pa.array(c, pa.binary()) for c in columns[1:])], names=["task", "bucket", "docs", "places", "text"])
 
 
-def _rows(bucket, w, first, span, docs, keys, packed) -> pa.RecordBatch:  # noqa: ANN001
+def _places(w: arrays.Words, docs: np.ndarray, keys: np.ndarray, first: np.ndarray, span: np.ndarray | None) -> tuple[bytes, bytes]:
+    """Documents (id and key) and, as differences, each entry's document and first word."""
     row = w.row[first]
-    columns = [bucket, docs[row], keys[row], (first - w.rows[row]).astype(np.int32), span.astype(np.int32), packed]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SPANS, strict=True)], schema=_SPANS)
+    met, at = np.unique(row, return_inverse=True)
+    entry = [at, first - w.rows[row]] + ([] if span is None else [span])
+    differences = np.diff(np.array(entry, np.int32), prepend=np.int32(0))
+    return np.array([docs[met], keys[met]]).tobytes(), zstandard.compress(differences.tobytes(), 1)
+
+
+def _placed(docs: bytes, places: bytes, rows: int) -> list[np.ndarray]:
+    """What ``_places`` packed: id, key and first word of each entry, and any span."""
+    entry = np.cumsum(np.frombuffer(zstandard.decompress(places), np.int32).reshape(rows, -1), 1, dtype=np.int32)
+    ids = np.frombuffer(docs, np.int64).reshape(2, -1)
+    return [ids[0][entry[0]], ids[1][entry[0]], *entry[1:]]
 
 
 _FOUND = "doc_id bigint, row_key bigint, first int, span int"
 
 
-def _search(bucket: pa.Table, width: int) -> pa.RecordBatch:
+def _found(columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["doc_id", "row_key", "first", "span"])
+
+
+def _search(sent: list[tuple[bytes, bytes, bytes]], width: int) -> pa.RecordBatch:
     """The spans of the windows of a bucket that start in a smaller document too."""
-    data, offsets = arrays.utf8(bucket["packed"].combine_chunks())
+    docs, keys, first = (np.concatenate(c) for c in zip(*(_placed(d, p, 2) for d, p, _ in sent), strict=True))
+    data = np.frombuffer(b"\n".join(zstandard.decompress(t) for _, _, t in sent), np.uint8)
+    offsets = np.concatenate([[0], np.flatnonzero(data == 0x0A) + 1, [len(data)]])
     w = arrays.words(data, offsets)
     numbers, distinct = arrays.numbered(w.data, w.bounds)
     starts = arrays.whole_windows(w.row, width)
-    docs, keys, first = (bucket[c].to_numpy() for c in ("doc_id", "row_key", "first"))
     row = w.row[starts]
     found = starts_earlier(numbers, arrays.word_hashes(distinct), starts, docs[row], width)
     apart = np.ones(len(starts), bool)
     apart[1:] = row[1:] != row[:-1]
     a, b = _runs(found, apart)
     row = row[a]
-    out = [docs[row], keys[row], (first[row] + starts[a] - w.rows[row]).astype(np.int32), (b - a - 1 + width).astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["doc_id", "row_key", "first", "span"])
+    return _found([docs[row], keys[row], (first[row] + starts[a] - w.rows[row]).astype(np.int32), (b - a - 1 + width).astype(np.int32)])
 
 
 def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,29 +175,24 @@ def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrays.slices(batches, "text", SLICE_BYTES):
-            yield from _pack(part, width)
+            yield from _pack(part, width, tasks * TASK_BUCKETS)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
         for batch in batches:
-            settled = batch.filter(batch.column(5).is_null())
-            if settled.num_rows:
-                yield settled.select(["doc_id", "row_key", "first", "span"])
-            held.append(batch.filter(batch.column(5).is_valid()))
-        if not sum(b.num_rows for b in held):
-            return
-        table = pa.Table.from_batches(held)
-        held.clear()
-        rounds = -(-table["packed"].nbytes // (2 * BUCKET_BYTES))
-        share = arrays.mix64(table["bucket"].to_numpy().view(np.uint64)) % np.uint64(rounds) if rounds > 1 else None
-        for k in range(rounds):
-            yield _search(table if share is None else table.filter(pa.array(share == k)), width)
+            for bucket, docs, places, text in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+                if text is None:
+                    yield _found(_placed(docs, places, 3))
+                else:
+                    held.setdefault(bucket, []).append((docs, places, text))
+        while held:
+            yield _search(held.popitem()[1], width)
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     rows = rows.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
-    schema = "bucket bigint, doc_id bigint, row_key bigint, first int, span int, packed binary"
-    buckets = parts_for(rows, "text", BUCKET_BYTES, factor=3)
-    return rows.mapInArrow(pack, schema).repartition(buckets, "bucket").mapInArrow(search, _FOUND)
+    tasks = parts_for(rows, "text", TASK_BYTES, factor=3)
+    return rows.mapInArrow(pack, _SENT).repartition(tasks, "task").mapInArrow(search, _FOUND)
 
 
 def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,7 +232,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
             columns[text_col] = pa.array([text[i : j - 1] if j > i else b"" for i, j in zip(at, at[1:])], pa.binary()).cast(pa.string())  # noqa: B905
             columns["n_words"] = pa.array(np.diff(w.rows))
             columns["n_removed"] = pa.array(np.diff(w.rows) - np.diff(kept))
-            yield pa.RecordBatch.from_pydict(columns)
+            yield pa.RecordBatch.from_pydict({name: columns[name] for name in schema.names})
 
     joined = docs.join(spans, (F.col(quoted(id_col)) == F.col("__id")) & (F.xxhash64(F.coalesce(quoted(text_col), F.lit(""))) == F.col("__key")), "left").drop("__id", "__key")
     rest = [c for c in docs.columns if c != text_col]
