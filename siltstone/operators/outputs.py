@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from siltstone.functions.strings import collapse, xml_escape
 
 
-def rss_items(rows: DataFrame, title: str, link: str, body: str, at: str) -> DataFrame:
+def rss_items(rows: DataFrame, title: str, link: str, body: str, at: str, keep: list[str] | None = None) -> DataFrame:
     item = F.concat(F.lit("<item><title>"), xml_escape(title), F.lit("</title><link>"), xml_escape(link), F.lit("</link><description>"), xml_escape(body), F.lit("</description><pubDate>"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</pubDate></item>"))
-    return rows.select(item.alias("item"))
+    return rows.select(*(keep or []), item.alias("item"))
 
 
 def digest_line(name: Column, text: Column, most: int = 280) -> Column:
