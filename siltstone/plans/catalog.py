@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.plans import relational_plans, search_plans, state_plans, text_plans
+from siltstone.plans import relational_plans, search_plans, state_plans, stream_plans, text_plans
 from siltstone.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "relational_plans", "search_plans", "state_plans", "text_plans"]
+__all__ = ["ORACLE_SQL", "QUERIES", "relational_plans", "search_plans", "state_plans", "stream_plans", "text_plans"]
