@@ -29,17 +29,20 @@ def _has_phrase(words: Column, phrase: list[str]) -> Column:
 def matches(words: Column, search: str) -> Column:
     """A search box's text: all words, ``"a phrase"``, ``-without`` and ``or``.
 
-    Nothing to look for matches nothing.
+    Nothing to look for matches nothing. The words are worked out once for all
+    conditions.
     """
-    groups: list[list[Column]] = [[]]
+    groups: list[list[tuple[bool, list[str]]]] = [[]]
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', search):
         if word.lower() == "or" and not minus:
             groups.append([])
         elif term := _words(phrase or word):
-            found = _has_phrase(words, term)
-            groups[-1].append(~found if minus else found)
-    filled = [reduce(lambda a, b: a & b, g) for g in groups if g]
-    return reduce(lambda a, b: a | b, filled) if filled else F.lit(False)
+            groups[-1].append((bool(minus), term))
+    filled = [g for g in groups if g]
+    if not filled:
+        return F.lit(False)
+    holds = lambda w, minus, term: ~_has_phrase(w, term) if minus else _has_phrase(w, term)
+    return F.exists(F.array(words), lambda w: reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [holds(w, *t) for t in g]) for g in filled]))
 
 
 def rank(words: Column, terms: list[str]) -> Column:
