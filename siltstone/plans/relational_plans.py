@@ -197,7 +197,7 @@ def coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"), F.count("quality").alias("labelled"), F.round(F.count("quality") / F.count(F.lit(1)), 4).alias("ratio"))
 
 
-@query("WITH v AS (SELECT event_type, list(value ORDER BY value) AS a FROM events GROUP BY 1) SELECT event_type, a[least((len(a) * 0.5)::DECIMAL(18,4)::DOUBLE // 1, len(a) - 1)::BIGINT + 1] AS p50, a[least(floor(len(a) * 0.95), len(a) - 1)::BIGINT + 1] AS p95 FROM v")
+@query("WITH v AS (SELECT event_type, list(value ORDER BY value) AS a FROM events GROUP BY 1) SELECT event_type, a[least(floor(len(a) * 0.5::DOUBLE), len(a) - 1)::BIGINT + 1] AS p50, a[least(floor(len(a) * 0.95::DOUBLE), len(a) - 1)::BIGINT + 1] AS p95 FROM v")
 def index_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(rollups.index_percentile("value", 0.5).alias("p50"), rollups.index_percentile("value", 0.95).alias("p95"))
 

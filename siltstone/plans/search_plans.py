@@ -151,8 +151,8 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT vec_id, '[' || array_to_string(embedding[1:4], ',') || ']' AS t FROM embeddings)
-SELECT vec_id, len(t::FLOAT[])::INTEGER AS n, round(list_sum(t::FLOAT[]::DOUBLE[]), 4) AS total FROM v""")
+SELECT vec_id, len(t::FLOAT[])::INTEGER AS n, (round(list_sum(t::FLOAT[]::DOUBLE[]), 4) + 0.0::DOUBLE) AS total FROM v""")
 def vector_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = vectors.vector_literal(F.slice("embedding", 1, 4))
     back = table(spark, sf_dir, "embeddings").select("vec_id", vectors.parse_vector(text).alias("v"))
-    return back.select("vec_id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+    return back.select("vec_id", F.size("v").alias("n"), (F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 4) + 0.0).alias("total"))

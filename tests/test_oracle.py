@@ -24,7 +24,7 @@ def plain(value):
         number = float(value)
     except (TypeError, ValueError):
         return str(value)
-    return "nan" if math.isnan(number) else f"{number:.6f}"
+    return "nan" if math.isnan(number) else f"{round(number, 6) + 0.0:.6f}"
 
 
 def sorted_rows(columns, rows):
