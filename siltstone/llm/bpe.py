@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
 from siltstone.llm import arrays
-from siltstone.llm.columns import fresh, quoted, type_of
+from siltstone.llm.columns import fresh, map_arrow, quoted, type_of
 from siltstone.llm.pieces import Splitter, Store, load
 
 NO_RANK = 1 << 60
@@ -96,6 +97,17 @@ class RankedMerges:
         return b"".join(map(self.token_bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def ranked_merges(path: str) -> RankedMerges:
+    return RankedMerges(path)
+
+
+@lru_cache(maxsize=2)
+def ranked_store(path: str) -> Store:
+    """One store for each Python worker, so that its tasks share the words met."""
+    return Store(Splitter(path), ranked_merges(path).encode)
+
+
 def _with_columns(batch: pa.RecordBatch, drop: str, extra: dict[str, pa.Array]) -> pa.RecordBatch:
     kept = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if n != drop]
     return pa.RecordBatch.from_pydict(dict(kept) | extra)
@@ -114,15 +126,14 @@ def encode_texts(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_c
     rest = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = RankedMerges(vocabulary)
-        store = Store(Splitter(vocabulary), merges.encode)
+        store = ranked_store(vocabulary)
         for part in arrays.slices(batches, text_col, SLICE_BYTES):
             ids, rows = store(part.column(part.schema.get_field_index(text_col)))
             lists = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids.astype(np.int32)))
             yield _with_columns(part, text_col, {ids_col: lists})
 
     schema = docs.select(*map(quoted, rest)).schema.add(ids_col, ArrayType(IntegerType()))
-    return docs.select(*map(quoted, [*rest, text_col])).mapInArrow(run, schema)
+    return map_arrow(docs.select(*map(quoted, [*rest, text_col])), run, schema)
 
 
 def decode_ids(docs: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -134,14 +145,14 @@ def decode_ids(docs: DataFrame, vocabulary: str, ids_col: str = "ids", text_col:
     rest = [c for c in docs.columns if c != ids_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = RankedMerges(vocabulary)
+        merges = ranked_merges(vocabulary)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids_col))
             texts = [merges.decode(np.asarray(x.values)) if x.is_valid else "" for x in column]
             yield _with_columns(batch, ids_col, {text_col: pa.array(texts, pa.string())})
 
     schema = docs.select(*map(quoted, rest)).schema.add(text_col, "string")
-    return docs.select(*map(quoted, [*rest, ids_col])).mapInArrow(run, schema)
+    return map_arrow(docs.select(*map(quoted, [*rest, ids_col])), run, schema)
 
 
 def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,8 +164,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = RankedMerges(vocabulary)
-        store = Store(Splitter(vocabulary), merges.encode)
+        merges, store = ranked_merges(vocabulary), ranked_store(vocabulary)
         for part in arrays.slices(batches, "text", SLICE_BYTES):
             ids, rows = store(part.column(1))
             raw, at = ids.astype("<u4", copy=False), rows.tolist()
@@ -170,5 +180,5 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
             )
 
     schema = f"{quoted(id_col)} {type_of(docs, id_col)}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return docs.selectExpr(quoted(id_col), f"{quoted(text_col)} AS text").mapInArrow(run, schema)
+    return map_arrow(docs.selectExpr(quoted(id_col), f"{quoted(text_col)} AS text"), run, schema)
 

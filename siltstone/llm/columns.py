@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +28,17 @@ def parts_for(docs: DataFrame, text_col: str, part_bytes: int, factor: float = 1
     total = docs.select(F.sum(F.octet_length(quoted(text_col)))).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, -(-int(total * factor) // part_bytes))
+
+
+#: What a task hands to Python at a time, at most: so its memory doesn't follow the texts' lengths.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def map_arrow(rows: DataFrame, run: Callable, schema: object) -> DataFrame:
+    """``mapInArrow`` with small batches. The session's limits are lowered to these, never raised."""
+    conf = rows.sparkSession.conf
+    for key, most in BATCH_LIMITS.items():
+        now = conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return rows.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import arrays
-from siltstone.llm.columns import parts_for, quoted, type_of
+from siltstone.llm.columns import map_arrow, parts_for, quoted, type_of
 from siltstone.llm.scratch import Scratch
 
 SLICE_BYTES = 3 << 20
@@ -101,7 +101,7 @@ def learn_lexicon(docs: DataFrame, scratch: Scratch, text_col: str = "text", lea
 
     texts = docs.select(F.coalesce(quoted(text_col), F.lit("")).alias("text"))
     total = docs.count()
-    counts = texts.mapInArrow(count, "term binary, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = map_arrow(texts, count, "term binary, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     band = scratch.keep(counts.where((F.col("n") >= least * total) & (F.col("n") <= max(1, most * total))), "lexicon")
     # At most (average distinct terms of a document) / least terms, whatever the number of documents.
     return Lexicon([bytes(r["term"]) for r in band.select("term").collect()])
@@ -121,7 +121,7 @@ def fingerprints(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", to:
             columns = dict(zip(part.schema.names, part.columns, strict=True))
             yield pa.RecordBatch.from_pydict(columns | {to: pa.array(as_text(codes))})
 
-    return docs.mapInArrow(run, docs.select("*").schema.add(to, "string"))
+    return map_arrow(docs, run, docs.select("*").schema.add(to, "string"))
 
 
 def edited_likeness(docs: DataFrame, lexicon: Lexicon, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,9 +138,14 @@ def edited_likeness(docs: DataFrame, lexicon: Lexicon, scratch: Scratch, id_col:
     parts = parts_for(rows, "text", PART_BYTES)
     cuts = rows.select("doc_id").where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
     cuts = sorted(set(cuts), reverse=True)
-    # A range's number is how many cuts lie above its ids; nulls come last.
-    points = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    number = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(points, lambda c: F.col("doc_id") < c)))
+    # A range's number is how many cuts lie above its ids; nulls come last. Cuts are
+    # counted by whole runs first, so a row is compared with few of them.
+    step = max(1, round(len(cuts) ** 0.5))
+    runs = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+    above = lambda points: F.size(F.filter(points, lambda c: F.col("doc_id") < c))
+    whole = above(F.lit([float(r[-1]) for r in runs] or [float("-inf")]))
+    rest = F.coalesce(F.try_element_at(F.array(*[F.lit([float(c) for c in r]) for r in runs or [[float("-inf")]]]), whole + 1), F.array().cast("array<double>"))
+    number = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(whole * step + above(rest))
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
     keyed = rows.withColumn("part", number)
     # The first row of each range: one small row for each.
@@ -162,7 +167,7 @@ def edited_likeness(docs: DataFrame, lexicon: Lexicon, scratch: Scratch, id_col:
             held = whole.slice(whole.num_rows - 1)
 
     schema = f"{quoted(id_col)} {type_of(docs, id_col)}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInArrow(run, schema)
+    return map_arrow(dealt, run, schema)
 
 
 def _against_next(lexicon: Lexicon, rows: pa.RecordBatch, id_col: str) -> Iterator[pa.RecordBatch]:

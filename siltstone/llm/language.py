@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.llm import arrays
-from siltstone.llm.columns import fresh, quoted
+from siltstone.llm.columns import fresh, map_arrow, quoted
 
 SLICE_BYTES = 2 << 20
 BLOCK_CHARS = 512
@@ -90,14 +90,17 @@ def build_parser(samples: dict[str, str]) -> Parser:
     tables, roots, at = [], [], 0
     for text in texts:
         following = suffix_automaton([symbol[c] for c in text])
-        table = np.full((len(following), len(symbol) + 1), -1, np.int32)
+        stray = len(following)  # after a symbol that the sample lacks, which is a phrase by itself
+        table = np.full((stray + 1, len(symbol) + 1), -1, np.int32)
         for state, out in enumerate(following):
             table[state, list(out)] = list(out.values())
-        fresh_phrase = np.where(table[0] >= 0, table[0], 0) + at
-        tables.append(np.where(table >= 0, table + at, ~fresh_phrase).astype(np.int32))
+        begun = np.where(table[0] >= 0, table[0], stray)
+        table = np.where(table >= 0, table + at, ~(begun + at)).astype(np.int32)
+        table[0] = begun + at  # nothing ends at a block's first symbol
+        tables.append(table)
         roots.append(at)
-        at += len(following)
-    return Parser(languages, points, np.concatenate(tables), np.array(roots, np.int32), np.array([len(t) for t in texts]))
+        at += stray + 1
+    return Parser(languages, points, np.concatenate([np.zeros((0, len(symbol) + 1), np.int32), *tables]), np.array(roots, np.int32), np.array([len(t) for t in texts]))
 
 
 def _parse(parser: Parser, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -141,13 +144,11 @@ def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     Labels are assumed to be few; each adds about ``2 * sample_chars`` states.
     """
     share = 4 * sample_chars // sample_docs
-    rows = docs.where(usable).select(F.col(quoted(id_col)).alias("id"), F.col(quoted(lang_col)).alias("label")).where("label IS NOT NULL")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    rows = docs.where(usable).select(F.col(quoted(id_col)).alias("id"), F.col(quoted(lang_col)).alias("label"), F.substring(quoted(text_col), 1, share).alias("text")).where("label IS NOT NULL")
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", "text")
+    # Spark cuts every task's rows down to sample_docs a label before they are shuffled.
     chosen = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs)
-    chosen = chosen.select("id", "label", "rank")
-    texts = docs.where(usable).select(F.col(quoted(id_col)).alias("id"), F.col(quoted(lang_col)).alias("label"), F.substring(quoted(text_col), 1, share).alias("text"))
-    # At most sample_docs ids for each label, and a bounded part of each text.
-    found = texts.join(F.broadcast(chosen), ["id", "label"]).orderBy("label", "rank", "text").collect()
+    found = chosen.orderBy("label", "rank").select("label", "text").collect()
     samples: dict[str, list[str]] = {}
     for r in found:
         samples.setdefault(r["label"], []).append(r["text"] or "")
@@ -192,4 +193,4 @@ def identify(docs: DataFrame, parser: Parser, text_col: str = "text", lang_as: s
             columns = dict(zip(part.schema.names, part.columns, strict=True))
             yield pa.RecordBatch.from_pydict(columns | {lang_as: names.take(pa.array(best)), score_as: pa.array(score)})
 
-    return docs.mapInArrow(run, docs.select("*").schema.add(lang_as, "string").add(score_as, "double"))
+    return map_arrow(docs, run, docs.select("*").schema.add(lang_as, "string").add(score_as, "double"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import arrays
-from siltstone.llm.columns import fresh, quoted
+from siltstone.llm.columns import fresh, map_arrow, quoted
 from siltstone.llm.components import connected_components
 from siltstone.llm.naming import row_key
 from siltstone.llm.scratch import Scratch
@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), row_key(text_col), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
-    signed = rows.mapInArrow(sign, "id bigint, row_key bigint, digest binary, keys array<bigint>, have boolean, bytes bigint")
+    signed = map_arrow(rows, sign, "id bigint, row_key bigint, digest binary, keys array<bigint>, have boolean, bytes bigint")
     signed = scratch.keep(signed, "signed")
 
     # A node is a distinct text; its number is given once, as the table is written.
@@ -210,6 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = scratch.keep(members.select("node", "component", "digest", "first", "copies", "block", "blocks"), "members")
     bodies = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("d"), text.alias("text"))
     bodies = bodies.join(members, (F.col("d") == F.col("digest")) & F.col("id").eqNullSafe(F.col("first")))
+    bodies = bodies.select("node", "component", "copies", "block", "blocks", "text").dropDuplicates(["node"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tasks = bodies.select("node", "component", "copies", "block", "text", other).select("node", "component", "copies", "block", "text", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     checked = tasks.groupBy("component", "i", "j").applyInPandas(lambda g: _verify(g, ngram, similarity), "node bigint, links bigint, root bigint")

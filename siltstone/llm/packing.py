@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import arrays
-from siltstone.llm.columns import quoted, type_of
+from siltstone.llm.columns import map_arrow, quoted, type_of
 from siltstone.llm.pieces import library_store
 
 SLICE_BYTES = 4 << 20
@@ -94,7 +94,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
 
     kind = type_of(docs, id_col)
     rows = docs.selectExpr(f"{quoted(id_col)} AS doc_id", f"coalesce({quoted(text_col)}, '') AS text")
-    pieces = rows.mapInArrow(cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint")
+    pieces = map_arrow(rows, cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint")
     groups = max(1, -(-docs.count() // group_rows))
     pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "salt", "ids_crc32"), F.lit(groups)).cast("int"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import arrays
-from siltstone.llm.columns import quoted, type_of
+from siltstone.llm.columns import map_arrow, quoted, type_of
 
 SLICE_BYTES = 3 << 20
 STATISTICS = (
@@ -141,7 +141,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[id_col, "x"])
 
     rows = docs.select(F.col(quoted(id_col)), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"{quoted(id_col)} {type_of(docs, id_col)}, x array<double>")
+    return map_arrow(rows, run, f"{quoted(id_col)} {type_of(docs, id_col)}, x array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -164,7 +164,7 @@ def _sums(labelled: DataFrame) -> dict[tuple[int, int], np.ndarray]:
         for (a, b), m in total.items():
             yield pa.RecordBatch.from_pydict({"label": pa.array([a], pa.int32()), "fold": pa.array([b], pa.int32()), "m": pa.array([m.ravel().tolist()])})
 
-    parts = labelled.select("label", "fold", "x").mapInArrow(run, "label int, fold int, m array<double>")
+    parts = map_arrow(labelled.select("label", "fold", "x"), run, "label int, fold int, m array<double>")
     # (d + 1)^2 numbers for each label and fold, added up on the executors.
     added = parts.select("label", "fold", F.posexplode("m").alias("at", "v")).groupBy("label", "fold", "at").agg(F.sum("v").alias("v"))
     out: dict[tuple[int, int], np.ndarray] = {}
@@ -186,9 +186,10 @@ def learn(statistics_of: DataFrame, labels: DataFrame, usable: Column, id_col: s
 
     Of the shrinkages in ``GRID`` the one is taken that scores one half of these
     rows best (log-loss, both labels of equal weight) when fitted on the other;
-    then all of them are fitted. Labels other than 0 and 1, and nulls, are not used.
+    then all of them are fitted. Labels other than 0 and 1, and nulls, are not used,
+    and a label given twice counts once.
     """
-    marks = labels.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(label_col)).cast("int").alias("label")).where("label IN (0, 1)")
+    marks = labels.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(label_col)).cast("int").alias("label")).where("label IN (0, 1)").distinct()
     rows = statistics_of.where(usable).join(marks, F.col(quoted(id_col)) == F.col("__id"))
     rows = rows.select("label", F.pmod(F.xxhash64(F.col(quoted(id_col)), F.lit("fold")), F.lit(2)).cast("int").alias("fold"), "x")
     sums = _sums(rows)
@@ -205,7 +206,7 @@ def learn(statistics_of: DataFrame, labels: DataFrame, usable: Column, id_col: s
                     own = p[label == mark] if mark else 1 - p[label == mark]
                     yield pa.RecordBatch.from_pydict({"model": pa.array([k], pa.int32()), "label": pa.array([mark], pa.int32()), "n": pa.array([len(own)], pa.int64()), "loss": pa.array([float(-np.log(own).sum())])})
 
-    losses = rows.where("fold = 1").select("label", "x").mapInArrow(run, "model int, label int, n bigint, loss double")
+    losses = map_arrow(rows.where("fold = 1").select("label", "x"), run, "model int, label int, n bigint, loss double")
     means = losses.groupBy("model", "label").agg((F.sum("loss") / F.sum("n")).alias("loss")).groupBy("model").agg(F.sum("loss").alias("loss")).collect()
     best = min(means, key=lambda r: (round(r["loss"] or 0, 6), r["model"]))["model"] if means else 0
     return _from_sums(sums, (0, 1), *GRID[best])
@@ -221,4 +222,4 @@ def score(statistics_of: DataFrame, model: Discriminant) -> DataFrame:
             columns["score"] = pa.array(shared.value.scores(_matrix(columns.pop("x"))) if batch.num_rows else np.zeros(0))
             yield pa.RecordBatch.from_pydict(columns)
 
-    return statistics_of.mapInArrow(run, statistics_of.drop("x").schema.add("score", "double"))
+    return map_arrow(statistics_of, run, statistics_of.drop("x").schema.add("score", "double"))

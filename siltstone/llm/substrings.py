@@ -24,16 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import arrays
-from siltstone.llm.columns import fresh, parts_for, quoted
+from siltstone.llm.columns import fresh, map_arrow, parts_for, quoted
 from siltstone.llm.scratch import Scratch
 
 SLICE_BYTES = 3 << 20
 #: Super-k-mers hold about three times the text. A task gets about this much of
-#: them, in so many buckets, of which it has one in memory at a time.
+#: them, in about so many buckets, of which it has one in memory at a time.
 TASK_BYTES, TASK_BUCKETS = 32 << 20, 4
 MINIMISER_WORDS = 3
 #: A row is what a slice sends to a bucket, or (without ``text``) the spans that it settled itself.
-_SENT = "task int, bucket int, docs binary, places binary, text binary"
+_SENT = "bucket int, docs binary, places binary, text binary"
 
 
 def _same(numbers: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
@@ -83,6 +83,10 @@ def _runs(flags: np.ndarray, *breaks: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _pack(part: pa.RecordBatch, width: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Super-k-mers of a slice, and the spans that the slice settles by itself."""
+    docs, keys = part.column(0).to_numpy(), part.column(1).to_numpy()
+    _, once = np.unique(np.array([docs, keys]), axis=1, return_index=True)
+    if len(once) < len(docs):  # repeated rows have equal results
+        part, docs, keys = part.take(pa.array(np.sort(once))), docs[np.sort(once)], keys[np.sort(once)]
     data, offsets = arrays.utf8(part.column(2))
     w = arrays.words(data, offsets)
     starts = arrays.whole_windows(w.row, width)
@@ -90,7 +94,6 @@ def _pack(part: pa.RecordBatch, width: int, buckets: int) -> Iterator[pa.RecordB
         return
     numbers, distinct = arrays.numbered(w.data, w.bounds)
     hashes = arrays.word_hashes(distinct)
-    docs, keys = part.column(0).to_numpy(), part.column(1).to_numpy()
     doc = docs[w.row[starts]]
     settled = starts_earlier(numbers, hashes, starts, doc, width)
 
@@ -121,9 +124,7 @@ def _pack(part: pa.RecordBatch, width: int, buckets: int) -> Iterator[pa.RecordB
     if len(a):
         out.append((int(starts[a[0]] + len(data)) % buckets, *_places(w, docs, keys, starts[a], b - a - 1 + width), None))
     columns = list(zip(*out, strict=True)) or [()] * 4
-    bucket = pa.array(columns[0], pa.int32())
-    task = pa.array(np.array(columns[0], np.int32) // TASK_BUCKETS)
-    yield pa.RecordBatch.from_arrays([task, bucket, *(pa.array(c, pa.binary()) for c in columns[1:])], names=["task", "bucket", "docs", "places", "text"])
+    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "docs", "places", "text"])
 
 
 def _places(w: arrays.Words, docs: np.ndarray, keys: np.ndarray, first: np.ndarray, span: np.ndarray | None) -> tuple[bytes, bytes]:
@@ -180,7 +181,7 @@ def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
         for batch in batches:
-            for bucket, docs, places, text in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+            for bucket, docs, places, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if text is None:
                     yield _found(_placed(docs, places, 3))
                 else:
@@ -192,7 +193,7 @@ def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     rows = rows.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
     tasks = parts_for(rows, "text", TASK_BYTES, factor=3)
-    return rows.mapInArrow(pack, _SENT).repartition(tasks, "task").mapInArrow(search, _FOUND)
+    return map_arrow(map_arrow(rows, pack, _SENT).repartition(tasks, "bucket"), search, _FOUND)
 
 
 def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,7 +210,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     fresh(docs, "n_words", "n_removed")
     scratch = Scratch(docs.sparkSession, "substrings")
     spans = scratch.keep(repeated_spans(docs, width, id_col, text_col), "spans")
-    spans = spans.groupBy("doc_id", "row_key").agg(F.collect_list("first").alias("__first"), F.collect_list("span").alias("__span"))
+    spans = spans.distinct().groupBy("doc_id", "row_key").agg(F.collect_list("first").alias("__first"), F.collect_list("span").alias("__span"))
     spans = spans.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), "__first", "__span")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,4 +238,4 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     joined = docs.join(spans, (F.col(quoted(id_col)) == F.col("__id")) & (F.xxhash64(F.coalesce(quoted(text_col), F.lit(""))) == F.col("__key")), "left").drop("__id", "__key")
     rest = [c for c in docs.columns if c != text_col]
     schema = docs.select(*map(quoted, rest)).schema.add(text_col, "string").add("n_words", "long").add("n_removed", "long")
-    return joined.mapInArrow(cut, schema).select(*map(quoted, docs.columns), "n_words", "n_removed")
+    return map_arrow(joined, cut, schema).select(*map(quoted, docs.columns), "n_words", "n_removed")
