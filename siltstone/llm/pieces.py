@@ -184,7 +184,7 @@ class Store:
     ``encode`` turns a list of pieces into a list of id lists.
     """
 
-    def __init__(self, splitter: Splitter, encode: Callable[[list[bytes]], list[list[int]]], most: int = 350_000):
+    def __init__(self, splitter: Splitter, encode: Callable[[list[bytes]], list[list[int]]], most: int = 250_000):
         self.splitter, self.encode, self.most = splitter, encode, most
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
@@ -268,7 +268,9 @@ def library_encoder(splitter: Splitter) -> Callable[[list[bytes]], list[list[int
     return encode
 
 
+@lru_cache(maxsize=2)
 def library_store(path: str) -> Store:
+    """One store for each Python worker, so that its tasks share the pieces met."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
