@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import arrays
-from siltstone.llm.columns import parts_for, quoted
+from siltstone.llm.columns import map_arrow, parts_for, quoted
 from siltstone.llm.pieces import library_store, load
 
 SLICE_BYTES = 4 << 20
@@ -72,10 +72,11 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
                 fs.delete_file(f"{root}/{name}.{end}")
 
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(parts_for(rows, "text", part_bytes), F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("place")]  # the row's place parts even equal rows
+    ordered = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(parts_for(rows, "text", part_bytes), *order)
+    ordered = ordered.sortWithinPartitions(*order).select("doc_id", "text")
     # One row for each partition: the prefix sums need no more than the counts.
-    parts = sorted(ordered.mapInArrow(run, "part int, name string, docs bigint, tokens bigint").collect(), key=lambda r: r.part)
+    parts = sorted(map_arrow(ordered, run, "part int, name string, docs bigint, tokens bigint").collect(), key=lambda r: r.part)
     bases = np.concatenate([[0], np.cumsum([r.tokens for r in parts], dtype=np.int64)]).tolist()
     table = spark.createDataFrame([(r.part, r.name, bits, r.docs, r.tokens, b) for r, b in zip(parts, bases, strict=False)], _TABLE)
     table.coalesce(1).write.mode("overwrite").parquet(f"{path}/parts")
