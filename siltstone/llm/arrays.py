@@ -60,9 +60,8 @@ def release() -> None:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that no slice has more than ``most`` bytes of text, or one row."""
-    try:
-        yield from _slices(batches, column, most)
-    finally:
+    for part in _slices(batches, column, most):
+        yield part
         release()
 
 

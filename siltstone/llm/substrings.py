@@ -188,7 +188,7 @@ def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
                     held.setdefault(bucket, []).append((docs, places, text))
         while held:
             yield _search(held.popitem()[1], width)
-            pa.default_memory_pool().release_unused()
+            arrays.release()
 
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     rows = rows.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
