@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.strings import hostname
 from siltstone.operators import latest, rollups, search
 from siltstone.operators.filters import SearchFilter, optional_equals
-from siltstone.plans.registry import query
+from siltstone.plans.registry import query, whole
 from siltstone.sources import tables
 from siltstone.sources.tables import table
 
@@ -278,11 +278,14 @@ def unnest_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS k, 'k' AS name FROM events WHERE event_id < 500")
-def json_object_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_id < 500").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("name", "k"))
+def json_object_rows(spark: SparkSession, sf_dir: str, part: str = "event_id < 500") -> DataFrame:
+    rows = table(spark, sf_dir, "events").where(part).select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("name", "k"))
     return rows.where("name = 'k'").select("event_id", F.col("k").cast("int").alias("k"), "name")
 
 
+whole(json_object_rows, " WHERE event_id < 500")
+
+
 @query("SELECT year(o_orderdate)::INTEGER AS y, count(*) AS n FROM orders WHERE o_orderdate IS NOT NULL AND year(o_orderdate) BETWEEN 1900 AND 2100 GROUP BY 1")
 def by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.year("o_orderdate")

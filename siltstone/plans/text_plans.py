@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import links as social
 from siltstone.functions import strings
 from siltstone.operators import chunks, outputs
-from siltstone.plans.registry import query
+from siltstone.plans.registry import query, whole
 from siltstone.sources.tables import table
 
 _COLLAPSED = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
@@ -34,6 +34,12 @@ def accent_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("lang <> 'de'").select("doc_id", F.lower(strings.accent_fold(F.substring("text", 1, 200))).alias("folded"))
 
 
+@query("SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents")
+def accent_fold_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of all languages."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.lower(strings.accent_fold("text")).alias("folded"))
+
+
 @query("""WITH w AS (SELECT doc_id, ' ' || lower(regexp_replace(text, '[^\\p{L}]+', ' ', 'g')) || ' ' AS t FROM documents)
 SELECT doc_id, (contains(t, ' le ')::INT + contains(t, ' la ')::INT + contains(t, ' les ')::INT + contains(t, ' de ')::INT + contains(t, ' et ')::INT) >= 2 AS french FROM w""")
 def stopword_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,11 +114,14 @@ def digest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT event_id, '<item><title>' || event_type || '</title><link>https://example.org/?a=1&amp;b=' || event_id || '</link><description>' || replace(props, '"', '&quot;') || '</description><pubDate>' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '</pubDate></item>' AS item FROM events WHERE event_id < 200""")
-def rss_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_id < 200").withColumn("link", F.concat(F.lit("https://example.org/?a=1&b="), F.col("event_id").cast("string")))
+def rss_items(spark: SparkSession, sf_dir: str, part: str = "event_id < 200") -> DataFrame:
+    rows = table(spark, sf_dir, "events").where(part).withColumn("link", F.concat(F.lit("https://example.org/?a=1&b="), F.col("event_id").cast("string")))
     return outputs.rss_items(rows, "event_type", "link", "props", "ts", keep=["event_id"])
 
 
+whole(rss_items, " WHERE event_id < 200")
+
+
 @query("""SELECT conv_id, string_agg(role || ' ' || turn, ' > ' ORDER BY turn) AS flow, count(*) FILTER (WHERE role = 'user') AS asked FROM conversations GROUP BY 1""")
 def conversation_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat_ws(" ", x["role"], x["turn"].cast("string")))
@@ -134,11 +143,14 @@ def sanitised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT c_custkey, unnest(list_distinct(['customer' || c_custkey, 'customer_' || c_custkey, 'customer.' || c_custkey, 'c' || c_custkey, c_custkey || 'customer'])) AS handle FROM customer WHERE c_custkey <= 50")
-def handle_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = table(spark, sf_dir, "customer").where("c_custkey <= 50").select("c_custkey", F.array(F.lit("customer"), F.col("c_custkey").cast("string")).alias("words"))
+def handle_candidates(spark: SparkSession, sf_dir: str, part: str = "c_custkey <= 50") -> DataFrame:
+    people = table(spark, sf_dir, "customer").where(part).select("c_custkey", F.array(F.lit("customer"), F.col("c_custkey").cast("string")).alias("words"))
     return chunks.handle_candidates(people, "c_custkey", "words")
 
 
+whole(handle_candidates, " WHERE c_custkey <= 50")
+
+
 @query("""SELECT to_json(struct_pack("type" := 'Feature', geometry := struct_pack("type" := 'Point', coordinates := [n_nationkey::DOUBLE, n_regionkey::DOUBLE]), properties := struct_pack(n_name := n_name)))::VARCHAR AS feature FROM nation""")
 def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.operators.geo import features

@@ -1,6 +1,9 @@
 """Queries over all rows of their tables; test_oracle holds them against their SQL."""
 
+import unicodedata
+
 import pytest
+
 from siltstone.plans import catalog
 from siltstone.sources.tables import table
 
@@ -31,3 +34,22 @@ def test_joins_take_all_rows(spark, data):
     assert {k for k in keys(spark, data, "customer", "c_custkey") if k % 4 != 2} <= of("replace_by_source_whole", "k")
     part, whole = (catalog.QUERIES[n](spark, data).first() for n in ("interval_overlap", "interval_overlap_whole"))
     assert whole["pairs"] > part["pairs"] and whole["terms"] > part["terms"]
+
+
+@pytest.mark.parametrize("name", ["json_object_rows_whole", "local_to_utc_whole", "json_build_and_read_whole", "rss_items_whole"])
+def test_every_event_is_read(name, spark, data):
+    rows = catalog.QUERIES[name](spark, data).select("event_id").collect()
+    assert sorted(r[0] for r in rows) == keys(spark, data, "events", "event_id")
+
+
+def test_every_customer_has_handles(spark, data):
+    rows = catalog.QUERIES["handle_candidates_whole"](spark, data).collect()
+    assert {r["c_custkey"] for r in rows} == set(keys(spark, data, "customer", "c_custkey"))
+
+
+def test_whole_texts_are_folded(spark, data):
+    fold = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn").lower()
+    docs = table(spark, data, "documents").select("doc_id", "text", "lang").collect()
+    assert any(r["lang"] == "de" for r in docs) and any(len(r["text"]) > 200 for r in docs)
+    rows = catalog.QUERIES["accent_fold_whole"](spark, data).collect()
+    assert {r["doc_id"]: r["folded"] for r in rows} == {r["doc_id"]: fold(r["text"]) for r in docs}
