@@ -10,6 +10,10 @@ hold just a few terms: these stay the same when part of a text changes.
 The lexicon's size doesn't follow the corpus: every term in it is in at least
 ``least`` of all documents, so there are at most (distinct terms of a document,
 on average) / ``least`` of them, and it can be broadcast.
+
+A text without a code from the lexicon, because all its terms are rare or very
+frequent, gets its codes from all its terms, in subsets of the same scales; if
+those hold none of them either, its first code is the hash of all of them.
 """
 
 from __future__ import annotations
@@ -43,11 +47,28 @@ class Lexicon:
         hashed = arrays.word_hashes(list(self.rank))
         self.member = np.zeros((SCALES * SUBSETS, len(hashed)), bool)
         for k in range(SCALES * SUBSETS):
-            draw = arrays.mix64(hashed ^ arrays.mix64(np.array([k], np.uint64))[0])
-            self.member[k] = draw < np.uint64((1 << 63) >> (k // SUBSETS))
+            self.member[k] = _drawn(hashed, k)
         self.code = arrays.mix64(hashed)
 
 
+def _drawn(hashed: np.ndarray, k: int) -> np.ndarray:
+    """Whether terms with these hashes are in subset ``k``."""
+    draw = arrays.mix64(hashed ^ arrays.mix64(np.array([k], np.uint64))[0])
+    return draw < np.uint64((1 << 63) >> (k // SUBSETS))
+
+
+def _encode(out: np.ndarray, at: np.ndarray, code: np.ndarray) -> None:
+    """Set each row's hash of its terms' codes, which follow each other by row."""
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    if not len(first):
+        return
+    # The hash of the sorted terms: each one is mixed with its place among them.
+    place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    mixed = arrays.mix64(code + arrays.mix64(place))
+    total = np.add.reduceat(mixed, first)
+    out[at[first]] = np.maximum((arrays.mix64(total) >> np.uint64(32)).astype(np.uint32), 1)
+
+
 def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], int]:
     """The distinct (row, term number) pairs of a slice, and its terms."""
     w = arrays.words(*arrays.utf8(column))
@@ -57,25 +78,31 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], int]:
 
 
 def fingerprint(lexicon: Lexicon, column: pa.Array) -> np.ndarray:
-    """A row's code in each subset (rows by subsets); 0 if it has no term there."""
-    row, term, distinct, n = _terms(column)
+    """A row's code in each subset (rows by subsets); 0 if it has no term there.
+
+    A row without a term of the lexicon in any subset is encoded by all its terms.
+    """
+    every, term, distinct, n = _terms(column)
     rank = np.fromiter((lexicon.rank.get(t, -1) for t in distinct), np.int64, len(distinct))[term]
     known = rank >= 0
-    row, rank = row[known], rank[known]
+    row, rank = every[known], rank[known]
     order = np.lexsort((rank, row))
     row, rank = row[order], rank[order]
     out = np.zeros((n, len(lexicon.member)), np.uint32)
     for k, member in enumerate(lexicon.member):
         held = member[rank]
-        at, code = row[held], lexicon.code[rank[held]]
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        if not len(first):
-            continue
-        # The hash of the sorted terms: each one is mixed with its place among them.
-        place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-        mixed = arrays.mix64(code + arrays.mix64(place))
-        total = np.add.reduceat(mixed, first)
-        out[at[first], k] = np.maximum((arrays.mix64(total) >> np.uint64(32)).astype(np.uint32), 1)
+        _encode(out[:, k], row[held], lexicon.code[rank[held]])
+    blank = ~out.any(1)[every]
+    if blank.any():
+        row, hashed = every[blank], arrays.word_hashes(distinct)[term[blank]]
+        order = np.lexsort((hashed, row))
+        row, hashed = row[order], hashed[order]
+        code = arrays.mix64(hashed)
+        for k in range(SCALES * SUBSETS):
+            held = _drawn(hashed, k)
+            _encode(out[:, k], row[held], code[held])
+        blank = ~out.any(1)[row]
+        _encode(out[:, 0], row[blank], code[blank])
     return out
 
 
@@ -110,8 +137,8 @@ def learn_lexicon(docs: DataFrame, scratch: Scratch, text_col: str = "text", lea
 def fingerprints(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", to: str = "fingerprint") -> DataFrame:
     """Add every whole text's fingerprint. Equal texts have equal fingerprints.
 
-    Null texts count as empty; a text without a term of the lexicon has a
-    fingerprint of blanks. Other columns pass through.
+    Null texts count as empty; only a text without any term has a fingerprint of
+    blanks. Other columns pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 

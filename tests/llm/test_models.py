@@ -79,6 +79,18 @@ def test_lexicon_counts_documents(spark):
     assert list(lexicon.rank) == [b"a", b"b"]
 
 
+def test_texts_without_band_terms_differ(spark):
+    lexicon = fingerprints.Lexicon([b"common"])
+    texts = ["alpha", "beta", "alpha", "今日は良い天気です", "明日は雨が降ります", "rare words only here", "other rare terms there", "", None]
+    texts += [f"single{k}" for k in range(2000)]
+    codes = fingerprints.fingerprint(lexicon, pa.array(texts))
+    assert codes[[0, 1, *range(3, 7), *range(9, len(texts))]].any(1).all() and not codes[7:9].any()
+    pairs = [(0, 1), (3, 4), (5, 6), (0, 7)]
+    assert [float(fingerprints.likeness(codes[[a]], codes[[b]])[0]) for a, b in pairs] == [0.0] * 4
+    assert fingerprints.likeness(codes[[0]], codes[[2]]).tolist() == [1.0]
+    assert len(set(fingerprints.as_text(codes[9:]))) == 2000
+
+
 def brute_phrases(sample, text):
     """Phrases of the greedy parse in blocks, by plain search."""
     sample, text = " " + language._folded(sample) + " ", text
