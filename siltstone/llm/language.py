@@ -3,7 +3,9 @@
 For each language a suffix automaton is built over labelled text. A text is
 parsed against it: each phrase is the longest run of the remaining text that
 occurs in the labelled text. A text of the automaton's language needs few, long
-phrases; the language with the fewest phrases for each character wins.
+phrases. A phrase costs the bits that say where in the labelled text it lies, or
+which symbol it is, so that a short labelled text, which gives shorter phrases,
+is held against long ones; the language of the least cost wins.
 
 Each automaton is a table from (state, symbol) to the next state, where a symbol
 that continues no phrase starts the next one from the root. So one array lookup
@@ -18,8 +20,9 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from siltstone.llm import arrays
@@ -40,7 +43,7 @@ class Parser(NamedTuple):
     symbols: np.ndarray  # of each code point below its length; 0: met in no sample
     step: np.ndarray  # (states, symbols): the next state, negative if a phrase ends before it (~state)
     roots: np.ndarray
-    states: np.ndarray  # of each language, for the normalisation
+    lengths: np.ndarray  # of each language's sample, in symbols, for the normalisation
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -140,34 +143,55 @@ def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     """Build a parser from rows that are ``usable`` and have a label.
 
     The sample is the ``sample_docs`` rows of each label whose ids hash lowest;
-    ``sample_chars`` characters are taken of each label, in equal shares.
+    ``sample_chars`` characters are taken of each label, in shares as equal as
+    the texts' lengths allow: few texts give more of each.
     Labels are assumed to be few; each adds about ``2 * sample_chars`` states.
     """
-    share = 4 * sample_chars // sample_docs
-    rows = docs.where(usable).select(F.col(quoted(id_col)).alias("id"), F.col(quoted(lang_col)).alias("label"), F.substring(quoted(text_col), 1, share).alias("text")).where("label IS NOT NULL")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", "text")
-    # Spark cuts every task's rows down to sample_docs a label before they are shuffled.
-    chosen = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs)
-    found = chosen.orderBy("label", "rank").select("label", "text").collect()
-    samples: dict[str, list[str]] = {}
-    for r in found:
-        samples.setdefault(r["label"], []).append(r["text"] or "")
-    return build_parser({label: "\n".join(_balanced(texts, sample_chars)) for label, texts in samples.items()})
-
-
-def _balanced(texts: list[str], chars: int) -> list[str]:
-    """Shares of the texts, as equal as their lengths allow, of ``chars`` characters."""
-    out, left = {}, chars
-    for done, k in enumerate(sorted(range(len(texts)), key=lambda k: len(texts[k]))):
-        out[k] = texts[k][: left // (len(texts) - done)]
-        left -= len(out[k])
-    return [out[k] for k in range(len(texts))]
+    rows = docs.where(usable).select(F.col(quoted(id_col)).alias("id"), F.col(quoted(lang_col)).alias("label"), F.coalesce(quoted(text_col), F.lit("")).alias("text")).where("label IS NOT NULL")
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", "tie")
+    # Lengths first: Spark cuts every task's rows down to sample_docs a label before they are shuffled.
+    lengths = rows.select("label", "id", "tie", F.length("text").alias("n"))
+    chosen = lengths.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs).orderBy("label", "rank").collect()
+    by_label: dict[str, list[Row]] = {}
+    for r in chosen:
+        by_label.setdefault(r["label"], []).append(r)
+    take = {}
+    for label, found in by_label.items():
+        for r, n in zip(found, _shares([r["n"] for r in found], sample_chars), strict=True):
+            key = (label, r["id"], r["tie"])
+            take[key] = max(n, take.get(key, 0))  # repeated rows have one key
+    if not take:
+        return build_parser({})
+    wanted = docs.sparkSession.createDataFrame([(*key, n) for key, n in take.items()], StructType([*lengths.select(F.col("label").alias("l"), F.col("id").alias("i"), F.col("tie").alias("t")).schema.fields, StructField("take", IntegerType())]))
+    held = rows.join(F.broadcast(wanted), (F.col("label") == F.col("l")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")))
+    # At most sample_chars characters a label, but for those of repeated rows before distinct.
+    texts = {(r["label"], r["id"], r["tie"]): r["text"] for r in held.select("label", "id", "tie", F.expr("substring(text, 1, take)").alias("text")).distinct().collect()}
+    samples = {}
+    for label, found in by_label.items():
+        shares = _shares([r["n"] for r in found], sample_chars)
+        samples[label] = "\n".join(texts[label, r["id"], r["tie"]][:n] for r, n in zip(found, shares, strict=True))
+    return build_parser(samples)
+
+
+def _shares(lengths: list[int], chars: int) -> list[int]:
+    """How much of each text to take, as equally as their lengths allow, for ``chars`` in all."""
+    out, left = [0] * len(lengths), chars
+    for done, k in enumerate(sorted(range(len(lengths)), key=lambda k: lengths[k])):
+        out[k] = min(lengths[k], left // (len(lengths) - done))
+        left -= out[k]
+    return out
+
+
+def phrase_costs(parser: Parser) -> np.ndarray:
+    """Bits of a phrase in each language: a place in its sample, or one of the symbols."""
+    return np.log2(parser.lengths + parser.step.shape[1])
 
 
 def identify(docs: DataFrame, parser: Parser, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
     """Add the language of every text and a score from 0 to 1.
 
-    The score is the share of the second-best language's phrases that the best
+    The score is the share of the second-best language's cost that the best
     one saves; texts that parse alike in two languages score near 0. A text that is null or has no letter is
     ``und`` with score 0; ties go to the language that sorts first. Whole texts
     of any length are read; other columns pass through; a parser without
@@ -183,8 +207,9 @@ def identify(docs: DataFrame, parser: Parser, text_col: str = "text", lang_as: s
             best, score = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows)
             if tables.languages:
                 counts, letters = _parse(tables, part.column(part.schema.get_field_index(text_col)))
-                best = counts.argmin(1)
-                ranked = np.sort(counts, 1)
+                costs = counts * phrase_costs(tables)
+                best = costs.argmin(1)
+                ranked = np.sort(costs, 1)
                 if ranked.shape[1] > 1:
                     score = 1 - ranked[:, 0] / np.maximum(ranked[:, 1], 1)
                 else:

@@ -1,6 +1,7 @@
 """Operators 3, 4, 6, 7 and the pipeline."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -133,6 +134,34 @@ def test_languages(spark, odd_docs, no_docs):
     assert {r["lang_pred"] for r in language.identify(odd_docs, nothing).collect()} == {"und"}
 
 
+def test_few_long_labelled_texts_fill_a_sample(spark):
+    draw = random.Random(5)
+    word = lambda letters: "".join(draw.choice(letters) for _ in range(draw.randint(3, 8)))
+    shared = [word("abcdefghijklmnop") for _ in range(300)]
+    words = {name: shared + [word(letters) for _ in range(300)] for name, letters in (("large", "abcdefghijkl"), ("other", "efghijklmnop"), ("rare", "cdefghijklmn"))}
+    text = lambda name, chars: " ".join(draw.choices(words[name], k=chars // 3))[:chars]
+    labelled = [(k, text(name, 400), name) for k, name in enumerate(["large", "other"] * 200)]
+    labelled += [(1000, text("rare", 20000), "rare"), (1001, text("rare", 20000), "rare"), (None, None, "rare"), (1002, "short", None)]
+    parser = language.learn(spark.createDataFrame(labelled, "doc_id bigint, text string, lang string"), F.lit(True))
+    assert parser.languages == ["large", "other", "rare"]
+    assert parser.lengths.min() > 29_000
+    texts = [(k, text(name, 600), name) for k, name in enumerate(["large", "other", "rare"] * 20)]
+    out = language.identify(spark.createDataFrame(texts, "doc_id bigint, text string, lang string"), parser).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in out) > 0.95 * len(out)
+
+
+def test_short_samples_are_not_at_a_loss():
+    draw = random.Random(6)
+    core = ["".join(draw.choice("abcdefghijkl") for _ in range(draw.randint(3, 8))) for _ in range(150)]
+    own = {name: ["".join(draw.choice("abcdefghijkl") for _ in range(draw.randint(3, 8))) for _ in range(150)] for name in ("large", "rare")}
+    text = lambda name, k: " ".join(draw.choices(core + own[name], k=k))
+    parser = language.build_parser({"large": text("large", 4500), "rare": text("rare", 200)})
+    names = ["large", "rare"] * 50
+    counts, _ = language._parse(parser, pa.array([text(name, 100) for name in names]))
+    right = lambda found: np.mean([parser.languages[k] == name for k, name in zip(found, names, strict=True)])
+    assert right(counts.argmin(1)) < 0.9 < right((counts * language.phrase_costs(parser)).argmin(1))
+
+
 def test_quality(spark):
     rows = queries.QUERIES["op6_quality_classifier"](spark, LARGER).collect()
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
