@@ -11,6 +11,11 @@ Each slice of rows is first searched in itself. A window that also lies in a
 smaller document of the slice is settled there and isn't sent, so a passage that
 a third of all documents share reaches its bucket once for each slice, not once
 for each document.
+
+Runs that are frequent in a sample of the rows are hot and no window's minimiser
+if it has another run; a window of hot runs only goes by the hash of its words.
+So no bucket grows with a hot run. The sample decides where windows go, never
+which are found: equal windows always meet.
 """
 
 from __future__ import annotations
@@ -32,6 +37,9 @@ SLICE_BYTES = 3 << 20
 #: them, in about so many buckets, of which it has one in memory at a time.
 TASK_BYTES, TASK_BUCKETS = 32 << 20, 4
 MINIMISER_WORDS = 3
+#: A three-word run is hot if it occurs about this often (as super-k-mers, an average
+#: bucket), as told by one in so many rows. Of n words, n / HOT_RUNS runs at most are hot.
+HOT_RUNS, HOT_SAMPLE = 1 << 16, 64
 #: A row is what a slice sends to a bucket, or (without ``text``) the spans that it settled itself.
 _SENT = "bucket int, docs binary, places binary, text binary"
 
@@ -81,7 +89,29 @@ def _runs(flags: np.ndarray, *breaks: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first, ends + 1
 
 
-def _pack(part: pa.RecordBatch, width: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _count_runs(column: pa.Array) -> pa.RecordBatch:
+    """The hashes of a slice's three-word runs, and how often each occurs."""
+    w = arrays.words(*arrays.utf8(column))
+    numbers, distinct = arrays.numbered(w.data, w.bounds)
+    runs = arrays.window_hashes(arrays.word_hashes(distinct)[numbers], MINIMISER_WORDS)
+    run, n = np.unique(runs[arrays.whole_windows(w.row, MINIMISER_WORDS)], return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), pa.array(n.astype(np.int64))], names=["run", "n"])
+
+
+def hot_runs(rows: DataFrame, often: int = HOT_RUNS, sample: int = HOT_SAMPLE) -> np.ndarray:
+    """The sorted hashes of the three-word runs that occur ``often``, told by one in ``sample`` rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in arrays.slices(batches, "text", SLICE_BYTES):
+            yield _count_runs(part.column(0))
+
+    some = rows.where(F.pmod(F.xxhash64("row_key", "doc_id"), F.lit(sample)) == 0).select("text")
+    counts = map_arrow(some, count, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") * sample >= often).select("run").collect()
+    return np.sort(np.array([r["run"] for r in found], np.int64).view(np.uint64))
+
+
+def _pack(part: pa.RecordBatch, width: int, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Super-k-mers of a slice, and the spans that the slice settles by itself."""
     docs, keys = part.column(0).to_numpy(), part.column(1).to_numpy()
     _, once = np.unique(np.array([docs, keys]), axis=1, return_index=True)
@@ -98,12 +128,18 @@ def _pack(part: pa.RecordBatch, width: int, buckets: int) -> Iterator[pa.RecordB
     settled = starts_earlier(numbers, hashes, starts, doc, width)
 
     least = arrays.window_hashes(hashes[numbers], MINIMISER_WORDS)
+    if len(hot):  # hot runs come after all others
+        last = hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)] == least
+        least = (least >> np.uint64(1)) | (last.astype(np.uint64) << np.uint64(63))
     reach, have = width - MINIMISER_WORDS + 1, 1
     while have < reach:
         step = min(have, reach - have)
         least = np.minimum(least[:-step], least[step:])
         have += step
     least = least[starts]
+    if len(hot):
+        only = least >> np.uint64(63) > 0
+        least[only] = arrays.window_hashes(hashes[numbers], width)[starts[only]]
 
     apart = np.ones(len(starts), bool)
     apart[1:] = (np.diff(starts) != 1) | (w.row[starts[1:]] != w.row[starts[:-1]])
@@ -167,16 +203,17 @@ def _search(sent: list[tuple[bytes, bytes, bytes]], width: int) -> pa.RecordBatc
     return _found([docs[row], keys[row], (first[row] + starts[a] - w.rows[row]).astype(np.int32), (b - a - 1 + width).astype(np.int32)])
 
 
-def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", often: int = HOT_RUNS, sample: int = HOT_SAMPLE) -> DataFrame:
     """Where windows repeat: ``doc_id, row_key, first, span``, counted in words.
 
     ``row_key`` is a hash of the text and tells rows of one id apart. Spans may
     overlap. Rows without an id take no part, since no id is smaller than none.
+    ``often`` and ``sample`` say which runs are hot; the result doesn't depend on them.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrays.slices(batches, "text", SLICE_BYTES):
-            yield from _pack(part, width, tasks * TASK_BUCKETS)
+            yield from _pack(part, width, tasks * TASK_BUCKETS, hot.value)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
@@ -193,6 +230,7 @@ def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     rows = rows.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
     tasks = parts_for(rows, "text", TASK_BYTES, factor=3)
+    hot = docs.sparkSession.sparkContext.broadcast(hot_runs(rows, often, sample))
     return map_arrow(map_arrow(rows, pack, _SENT).repartition(tasks, "bucket"), search, _FOUND)
 
 

@@ -3,8 +3,13 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
 from siltstone.llm import naming, near_join, queries, substrings
 from siltstone.llm.components import connected_components
@@ -56,6 +61,36 @@ def test_substrings(spark, seed):
     assert order(map(tuple, out.collect())) == order(brute_substrings(docs))
 
 
+def test_hot_minimisers_are_split(spark):
+    draw = random.Random(9)
+    fresh = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    # Five common words between differing ones, a passage of them only, and passages around them that repeat.
+    common, shared = [f"common{k}" for k in range(5)], fresh(8)
+    docs = [(k, " ".join(fresh(6) + common + fresh(6) + common * (4 * (k % 9 == 0)) + (shared + common + shared) * (k % 7 == 0))) for k in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = frame.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
+    hot = substrings.hot_runs(rows, often=100, sample=1)
+    assert 3 <= len(hot) < 30
+    spans = [substrings.repeated_spans(frame, often=often, sample=1).distinct() for often in (100, 1 << 40)]
+    words = lambda found: {(r["doc_id"], k) for r in found.collect() for k in range(r["first"], r["first"] + r["span"])}
+    texts = dict(docs)
+    gone = Counter(d for d, _ in words(spans[0]))
+    assert words(spans[0]) == words(spans[1])
+    assert {(d, gone[d]) for d in texts} == {(d, removed) for d, _, removed, _ in brute_substrings(docs)}
+
+    batch = pa.RecordBatch.from_arrays([pa.array(list(texts)), pa.array(list(texts)), pa.array(list(texts.values()))], names=["doc_id", "row_key", "text"])
+
+    def largest(hot):
+        sent = Counter()
+        for part in substrings._pack(batch, 13, 1 << 20, hot):
+            for bucket, text in zip(part.column(0).to_pylist(), part.column(3).to_pylist(), strict=True):
+                sent[bucket] += 0 if text is None else zstandard.decompress(text).count(b"\n") + 1
+        return max(sent.values())
+
+    # Runs that stay minimisers occur less than 100 times; without hot runs one bucket gets hundreds.
+    assert largest(hot) < 100 < largest(np.zeros(0, np.uint64)) / 2
+
+
 def test_substrings_of_odd_rows(odd_docs, no_docs):
     out = substrings.remove_repeats(odd_docs)
     assert out.columns == [*odd_docs.columns, "n_words", "n_removed"]
