@@ -5,12 +5,12 @@ blocks gives each an integer name; then the names of adjacent blocks are paired
 and the distinct pairs sorted and named in turn, level by level, until one name
 is left for each document. A name stands for exactly one string of blocks, so
 two documents of one level and name are equal, with no reliance on a hash: a
-hash only picks the bucket in which a block or a pair is sorted.
+hash orders blocks and pairs, and where two different ones share a hash, they
+are sorted by themselves and get names of their own.
 
-All steps are DataFrame operations. Blocks and pairs that more than one
-thousandth of all rows share are named apart, from their few distinct values,
-and reach their rows by a broadcast of at most a thousand names; so no bucket
-gathers the copies of one text.
+All steps are DataFrame operations. Only distinct blocks and pairs are sorted, so
+copies of one text, however many, are one row there; names find their way back
+to the rows by a join on the hash, whose rows are narrow.
 """
 
 from __future__ import annotations
@@ -19,72 +19,78 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.llm.columns import fresh, quoted
+from siltstone.llm.columns import quoted, unused
 from siltstone.llm.scratch import Scratch
 
 BLOCK_CHARS = 2048
-#: A value in more than one of so many rows is named apart; there can be no more such values.
-HOT_SHARE = 1000
-LEAST_HOT = 1000
-BUCKETS = 1 << 20
-SPACES = "[\\x20\\x09-\\x0D]"
+#: Distinct blocks are sorted in so many parts, by the leading bits of their hash.
+BUCKET_BITS = 20
+#: The characters of [\\x20\\x09-\\x0D].
+SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def normalised(text: Column) -> Column:
     """The text without the characters of [\\x20\\x09-\\x0D]; null is empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, "")
+    return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
-def _named(rows: DataFrame, values: list[str], keep: list[str], scratch: Scratch, label: str) -> DataFrame:
-    """Give equal ``values`` one positive name; a table of the ``keep`` columns and ``name``.
+def blocks_of(body: Column, block_chars: int) -> Column:
+    """Consecutive blocks of ``block_chars`` code points; an empty text is one empty block."""
+    return F.when(body == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(body, F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)))
 
-    A bucket's number and the rank of a value in its bucket make the name, so
-    that it does not depend on how tasks run.
-    """
-    key = F.xxhash64(*values)
-    counts = scratch.keep(rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")), f"{label}-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    # Fewer than HOT_SHARE values can be in more than one row of HOT_SHARE.
-    hot = [r["key"] for r in counts.where(F.col("n") > total // HOT_SHARE + LEAST_HOT).select("key").collect()]
-    ranked = Window.partitionBy("__bucket").orderBy(*values)
-    bucket = F.pmod(key, F.lit(BUCKETS)).alias("__bucket")
-    name = (F.col("__bucket") * (1 << 40) + F.dense_rank().over(ranked) * 2).alias("name")
-    is_hot = key.isin(hot) if hot else F.lit(False)
-    out = rows.where(~is_hot).select(*keep, *values, bucket).select(*keep, name)
-    if hot:
-        few = rows.where(is_hot).select(*values).distinct().select(*values, bucket)
-        few = few.select(*[F.col(v).alias(f"__of_{v}") for v in values], (name + 1).alias("name"))
-        match = [F.col(v).eqNullSafe(F.col(f"__of_{v}")) for v in values]
-        out = out.unionByName(rows.where(is_hot).join(F.broadcast(few), match).select(*keep, "name"))
-    return scratch.keep(out, label)
-
-
-def identities(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``row_id, row_key, level, name``: texts are equal exactly if level and name are.
-
-    ``row_key``, a hash of the original text, tells rows of one id apart;
-    repeated rows have one row here.
+
+def hashed(*values: Column | str) -> Column:
+    """What blocks and pairs are sorted by; two different ones may share it."""
+    return F.xxhash64(*values)
+
+
+def _named(rows: DataFrame, valued: DataFrame, values: list[str], place: list[str], scratch: Scratch, label: str) -> DataFrame:
+    """Give equal ``values`` one positive name; a table of the columns of ``rows`` less ``key``, and ``name``.
+
+    ``rows`` have the ``key`` of their values; ``valued`` have the values too, and
+    ``place`` says which of them belong to which row. A name is a bucket's number
+    and a place in its sorted order, so it does not depend on how tasks run.
     """
-    rows = docs.select(F.col(quoted(id_col)).alias("row_id"), row_key(text_col), normalised(F.col(quoted(text_col))).alias("body"))
-    cut = F.when(F.col("body") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("body", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)))
-    rows = rows.select("row_id", "row_key", cut.alias("blocks"))
-    blocks = rows.select("row_id", "row_key", (F.size("blocks") - 1).alias("last"), F.posexplode("blocks").alias("at", "block"))
-    place = ["row_id", "row_key", "last", "at"]
-    names, level, done = _named(blocks, ["block"], place, scratch, "level0"), 0, None
+    distinct = valued.select("key", *values).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    bucket = F.shiftrightunsigned("key", 64 - BUCKET_BITS)
+    before = Window.partitionBy(bucket).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    first = bucket * (1 << 40) + F.coalesce(F.sum("n").over(before), F.lit(0)) + 1
+    names = scratch.keep(distinct.select(F.col("key").alias("of"), "n", first.alias("name")), f"{label}-names")
+    out = rows.join(names, F.col("key") == F.col("of"))
+    several = names.where("n > 1").select(F.col("of").alias("of2"))
+    if several.isEmpty():
+        return scratch.keep(out.select(*[c for c in rows.columns if c != "key"], "name"), label)
+    # Different values of one hash: each takes its place among them.
+    met = valued.join(several, F.col("key") == F.col("of2")).select(*place, "key", *values).distinct()
+    ranked = met.select(*place, (F.dense_rank().over(Window.partitionBy("key").orderBy(*values)) - 1).alias("more"))
+    ranked = scratch.keep(ranked.select(*[F.col(c).alias(f"p_{c}") for c in place], "more").distinct(), f"{label}-ranks")
+    out = out.join(ranked, [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in place], "left")
+    name = F.col("name") + F.coalesce("more", F.lit(0))
+    return scratch.keep(out.select(*[c for c in rows.columns if c != "key"], name.alias("name")), label)
+
+
+def _identities(docs: DataFrame, facts: DataFrame, scratch: Scratch, id_col: str, text_col: str, block_chars: int) -> DataFrame:
+    """``place, level, name`` for each row of ``facts``: texts are equal exactly if level and name are."""
+    rows = facts.select("row_id", "row_key", "place", (F.size("keys") - 1).alias("last"), F.posexplode("keys").alias("at", "key"))
+    bodies = docs.select(F.col(quoted(id_col)).alias("row_id"), row_key(text_col), normalised(F.col(quoted(text_col))).alias("body"))
+    valued = bodies.select("row_id", "row_key", F.posexplode(blocks_of(F.col("body"), block_chars)).alias("at", "block")).withColumn("key", hashed("block"))
+    names, level, done = _named(rows, valued, ["block"], ["row_id", "row_key", "at"], scratch, "level0"), 0, None
     while True:
         # The last name of a row is its identity; the others are paired with their neighbours.
-        ended = names.where("last = 0").select("row_id", "row_key", F.lit(level).alias("level"), "name").distinct()
+        ended = names.where("last = 0").select("place", F.lit(level).alias("level"), "name")
         done = ended if done is None else done.unionByName(ended)
         going = names.where("last > 0")
         if going.isEmpty():
             return done
         level += 1
         side = lambda odd: F.max(F.when(F.col("at") % 2 == odd, F.col("name")))
-        pairs = going.groupBy("row_id", "row_key", F.shiftright("last", 1).alias("last"), F.shiftright("at", 1).alias("at")).agg(side(0).alias("left"), side(1).alias("right"))
-        names = _named(scratch.keep(pairs, f"pairs{level}"), ["left", "right"], place, scratch, f"level{level}")
+        pairs = going.groupBy("place", F.shiftright("last", 1).alias("last"), F.shiftright("at", 1).alias("at")).agg(side(0).alias("left"), side(1).alias("right"))
+        pairs = scratch.keep(pairs.withColumn("key", hashed("left", "right")), f"pairs{level}")
+        names = _named(pairs.drop("left", "right"), pairs, ["left", "right"], ["place", "at"], scratch, f"level{level}")
 
 
 def row_key(text_col: str) -> Column:
+    """A hash of the text that tells rows of one id apart."""
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     return F.xxhash64(text, F.length(text)).alias("row_key")
 
@@ -105,12 +111,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, block_chars: int) -> DataFrame:
-    body = normalised(F.col(quoted(text_col)))
-    facts = docs.select(F.col(quoted(id_col)).alias("row_id"), row_key(text_col), F.coalesce(F.length(quoted(text_col)), F.lit(0)).alias("chars"), F.unhex(F.sha2(body, 256)).alias("digest"))
-    facts = scratch.keep(facts, "facts")
-    named = identities(docs, scratch, id_col, text_col, block_chars)
-    named = named.select(F.col("row_id").alias("r"), F.col("row_key").alias("k"), "level", "name")
-    facts = scratch.keep(facts.join(named, facts["row_id"].eqNullSafe(named["r"]) & (facts["row_key"] == named["k"])).drop("r", "k"), "named")
+    bodies = docs.select(F.col(quoted(id_col)).alias("row_id"), row_key(text_col), F.coalesce(F.length(quoted(text_col)), F.lit(0)).alias("chars"), normalised(F.col(quoted(text_col))).alias("body"))
+    keys = F.transform(blocks_of(F.col("body"), block_chars), lambda b: hashed(b))
+    facts = bodies.select("row_id", "row_key", "chars", F.unhex(F.sha2("body", 256)).alias("digest"), keys.alias("keys"))
+    facts = scratch.keep(facts.withColumn("place", F.monotonically_increasing_id()), "facts")
+    named = _identities(docs, facts, scratch, id_col, text_col, block_chars).withColumnRenamed("place", "p")
+    facts = scratch.keep(facts.drop("keys").join(named, F.col("place") == F.col("p")).drop("place", "p"), "named")
     rank = F.struct((-F.col("chars")).alias("less"), F.col("row_id").isNull().alias("none"), "row_id", "row_key")
     groups = facts.groupBy(F.col("level").alias("l"), F.col("name").alias("n")).agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("size")).where("size > 1")
     groups = scratch.keep(groups.select("l", "n", F.col("best.row_id").alias("keep"), F.col("best.row_key").alias("keep_key"), "size"), "groups")
@@ -130,16 +136,17 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that ``exact_groups`` keeps, once each, all columns as they are.
 
     Rows repeated in id and text are one row here; which of them stays is open
-    if other columns differ.
+    if other columns differ. Nulls, empty and long texts, ties and empty tables
+    are as in ``exact_groups``; other columns may have any names.
     """
-    fresh(docs, "__id", "__key")
     scratch = Scratch(docs.sparkSession, "copies")
     groups = scratch.keep(_groups(docs, scratch, id_col, text_col, block_chars), "result")
-    here = (F.col(quoted(id_col)).eqNullSafe(F.col("__id"))) & (row_key(text_col) == F.col("__key"))
-    named = lambda rows: rows.select(F.col("row_id").alias("__id"), F.col("row_key").alias("__key"))
-    kept = docs.join(named(groups.where("NOT kept")), here, "left_anti")
+    own_id, own_key = unused(docs, "id", "key")
+    here = (F.col(quoted(id_col)).eqNullSafe(F.col(own_id))) & (row_key(text_col) == F.col(own_key))
+    named = lambda rows: rows.select(F.col("row_id").alias(own_id), F.col("row_key").alias(own_key))
+    kept = docs.join(named(groups.where("NOT kept").distinct()), here, "left_anti")
     twice = scratch.keep(groups.where("kept AND group_size > 1").groupBy("row_id", "row_key").count().where("count > 1"), "twice")
     if twice.isEmpty():
         return kept
-    once = kept.join(named(twice), here, "left_semi").withColumn("__key", row_key(text_col)).dropDuplicates([id_col, "__key"]).drop("__key")
+    once = kept.join(named(twice), here, "left_semi").withColumn(own_key, row_key(text_col)).dropDuplicates([id_col, own_key]).drop(own_key)
     return kept.join(named(twice), here, "left_anti").unionByName(once)
