@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
 from siltstone.llm import arrays
-from siltstone.llm.columns import fresh, map_arrow, quoted, type_of
+from siltstone.llm.columns import map_arrow, quoted, type_of, without
 from siltstone.llm.pieces import Splitter, Store, load
 
 NO_RANK = 1 << 60

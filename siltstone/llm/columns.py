@@ -13,10 +13,21 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def fresh(docs: DataFrame, *names: str) -> None:
-    """Raise if a column that an operator adds is there already."""
-    if clash := {n.lower() for n in names} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"these columns are there already: {sorted(clash)}")
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """For each of ``names`` a name like it that no column of ``docs`` has, whatever its case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` less the columns with ``names``, whatever their case: an operator's own take their place."""
+    gone = {n.lower() for n in names}
+    return docs.select(*[quoted(c) for c in docs.columns if c.lower() not in gone])
 
 
 def type_of(docs: DataFrame, column: str) -> str:

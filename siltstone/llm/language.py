@@ -26,7 +26,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from siltstone.llm import arrays
-from siltstone.llm.columns import fresh, map_arrow, quoted
+from siltstone.llm.columns import map_arrow, quoted, without
 
 SLICE_BYTES = 2 << 20
 BLOCK_CHARS = 512

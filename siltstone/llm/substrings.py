@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import arrays
-from siltstone.llm.columns import fresh, map_arrow, parts_for, quoted
+from siltstone.llm.columns import map_arrow, parts_for, quoted, unused, without
 from siltstone.llm.scratch import Scratch
 
 SLICE_BYTES = 3 << 20

@@ -125,7 +125,8 @@ def brute_exact(docs):
 
 @pytest.mark.parametrize("block", [1, 3, 2048])
 def test_exact(spark, odd_docs, no_docs, block, monkeypatch):
-    monkeypatch.setattr(naming, "LEAST_HOT", 3)  # so that small tables have frequent blocks
+    if block == 3:  # blocks and pairs that differ and share a hash
+        monkeypatch.setattr(naming, "hashed", lambda *v: F.pmod(F.xxhash64(*v), F.lit(5)))
     docs = [(r["doc_id"], r["text"] if block > 1 else (r["text"] or "")[:50]) for r in odd_docs.collect()]
     docs += [(100 + k, "x y" if k % 2 else "xy") for k in range(9)]
     out = naming.exact_groups(spark.createDataFrame(docs, "doc_id bigint, text string"), block_chars=block)
@@ -181,6 +182,9 @@ def test_near_of_odd_rows(odd_docs, no_docs):
     out = near_join.near_duplicates(odd_docs)
     assert order(map(tuple, out.select("doc_id", "class_id", "n_links").collect())) == order(brute_near(docs))
     assert near_join.near_duplicates(no_docs).count() == 0
+    clashing = odd_docs.selectExpr("*", "1 AS id", "2 AS `KEY`", "3 AS node", "4 AS kept")
+    assert near_join.drop_near_duplicates(clashing).columns == clashing.columns
+    assert naming.drop_copies(clashing).columns == clashing.columns
     kept = near_join.drop_near_duplicates(naming.drop_copies(odd_docs))
     assert kept.columns == odd_docs.columns
     found = {r["doc_id"] for r in kept.collect()}
@@ -188,9 +192,46 @@ def test_near_of_odd_rows(odd_docs, no_docs):
 
 
 def test_prefixes_shorten_until_recall():
-    assert near_join.prefix_depth(24, 8, 0.8, 0.9999) == 5
-    assert near_join.prefix_depth(24, 8, 1.0, 0.9999) == 8
-    assert near_join.prefix_depth(1, 8, 0.8, 0.9999) == 1
+    depth, trees = near_join.DEPTH, near_join.TREES
+    found = lambda similarity, n, shared: np.array([n * (np.arange(depth + 1) == shared), [n * near_join.meeting(similarity, d, trees) for d in range(depth + 1)]])
+    assert near_join.shortened(found(0.9, 0, 8), 0.8, trees, 0.9999) == (5, 1.0)  # no links: the limit decides
+    assert near_join.shortened(found(0.98, 5000, 8), 0.8, trees, 0.9999)[0] == 8  # whole strings meet
+    assert near_join.shortened(found(0.98, 5000, 6), 0.8, trees, 0.9999)[0] == 6  # as far as was measured
+    assert near_join.shortened(found(0.8, 5000, 8), 0.8, trees, 0.9999)[0] == 5  # as far as is expected
+    with pytest.raises(ValueError):
+        near_join.shortened(found(0.3, 0, 8), 0.3, trees, 0.9999)
+
+
+def test_links_to_a_sample_are_exact():
+    rnd = random.Random(3)
+    texts = [t or "" for _, t in small_corpus(7, 90)]
+    sample = rnd.sample(sorted(set(texts)), 20)
+    drawn = near_join._sample(sample, 5, 24, 8)
+    w = near_join.arrays.words(*near_join.arrays.utf8(pa.array(texts)))
+    number, distinct = near_join.arrays.numbered(w.data, w.bounds)
+    grams, row = near_join._shingles(w, near_join.arrays.word_hashes(distinct)[number], 5)
+    values, _ = near_join._signature(grams, row, len(texts), 24, 8)
+    found = near_join._links_to(drawn, grams, row, values, 0.8, 24)
+    sets = lambda t: {tuple(x) for x in zip(*[WORD.findall(t)[k:] for k in range(5)], strict=False)} or {tuple(WORD.findall(t))}
+    near = lambda a, b: a.split() != b.split() and sets(a) != sets(b) and len(sets(a) & sets(b)) >= 0.8 * len(sets(a) | sets(b)) - 1e-12
+    want = [sum(near(t, s) for s in sample) if WORD.findall(t) else 0 for t in texts]
+    assert found[:, 0].sum(1).tolist() == want and sum(want) > 5
+    assert found[:, 1, 0].tolist() == want
+
+
+def test_large_groups_beside_a_pivot(spark):
+    rnd = random.Random(8)
+    base = [f"b{k}" for k in range(60)]
+    docs = []
+    for k in range(160):  # from copies of the base to texts of which half is changed
+        words = list(base)
+        for at in rnd.sample(range(60), rnd.choice([0, 0, 1, 1, 1, 2, 3, 12])):
+            words[at] = f"x{rnd.randrange(4)}"
+        docs.append((k, " ".join(words) + f" tail{k % 3}"))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    for block_bytes in (1500, 1 << 20):
+        out = near_join.near_duplicates(frame, block_bytes=block_bytes).select("doc_id", "class_id", "n_links")
+        assert order(map(tuple, out.collect())) == order(brute_near(docs))
 
 
 def test_components(spark):
@@ -212,6 +253,7 @@ def test_query_equals_sql(name, spark, data):
     assert order(map(tuple, out.select(want.columns).collect())) == order(want.fetchall())
 
 
+@pytest.mark.parametrize("data", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 def test_near_query_equals_brute_force(spark, data):
     docs = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
     out = queries.QUERIES["op8_ngram_jaccard_join"](spark, data).select("doc_id", "class_id", "n_links")
