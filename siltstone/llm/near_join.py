@@ -341,7 +341,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = names.groupBy("class").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest")).alias("best"))
     names = names.join(least, "class").select(F.col("digest").alias("d"), "first", "copies", "links", F.col("best.first").alias("class_id"), F.col("best.digest").alias("class_digest"))
     names = scratch.keep(names, "result")
-    scratch.drop("texts", "under", "nodes", "lists", "needed", "members", "placed", "bodies", "beside", "checked", "names")
+    scratch.drop("texts", "under", "nodes", "lists", "needed", "members", "whole", "placed", "bodies", "beside", "sorted", "cores", "sizes", "checked", "names")
     out = signed.select("id", "row_key", "digest").join(names, F.col("digest") == F.col("d"))
     return out.select(
         F.col("id").alias(id_col),
@@ -365,7 +365,8 @@ def _verified(docs: DataFrame, id_col: str, text: Column, texts: DataFrame, grou
     sized = groups.join(texts.select("node", "digest", "first", "copies", "bytes"), "node").withColumn("bytes", F.col("bytes") + 64)
     blocks_of = lambda b: F.ceil(b / F.lit(block_bytes)).cast("int")
     leads = F.min(F.when(F.size("before") == 0, F.col("node"))).alias("pivot")
-    whole = sized.groupBy("gid").agg(blocks_of(F.sum("bytes")).alias("blocks"), leads)
+    # Facts of a group are tables of their own: the join that takes them back to its texts can then be split.
+    whole = scratch.keep(sized.groupBy("gid").agg(blocks_of(F.sum("bytes")).alias("blocks"), leads), "whole")
     placed = scratch.keep(sized.join(whole, "gid").withColumn("block", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int")), "placed")
     wanted = placed.groupBy("node").agg(F.first("digest").alias("digest"), F.first("first").alias("first"))
     bodies = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("d"), text.alias("text"))
@@ -380,14 +381,15 @@ def _verified(docs: DataFrame, id_col: str, text: Column, texts: DataFrame, grou
     beside = scratch.keep(beside, "beside").select(F.col("gid").alias("g"), F.col("node").alias("v"), "core", "far")
     placed = placed.join(beside, (F.col("gid") == F.col("g")) & (F.col("node") == F.col("v")), "left")
     placed = placed.select("gid", "node", "before", "copies", "bytes", "pivot", F.coalesce("core", F.lit(False)).alias("core"), F.coalesce("far", F.lit(False)).alias("far"))
+    placed = scratch.keep(placed, "sorted")
 
     # All of a core are linked to each other and to the pivot.
-    cores = placed.where("core").groupBy(F.col("gid").alias("g")).agg(F.sum("copies").alias("total"))
+    cores = scratch.keep(placed.where("core").groupBy(F.col("gid").alias("g")).agg(F.sum("copies").alias("total")), "cores")
     counted = placed.where("core").join(cores, F.col("gid") == F.col("g")).select("node", (F.col("total") - F.col("copies")).alias("links"), F.col("pivot").alias("root"))
 
     # The others in blocks against each other, and those not far from it against the core's blocks.
     kind = lambda core: F.sum(F.when(F.col("core") == core, F.col("bytes")).otherwise(0))
-    sizes = placed.groupBy(F.col("gid").alias("g")).agg(blocks_of(kind(False)).alias("loose"), blocks_of(kind(True)).alias("tight"))
+    sizes = scratch.keep(placed.groupBy(F.col("gid").alias("g")).agg(blocks_of(kind(False)).alias("loose"), blocks_of(kind(True)).alias("tight")), "sizes")
     placed = placed.join(sizes, F.col("gid") == F.col("g")).where("loose > 0")
     own = F.pmod(F.xxhash64("node"), F.when(F.col("core"), F.col("tight")).otherwise(F.col("loose")))
     placed = placed.withColumn("block", (own + F.when(F.col("core"), F.col("loose")).otherwise(0)).cast("int"))
