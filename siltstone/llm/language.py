@@ -7,10 +7,13 @@ phrases. A phrase costs the bits that say where in the labelled text it lies, or
 which symbol it is, so that a short labelled text, which gives shorter phrases,
 is held against long ones; the language of the least cost wins.
 
-Each automaton is a table from (state, symbol) to the next state, where a symbol
-that continues no phrase starts the next one from the root. So one array lookup
-moves all texts of a slice one character on, in all languages at once. Texts are
-parsed whole, in blocks of ``BLOCK_CHARS`` characters at whose ends a phrase ends.
+The automata are one hash table from (state, symbol) to the next state, and a
+phrase that finds no next state ends there, whatever follows. All texts of a slice
+are parsed at once, in all languages, a symbol at a time. Long texts are cut into
+blocks for that, each first parsed as if a phrase began with it; then the true
+state at a block's begin is carried in from the block before it, and the two
+parses are followed until they meet, which changes the count by what they differ.
+So the counts are those of the whole text, whatever the blocks.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
@@ -33,17 +36,56 @@ BLOCK_CHARS = 512
 #: The labelled sample of each language: so many documents, and so many characters of all of them together.
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 30_000
+#: Characters of all languages' samples together: the automata then hold fewer than 200 MB.
+TOTAL_CHARS = 1 << 21
+#: A text that gives only a part of itself gives passages of about so many characters, spread over all of it.
+PASSAGE_CHARS = 300
 UNDETERMINED = "und"
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
 class Parser(NamedTuple):
-    """Tables of all languages on one state axis."""
+    """The automata of all languages, with states numbered through."""
 
     languages: list[str]
-    symbols: np.ndarray  # of each code point below its length; 0: met in no sample
-    step: np.ndarray  # (states, symbols): the next state, negative if a phrase ends before it (~state)
-    roots: np.ndarray
-    lengths: np.ndarray  # of each language's sample, in symbols, for the normalisation
+    symbols: np.ndarray  # of each code point; 0: met in no sample
+    width: int  # symbols, and 0
+    keys: np.ndarray  # hash table of state * width + symbol + 1; 0: free
+    following: np.ndarray  # the next state
+    begun: np.ndarray  # (languages, symbols): the state after a phrase's first symbol
+    lengths: np.ndarray  # of each language's sample, in symbols
+
+    def after(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The next states, or -1 where a phrase ends before ``symbol``."""
+        key = (state.astype(np.int64) * self.width + symbol + 1).ravel()
+        slot = _slots(key, len(self.keys))
+        met = self.keys[slot]
+        while (on := (met != key) & (met != 0)).any():
+            at = np.flatnonzero(on)
+            slot[at] = (slot[at] + 1) & (len(self.keys) - 1)
+            met[at] = self.keys[slot[at]]
+        return np.where(met == key, self.following[slot], -1).reshape(state.shape)
+
+
+def _slots(key: np.ndarray, size: int) -> np.ndarray:
+    return ((key.astype(np.uint64) * _MIX) >> np.uint64(64 - (size.bit_length() - 1))).astype(np.int64)
+
+
+def _hash_table(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Open addressing, at most half full."""
+    size = 1 << max(4, (2 * len(key)).bit_length())
+    keys, values = np.zeros(size, np.int64), np.zeros(size, np.int32)
+    slot, left = _slots(key, size), np.arange(len(key))
+    while len(left):
+        free = keys[slot[left]] == 0
+        _, first = np.unique(slot[left][free], return_index=True)
+        won = left[free][first]
+        keys[slot[won]], values[slot[won]] = key[won], value[won]
+        left = np.setdiff1d(left, won)
+        slot[left] = (slot[left] + 1) & (size - 1)
+    return keys, values
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -90,23 +132,21 @@ def build_parser(samples: dict[str, str]) -> Parser:
         points[ord(c)] = k
         if len(c.upper()) == 1:
             points[ord(c.upper())] = k
-    tables, roots, at = [], [], 0
-    for text in texts:
-        following = suffix_automaton([symbol[c] for c in text])
-        stray = len(following)  # after a symbol that the sample lacks, which is a phrase by itself
-        table = np.full((stray + 1, len(symbol) + 1), -1, np.int32)
-        for state, out in enumerate(following):
-            table[state, list(out)] = list(out.values())
-        begun = np.where(table[0] >= 0, table[0], stray)
-        table = np.where(table >= 0, table + at, ~(begun + at)).astype(np.int32)
-        table[0] = begun + at  # nothing ends at a block's first symbol
-        tables.append(table)
-        roots.append(at)
-        at += stray + 1
-    return Parser(languages, points, np.concatenate([np.zeros((0, len(symbol) + 1), np.int32), *tables]), np.array(roots, np.int32), np.array([len(t) for t in texts]))
-
-
-def _parse(parser: Parser, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    width, at = len(symbol) + 1, 0
+    keys, following, begun = [], [], np.zeros((len(languages), width), np.int32)
+    for k, text in enumerate(texts):
+        states = suffix_automaton([symbol[c] for c in text])
+        stray = at + len(states)  # after a symbol that the sample lacks, which is a phrase by itself
+        begun[k] = stray
+        begun[k, list(states[0])] = np.array(list(states[0].values())) + at
+        keys.append(np.fromiter(((at + n) * width + c + 1 for n, out in enumerate(states) for c in out), np.int64))
+        following.append(np.fromiter((at + to for out in states for to in out.values()), np.int64))
+        at = stray + 1
+    none = np.zeros(0, np.int64)
+    return Parser(languages, points, width, *_hash_table(np.concatenate([none, *keys]), np.concatenate([none, *following])), begun, np.array([len(t) for t in texts]))
+
+
+def _parse(parser: Parser, column: pa.Array, block_chars: int = BLOCK_CHARS) -> tuple[np.ndarray, np.ndarray]:
     """Phrases (rows by languages) and letters of each row of a slice."""
     data, offsets = arrays.utf8(column)
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
@@ -117,35 +157,87 @@ def _parse(parser: Parser, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     again = np.zeros(len(symbol), bool)
     again[1:] = blank[1:] & blank[:-1] & (row[1:] == row[:-1])
     letters = np.bincount(row[~blank], minlength=len(column))
-    symbol, row = symbol[~again], row[~again]
+    symbol, row = symbol[~again].astype(np.int64), row[~again]
     rows = np.searchsorted(row, np.arange(len(column) + 1))
-    blocks = -(-np.diff(rows) // BLOCK_CHARS)
+    blocks = -(-np.diff(rows) // block_chars)
     owner = np.repeat(np.arange(len(column)), blocks)
-    start = rows[owner] + BLOCK_CHARS * (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-    size = np.minimum(rows[owner + 1] - start, BLOCK_CHARS)
-    order = np.argsort(-size, kind="stable")
-    owner, start, size = owner[order], start[order], size[order]
-    flat, width = parser.step.ravel(), parser.step.shape[1]
-    state = np.repeat(parser.roots[:, None], len(start), 1)
-    phrases = np.ones((len(parser.roots), len(start)), np.int32)
-    live = np.searchsorted(-size, -np.arange(1, BLOCK_CHARS + 1), "right")  # blocks longer than each step
-    for k, n in enumerate(live[: size[0] if len(size) else 0].tolist()):
-        moved = flat[state[:, :n] * width + symbol[start[:n] + k]]
-        ended = moved < 0
-        phrases[:, :n] += ended
-        state[:, :n] = np.where(ended, ~moved, moved)
-    counts = np.zeros((len(column), len(parser.roots)), np.int64)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    start = rows[owner] + block_chars * number
+    size = np.minimum(rows[owner + 1] - start, block_chars)
+    phrases, end = _from_the_root(parser, symbol, start, size)
+    # True states are carried from block to block until none changes.
+    base, base_end = phrases.copy(), end.copy()
+    changed = np.broadcast_to(number > 0, phrases.shape)
+    while changed.any():
+        lang, block = np.nonzero(changed)
+        more, last = _carried(parser, symbol, start[block], size[block], lang, end[lang, block - 1])
+        phrases[lang, block] = base[lang, block] + more
+        last = np.where(last < 0, base_end[lang, block], last)
+        moved = last != end[lang, block]
+        end[lang, block] = last
+        changed = np.zeros(phrases.shape, bool)
+        lang, block = lang[moved], block[moved]
+        on = np.flatnonzero(block + 1 < len(owner))
+        on = on[number[block[on] + 1] > 0]
+        changed[lang[on], block[on] + 1] = True
+    counts = np.zeros((len(column), len(parser.languages)), np.int64)
     np.add.at(counts, owner, phrases.T)
     return counts, letters
 
 
+def _from_the_root(parser: Parser, symbol: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases and last states of all blocks (languages by blocks), as if each began a phrase."""
+    order = np.argsort(-size, kind="stable")
+    first, length = start[order], size[order]
+    lang = np.arange(len(parser.languages))[:, None]
+    state = parser.begun[lang, symbol[first]] if len(first) else np.zeros((len(lang), 0), np.int32)
+    phrases = np.ones(state.shape, np.int64)
+    live = np.searchsorted(-length, -np.arange(2, length.max(initial=0) + 1), "right")  # blocks that have each symbol
+    for k, n in enumerate(live.tolist(), 1):
+        now = symbol[first[:n] + k]
+        to = parser.after(state[:, :n], now)
+        ended = to < 0
+        phrases[:, :n] += ended
+        state[:, :n] = np.where(ended, parser.begun[lang, now], to)
+    out, end = np.empty_like(phrases), np.empty_like(state)
+    out[:, order], end[:, order] = phrases, state
+    return out, end
+
+
+def _carried(parser: Parser, symbol: np.ndarray, start: np.ndarray, size: np.ndarray, lang: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What parsing each block on from ``state`` adds to the phrases of parsing it from the root.
+
+    And the last states, -1 if they are those of the parse from the root.
+    """
+    more, last = np.zeros(len(start), np.int64), np.full(len(start), -1, np.int64)
+    live, root, k = np.arange(len(start)), np.full(len(start), -1), 0
+    while len(live):
+        now, own = symbol[start[live] + k], lang[live]
+        anew = parser.begun[own, now]
+        to = parser.after(state, now)
+        plain = parser.after(root, now) if k else np.full(len(live), -1)
+        more[live] += (to < 0).astype(np.int64) - (plain < 0)
+        state, root = np.where(to < 0, anew, to), np.where(plain < 0, anew, plain)
+        k += 1
+        apart = state != root
+        at_end = apart & (size[live] == k)
+        last[live[at_end]] = state[at_end]
+        on = apart & ~at_end
+        live, state, root = live[on], state[on], root[on]
+    return more, last
+
+
 def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Parser:
     """Build a parser from rows that are ``usable`` and have a label.
 
     The sample is the ``sample_docs`` rows of each label whose ids hash lowest;
     ``sample_chars`` characters are taken of each label, in shares as equal as
-    the texts' lengths allow: few texts give more of each.
-    Labels are assumed to be few; each adds about ``2 * sample_chars`` states.
+    the texts' lengths allow: few texts give more of each. A text gives all of
+    itself or, if that is more than its share, passages from all over it. Labels
+    are assumed to be few; with more than TOTAL_CHARS / ``sample_chars`` of them
+    each one's sample is smaller, so that the automata keep their size. Null
+    labels, and texts of repeated rows beyond the first, are not used; null texts
+    are empty. A table without labels gives a parser without languages.
     """
     rows = docs.where(usable).select(F.col(quoted(id_col)).alias("id"), F.col(quoted(lang_col)).alias("label"), F.coalesce(quoted(text_col), F.lit("")).alias("text")).where("label IS NOT NULL")
     rows = rows.withColumn("tie", F.xxhash64("text"))
@@ -153,25 +245,21 @@ def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     # Lengths first: Spark cuts every task's rows down to sample_docs a label before they are shuffled.
     lengths = rows.select("label", "id", "tie", F.length("text").alias("n"))
     chosen = lengths.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs).orderBy("label", "rank").collect()
-    by_label: dict[str, list[Row]] = {}
+    by_label: dict[str, dict[tuple, int]] = {}
     for r in chosen:
-        by_label.setdefault(r["label"], []).append(r)
-    take = {}
-    for label, found in by_label.items():
-        for r, n in zip(found, _shares([r["n"] for r in found], sample_chars), strict=True):
-            key = (label, r["id"], r["tie"])
-            take[key] = max(n, take.get(key, 0))  # repeated rows have one key
-    if not take:
+        by_label.setdefault(r["label"], {})[r["label"], r["id"], r["tie"]] = r["n"]  # repeated rows have one key
+    if not by_label:
         return build_parser({})
+    chars = min(sample_chars, TOTAL_CHARS // len(by_label))
+    take = {key: n for found in by_label.values() for key, n in zip(found, _shares(list(found.values()), chars), strict=True)}
     wanted = docs.sparkSession.createDataFrame([(*key, n) for key, n in take.items()], StructType([*lengths.select(F.col("label").alias("l"), F.col("id").alias("i"), F.col("tie").alias("t")).schema.fields, StructField("take", IntegerType())]))
     held = rows.join(F.broadcast(wanted), (F.col("label") == F.col("l")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")))
-    # At most sample_chars characters a label, but for those of repeated rows before distinct.
-    texts = {(r["label"], r["id"], r["tie"]): r["text"] for r in held.select("label", "id", "tie", F.expr("substring(text, 1, take)").alias("text")).distinct().collect()}
-    samples = {}
-    for label, found in by_label.items():
-        shares = _shares([r["n"] for r in found], sample_chars)
-        samples[label] = "\n".join(texts[label, r["id"], r["tie"]][:n] for r, n in zip(found, shares, strict=True))
-    return build_parser(samples)
+    parts = F.ceil(F.col("take") / PASSAGE_CHARS)
+    passage = lambda k: F.substring("text", (F.floor(k.cast("long") * F.length("text") / parts) + 1).cast("int"), F.floor(F.col("take") / parts).cast("int"))
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), (parts - 1).cast("int")), passage), "\n")
+    given = F.when(F.length("text") <= F.col("take"), F.col("text")).when(F.col("take") > 0, spread).otherwise("")
+    texts = {(r["label"], r["id"], r["tie"]): r["text"] for r in held.select("label", "id", "tie", given.alias("text")).distinct().collect()}
+    return build_parser({label: "\n".join(texts[key] for key in found) for label, found in by_label.items()})
 
 
 def _shares(lengths: list[int], chars: int) -> list[int]:
@@ -185,19 +273,21 @@ def _shares(lengths: list[int], chars: int) -> list[int]:
 
 def phrase_costs(parser: Parser) -> np.ndarray:
     """Bits of a phrase in each language: a place in its sample, or one of the symbols."""
-    return np.log2(parser.lengths + parser.step.shape[1])
+    return np.log2(parser.lengths + parser.width)
 
 
 def identify(docs: DataFrame, parser: Parser, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
     """Add the language of every text and a score from 0 to 1.
 
     The score is the share of the second-best language's cost that the best
-    one saves; texts that parse alike in two languages score near 0. A text that is null or has no letter is
-    ``und`` with score 0; ties go to the language that sorts first. Whole texts
-    of any length are read; other columns pass through; a parser without
-    languages finds ``und`` only. The added columns may not be there already.
+    one saves; texts that parse alike in two languages score near 0. A text that
+    is null or has no letter is ``und`` with score 0; ties go to the language that
+    sorts first. Whole texts of any length are read; repeated rows stay repeated,
+    an empty table stays empty and other columns pass through, but for those with
+    the names of the added ones, which these replace. A parser without languages
+    finds ``und`` only.
     """
-    fresh(docs, lang_as, score_as)
+    docs = without(docs, lang_as, score_as)
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
