@@ -14,6 +14,9 @@ on average) / ``least`` of them, and it can be broadcast.
 A text without a code from the lexicon, because all its terms are rare or very
 frequent, gets its codes from all its terms, in subsets of the same scales; if
 those hold none of them either, its first code is the hash of all of them.
+
+Two fingerprints are alike by their equal codes, and those of sparse subsets weigh
+more: a dense subset holds many of a long text's terms and differs after any edit.
 """
 
 from __future__ import annotations
@@ -23,12 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import arrays
-from siltstone.llm.columns import map_arrow, parts_for, quoted, type_of
+from siltstone.llm.columns import map_arrow, parts_for, quoted, type_of, without
 from siltstone.llm.scratch import Scratch
 
 SLICE_BYTES = 3 << 20
@@ -36,6 +39,10 @@ PART_BYTES = 24 << 20
 #: The band of document frequencies, as shares of all documents.
 LEAST, MOST = 0.0005, 0.2
 SCALES, SUBSETS = 9, 6
+#: The first scale's subsets hold a quarter of the terms, the next ones an eighth and so on.
+DENSEST = 1 << 62
+#: From the sparsest code to the densest each weighs so much of the one before.
+DECAY = 0.9
 EMPTY = "-"
 
 
@@ -54,7 +61,7 @@ class Lexicon:
 def _drawn(hashed: np.ndarray, k: int) -> np.ndarray:
     """Whether terms with these hashes are in subset ``k``."""
     draw = arrays.mix64(hashed ^ arrays.mix64(np.array([k], np.uint64))[0])
-    return draw < np.uint64((1 << 63) >> (k // SUBSETS))
+    return draw < np.uint64(DENSEST >> (k // SUBSETS))
 
 
 def _encode(out: np.ndarray, at: np.ndarray, code: np.ndarray) -> None:
@@ -107,10 +114,18 @@ def fingerprint(lexicon: Lexicon, column: pa.Array) -> np.ndarray:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The share of subsets with terms of either text in which both have the same code."""
-    either = ((a > 0) | (b > 0)).sum(1)
-    same = ((a == b) & (a > 0)).sum(1)
-    return np.where(either > 0, same / np.maximum(either, 1), (a == b).all(1).astype(float))
+    """The weighed share of subsets with terms of either text in which both have the same code.
+
+    Subsets without terms of either don't count; of the others the sparsest has
+    weight 1 and each next one ``DECAY`` times the last. Texts without any term
+    are alike if both are.
+    """
+    either = (a > 0) | (b > 0)
+    sparser = np.cumsum(either[:, ::-1], axis=1)[:, ::-1] - 1
+    weight = np.where(either, DECAY**sparser, 0.0)
+    total = weight.sum(1)
+    same = np.where((a == b) & either, weight, 0.0).sum(1)
+    return np.where(total > 0, same / np.where(total > 0, total, 1), (a == b).all(1).astype(float))
 
 
 def as_text(codes: np.ndarray) -> list[str]:
@@ -119,7 +134,13 @@ def as_text(codes: np.ndarray) -> list[str]:
 
 
 def learn_lexicon(docs: DataFrame, scratch: Scratch, text_col: str = "text", least: float = LEAST, most: float = MOST) -> Lexicon:
-    """Count every term's documents and keep the terms of the band."""
+    """Count every term's documents and keep the terms of the band.
+
+    Terms are runs of bytes other than white space, of whole texts; a null text
+    has none, a term repeated in a text counts once, and repeated rows count as
+    the rows they are. An empty table gives an empty lexicon; other columns are
+    not read.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrays.slices(batches, "text", 4 * SLICE_BYTES):
@@ -138,8 +159,11 @@ def fingerprints(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", to:
     """Add every whole text's fingerprint. Equal texts have equal fingerprints.
 
     Null texts count as empty; only a text without any term has a fingerprint of
-    blanks. Other columns pass through.
+    blanks. Texts of any length are read whole; repeated rows stay repeated, an
+    empty table stays empty and other columns pass through, but for one called
+    ``to``, which the fingerprint replaces.
     """
+    docs = without(docs, to)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,69 +179,76 @@ def edited_likeness(docs: DataFrame, lexicon: Lexicon, scratch: Scratch, id_col:
     """Hold every text against its edited text and the next document's.
 
     Documents follow each other by descending id (nulls last, equal ids by a
-    hash of their text), and the first follows the last. The edited text is the
-    text with its last third (code points, rounded down) replaced by the first
-    as many of the next text. Rows are dealt into ranges of ids; each range is
-    also given the first row of the range after it. A lone row is its own next.
+    hash of their text, equal rows in any order), and the first follows the last.
+    The edited text is the text with its last third (code points, rounded down)
+    replaced by the first as many of the next text. Rows are sorted in ranges; a
+    range's last row gets its results once the first of the range after it is
+    known. A lone row is its own next. Null texts are empty, long ones are read
+    whole; an empty table gives an empty one; other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    parts = parts_for(rows, "text", PART_BYTES)
-    cuts = rows.select("doc_id").where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    cuts = sorted(set(cuts), reverse=True)
-    # A range's number is how many cuts lie above its ids; nulls come last. Cuts are
-    # counted by whole runs first, so a row is compared with few of them.
-    step = max(1, round(len(cuts) ** 0.5))
-    runs = [cuts[k : k + step] for k in range(0, len(cuts), step)]
-    above = lambda points: F.size(F.filter(points, lambda c: F.col("doc_id") < c))
-    whole = above(F.lit([float(r[-1]) for r in runs] or [float("-inf")]))
-    rest = F.coalesce(F.try_element_at(F.array(*[F.lit([float(c) for c in r]) for r in runs or [[float("-inf")]]]), whole + 1), F.array().cast("array<double>"))
-    number = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(whole * step + above(rest))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
-    keyed = rows.withColumn("part", number)
-    # The first row of each range: one small row for each.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("less"), "tie")).alias("best")
-    heads = sorted(keyed.groupBy("part").agg(first).collect(), key=lambda r: r["part"])
-    before = {h["part"]: heads[k - 1]["part"] for k, h in enumerate(heads)}
-    table = spark.createDataFrame([(h["part"], h["best"]["less"], h["best"]["tie"], before[h["part"]]) for h in heads], "p int, less bigint, t bigint, also int")
-    also = keyed.join(F.broadcast(table), (F.col("part") == F.col("p")) & (-F.col("doc_id")).eqNullSafe(F.col("less")) & (F.col("tie") == F.col("t")), "left")
-    dealt = also.select("doc_id", "text", "tie", F.explode(F.filter(F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("guest")), F.struct(F.col("also").alias("part"), F.lit(1).alias("guest"))), lambda x: x["part"].isNotNull())).alias("to"))
-    dealt = dealt.select(F.col("to.part").alias("part"), F.col("to.guest").alias("guest"), "doc_id", "tie", "text")
-    dealt = dealt.repartition(max(1, len(heads)), "part").sortWithinPartitions("part", "guest", *order)
+    kind = type_of(docs, id_col)
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("place")]
+    placed = rows.withColumn("place", F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange(parts_for(rows, "text", PART_BYTES), *order).sortWithinPartitions(*order).select("doc_id", "text")
     shared = spark.sparkContext.broadcast(lexicon)
+    results = f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None
+        first = held = None
         for part in arrays.slices(batches, "text", SLICE_BYTES):
+            first = part.slice(0, 1) if first is None else first
             whole = part if held is None else pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0]
-            yield from _against_next(shared.value, whole, id_col)
             held = whole.slice(whole.num_rows - 1)
-
-    schema = f"{quoted(id_col)} {type_of(docs, id_col)}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return map_arrow(dealt, run, schema)
-
-
-def _against_next(lexicon: Lexicon, rows: pa.RecordBatch, id_col: str) -> Iterator[pa.RecordBatch]:
-    """Results of all rows of a slice that have their next row in it; guests have none."""
-    part, guest = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-    own = np.flatnonzero((guest[:-1] == 0) & (part[1:] == part[:-1]))
-    if not len(own):
-        return
-    texts = rows.column(4).to_pylist()
+            if whole.num_rows > 1:
+                texts = whole.column(1).to_pylist()
+                codes = fingerprint(shared.value, whole.column(1))
+                found = _held_against(shared.value, texts[:-1], texts[1:], codes[:-1], codes[1:])
+                yield _typed(whole.column(0).slice(0, len(texts) - 1), found)
+        if held is not None:
+            # The ends of the range: what its last row and the row before its first one lack.
+            ends = [pa.array([TaskContext.get().partitionId()], pa.int32()), held.column(1), first.column(1)]
+            yield _typed(held.column(0), None, ends)
+
+    found = scratch.keep(map_arrow(ordered, run, f"{results}, part int, last string, first string"), "found")
+    ends = found.where("part IS NOT NULL").select("doc_id", "part", "last", "first")
+    # One number for each range.
+    parts = sorted(r["part"] for r in ends.select("part").collect())
+    after = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "p int, then int")
+    ends = ends.join(after, F.col("part") == F.col("p")).select("doc_id", "last", "then")
+    firsts = found.where("part IS NOT NULL").select(F.col("part").alias("q"), "first")
+    closing = ends.join(firsts, F.col("then") == F.col("q")).select("doc_id", "last", "first")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in arrays.slices(batches, "last", SLICE_BYTES):
+            codes = [fingerprint(shared.value, part.column(k)) for k in (1, 2)]
+            yield _typed(part.column(0), _held_against(shared.value, part.column(1).to_pylist(), part.column(2).to_pylist(), *codes))
+
+    names = [f.split(" ")[0] for f in results.split(", ")]
+    closed = map_arrow(closing, close, f"{results}, part int, last string, first string")
+    return found.where("part IS NULL").unionByName(closed).select(F.col("doc_id").alias(id_col), *names[1:])
+
+
+def _held_against(lexicon: Lexicon, texts: list[str], following: list[str], codes: np.ndarray, next_codes: np.ndarray) -> list[pa.Array]:
+    """The results of texts whose next ones are known."""
     cut = [len(t) // 3 for t in texts]
-    edited = [texts[k][: len(texts[k]) - cut[k]] + texts[k + 1][: cut[k]] for k in own.tolist()]
-    codes = fingerprint(lexicon, rows.column(4))
+    edited = [t[: len(t) - n] + f[:n] for t, f, n in zip(texts, following, cut, strict=True)]
     changed = fingerprint(lexicon, pa.array(edited, pa.string()))
-    names = np.array(as_text(codes), object)
-    yield pa.RecordBatch.from_arrays(
-        [
-            rows.column(2).take(pa.array(own)),
-            pc.cast(pc.utf8_length(rows.column(4).take(pa.array(own))), pa.int64()),
-            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
-            pa.array(names[own].tolist(), pa.string()),
-            pa.array(as_text(changed), pa.string()),
-            pa.array(likeness(codes[own], changed)),
-            pa.array(likeness(codes[own], codes[own + 1])),
-        ],
-        names=[id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-    )
+    return [
+        pa.array([len(t) for t in texts], pa.int64()),
+        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
+        pa.array(as_text(codes)),
+        pa.array(as_text(changed)),
+        pa.array(likeness(codes, changed)),
+        pa.array(likeness(codes, next_codes)),
+    ]
+
+
+def _typed(ids: pa.Array, found: list[pa.Array] | None, ends: list[pa.Array] | None = None) -> pa.RecordBatch:
+    """A batch of results, or of a range's ends; the other columns are null."""
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    found = found or [pa.nulls(len(ids), k) for k in kinds]
+    ends = ends or [pa.nulls(len(ids), k) for k in (pa.int32(), pa.string(), pa.string())]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "part", "last", "first"]
+    return pa.RecordBatch.from_arrays([ids, *found, *ends], names=names)
