@@ -34,12 +34,37 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{_local_root}"
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _hadoop(spark, path)
+    return fs.exists(where)
+
+
+_used: set[str] = set()
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the tables of all operator calls of this process.
+
+    Results that are not yet written or collected read them: call it after that.
+    """
+    while _used:
+        fs, where = _hadoop(spark, _used.pop())
+        fs.delete(where, True)
+
+
 class Scratch:
     """The tables of one operator call, under one fresh folder."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/siltstone/{label}-{uuid.uuid4().hex}"
+        _used.add(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -59,8 +84,6 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            fs, where = _hadoop(self.spark, self.path(name))
+            fs.delete(where, True)
