@@ -3,9 +3,9 @@
 A word is held as its part boundaries beside the rank of each adjacent pair.
 The smallest rank is found by a scan, its boundary is deleted and the two
 neighbouring ranks are refreshed, until no pair has a rank. Words are short, so
-a scan over a contiguous list beats any heap; the rare long piece (a run of one
-class without white space) takes a heap over the same pairs instead, which
-gives the same merges.
+a scan over a contiguous list beats any heap. A scan's work grows with the square
+of a word's bytes, so a piece longer than ``scan_bytes`` (a long run of one class
+without white space) takes a heap over the same pairs, which gives the same merges.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from siltstone.llm.columns import map_arrow, quoted, type_of, without
 from siltstone.llm.pieces import Splitter, Store, load
 
 NO_RANK = 1 << 60
-LONG_PIECE = 96
+#: Pieces of up to so many bytes are scanned; at about this length a heap becomes as fast.
+SCAN_BYTES = 96
 SLICE_BYTES = 4 << 20
 
 
@@ -40,7 +41,8 @@ def byte_symbols() -> list[str]:
 class RankedMerges:
     """Pair ranks by token ids, and the bytes of every token."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, scan_bytes: int = SCAN_BYTES):
+        self.scan_bytes = scan_bytes
         spec = json.loads(load(path).to_str())
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         symbols = byte_symbols()
@@ -57,7 +59,7 @@ class RankedMerges:
 
     def encode_piece(self, piece: bytes) -> list[int]:
         parts = [self.first[b] for b in piece]
-        if len(parts) > LONG_PIECE:
+        if len(parts) > self.scan_bytes:
             return self._encode_long(parts)
         shift, rank, merged = self.shift, self.rank.get, self.merged
         ranks = [rank(a << shift | b, NO_RANK) for a, b in zip(parts, parts[1:])]  # noqa: B905
@@ -119,10 +121,10 @@ def encode_texts(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_c
     ``vocabulary`` is the path of a byte-level BPE file on every executor. A null
     or empty text has no ids; special tokens in a text are recognised as such;
     texts of any length are encoded whole. Other columns pass through, repeated
-    rows stay repeated and an empty table stays empty. ``ids_col`` must not be
-    the name of another column.
+    rows stay repeated and an empty table stays empty. Another column named
+    ``ids_col`` is replaced.
     """
-    fresh(docs.drop(text_col), ids_col)
+    docs = without(docs, *{ids_col} - {text_col})
     rest = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,9 +141,10 @@ def encode_texts(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_c
 def decode_ids(docs: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """Replace ``ids_col`` by the text it decodes to (null ids: the empty text).
 
-    An id that the vocabulary lacks raises KeyError.
+    An id that the vocabulary lacks raises KeyError. Another column named
+    ``text_col`` is replaced; repeated rows and empty tables stay as they are.
     """
-    fresh(docs.drop(ids_col), text_col)
+    docs = without(docs, *{text_col} - {ids_col})
     rest = [c for c in docs.columns if c != ids_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

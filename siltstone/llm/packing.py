@@ -6,8 +6,8 @@ squared counts of open sequences per residual gap becomes smallest: an exact
 fill takes a square away, a gap that many open sequences share adds to one. The
 counts stay spread over all gaps, so later pieces of any length find a fit.
 
-Pieces are dealt by hash into groups of bounded size and each group is packed by
-one task; only piece lengths and checksums are shuffled, never texts or ids. The
+Pieces are counted, dealt by hash into groups of bounded size and each group is packed
+by one task; only piece lengths and checksums are shuffled, never texts or ids. The
 last open sequences of a group are its only loss, a few in tens of thousands.
 """
 
@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from siltstone.llm import arrays
 from siltstone.llm.columns import map_arrow, quoted, type_of
 from siltstone.llm.pieces import library_store
+from siltstone.llm.scratch import Scratch
 
 SLICE_BYTES = 4 << 20
-GROUP_ROWS = 40_000
+#: Pieces that are packed together.
+GROUP_PIECES = 40_000
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,13 +62,14 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return where, place
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Pack every document; one row for each piece.
 
     Returns ``id_col, piece, start, length, ids_crc32, sequence_id, offset``.
     A null or empty text is the end id alone. Repeated rows, and rows that share
-    an id, are documents of their own. An empty table gives an empty result;
-    columns besides the two named are not read.
+    an id or have none, are documents of their own. Texts of any length are cut
+    whole. An empty table gives an empty result; columns besides the two named are
+    not read, whatever their names.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +98,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
     kind = type_of(docs, id_col)
     rows = docs.selectExpr(f"{quoted(id_col)} AS doc_id", f"coalesce({quoted(text_col)}, '') AS text")
     pieces = map_arrow(rows, cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint")
-    groups = max(1, -(-docs.count() // group_rows))
+    pieces = Scratch(docs.sparkSession, "packing").keep(pieces, "pieces")
+    groups = max(1, -(-pieces.count() // group_pieces))
     pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "salt", "ids_crc32"), F.lit(groups)).cast("int"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"

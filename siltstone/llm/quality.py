@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import arrays
-from siltstone.llm.columns import map_arrow, quoted, type_of
+from siltstone.llm.columns import map_arrow, quoted, type_of, without
 
 SLICE_BYTES = 3 << 20
 STATISTICS = (
@@ -132,7 +132,11 @@ def fit(count: np.ndarray, total: np.ndarray, product: np.ndarray, to_pooled: fl
 
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``x``, the statistics of each text (null: empty)."""
+    """``id_col`` and ``x``, the statistics of each whole text (null: empty).
+
+    Every row has a row, repeated ones and those without an id too; an empty table
+    gives an empty one; other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrays.slices(batches, "text", SLICE_BYTES):
@@ -187,14 +191,16 @@ def learn(statistics_of: DataFrame, labels: DataFrame, usable: Column, id_col: s
     Of the shrinkages in ``GRID`` the one is taken that scores one half of these
     rows best (log-loss, both labels of equal weight) when fitted on the other;
     then all of them are fitted. Labels other than 0 and 1, and nulls, are not used,
-    and a label given twice counts once.
+    and a label given twice counts once. Without any labelled row the model says
+    0.5 of every text; without rows of one label, it takes all rows for that one's.
     """
     marks = labels.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(label_col)).cast("int").alias("label")).where("label IN (0, 1)").distinct()
     rows = statistics_of.where(usable).join(marks, F.col(quoted(id_col)) == F.col("__id"))
     rows = rows.select("label", F.pmod(F.xxhash64(F.col(quoted(id_col)), F.lit("fold")), F.lit(2)).cast("int").alias("fold"), "x")
     sums = _sums(rows)
     if not sums:
-        raise ValueError("there are no labelled rows to learn from")
+        d = len(STATISTICS)
+        return Discriminant(np.zeros((2, d)), np.zeros((2, d, d)), np.zeros(2), np.zeros(2))
     models = [_from_sums(sums, (0,), *g) for g in GRID]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,13 +213,18 @@ def learn(statistics_of: DataFrame, labels: DataFrame, usable: Column, id_col: s
                     yield pa.RecordBatch.from_pydict({"model": pa.array([k], pa.int32()), "label": pa.array([mark], pa.int32()), "n": pa.array([len(own)], pa.int64()), "loss": pa.array([float(-np.log(own).sum())])})
 
     losses = map_arrow(rows.where("fold = 1").select("label", "x"), run, "model int, label int, n bigint, loss double")
-    means = losses.groupBy("model", "label").agg((F.sum("loss") / F.sum("n")).alias("loss")).groupBy("model").agg(F.sum("loss").alias("loss")).collect()
+    means = losses.groupBy("model", "label").agg(F.try_divide(F.sum("loss"), F.sum("n")).alias("loss")).groupBy("model").agg(F.sum("loss").alias("loss")).collect()
     best = min(means, key=lambda r: (round(r["loss"] or 0, 6), r["model"]))["model"] if means else 0
     return _from_sums(sums, (0, 1), *GRID[best])
 
 
 def score(statistics_of: DataFrame, model: Discriminant) -> DataFrame:
-    """Replace ``x`` by ``score``, from 0 to 1; every row gets one, empty texts too."""
+    """Replace ``x`` by ``score``, from 0 to 1; every row gets one, empty texts too.
+
+    Repeated rows get equal scores and an empty table stays empty. Another column
+    named ``score`` is replaced.
+    """
+    statistics_of = without(statistics_of, "score")
     shared = statistics_of.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -234,27 +235,30 @@ def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     return map_arrow(map_arrow(rows, pack, _SENT).repartition(tasks, "bucket"), search, _FOUND)
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", rejoin: bool = True) -> DataFrame:
     """Cut repeated windows out of the texts, all but those of the smallest id.
 
     Adds ``n_words`` and ``n_removed``; ``text_col`` becomes the kept words,
-    joined by one space. Words are runs of bytes other than white space
+    joined by one space. Without ``rejoin`` a text that loses nothing stays as it
+    is, white space, nulls and all. Words are runs of bytes other than white space
     ([\\x20\\x09-\\x0D]); windows are judged on the input. A null text becomes
     empty. Texts of fewer than ``width`` words stay whole, and so do rows without
     an id. Rows that share an id do not remove from each other; repeated rows get
-    equal results. Other columns pass through; they may not be called
-    ``n_words`` or ``n_removed``. An empty table gives an empty one.
+    equal results. Other columns pass through, whatever their names, but for
+    those called ``n_words`` or ``n_removed``, which the new ones replace. An
+    empty table gives an empty one.
     """
-    fresh(docs, "n_words", "n_removed")
+    docs = without(docs, "n_words", "n_removed")
+    own_id, own_key, own_first, own_span = unused(docs, "id", "key", "first", "span")
     scratch = Scratch(docs.sparkSession, "substrings")
     spans = scratch.keep(repeated_spans(docs, width, id_col, text_col), "spans")
-    spans = spans.distinct().groupBy("doc_id", "row_key").agg(F.collect_list("first").alias("__first"), F.collect_list("span").alias("__span"))
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), "__first", "__span")
+    spans = spans.distinct().groupBy("doc_id", "row_key").agg(F.collect_list("first").alias(own_first), F.collect_list("span").alias(own_span))
+    spans = spans.select(F.col("doc_id").alias(own_id), F.col("row_key").alias(own_key), own_first, own_span)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrays.slices(batches, text_col, SLICE_BYTES):
             columns = dict(zip(part.schema.names, part.columns, strict=True))
-            first, span = columns.pop("__first"), columns.pop("__span")
+            first, span = columns.pop(own_first), columns.pop(own_span)
             data, offsets = arrays.utf8(columns[text_col])
             w = arrays.words(data, offsets)
             row = first.value_parent_indices().to_numpy() if hasattr(first, "value_parent_indices") else np.repeat(np.arange(len(first)), first.value_lengths().fill_null(0).to_numpy())
@@ -268,12 +272,14 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
             text = arrays.spaced(w.data[np.repeat(keep, length)], bounds).tobytes()
             kept = np.concatenate([[0], np.cumsum(keep)])[w.rows]
             at = (bounds[kept] + kept).tolist()
-            columns[text_col] = pa.array([text[i : j - 1] if j > i else b"" for i, j in zip(at, at[1:])], pa.binary()).cast(pa.string())  # noqa: B905
+            cut_texts = pa.array([text[i : j - 1] if j > i else b"" for i, j in zip(at, at[1:])], pa.binary()).cast(pa.string())  # noqa: B905
+            same = pa.array(np.diff(w.rows) == np.diff(kept))
+            columns[text_col] = cut_texts if rejoin else pc.if_else(same, columns[text_col], cut_texts)
             columns["n_words"] = pa.array(np.diff(w.rows))
             columns["n_removed"] = pa.array(np.diff(w.rows) - np.diff(kept))
             yield pa.RecordBatch.from_pydict({name: columns[name] for name in schema.names})
 
-    joined = docs.join(spans, (F.col(quoted(id_col)) == F.col("__id")) & (F.xxhash64(F.coalesce(quoted(text_col), F.lit(""))) == F.col("__key")), "left").drop("__id", "__key")
+    joined = docs.join(spans, (F.col(quoted(id_col)).cast("long") == F.col(own_id)) & (F.xxhash64(F.coalesce(quoted(text_col), F.lit(""))) == F.col(own_key)), "left").drop(own_id, own_key)
     rest = [c for c in docs.columns if c != text_col]
     schema = docs.select(*map(quoted, rest)).schema.add(text_col, "string").add("n_words", "long").add("n_removed", "long")
     return map_arrow(joined, cut, schema).select(*map(quoted, docs.columns), "n_words", "n_removed")
