@@ -97,8 +97,11 @@ def test_substrings_of_odd_rows(odd_docs, no_docs):
     want = brute_substrings([(r["doc_id"], r["text"]) for r in odd_docs.collect()])
     assert order(tuple(r) for r in out.select("doc_id", "n_words", "n_removed", "text").collect()) == order(want)
     assert substrings.remove_repeats(no_docs).count() == 0
-    with pytest.raises(ValueError):
-        substrings.remove_repeats(out)
+    again = substrings.remove_repeats(out.selectExpr("*", "1 AS first", "2 AS `__first`", "3 AS ID"))
+    assert again.columns == [*odd_docs.columns, "first", "__first", "ID", "n_words", "n_removed"] and again.count() == odd_docs.count()
+    as_they_are = substrings.remove_repeats(odd_docs, rejoin=False).where("n_removed = 0").select("doc_id", "text")
+    texts = {(r["doc_id"], r["text"]) for r in odd_docs.collect()}
+    assert {tuple(r) for r in as_they_are.collect()} <= texts
 
 
 def test_windows_of_one_hash_are_told_apart():

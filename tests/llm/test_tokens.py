@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -72,8 +73,20 @@ def test_round_trip(odd_docs, no_docs):
     coded = bpe.encode_texts(odd_docs, queries.BYTE_BPE)
     back = bpe.decode_ids(coded, queries.BYTE_BPE)
     assert sorted(((r["doc_id"], r["text"]) for r in back.collect()), key=repr) == sorted(rows, key=repr)
-    with pytest.raises(ValueError):
-        bpe.encode_texts(odd_docs.withColumnRenamed("source", "ids"), queries.BYTE_BPE)
+    clashing = bpe.encode_texts(odd_docs.withColumnRenamed("source", "IDS"), queries.BYTE_BPE)
+    assert clashing.columns == ["doc_id", "lang", "n_chars", "ids"] and clashing.count() == odd_docs.count()
+
+
+def test_scan_and_heap_give_the_same_ids():
+    scan, heap = (bpe.RankedMerges(queries.BYTE_BPE, n) for n in (1 << 30, 0))
+    rnd = random.Random(6)
+    pieces = ["".join(rnd.choice(letters) for _ in range(n)) for letters in ("ab", "etaoin", "thesand", "=-", "é日a") for n in [1, 2, 5, 40, 95, 96, 97, 300]]
+    tokenizer = library(queries.BYTE_BPE)
+    for piece in pieces:
+        raw = piece.encode()
+        assert scan.encode_piece(raw) == heap.encode_piece(raw) == bpe.ranked_merges(queries.BYTE_BPE).encode_piece(raw)
+        if piece.isalpha():
+            assert scan.encode_piece(raw) == tokenizer([piece])[0]
 
 
 def test_token_files(spark, odd_docs, no_docs):
@@ -115,13 +128,21 @@ def check_packing(rows, docs, capacity):
 
 def test_packing(spark, odd_docs, no_docs, data):
     docs = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
-    check_packing(packing.pack_documents(odd_docs, queries.WORD_BPE, capacity=64, group_rows=6).collect(), docs, 64)
+    check_packing(packing.pack_documents(odd_docs, queries.WORD_BPE, capacity=64, group_pieces=6).collect(), docs, 64)
     assert packing.pack_documents(no_docs, queries.WORD_BPE).count() == 0
     real = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     n, total = check_packing(queries.QUERIES["op5_best_fit_packing"](spark, data).collect(), real, 2048)
     assert n <= -(-total // 2048) * 1.05 + 1
 
 
+def test_groups_are_sized_by_pieces(spark):
+    docs = [(k, "word " * 3000) for k in range(4)]
+    rows = packing.pack_documents(spark.createDataFrame(docs, "doc_id bigint, text string"), queries.WORD_BPE, capacity=16, group_pieces=100).collect()
+    groups = Counter(r["sequence_id"] >> 32 for r in rows)
+    assert len(rows) > 700 and len(groups) >= 7 and max(groups.values()) < 200
+    check_packing(rows, docs, 16)
+
+
 def test_sum_of_squares_takes_the_least_change():
     rnd = random.Random(1)
     lengths = np.array([rnd.randint(1, 12) for _ in range(300)])
