@@ -1,4 +1,9 @@
-"""Keyword search over texts with the simple analyser: lower-case words and their places."""
+"""Keyword search over texts: analysers, search boxes, ranks and headlines.
+
+The ``simple`` analyser takes lower-case words as they are. ``english`` and
+``french`` leave out stop words and cut common endings; they stand in for the
+dictionaries of a database, whose stems they often but not always equal.
+"""
 
 from __future__ import annotations
 
@@ -45,17 +50,90 @@ def matches(words: Column, search: str) -> Column:
     return F.exists(F.array(words), lambda w: reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [holds(w, *t) for t in g]) for g in filled]))
 
 
+def says(text: Column, search: str) -> Column:
+    """What ``matches`` says of a text's words, found in the text itself.
+
+    A word or phrase is one pattern over the lower-case text, so no list of words
+    is made of it.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    has = lambda term: F.contains(low, F.lit(max(term, key=len))) & low.rlike(r"(?<![\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(map(re.escape, term)) + r"(?![\p{L}\p{N}])")
+    groups: list[list[Column]] = [[]]
+    for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', search):
+        if word.lower() == "or" and not minus:
+            groups.append([])
+        elif term := _words(phrase or word):
+            groups[-1].append(~has(term) if minus else has(term))
+    filled = [reduce(lambda a, b: a & b, g) for g in groups if g]
+    return reduce(lambda a, b: a | b, filled) if filled else F.lit(False)
+
+
+#: Words that say nothing of a text.
+STOP_WORDS = {
+    "simple": (),
+    "english": tuple("a an and are as at be been but by for from had has have he her his i if in into is it its me my no not of on or our she so than that the their them then there these they this to was we were what when which who will with would you your".split()),
+    "french": tuple("à au aux avec ce ces dans de des du elle en est et eux il ils je la le les leur lui ma mais me mes moi mon ne nos notre nous on ou par pas pour qu que qui sa se ses son sont sur ta te tes toi ton tu un une vos votre vous d l c j m n s t y".split()),
+}
+#: Endings that are cut, in order, the first that fits; what is left has three letters or more.
+_ENDINGS = {
+    "simple": (),
+    "english": (("sses$", "ss"), ("ies$", "i"), ("(?<=[^aeiou])y$", "i"), ("(?<![us])s$", ""), ("(?<=[a-z]{2})(?:ational|ation)$", "at"), ("(?<=[a-z]{3})(?:ing|ed|ement|ment|ness|ly)$", ""), ("(?<=[a-z]{3})e$", "")),
+    "french": (("(?<=[a-zà-ÿ]{3})(?:issements?|ements?|ments?)$", ""), ("(?<=[a-zà-ÿ]{3})(?:ations?|ateurs?|atrices?)$", ""), ("(?<=[a-zà-ÿ]{3})(?:euses?|eux|ives?|ifs?)$", ""), ("aux$", "al"), ("(?<=[a-zà-ÿ]{3})(?:ées?|és|er|ez|ent|es|e|s|x)$", "")),
+}
+
+
+def analysed(text: Column | str, analyser: str = "simple") -> Column:
+    """The terms of a text in order, by an analyser; a null text has none."""
+    words = lexemes(text)
+    if stop := STOP_WORDS[analyser]:
+        words = F.filter(words, lambda w: ~w.isin(*stop))
+    if not _ENDINGS[analyser]:
+        return words
+
+    def stem(w: Column) -> Column:
+        out = w
+        for ending, left in reversed(_ENDINGS[analyser]):
+            out = F.when(w.rlike(ending), F.regexp_replace(w, ending, left)).otherwise(out)
+        return F.when(F.length(out) >= 3, out).otherwise(w)
+
+    return F.transform(words, stem)
+
+
+def term_rank(terms: Column, asked: list[str]) -> Column:
+    """How well a text answers any of several terms, from 0 to 0.1.
+
+    Each term's n occurrences give 1 + 1/4 + ... + 1/n^2, as a share of all such a
+    sum can be; the mean over the terms asked for, weighed as a database weighs
+    plain text.
+    """
+    limit, weight = 1.64493406685, 0.1  # fixed values: the sum without end, and the weight
+    n = lambda term: F.size(F.filter(terms, lambda w: w == term))
+    sums = [F.when(n(t) > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n(t), F.lit(1))), F.lit(0.0), lambda s, k: s + F.lit(1.0) / (k * k))).otherwise(F.lit(0.0)) for t in asked]
+    return reduce(lambda a, b: a + b, sums) * (weight / limit / len(asked))
+
+
 def rank(words: Column, terms: list[str]) -> Column:
     """The share of a text's words that are search terms, damped by its length."""
     hits = F.size(F.filter(words, lambda w: w.isin(terms)))
     return hits / (1.0 + F.log(F.greatest(F.size(words), F.lit(1)).cast("double")))
 
 
-def headline(text: Column, terms: list[str], before: int = 10, words: int = 25) -> Column:
-    """The words around the first hit, hits in bold; the text's beginning if there is none."""
-    all_words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
-    plain = F.transform(all_words, lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", ""))
-    hits = F.filter(F.transform(plain, lambda w, i: F.when(w.isin(terms), i)), lambda i: i.isNotNull())
-    start = F.greatest(F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit(0)) - before, F.lit(0))
-    bold = F.transform(all_words, lambda w, i: F.when(F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "").isin(terms), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w))
-    return F.array_join(F.slice(bold, start + 1, F.lit(words)), " ")
+def headline(text: Column, terms: list[str], words: int = 35, before: int = 10, fragments: int = 2, least: int = 15, between: str = " … ") -> Column:
+    """Up to ``fragments`` runs of ``words`` words around hits, hits in bold.
+
+    A run begins ``before`` words ahead of its first hit, and the next one with
+    the first hit behind it. Without a hit, the first ``least`` words.
+    """
+    shown = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+    is_hit = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "").isin(terms)
+    bold = F.transform(shown, lambda w: F.when(is_hit(w), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w))
+    hits = F.filter(F.transform(shown, lambda w, i: F.when(is_hit(w), i)), lambda i: i.isNotNull())
+
+    def add(starts: Column, hit: Column) -> Column:
+        end = F.coalesce(F.try_element_at(starts, F.lit(-1)) + words, F.lit(0))
+        fits = (F.size(starts) < fragments) & (hit >= end)
+        return F.when(fits, F.concat(starts, F.array(F.greatest(hit - before, end)))).otherwise(starts)
+
+    starts = F.aggregate(hits, F.array().cast("array<int>"), add)
+    parts = F.transform(starts, lambda s: F.array_join(F.slice(bold, s + 1, F.lit(words)), " "))
+    return F.when(F.size(hits) == 0, F.array_join(F.slice(shown, 1, least), " ")).otherwise(F.array_join(parts, between))

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 #: Part of a host, and its platform.
 HOSTS = (("twitter.com", "twitter"), ("x.com", "twitter"), ("facebook.com", "facebook"), ("fb.com", "facebook"), ("instagram.com", "instagram"), ("youtube.com", "youtube"), ("youtu.be", "youtube"), ("tiktok.com", "tiktok"), ("linkedin.com", "linkedin"), ("bsky.app", "bluesky"), ("threads.net", "threads"), ("mastodon", "mastodon"))
-IGNORED = ("home", "login", "share", "intent", "search", "explore", "about", "help", "settings", "policies", "terms", "privacy")
+#: Last parts of system pages, which are no handles.
+IGNORED = ("home", "explore", "login", "signup", "signin", "about", "share", "sharer.php", "intent", "tr", "i")
+PLATFORMS = tuple(dict.fromkeys(name for _, name in HOSTS))
 
 
-def canonical_social(url: Column) -> Column:
-    """A link as a struct of platform and handle; system pages and strangers are ``other``."""
+def canonical_social(url: Column, hint: Column | None = None) -> Column:
+    """A link as a struct of platform and handle; system pages and strangers are ``other``.
+
+    ``hint`` names a platform for links whose host doesn't tell.
+    """
     s = F.trim(url)
     s = F.when(s.rlike("^https?://"), s).otherwise(F.concat(F.lit("https://"), F.regexp_replace(s, "^/+", "")))
     host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(s, r"^https?://([^/?#:]+)", 1)), r"^www\.", ""), r"^m\.", "")
@@ -19,6 +24,9 @@ def canonical_social(url: Column) -> Column:
     platform = F.lit(None).cast("string")
     for part, name in reversed(HOSTS):
         platform = F.when(F.contains(host, F.lit(part)), name).otherwise(platform)
+    if hint is not None:
+        said = F.lower(hint)
+        platform = F.coalesce(platform, F.when(said.isin(*PLATFORMS), said).when(said == "x.com", "twitter").when(F.contains(said, F.lit("mastodon")), "mastodon"))
     segments = F.filter(F.split(path, "/"), lambda x: x != "")
     last = F.try_element_at(segments, F.lit(-1))
     first, second = F.try_element_at(segments, F.lit(1)), F.try_element_at(segments, F.lit(2))

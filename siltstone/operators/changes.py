@@ -32,20 +32,37 @@ def set_change(old: Column, new: Column, kind: str = "ip_changed") -> Column:
     return field_change(text(old), text(new), kind, "info")
 
 
+def added_and_removed(old: Column, new: Column) -> Column:
+    """What a set has gained and lost, sorted; nulls are empty sets."""
+    some = lambda a: F.coalesce(a, F.array().cast("array<string>"))
+    return F.struct(F.array_sort(F.array_except(some(new), some(old))).alias("added"), F.array_sort(F.array_except(some(old), some(new))).alias("removed"))
+
+
 def exploded(rows: DataFrame, changes: list[Column], keep: list[str]) -> DataFrame:
     """A row for each change that isn't null."""
     found = F.filter(F.array(*changes), lambda c: c.isNotNull())
     return rows.select(*keep, F.explode(found).alias("c")).select(*keep, "c.*")
 
 
+#: The facts of a scan and how severe their changes are; the tier's depends on the step, sets are ``info``.
+SCAN_FIELDS = {"country": "major", "city": "notable", "provider": "major", "cdn": "info", "cms": "info", "tls_issuer": "info"}
+
+
 def scan_changes(scans: DataFrame, site: str = "site_id", at: str = "scanned_at") -> DataFrame:
-    """Changes between each site's consecutive scans; the first scan has none."""
-    fields = ["country", "city", "provider", "tier", "cdn", "ips"]
-    rows = with_previous(scans, [site], [at], fields).where("prev IS NOT NULL")
+    """Changes between each site's consecutive scans; the first scan has none.
+
+    Facts of ``SCAN_FIELDS`` that the scans lack aren't compared. ``kind, old,
+    new, severity`` and, for addresses, what was added and removed.
+    """
+    fields = [f for f in SCAN_FIELDS if f in scans.columns]
+    rows = with_previous(scans, [site], [at], [*fields, "tier", "ips"]).where("prev IS NOT NULL")
     old, new = (lambda c: F.col(f"prev.{c}")), F.col
-    changes = [field_change(old(c), new(c), f"{c}_changed", s) for c, s in (("country", "major"), ("city", "notable"), ("provider", "major"), ("cdn", "info"))]
+    changes = [field_change(old(c), new(c), f"{c}_changed", SCAN_FIELDS[c]) for c in fields]
     changes += [tier_change(old("tier"), new("tier")), set_change(old("ips"), new("ips"))]
-    return exploded(rows, changes, [site, at])
+    rows = rows.withColumn("ip_sets", added_and_removed(old("ips"), new("ips")))
+    out = exploded(rows, changes, [site, at, "ip_sets"])
+    moved = F.col("kind") == "ip_changed"
+    return out.select(site, at, "kind", "old", "new", "severity", F.when(moved, F.col("ip_sets.added")).alias("added"), F.when(moved, F.col("ip_sets.removed")).alias("removed"))
 
 
 def roster_changes(before: DataFrame, after: DataFrame, key: str, fields: dict[str, tuple[str, str]], complete: bool = True) -> DataFrame:

@@ -13,22 +13,27 @@ def covers(at: Column, start: Column, end: Column, closed: bool) -> Column:
     return (at >= start) & (end.isNull() | ((at <= end) if closed else (at < end)))
 
 
-def interval_join(facts: DataFrame, spans: DataFrame, at: str, start: str, end: str, keys: list[str] | None = None, closed: bool = True, how: str = "inner", last_year: int = 2100) -> DataFrame:
+def interval_join(facts: DataFrame, spans: DataFrame, at: str, start: str, end: str, keys: list[str] | None = None, closed: bool = True, how: str = "inner", bin_days: int = 366) -> DataFrame:
     """Facts with the intervals that hold their time (and, if any, share ``keys``).
 
-    Each interval is a row for every year it touches, so the join is on the year
-    and the keys; only facts and intervals of one year meet. ``spans`` may not
-    share column names with ``facts`` besides ``keys``.
+    Time is cut into bins, and an interval is a row for every bin that it shares
+    with the times of ``facts``, from their first to their last, whatever its own
+    ends. So the join is on the bin and the keys, and only facts and intervals of
+    one bin meet; smaller bins suit many short intervals. ``spans`` may not share
+    column names with ``facts`` besides ``keys``. Null times and starts match nothing.
     """
     keys = keys or []
-    years = F.sequence(F.year(start), F.least(F.coalesce(F.year(end), F.lit(last_year)), F.lit(last_year)))
-    right = spans.where(F.col(end).isNull() | (F.col(end) >= F.col(start))).withColumn("__year", F.explode(years))
-    left = facts.withColumn("__fact_year", F.year(at))
+    bin_of = lambda t: F.floor(F.unix_date(t.cast("date")) / bin_days)
+    reach = facts.agg(F.min(bin_of(F.col(at))).alias("__lo"), F.max(bin_of(F.col(at))).alias("__hi"))
+    right = spans.where(F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(end) >= F.col(start)))).crossJoin(F.broadcast(reach))  # one row
+    first, last = F.greatest(bin_of(F.col(start)), F.col("__lo")), F.least(F.coalesce(bin_of(F.col(end)), F.col("__hi")), F.col("__hi"))
+    right = right.where(first <= last).withColumn("__bin", F.explode(F.sequence(first, last))).drop("__lo", "__hi")
+    left = facts.withColumn("__fact_bin", bin_of(F.col(at)))
     right = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    on = (F.col("__fact_year") == F.col("__year")) & covers(F.col(at), F.col(start), F.col(end), closed)
+    on = (F.col("__fact_bin") == F.col("__bin")) & covers(F.col(at), F.col(start), F.col(end), closed)
     for k in keys:
         on = on & (F.col(k) == F.col(f"__{k}"))
-    return left.join(right, on, how).drop("__fact_year", "__year", *[f"__{k}" for k in keys])
+    return left.join(right, on, how).drop("__fact_bin", "__bin", *[f"__{k}" for k in keys])
 
 
 def unique_candidate(rows: DataFrame, keys: list[str], candidate: str) -> DataFrame:
@@ -37,18 +42,38 @@ def unique_candidate(rows: DataFrame, keys: list[str], candidate: str) -> DataFr
     return found.where("__n = 1").drop("__n")
 
 
-def holder_at(facts: DataFrame, terms: DataFrame, at: str, start: str, end: str, keys: list[str], fact_id: str) -> DataFrame:
-    """The holder on a date, half-open; of overlapping terms the first that began. No holder: nulls."""
+def holder_at(facts: DataFrame, terms: DataFrame, at: str, start: str, end: str, keys: list[str], fact_id: str, tie: list[str] | None = None) -> DataFrame:
+    """The holder on a date, half-open; of overlapping terms the first that began. No holder: nulls.
+
+    Terms of equal ends are told apart by the columns ``tie``, by default all of theirs.
+    """
     joined = interval_join(facts, terms, at, start, end, keys, closed=False, how="left")
-    return first_by(joined, [fact_id], [F.col(start).asc_nulls_last(), F.col(end).asc_nulls_last()])
+    last = tie if tie is not None else [c for c in terms.columns if c not in (*keys, start, end)]
+    return first_by(joined, [fact_id], [F.col(start).asc_nulls_last(), F.col(end).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in last]])
 
 
-def overlapping(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str], b_span: tuple[str, str]) -> DataFrame:
-    """Pairs of intervals of one key that overlap (ends are inclusive, no end is open)."""
-    right = b.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in b.columns if c not in keys])
-    on = F.lit(True)
+def overlapping(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str], b_span: tuple[str, str], bin_days: int = 31) -> DataFrame:
+    """Pairs of intervals of one key that overlap (ends are inclusive, no end is open).
+
+    Both sides are rows for each bin of time they touch, and a pair is made in the
+    first bin that both touch: so a key's intervals are spread over its bins, and
+    only those of one bin meet. Intervals without a start overlap nothing.
+    """
+    bin_of = lambda t: F.floor(F.unix_date(t.cast("date")) / bin_days)
+    ends = [side.agg(F.min(bin_of(F.col(s))).alias("lo"), F.max(bin_of(F.greatest(F.col(s), F.coalesce(F.col(e), F.col(s))))).alias("hi")) for side, (s, e) in ((a, a_span), (b, b_span))]
+    reach = ends[0].unionByName(ends[1]).agg(F.max("hi").alias("__hi"))  # beyond it nothing begins or ends
+
+    def binned(side: DataFrame, span: tuple[str, str], name: str) -> DataFrame:
+        s, e = F.col(span[0]), F.col(span[1])
+        rows = side.where(s.isNotNull() & (e.isNull() | (e >= s))).crossJoin(F.broadcast(reach))  # one row
+        first = bin_of(s)
+        return rows.withColumn(f"__{name}", F.explode(F.sequence(first, F.coalesce(bin_of(e), F.col("__hi"))))).withColumn(f"__{name}_first", first).drop("__hi")
+
+    left, right = binned(a, a_span, "a"), binned(b, b_span, "b")
+    right = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = (F.col("__a") == F.col("__b")) & (F.col("__a") == F.greatest("__a_first", "__b_first"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"__{k}"))
     late = F.lit("9999-12-31").cast("timestamp_ntz")
     on = on & (F.col(a_span[0]) <= F.coalesce(F.col(b_span[1]), late)) & (F.col(b_span[0]) <= F.coalesce(F.col(a_span[1]), late))
-    return a.join(right, on).drop(*[f"__{k}" for k in keys])
+    return left.join(right, on).drop("__a", "__b", "__a_first", "__b_first", *[f"__{k}" for k in keys])

@@ -13,19 +13,33 @@ def rss_items(rows: DataFrame, title: str, link: str, body: str, at: str, keep:
     return rows.select(*(keep or []), item.alias("item"))
 
 
+def rss_channel(items: DataFrame, title: str, link: str, description: str, at: str, item: str = "item", most: int = 50) -> DataFrame:
+    """One row ``feed``: a channel with the ``most`` latest items (a feed's length)."""
+    latest = items.orderBy(F.col(at).desc_nulls_last(), F.col(item)).limit(most)
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), F.col(item).alias("item"))), asc=False), lambda x: x["item"]), "")
+    head = "<?xml version=\"1.0\" encoding=\"UTF-8\"?><rss version=\"2.0\"><channel><title>{}</title><link>{}</link><description>{}</description>"
+    escaped = [x.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;") for x in (title, link, description)]
+    return latest.agg(F.concat(F.lit(head.format(*escaped)), body, F.lit("</channel></rss>")).alias("feed"))
+
+
 def digest_line(name: Column, text: Column, most: int = 280) -> Column:
     body = collapse(text)
     return F.concat(name, F.lit(": "), F.when(F.length(body) > most, F.concat(F.rtrim(F.substring(body, 1, most)), F.lit("…"))).otherwise(body))
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def touched(rows: DataFrame, at: Column, column: str = "updated_at") -> DataFrame:
+    """Rows that a writer changes carry the time of it."""
+    return rows.withColumn(column, at)
+
+
 def refresh(view: DataFrame, path: str) -> DataFrame:
     """Write a derived table anew and read it; readers of the old files aren't disturbed by a failure."""
     view.write.mode("overwrite").parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.strings import last_token, normalised_name, presiding_name
 from siltstone.operators.latest import first_by
 
 
@@ -59,6 +60,25 @@ def duplicate_pairs(a: DataFrame, b: DataFrame, key: str, name: Column) -> DataF
     return left.join(right, "__name").where("loser <> winner").select("loser", "winner")
 
 
+def presiding(mentions: DataFrame, entities: DataFrame, mention_id: str, key: str, line: str, full: str, last: str) -> DataFrame:
+    """The persons named in brackets behind a chair's title: by full name, else by a surname that one has.
+
+    Lines of any other shape, and names that two have, stay open.
+    """
+    name = normalised_name(F.regexp_replace(presiding_name(line), r"^(?i)(mr|mrs|ms|miss|dr|hon)\.?\s+", ""))
+    asked = mentions.withColumn("__name", F.nullif(name, F.lit(""))).withColumn("__last", last_token(F.col("__name")))
+    return cascade(asked, entities, mention_id, key, [("__name", full, 1.0), ("__last", last, 0.9)]).drop("__name", "__last")
+
+
+def valid_pairs(pairs: DataFrame, a: str, b: str, known: DataFrame, key: str) -> DataFrame:
+    """``canonical_pairs`` of which both sides are ``key`` of ``known``: what a model made up goes."""
+    ids = known.select(F.col(key).alias("__k")).distinct()
+    out = canonical_pairs(pairs, a, b)
+    for side in (a, b):
+        out = out.join(ids, F.col(side) == F.col("__k"), "left_semi")
+    return out
+
+
 def canonical_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Unordered pairs, once each, without self pairs."""
     out = pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias(a), F.greatest(a, b).alias(b))

@@ -36,3 +36,17 @@ def stratified_sample(rows: DataFrame, strata: list[str], key: str, target: int,
     order = Window.partitionBy(*strata).orderBy(F.col("__forced").desc(), F.xxhash64(key, F.lit(seed)), key)
     drawn = first.withColumn("__rn", F.row_number().over(order)).join(F.broadcast(sizes), strata)
     return drawn.where((F.col("__rn") <= F.col("__quota")) | F.col("__forced")).select(rows.columns)
+
+
+def quality_means(quality: DataFrame, queries: DataFrame, query: str, category: str) -> DataFrame:
+    """Means over all queries and over each category: ``category, n, ndcg, recall``; all are ``*``."""
+    rows = quality.join(queries.select(query, category), query, "left").withColumn(category, F.coalesce(category, F.lit("_uncat")))
+    both = rows.select(F.explode(F.array(F.col(category), F.lit("*"))).alias("category"), "ndcg", "recall")
+    return both.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ndcg"), 4).alias("ndcg"), F.round(F.avg("recall"), 4).alias("recall"))
+
+
+def cross_lingual_recall(ranking: DataFrame, relevant: DataFrame, queries: DataFrame, query: str, item: str, rank: str, at: int = 10) -> DataFrame:
+    """The mean recall of queries whose ``language`` is not their ``target_language``: one row ``n, recall``."""
+    across = queries.where("language <> target_language").select(query)
+    found = ranking_quality(ranking, relevant.join(across, query, "left_semi"), query, item, rank, recall_at=at)
+    return found.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("recall"), 4).alias("recall"))

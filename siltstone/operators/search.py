@@ -2,20 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from siltstone.functions.vectors import cosine_similarity
 from siltstone.operators.latest import first_by
 
+#: Similarities are rounded, so that ties don't depend on the order of a sum.
+DIGITS = 6
 
-def with_similarity(rows: DataFrame, query: DataFrame, vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """Add ``sim``, the cosine similarity to the one vector of ``query`` (column ``q``).
 
-    The query is one row, so it is broadcast; similarities are rounded, so that
-    ties don't depend on the order of a sum.
-    """
-    return rows.crossJoin(F.broadcast(query.select("q").limit(1))).withColumn("sim", F.round(cosine_similarity(F.col(vector), F.col("q")), digits)).drop("q")
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a batch that aren't null, scaled to length 1, and where they are."""
+    have = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    flat = column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(float)
+    vectors = flat.reshape(len(have), -1) if len(have) else np.zeros((0, 1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True)), have
+
+
+def _plain(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def similarity_to(vector: Column, query: list[float] | None, digits: int = DIGITS) -> Column:
+    """Cosine similarities to one vector, a batch at a time; null for nulls and vectors without a length."""
+    q = np.asarray(query if query is not None else [], float)
+    q = q / (np.sqrt(q @ q) or np.nan)
+
+    @F.arrow_udf("double")
+    def run(batch: pa.Array) -> pa.Array:
+        units, have = _matrix(_plain(batch))
+        out = np.full(len(batch), np.nan)
+        if len(have) and len(q) == units.shape[1]:
+            out[have] = np.round(units @ q, digits)
+        return pa.array(out, mask=np.isnan(out))
+
+    return run(vector)
+
+
+def with_similarity(rows: DataFrame, query: DataFrame, vector: str = "embedding", digits: int = DIGITS) -> DataFrame:
+    """Add ``sim``, the cosine similarity to the one vector of ``query`` (column ``q``, its first row)."""
+    asked = query.select("q").limit(1).collect()  # one vector
+    return rows.withColumn("sim", similarity_to(F.col(vector), asked[0]["q"] if asked else None, digits))
 
 
 def nearest(rows: DataFrame, key: str, k: int, floor: float | None = None) -> DataFrame:
@@ -25,9 +58,31 @@ def nearest(rows: DataFrame, key: str, k: int, floor: float | None = None) -> Da
 
 
 def nearest_of_each(rows: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, vector: str = "embedding") -> DataFrame:
-    """The ``k`` nearest rows of each of a stated set of queries, against all rows."""
-    pairs = rows.crossJoin(F.broadcast(queries.select(query_key, "q"))).withColumn("sim", F.round(cosine_similarity(F.col(vector), F.col("q")), 6)).drop("q", vector)
-    return first_by(pairs, [query_key], [F.col("sim").desc(), F.col(key)], k)
+    """The ``k`` nearest rows of each of a stated set of queries, against all rows.
+
+    ``key, query_key, sim``; ties by key. Each batch of rows is one matrix product
+    with all queries and hands on its own best ``k`` of each; so no pair of all
+    rows and queries is ever a row. The queries are sent to every task.
+    """
+    asked = queries.select(query_key, "q").where("q IS NOT NULL")
+    kinds = dict(rows.dtypes) | {query_key: dict(asked.dtypes)[query_key]}
+    held = asked.toArrow()
+    names, q = _plain(held.column(0)), _matrix(_plain(held.column(1)))[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units, have = _matrix(batch.column(1))
+            if not len(have) or not len(q):
+                continue
+            sims = np.round(units @ q.T, DIGITS)
+            keys = batch.column(0).take(pa.array(have))
+            place = np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable")
+            order = place[np.argsort(-sims[place], axis=0, kind="stable")[:k]]  # best rows of each query, ties by key
+            at, of = order.T.ravel(), np.repeat(np.arange(len(q)), len(order))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), keys.take(pa.array(at)), pa.array(sims[at, of])], names=[query_key, key, "sim"])
+
+    best = rows.select(key, vector).mapInArrow(run, f"`{query_key}` {kinds[query_key]}, `{key}` {kinds[key]}, sim double").where("NOT isnan(sim)")
+    return first_by(best, [query_key], [F.col("sim").desc(), F.col(key)], k)
 
 
 #: How groups can be ordered; ties go to the better best match, then the group.
@@ -47,22 +102,20 @@ def grouped(pool: DataFrame, group: str, key: str, floor: float, order: str = "m
     return best.select(group, "mentions", "best_sim", "avg_sim", "keyword_hits", key, "sim")
 
 
-def facet(pool: DataFrame, name: str, value: Column, most: int | None = None) -> DataFrame:
-    """Counts and average similarity by one facet of a pool: ``facet, value, n, avg_sim``."""
-    out = pool.groupBy(value.cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("sim"), 3).alias("avg_sim")).where("value IS NOT NULL")
-    if most:
-        out = out.orderBy(F.col("n").desc(), F.col("value")).limit(most)
-    return out.select(F.lit(name).alias("facet"), "value", "n", "avg_sim")
-
+def facets(pool: DataFrame, values: dict[str, Column], most: dict[str, int] | None = None) -> DataFrame:
+    """Counts and average similarity by several facets of one pool: ``facet, value, n, avg_sim``.
 
-def facets(pool: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """All facets of one pool, which is computed once."""
-    pool = pool.persist()
-    out = None
-    for name, value in values.items():
-        one = facet(pool, name, value)
-        out = one if out is None else out.unionByName(one)
-    return out
+    One pass: each row is a row for each facet it has a value of. ``most`` keeps
+    the largest values of a facet only (a feature of reports).
+    """
+    pairs = F.array(*[F.struct(F.lit(name).alias("facet"), value.cast("string").alias("value")) for name, value in values.items()])
+    rows = pool.select("sim", F.explode(pairs).alias("p")).select("p.facet", "p.value", "sim").where("value IS NOT NULL")
+    out = rows.groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("sim"), 3).alias("avg_sim"))
+    if not most:
+        return out
+    limits = F.create_map(*[F.lit(x) for pair in most.items() for x in pair])
+    place = F.row_number().over(Window.partitionBy("facet").orderBy(F.col("n").desc(), "value"))
+    return out.withColumn("__p", place).where(F.col("__p") <= F.coalesce(F.try_element_at(limits, F.col("facet")), F.lit(1 << 30))).drop("__p")
 
 
 def capped_count(rows: DataFrame, cap: int = 1000) -> DataFrame:

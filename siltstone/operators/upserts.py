@@ -1,10 +1,16 @@
-"""Writes as new versions of a table: every function returns what the table would become."""
+"""Writes as new versions of a table: every function returns what the table would become.
+
+Of several new rows of one key one counts, the last by ``order`` (by default that
+of the greatest values), so a key never has more rows than it had.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.operators.latest import first_by
+
 
 def _joined(table: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     """Both sides of each key, null-safe; the new side's columns start with ``__n_``."""
@@ -16,17 +22,24 @@ def _joined(table: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFram
     return left.join(right, on, "full_outer"), [c for c in table.columns if c not in keys]
 
 
-def _resolved(table: DataFrame, new: DataFrame, keys: list[str], pick: dict[str, Column]) -> DataFrame:
-    joined, _ = _joined(table, new, keys)
+def once(new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """One row of each key: the last by ``order``, else by all other columns that can be ordered."""
+    rest = [F.col(f.name) if f.dataType.typeName() != "map" else F.array_sort(F.map_entries(f.name)) for f in new.schema if f.name not in keys]
+    last = [c.desc_nulls_last() for c in (order or rest)] or [F.lit(0)]
+    return first_by(new, keys, last)
+
+
+def _resolved(table: DataFrame, new: DataFrame, keys: list[str], pick: dict[str, Column], order: list[Column] | None = None) -> DataFrame:
+    joined, _ = _joined(table, once(new, keys, order), keys)
     fresh = F.col("__is_old").isNull()
     value = lambda c: F.when(fresh, F.col(f"__n_{c}") if c in new.columns else F.lit(None)).when(F.col("__is_new").isNull(), F.col(c)).otherwise(pick.get(c, F.col(c)))
     return joined.select(*[(F.when(fresh, F.col(f"__n_{c}")).otherwise(F.col(c)) if c in keys else value(c)).alias(c) for c in table.columns])
 
 
-def upsert(table: DataFrame, new: DataFrame, keys: list[str], fill: bool = False) -> DataFrame:
+def upsert(table: DataFrame, new: DataFrame, keys: list[str], fill: bool = False, order: list[Column] | None = None) -> DataFrame:
     """New rows replace those of their key; with ``fill`` a null keeps the old value."""
     rest = [c for c in table.columns if c not in keys and c in new.columns]
-    return _resolved(table, new, keys, {c: F.coalesce(f"__n_{c}", c) if fill else F.col(f"__n_{c}") for c in rest})
+    return _resolved(table, new, keys, {c: F.coalesce(f"__n_{c}", c) if fill else F.col(f"__n_{c}") for c in rest}, order)
 
 
 def insert_absent(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,7 +48,7 @@ def insert_absent(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return table.unionByName(new.dropDuplicates(keys).join(right, on, "left_anti").select(table.columns))
+    return table.unionByName(once(new, keys).join(right, on, "left_anti").select(table.columns))
 
 
 def upsert_if_surer(table: DataFrame, new: DataFrame, keys: list[str], confidence: str, provenance: list[str]) -> DataFrame:
@@ -43,7 +56,7 @@ def upsert_if_surer(table: DataFrame, new: DataFrame, keys: list[str], confidenc
     surer = F.col(f"__n_{confidence}") > F.coalesce(F.col(confidence), F.lit(-1.0))
     pick = {c: F.coalesce(f"__n_{c}", c) for c in table.columns if c in new.columns and c not in keys}
     pick |= {c: F.when(surer, F.col(f"__n_{c}")).otherwise(F.col(c)) for c in provenance}
-    return _resolved(table, new, keys, pick | {confidence: F.greatest(confidence, f"__n_{confidence}")})
+    return _resolved(table, new, keys, pick | {confidence: F.greatest(confidence, f"__n_{confidence}")}, [F.col(confidence)] + [F.col(c) for c in new.columns if c not in (confidence, *keys)])
 
 
 def newer_wins(table: DataFrame, new: DataFrame, keys: list[str], at: str, maps: list[str] | None = None) -> DataFrame:
@@ -53,7 +66,7 @@ def newer_wins(table: DataFrame, new: DataFrame, keys: list[str], at: str, maps:
     for m in maps or []:
         old, fresh = F.coalesce(F.col(m), F.create_map().cast("map<string,string>")), F.coalesce(F.col(f"__n_{m}"), F.create_map().cast("map<string,string>"))
         pick[m] = merged(old, fresh)
-    return _resolved(table, new, keys, pick)
+    return _resolved(table, new, keys, pick, [F.col(at)] + [F.col(c) for c in new.columns if c not in (at, *keys, *(maps or []))])
 
 
 def merged(a: Column, b: Column) -> Column:
@@ -63,7 +76,7 @@ def merged(a: Column, b: Column) -> Column:
 
 def fill_blanks(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Only nulls and empty texts are filled in; no row is added."""
-    known, rest = _joined(table, new, keys)
+    known, rest = _joined(table, once(new, keys), keys)
     known = known.where("__is_old IS NOT NULL")
     blank = lambda c: F.nullif(F.col(c), F.lit("")) if dict(table.dtypes)[c] == "string" else F.col(c)
     return known.select(*[F.coalesce(blank(c), F.col(f"__n_{c}")).alias(c) if c in rest and c in new.columns else F.col(c) for c in table.columns])
@@ -71,7 +84,7 @@ def fill_blanks(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def update_distinct(table: DataFrame, new: DataFrame, key: str, column: str) -> DataFrame:
     """Copies of a value follow their source; ``changed`` marks the rows that weren't the same."""
-    right = new.select(F.col(key).alias("__k"), F.col(column).alias("__v"))
+    right = once(new.select(key, column), [key]).select(F.col(key).alias("__k"), F.col(column).alias("__v"))
     out = table.join(right, F.col(key) == F.col("__k"), "left")
     moved = F.col("__k").isNotNull() & ~F.col(column).eqNullSafe(F.col("__v"))
     return out.withColumn("changed", moved).withColumn(column, F.when(moved, F.col("__v")).otherwise(F.col(column))).drop("__k", "__v")
@@ -99,9 +112,13 @@ def merge_entities(children: DataFrame, mapping: DataFrame, key: str, unique: li
 
 
 def apply_batch(table: DataFrame, ids: list, values: list, key: str, column: str) -> DataFrame:
-    """Set ``column`` for a batch of ids, given as two lists of equal length."""
+    """Set ``column`` for a batch of ids, given as two lists of equal length; None sets a null.
+
+    Of an id given twice the last value counts.
+    """
     spark = table.sparkSession
     kinds = dict(table.dtypes)
-    pairs = spark.createDataFrame([(ids, values)], f"i array<{kinds[key]}>, v array<{kinds[column]}>").select(F.inline(F.arrays_zip("i", "v")))
-    out = table.join(pairs, F.col(key) == F.col("i"), "left")
-    return out.withColumn(column, F.coalesce("v", column)).drop("i", "v")
+    last = dict(zip(ids, values, strict=True))
+    pairs = spark.createDataFrame([(list(last), list(last.values()))], f"__i array<{kinds[key]}>, __v array<{kinds[column]}>").select(F.inline(F.arrays_zip("__i", "__v")))
+    out = table.join(pairs.withColumn("__set", F.lit(True)), F.col(key) == F.col("__i"), "left")
+    return out.withColumn(column, F.when(F.col("__set"), F.col("__v")).otherwise(F.col(column))).drop("__i", "__v", "__set")

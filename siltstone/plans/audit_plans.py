@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import fulltext
 from siltstone.operators.latest import first_by
-from siltstone.plans.registry import query, whole
+from siltstone.plans.registry import also, query
 from siltstone.sources import tables
 from siltstone.sources.tables import table
 
@@ -45,23 +45,23 @@ def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-@query("SELECT event_id, (ts AT TIME ZONE 'America/Toronto' AT TIME ZONE 'UTC')::TIMESTAMP AS utc FROM events WHERE event_id < 300")
-def local_to_utc(spark: SparkSession, sf_dir: str, part: str = "event_id < 300") -> DataFrame:
-    rows = table(spark, sf_dir, "events").where(part)
+@query("SELECT event_id, (ts AT TIME ZONE 'America/Toronto' AT TIME ZONE 'UTC')::TIMESTAMP AS utc FROM events")
+def local_to_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events")
     return rows.select("event_id", F.convert_timezone(F.lit("America/Toronto"), F.lit("UTC"), "ts").alias("utc"))
 
 
-whole(local_to_utc, " WHERE event_id < 300")
+also("local_to_utc_whole", local_to_utc)
 
 
-@query("""SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS k, event_type AS kind FROM events WHERE event_id % 7 = 0""")
-def json_build_and_read(spark: SparkSession, sf_dir: str, part: str = "event_id % 7 = 0") -> DataFrame:
+@query("""SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS k, event_type AS kind FROM events""")
+def json_build_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = F.to_json(F.struct(F.from_json("props", "k int").alias("props"), F.col("event_type").alias("kind")))
-    rows = table(spark, sf_dir, "events").where(part).select("event_id", F.from_json(built, "props struct<k:int>, kind string").alias("o"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.from_json(built, "props struct<k:int>, kind string").alias("o"))
     return rows.select("event_id", "o.props.k", "o.kind")
 
 
-whole(json_build_and_read, " WHERE event_id % 7 = 0")
+also("json_build_and_read_whole", json_build_and_read)
 
 
 @query("""SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, ts, event_id) AS r FROM events WHERE event_type = 'view') WHERE r = 1""")

@@ -23,23 +23,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def whole(f: Callable[..., DataFrame], clause: str) -> None:
-    """Register a query of a part of its rows again, as ``<name>_whole``, over all of them.
-
-    Its SQL is that of the part less ``clause``, which chooses the rows.
-    """
-    if clause not in ORACLE_SQL[f.__name__]:
-        raise ValueError(f"{f.__name__} has no {clause!r}")
-    QUERIES[f"{f.__name__}_whole"] = lambda spark, sf_dir: f(spark, sf_dir, "true")
-    ORACLE_SQL[f"{f.__name__}_whole"] = ORACLE_SQL[f.__name__].replace(clause, "")
-
-
-def whole(f: Callable[..., DataFrame], clause: str) -> None:
-    """Register a query of a part of its rows again, as ``<name>_whole``, over all of them.
-
-    Its SQL is that of the part less ``clause``, which chooses the rows.
-    """
-    if clause not in ORACLE_SQL[f.__name__]:
-        raise ValueError(f"{f.__name__} has no {clause!r}")
-    QUERIES[f"{f.__name__}_whole"] = lambda spark, sf_dir: f(spark, sf_dir, "true")
-    ORACLE_SQL[f"{f.__name__}_whole"] = ORACLE_SQL[f.__name__].replace(clause, "")
+def also(name: str, f: Query) -> None:
+    """Register a query under a second name, which it was known by before."""
+    QUERIES[name] = f
+    if f.__name__ in ORACLE_SQL:
+        ORACLE_SQL[name] = ORACLE_SQL[f.__name__]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.strings import hostname
 from siltstone.operators import latest, rollups, search
 from siltstone.operators.filters import SearchFilter, optional_equals
-from siltstone.plans.registry import query, whole
+from siltstone.plans.registry import also, query
 from siltstone.sources import tables
 from siltstone.sources.tables import table
 
@@ -199,15 +199,13 @@ def coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH v AS (SELECT event_type, list(value ORDER BY value) AS a FROM events GROUP BY 1) SELECT event_type, a[least(floor(len(a) * 0.5::DOUBLE), len(a) - 1)::BIGINT + 1] AS p50, a[least(floor(len(a) * 0.95::DOUBLE), len(a) - 1)::BIGINT + 1] AS p95 FROM v")
 def index_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(rollups.index_percentile("value", 0.5).alias("p50"), rollups.index_percentile("value", 0.95).alias("p95"))
+    return rollups.index_percentiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
-@query("SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 10 AS bucket, doc_id FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 300) QUALIFY true")
+@query("WITH c AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents ORDER BY doc_id LIMIT 300) SELECT (r - 1) // 10 AS bucket, count(*) AS n, string_agg(doc_id::VARCHAR, chr(10) ORDER BY r) AS body FROM c GROUP BY 1")
 def report_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    chosen = table(spark, sf_dir, "documents").select("doc_id").orderBy("doc_id").limit(300)
-    return chosen.select(F.floor((F.row_number().over(Window.orderBy("doc_id")) - 1) / 10).alias("bucket"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("name"))
+    return rollups.bucketed(docs, [F.col("doc_id")], 10, "name")
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) SELECT c_mktsegment, c_custkey, c_acctbal, rn FROM r WHERE rn <= 4""")
@@ -277,13 +275,13 @@ def unnest_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.inline(F.arrays_zip("i", "t"))).toDF("id", "tag")
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS k, 'k' AS name FROM events WHERE event_id < 500")
-def json_object_rows(spark: SparkSession, sf_dir: str, part: str = "event_id < 500") -> DataFrame:
-    rows = table(spark, sf_dir, "events").where(part).select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("name", "k"))
+@query("SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS k, 'k' AS name FROM events")
+def json_object_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("name", "k"))
     return rows.where("name = 'k'").select("event_id", F.col("k").cast("int").alias("k"), "name")
 
 
-whole(json_object_rows, " WHERE event_id < 500")
+also("json_object_rows_whole", json_object_rows)
 
 
 @query("SELECT year(o_orderdate)::INTEGER AS y, count(*) AS n FROM orders WHERE o_orderdate IS NOT NULL AND year(o_orderdate) BETWEEN 1900 AND 2100 GROUP BY 1")

@@ -40,12 +40,17 @@ def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest_of_each(rows, asked, "vec_id", "query_id", 5).select("query_id", "vec_id", "sim")
 
 
-@query(f"""WITH pool AS ({_POOL}), ok AS (SELECT * FROM pool WHERE sim >= 0.1),
-top AS (SELECT label, count(*) AS mentions, max(sim) AS best_sim, round(avg(sim), 4) AS avg_sim FROM ok GROUP BY label ORDER BY mentions DESC, best_sim DESC, label LIMIT 5),
+_THE = "regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])the([^\\p{L}\\p{N}]|$)')"
+
+
+@query(f"""WITH pool AS (SELECT p.*, coalesce({_THE}, false) AS hit FROM ({_POOL}) p LEFT JOIN documents ON doc_id = vec_id), ok AS (SELECT * FROM pool WHERE sim >= 0.1),
+top AS (SELECT label, count(*) AS mentions, max(sim) AS best_sim, round(avg(sim), 4) AS avg_sim, count(*) FILTER (WHERE hit) AS keyword_hits FROM ok GROUP BY label ORDER BY mentions DESC, best_sim DESC, label LIMIT 5),
 r AS (SELECT ok.*, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) AS rn FROM ok)
-SELECT label, mentions, best_sim, avg_sim, 0::BIGINT AS keyword_hits, vec_id, sim FROM r JOIN top USING (label) WHERE rn <= 3""")
+SELECT label, mentions, best_sim, avg_sim, keyword_hits, vec_id, sim FROM r JOIN top USING (label) WHERE rn <= 3""")
 def grouped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = search.nearest(_similar(spark, sf_dir), "vec_id", 200)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), fulltext.says(F.col("text"), "the").alias("hit"))
+    pool = pool.join(docs, "vec_id", "left").withColumn("keyword_hit", F.coalesce("hit", F.lit(False)))
     return search.grouped(pool, "label", "vec_id", floor=0.1)
 
 
@@ -88,7 +93,7 @@ def paging(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) FILTER (WHERE hit) AS both_hits, count(*) FILTER (WHERE NOT hit) AS semantic_only FROM h""")
 def keyword_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = search.nearest(_similar(spark, sf_dir), "vec_id", 200)
-    docs = table(spark, sf_dir, "documents").where("lang = 'en' OR lang <> 'en'").select(F.col("doc_id").alias("vec_id"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     hit = F.lower("text").rlike("(^|[^a-z])the([^a-z]|$)")
     return search.keyword_overlap(pool.join(docs, "vec_id").withColumn("keyword_hit", hit))
 
@@ -108,8 +113,23 @@ _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), la
 @query(f"""WITH d AS (SELECT doc_id, {_WORDS} AS w, ' ' || array_to_string({_WORDS}, ' ') || ' ' AS s FROM documents)
 SELECT doc_id FROM d WHERE (list_contains(w, 'the') AND contains(s, ' of the ') AND NOT list_contains(w, 'and')) OR (list_contains(w, 'und') AND list_contains(w, 'nicht'))""")
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("w", fulltext.lexemes("text"))
-    return docs.where(fulltext.matches(F.col("w"), 'the "of the" -and or und nicht')).select("doc_id")
+    return table(spark, sf_dir, "documents").where(fulltext.says(F.col("text"), 'the "of the" -and or und nicht')).select("doc_id")
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), n AS (SELECT doc_id, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'nicht')) AS b FROM d)
+SELECT doc_id, round((coalesce(list_sum(list_transform(range(1, a + 1), lambda k: 1.0::DOUBLE / (k * k))), 0) + coalesce(list_sum(list_transform(range(1, b + 1), lambda k: 1.0::DOUBLE / (k * k))), 0)) * (0.1::DOUBLE / 1.64493406685::DOUBLE / 2), 6) AS rank FROM n WHERE a + b > 0 ORDER BY rank DESC, doc_id LIMIT 20""")
+def term_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where(fulltext.says(F.col("text"), "the or nicht")).select("doc_id", fulltext.analysed("text").alias("w"))
+    return docs.select("doc_id", F.round(fulltext.term_rank(F.col("w"), ["the", "nicht"]), 6).alias("rank")).orderBy(F.col("rank").desc(), "doc_id").limit(20)
+
+
+_STOPS = ", ".join(f"'{w}'" for w in fulltext.STOP_WORDS["english"])
+
+
+@query(f"""WITH d AS (SELECT doc_id, list_filter({_WORDS}, lambda x: NOT list_contains([{_STOPS}], x)) AS w FROM documents) SELECT doc_id, len(w)::INTEGER AS terms, len(list_distinct(w))::INTEGER AS distinct_terms FROM d""")
+def stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.filter(fulltext.lexemes("text"), lambda w: ~w.isin(*fulltext.STOP_WORDS["english"]))
+    return table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("terms"), F.size(F.array_distinct("w")).alias("distinct_terms"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents)
@@ -121,9 +141,13 @@ def keyword_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", F.round(fulltext.rank(F.col("w"), ["the", "nicht"]), 6).alias("rank")).orderBy(F.col("rank").desc(), "doc_id").limit(20)
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS a FROM documents),
+h AS (SELECT doc_id, a, list_transform(a, lambda x: regexp_replace(lower(x), '[^\\p{L}\\p{N}]', '', 'g') IN ('the', 'this')) AS hit FROM w),
+k AS (SELECT doc_id, list_transform(range(1, len(a) + 1), lambda i: CASE WHEN hit[i] THEN '<b>' || a[i] || '</b>' ELSE a[i] END) AS b, list_filter(range(0, len(a)), lambda i: hit[i + 1]) AS hits FROM h),
+f AS (SELECT doc_id, b, hits, greatest(hits[1] - 10, 0) AS s1 FROM k), g AS (SELECT *, list_filter(hits, lambda i: i >= s1 + 35)[1] AS h2 FROM f)
+SELECT doc_id, CASE WHEN len(hits) = 0 THEN array_to_string(b[1:15], ' ') ELSE array_to_string(b[s1 + 1:s1 + 35], ' ') || CASE WHEN h2 IS NULL THEN '' ELSE ' … ' || array_to_string(b[greatest(h2 - 10, s1 + 35) + 1:greatest(h2 - 10, s1 + 35) + 35], ' ') END END AS headline FROM g""")
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", fulltext.headline(F.col("text"), ["the", "this"]).alias("headline"))
 
 
@@ -150,9 +174,9 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH v AS (SELECT vec_id, '[' || array_to_string(embedding[1:4], ',') || ']' AS t FROM embeddings)
+@query("""WITH v AS (SELECT vec_id, '[' || array_to_string(embedding, ',') || ']' AS t FROM embeddings)
 SELECT vec_id, len(t::FLOAT[])::INTEGER AS n, (round(list_sum(t::FLOAT[]::DOUBLE[]), 4) + 0.0::DOUBLE) AS total FROM v""")
 def vector_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = vectors.vector_literal(F.slice("embedding", 1, 4))
+    text = vectors.vector_literal(F.col("embedding"))
     back = table(spark, sf_dir, "embeddings").select("vec_id", vectors.parse_vector(text).alias("v"))
     return back.select("vec_id", F.size("v").alias("n"), (F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 4) + 0.0).alias("total"))

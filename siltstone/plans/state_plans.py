@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import hosting
 from siltstone.operators import changes, intervals, latest, resolve, rollups, upserts
-from siltstone.plans.registry import query, whole
+from siltstone.plans.registry import also, query
 from siltstone.sources import tables
 from siltstone.sources.tables import table
 
@@ -135,56 +135,56 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TERMS_SQL = "(SELECT c_nationkey AS place, c_custkey AS holder, o_orderkey AS term, o_orderdate AS t_start, CASE WHEN o_orderkey % 50 <> 0 THEN o_orderdate + INTERVAL 20 DAYS END AS t_end FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT')"
 
 
-@query(f"""WITH t AS {_TERMS_SQL}, f AS (SELECT o_orderkey AS fact, c_nationkey AS place, o_orderdate AS d FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 20 = 0),
-j AS (SELECT fact, holder, row_number() OVER (PARTITION BY fact ORDER BY t_start NULLS LAST, t_end NULLS LAST, term) AS r, min(t_start) OVER (PARTITION BY fact) AS first_start FROM f LEFT JOIN t ON t.place = f.place AND d >= t_start AND (t_end IS NULL OR d < t_end)) SELECT fact, first_start FROM j WHERE r = 1""")
-def asof_lookup(spark: SparkSession, sf_dir: str, part: str = "o_orderkey % 20 = 0") -> DataFrame:
-    facts = table(spark, sf_dir, "orders").where(part).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+@query(f"""WITH t AS {_TERMS_SQL}, f AS (SELECT o_orderkey AS fact, c_nationkey AS place, o_orderdate AS d FROM orders JOIN customer ON o_custkey = c_custkey),
+j AS (SELECT fact, holder, t_start, row_number() OVER (PARTITION BY fact ORDER BY t_start NULLS LAST, t_end NULLS LAST, term) AS r FROM f LEFT JOIN t ON t.place = f.place AND d >= t_start AND (t_end IS NULL OR d < t_end)) SELECT fact, holder, t_start AS since FROM j WHERE r = 1""")
+def asof_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     facts = facts.select(F.col("o_orderkey").alias("fact"), F.col("c_nationkey").alias("place"), F.col("o_orderdate").alias("d"))
-    out = intervals.holder_at(facts, _terms(spark, sf_dir), "d", "t_start", "t_end", ["place"], "fact")
-    return out.select("fact", F.col("t_start").alias("first_start"))
+    out = intervals.holder_at(facts, _terms(spark, sf_dir), "d", "t_start", "t_end", ["place"], "fact", tie=["term"])
+    return out.select("fact", "holder", F.col("t_start").alias("since"))
 
 
-whole(asof_lookup, " WHERE o_orderkey % 20 = 0")
+also("asof_lookup_whole", asof_lookup)
 
 
-@query(f"""WITH t AS {_TERMS_SQL}, f AS (SELECT o_orderkey AS fact, c_nationkey AS place, o_orderdate AS d FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 20 = 0)
+@query(f"""WITH t AS {_TERMS_SQL}, f AS (SELECT o_orderkey AS fact, c_nationkey AS place, o_orderdate AS d FROM orders JOIN customer ON o_custkey = c_custkey)
 SELECT fact, min(holder) AS holder FROM f JOIN t ON t.place = f.place AND d >= t_start AND (t_end IS NULL OR d <= t_end) GROUP BY fact HAVING count(DISTINCT holder) = 1""")
-def unique_candidate_gate(spark: SparkSession, sf_dir: str, part: str = "o_orderkey % 20 = 0") -> DataFrame:
-    facts = table(spark, sf_dir, "orders").where(part).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+def unique_candidate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     facts = facts.select(F.col("o_orderkey").alias("fact"), F.col("c_nationkey").alias("place"), F.col("o_orderdate").alias("d"))
     joined = intervals.interval_join(facts, _terms(spark, sf_dir), "d", "t_start", "t_end", ["place"])
     return intervals.unique_candidate(joined, ["fact"], "holder")
 
 
-whole(unique_candidate_gate, " WHERE o_orderkey % 20 = 0")
+also("unique_candidate_gate_whole", unique_candidate_gate)
 
 
-@query(f"""WITH t AS (SELECT * FROM {_TERMS_SQL} WHERE place < 5) SELECT count(*) AS pairs, count(DISTINCT a.term) AS terms FROM t a JOIN t b ON a.place = b.place AND a.term < b.term AND a.t_start <= coalesce(b.t_end, TIMESTAMP '9999-12-31') AND b.t_start <= coalesce(a.t_end, TIMESTAMP '9999-12-31')""")
-def interval_overlap(spark: SparkSession, sf_dir: str, part: str = "place < 5") -> DataFrame:
-    t = _terms(spark, sf_dir).where(part)
+@query(f"""WITH t AS (SELECT * FROM {_TERMS_SQL}) SELECT count(*) AS pairs, count(DISTINCT a.term) AS terms FROM t a JOIN t b ON a.place = b.place AND a.term < b.term AND a.t_start <= coalesce(b.t_end, TIMESTAMP '9999-12-31') AND b.t_start <= coalesce(a.t_end, TIMESTAMP '9999-12-31')""")
+def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _terms(spark, sf_dir)
     other = t.select("place", F.col("term").alias("term2"), F.col("t_start").alias("u_start"), F.col("t_end").alias("u_end"))
     pairs = intervals.overlapping(t, other, ["place"], ("t_start", "t_end"), ("u_start", "u_end")).where("term < term2")
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("term").alias("terms"))
 
 
-whole(interval_overlap, " WHERE place < 5")
+also("interval_overlap_whole", interval_overlap)
 
 
 @query("""WITH e AS (SELECT p_partkey AS k, p_name AS full_name, split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', -1) AS short, split_part(p_name, ' ', -1) AS last FROM part),
-m AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'unknown' END AS n1, split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', -1) AS n2, split_part(p_name, ' ', -1) AS n3 FROM part WHERE p_partkey <= 300),
+m AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'unknown' END AS n1, split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', -1) AS n2, split_part(p_name, ' ', -1) AS n3 FROM part),
 c AS (SELECT id, 0 AS step, count(DISTINCT k) AS n, min(k) AS k FROM m JOIN e ON n1 = full_name GROUP BY 1 UNION ALL SELECT id, 1, count(DISTINCT k), min(k) FROM m JOIN e ON n2 = short GROUP BY 1 UNION ALL SELECT id, 2, count(DISTINCT k), min(k) FROM m JOIN e ON n3 = last GROUP BY 1),
 b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY step) AS r FROM c) SELECT m.id, b.k AS k, b.step, CASE b.step WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.8 END::DOUBLE AS confidence FROM m LEFT JOIN b ON b.id = m.id AND r = 1 AND b.n = 1""")
-def name_cascade(spark: SparkSession, sf_dir: str, part: str = "p_partkey <= 300") -> DataFrame:
+def name_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     short = F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(-1)))
     last = F.split_part("p_name", F.lit(" "), F.lit(-1))
     entities = p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("full_name"), short.alias("short"), last.alias("last"))
-    mentions = p.where(part).select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise("unknown").alias("n1"), short.alias("n2"), last.alias("n3"))
+    mentions = p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise("unknown").alias("n1"), short.alias("n2"), last.alias("n3"))
     out = resolve.cascade(mentions, entities, "id", "k", [("n1", "full_name", 1.0), ("n2", "short", 0.9), ("n3", "last", 0.8)])
     return out.select("id", "k", "step", "confidence")
 
 
-whole(name_cascade, " WHERE p_partkey <= 300")
+also("name_cascade_whole", name_cascade)
 
 
 @query("""WITH v AS (SELECT p_partkey AS k, p_name AS variant, 0 AS priority FROM part UNION ALL SELECT p_partkey, split_part(p_name, ' ', -1), 1 FROM part) SELECT variant, priority, min(k) AS k FROM v WHERE variant <> '' GROUP BY 1, 2 HAVING count(DISTINCT k) = 1""")
@@ -193,36 +193,36 @@ def name_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.name_index(p, "k", [("p_name", 0), ("last", 1)])
 
 
-@query("""WITH b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_partkey::VARCHAR END AS slug, p_name AS name FROM part WHERE p_partkey <= 400), n AS (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) = 1)
+@query("""WITH b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_partkey::VARCHAR END AS slug, p_name AS name FROM part), n AS (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) = 1)
 SELECT b.id, coalesce(s.p_partkey, n.k) AS k, s.p_partkey IS NULL AND n.k IS NOT NULL AS learned FROM b LEFT JOIN part s ON s.p_partkey::VARCHAR = b.slug LEFT JOIN n ON n.p_name = b.name""")
-def slug_then_name(spark: SparkSession, sf_dir: str, part: str = "k <= 400") -> DataFrame:
+def slug_then_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_partkey").cast("string").alias("slug"), F.col("p_name").alias("name"))
-    rows = p.where(part).select(F.col("k").alias("id"), F.when(F.col("k") % 2 == 0, F.col("slug")).alias("slug"), "name")
+    rows = p.select(F.col("k").alias("id"), F.when(F.col("k") % 2 == 0, F.col("slug")).alias("slug"), "name")
     return resolve.by_key_then_name(rows, p, "id", "k", "slug", "name").select("id", "k", "learned")
 
 
-whole(slug_then_name, " WHERE p_partkey <= 400")
+also("slug_then_name_whole", slug_then_name)
 
 
-@query("""SELECT DISTINCT a.p_partkey AS id, b.p_brand AS hit FROM part a JOIN (SELECT DISTINCT p_brand, split_part(p_brand, '#', 2) AS num FROM part) b ON b.p_brand = a.p_brand OR b.num = split_part(a.p_type, ' ', 1) WHERE a.p_partkey <= 200""")
-def or_condition_join(spark: SparkSession, sf_dir: str, part: str = "p_partkey <= 200") -> DataFrame:
+@query("""SELECT DISTINCT a.p_partkey AS id, b.p_brand AS hit FROM part a JOIN (SELECT DISTINCT p_brand, split_part(p_brand, '#', 2) AS num FROM part) b ON b.p_brand = a.p_brand OR b.num = split_part(a.p_type, ' ', 1)""")
+def or_condition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     brands = p.select(F.col("p_brand").alias("hit"), F.split_part("p_brand", F.lit("#"), F.lit(2)).alias("num")).distinct()
     keyed = brands.select("hit", F.explode(F.array("hit", "num")).alias("ek"))
     keys = [F.col("p_brand"), F.split_part("p_type", F.lit(" "), F.lit(1))]
-    return resolve.any_key(p.where(part).withColumnRenamed("p_partkey", "id"), keys, "id", keyed, "ek", "hit")
+    return resolve.any_key(p.withColumnRenamed("p_partkey", "id"), keys, "id", keyed, "ek", "hit")
 
 
-whole(or_condition_join, " WHERE a.p_partkey <= 200")
+also("or_condition_join_whole", or_condition_join)
 
 
-@query("""SELECT regexp_extract(c_name, '#0*([0-9]+)', 1)::BIGINT AS k, o_orderkey FROM customer JOIN orders ON o_custkey = regexp_extract(c_name, '#0*([0-9]+)', 1)::BIGINT WHERE o_orderkey < 2000""")
-def regex_key_join(spark: SparkSession, sf_dir: str, part: str = "o_orderkey < 2000") -> DataFrame:
+@query("""SELECT regexp_extract(c_name, '#0*([0-9]+)', 1)::BIGINT AS k, o_orderkey FROM customer JOIN orders ON o_custkey = regexp_extract(c_name, '#0*([0-9]+)', 1)::BIGINT""")
+def regex_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.expr("try_cast(regexp_extract(c_name, '#0*([0-9]+)', 1) AS bigint)").alias("k"))
-    return c.join(table(spark, sf_dir, "orders").where(part), F.col("k") == F.col("o_custkey")).select("k", "o_orderkey")
+    return c.join(table(spark, sf_dir, "orders"), F.col("k") == F.col("o_custkey")).select("k", "o_orderkey")
 
 
-whole(regex_key_join, " WHERE o_orderkey < 2000")
+also("regex_key_join_whole", regex_key_join)
 
 
 @query("""SELECT a.c_custkey AS loser, b.s_suppkey + 1000000 AS winner FROM customer a JOIN supplier b ON regexp_replace(lower(a.c_name), '[^0-9]', '', 'g') = regexp_replace(lower(b.s_name), '[^0-9]', '', 'g')""")
@@ -261,10 +261,11 @@ def confidence_gated_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upserts.upsert_if_surer(old, new, ["k"], "conf", ["src"])
 
 
-@query(f"SELECT o.k, o.name, o.seg, o.conf, o.src FROM ({_OLD}) o LEFT JOIN ({_NEW}) n ON o.k = n.k")
+@query(f"SELECT o.k, CASE WHEN o.k % 3 = 0 THEN n.name ELSE o.name END AS name, CASE WHEN o.k % 7 = 0 THEN n.seg ELSE o.seg END AS seg, o.conf, o.src FROM ({_OLD}) o LEFT JOIN ({_NEW}) n ON o.k = n.k")
 def fill_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _sides(spark, sf_dir)
-    return upserts.fill_blanks(old, new, ["k"])
+    blanks = old.withColumn("name", F.when(F.col("k") % 3 != 0, F.col("name")).otherwise("")).withColumn("seg", F.when(F.col("k") % 7 != 0, F.col("seg")))
+    return upserts.fill_blanks(blanks, new, ["k"])
 
 
 @query("""WITH o AS (SELECT o_custkey AS k, max(o_orderdate) AS d, arg_max(o_orderstatus, struct_pack(a := o_orderdate, b := o_orderkey)) AS s FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), n AS (SELECT o_custkey AS k, max(o_orderdate) AS d, arg_max(o_orderstatus, struct_pack(a := o_orderdate, b := o_orderkey)) AS s FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)
@@ -282,24 +283,24 @@ def soft_close_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upserts.soft_close(held, new, ["k"], "ended", F.lit("2024-01-01").cast("timestamp_ntz"))
 
 
-@query(f"SELECT k, name, src FROM ({_OLD}) WHERE k % 2 = 0 UNION ALL SELECT k, name, 'old' FROM ({_NEW}) WHERE k < 50")
-def replace_by_source(spark: SparkSession, sf_dir: str, part: str = "k < 50") -> DataFrame:
+@query(f"SELECT k, name, src FROM ({_OLD}) WHERE k % 2 = 0 UNION ALL SELECT k, name, 'old' FROM ({_NEW})")
+def replace_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _sides(spark, sf_dir)
     tagged = old.select("k", "name", F.when(F.col("k") % 2 == 0, "old").otherwise("feed").alias("src"))
-    return upserts.replace_source(tagged, new.where(part).select("k", "name", F.lit("feed").alias("src")), "src", "feed").withColumn("src", F.lit("old"))
+    return upserts.replace_source(tagged, new.select("k", "name", F.lit("feed").alias("src")), "src", "feed").withColumn("src", F.lit("old"))
 
 
-whole(replace_by_source, " WHERE k < 50")
+also("replace_by_source_whole", replace_by_source)
 
 
-@query("""SELECT o_orderkey, CASE WHEN c_mktsegment IS DISTINCT FROM o_orderpriority THEN c_mktsegment ELSE o_orderpriority END AS tag, c_mktsegment IS DISTINCT FROM o_orderpriority AS changed FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey < 3000""")
-def reconcile_copies(spark: SparkSession, sf_dir: str, part: str = "o_orderkey < 3000") -> DataFrame:
-    o = table(spark, sf_dir, "orders").where(part).select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("tag"))
+@query("""SELECT o_orderkey, CASE WHEN c_mktsegment IS DISTINCT FROM o_orderpriority THEN c_mktsegment ELSE o_orderpriority END AS tag, c_mktsegment IS DISTINCT FROM o_orderpriority AS changed FROM orders JOIN customer ON c_custkey = o_custkey""")
+def reconcile_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("tag"))
     source = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("tag"))
     return upserts.update_distinct(o, source, "o_custkey", "tag").select("o_orderkey", "tag", "changed")
 
 
-whole(reconcile_copies, " WHERE o_orderkey < 3000")
+also("reconcile_copies_whole", reconcile_copies)
 
 
 @query("""SELECT DISTINCT CASE WHEN user_id % 10 = 3 THEN user_id - 3 ELSE user_id END AS user_id, event_type FROM events""")

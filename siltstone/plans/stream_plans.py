@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators.intervals import covers
@@ -22,15 +22,33 @@ def _drained(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
     return feeds.drain(stream, f"{folder}/out", f"{folder}/checkpoint")
 
 
+def _in_files(spark: SparkSession, rows: DataFrame, part: Column, parts: int, label: str) -> DataFrame:
+    """The rows as a stream of files, one after the other."""
+    folder = f"{shared_folder(spark, label)}/files"
+    held = rows.withColumn("__part", part)
+    for k in range(parts):
+        held.where(F.col("__part") == k).drop("__part").coalesce(1).write.mode("append").parquet(folder)
+    return feeds.file_stream(spark, folder, rows.schema, files_per_batch=1)
+
+
 @query("""WITH l AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM events) SELECT user_id, event_id, old, event_type AS new FROM l WHERE old IS NOT NULL AND old <> event_type""")
 def stream_state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = feeds.state_changes(_stream(spark, sf_dir), "user_id", "ts", "event_id", "event_type")
-    return _drained(spark, changes, "changes").select("user_id", "event_id", "old", "new")
+    """Events in files that overlap in time: rows come up to a day behind later ones."""
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    hour = F.floor((F.unix_timestamp("ts") - F.lit(1704067200)) / 3600) + F.col("event_id") % 24
+    stream = _in_files(spark, rows, F.least(F.floor(hour / 240), F.lit(2)), 3, "changes")
+    folder = shared_folder(spark, "changes-state")
+    work = feeds.StateChanges(folder, "user_id", "ts", "event_id", "event_type", late="2 days")
+    return work.drain(stream, f"{folder}/checkpoint", complete=True).select("user_id", "event_id", "old", "new")
 
 
 @query("SELECT DISTINCT event_id FROM events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drained(spark, feeds.first_of_key(_stream(spark, sf_dir), "event_id", "ts"), "dedup").select("event_id")
+    """Every event comes twice, in two files; the copy is behind all of the first file's times."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    twice = events.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    stream = _in_files(spark, twice, F.col("copy"), 2, "dedup")
+    return _drained(spark, feeds.first_of_key(stream, "event_id"), "dedup").select("event_id")
 
 
 @query("""WITH m AS (SELECT s.id AS search_id, event_id, row_number() OVER (PARTITION BY s.id ORDER BY ts DESC, event_id) AS r FROM events JOIN (VALUES (1, 'click', TIMESTAMP '2024-01-10'), (2, 'purchase', NULL), (3, 'error', TIMESTAMP '2030-01-01')) s(id, kind, since) ON event_type = kind AND ts > coalesce(since, TIMESTAMP '0001-01-01')) SELECT search_id, event_id FROM m WHERE r <= 10""")
@@ -38,11 +56,34 @@ def standing_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     saved = spark.createDataFrame([(1, "click", "2024-01-10"), (2, "purchase", None), (3, "error", "2030-01-01")], "search_id int, kind string, since string")
     saved = saved.select("search_id", "kind", F.col("since").cast("timestamp_ntz").alias("last_checked_at"))
     folder = shared_folder(spark, "standing")
-    work = feeds.StandingQueries(saved, F.col("event_type") == F.col("kind"), "ts", "event_id", lambda found, n: found.select("search_id", "event_id").write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
+    work = feeds.StandingQueries(saved, F.col("event_type") == F.col("kind"), "ts", "event_id", lambda found, n: found.select("search_id", "event_id").write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/state")
     work.run(_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp_ntz")), f"{folder}/checkpoint")
     return spark.read.schema("search_id int, event_id bigint").parquet(f"{folder}/out").select("search_id", "event_id")
 
 
+@query("SELECT user_id AS schedule_id, TIMESTAMP '2024-01-30' AS queued_at FROM (SELECT user_id, max(ts) AS seen FROM events GROUP BY 1) WHERE user_id % 5 <> 0 AND CASE user_id % 3 WHEN 0 THEN seen + INTERVAL 1 DAY <= TIMESTAMP '2024-01-30' WHEN 1 THEN seen + INTERVAL 7 DAY <= TIMESTAMP '2024-01-30' ELSE false END")
+def due_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("schedule_id")).agg(F.max("ts").alias("last_run_at"))
+    plans = seen.withColumn("cadence", F.when(F.col("schedule_id") % 3 == 0, "daily").when(F.col("schedule_id") % 3 == 1, "weekly").otherwise("never")).withColumn("enabled", F.col("schedule_id") % 5 != 0)
+    return feeds.due_schedules(plans, F.lit("2024-01-30").cast("timestamp_ntz"), {"daily": "1 DAY", "weekly": "7 DAYS"})
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'view' AND ts < TIMESTAMP '2024-01-15' - INTERVAL 2 HOURS THEN CASE WHEN event_id % 4 >= 3 THEN 'failed' ELSE 'queued' END WHEN event_type = 'view' THEN 'running' ELSE 'done' END AS status FROM events""")
+def requeued_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "view", "running").otherwise("done").alias("status"), F.col("ts").alias("started_at"), (F.col("event_id") % 4).alias("attempts"))
+    return feeds.requeued(jobs, F.lit("2024-01-15").cast("timestamp_ntz"), "2 HOURS").select("event_id", "status")
+
+
+@query("SELECT event_id, event_id % 3 <> 0 AS genuine FROM events")
+def signed_webhooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies with their signatures, of which every third is another body's."""
+    secret, events = b"shared secret", table(spark, sf_dir, "events").select("event_id", "props")
+    pads = [F.lit(bytearray(k ^ pad for k in secret.ljust(64, b"\0"))) for pad in (0x36, 0x5C)]
+    said = F.concat(F.when(F.col("event_id") % 3 == 0, "x").otherwise(""), F.col("props"))
+    signature = F.sha2(F.concat(pads[1], F.unhex(F.sha2(F.concat(pads[0], F.encode(said, "UTF-8")), 256))), 256)
+    return events.select("event_id", feeds.signed(F.col("props"), F.concat(F.lit("sha256="), signature), secret).alias("genuine"))
+
+
 @query("SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'view')")
 def backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "event_type")

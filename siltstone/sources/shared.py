@@ -24,3 +24,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
             atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
         root = f"file://{_local[0]}"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the tables that were written whole under ``folder``, in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return sorted(int(n) for n in names if n.isdigit() and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.operators.latest import first_by
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -18,10 +21,37 @@ def json_pages(spark: SparkSession, path: str, items: str = "objects") -> DataFr
     return pages.select(F.explode(items).alias("item")).select("item.*")
 
 
+def sparql_rows(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """Landed SPARQL answers: a row for each binding, a text column for each of ``names`` (null: not bound)."""
+    raw = spark.read.option("wholetext", True).text(path)
+    found = F.from_json(F.get_json_object("value", "$.results.bindings"), "array<map<string,struct<type:string,value:string>>>")
+    return raw.select(F.explode(found).alias("b")).select(*[F.col("b")[n]["value"].alias(n) for n in names])
+
+
+def binary_pages(spark: SparkSession, path: str, to_text, names: str = "*.pdf") -> DataFrame:  # noqa: ANN001
+    """Files whose text a given function takes out of their bytes: ``url, text``.
+
+    ``to_text`` is the caller's (there is no PDF reader here); a file that it
+    can't read has a null text.
+    """
+    @F.pandas_udf("string")
+    def read(contents: pd.Series) -> pd.Series:
+        def one(raw: bytes) -> str | None:
+            try:
+                return to_text(raw)
+            except ValueError:
+                return None
+
+        return contents.map(one)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(path)
+    return files.select(F.col("path").alias("url"), read("content").alias("text"))
+
+
 def json_lines(spark: SparkSession, path: str, schema: str, explode: str | None = None) -> DataFrame:
     """JSON lines; malformed lines are skipped, and an array column is turned into rows."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    rows = rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = spark.read.text(path).where("trim(value) <> ''").select(parsed.alias("r")).select("r.*").where("_corrupt_record IS NULL").drop("_corrupt_record")
     return rows.withColumn(explode, F.explode(explode)) if explode else rows
 
 
@@ -42,6 +72,11 @@ def graphql_nodes(spark: SparkSession, path: str, node_path: str, schema: str) -
     return raw.select(F.explode(nodes).alias("n")).select("n.*")
 
 
+def newest(rows: DataFrame, at: str) -> DataFrame:
+    """The time up to which a feed was read, one row ``seen_to``: where the next read begins."""
+    return rows.agg(F.max(at).alias("seen_to"))
+
+
 def html_pages(spark: SparkSession, path: str) -> DataFrame:
     """Landed HTML files, one row each: ``url, html``."""
     return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
@@ -61,10 +96,14 @@ def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def due(rows: DataFrame, last_seen: str, as_of: str, hours: int, limit: int | None = None) -> DataFrame:
-    """Rows never seen, or not for ``hours`` before ``as_of``; oldest first, never-seen ones before."""
+    """Rows never seen, or not for ``hours`` before ``as_of``.
+
+    With a ``limit``, that many of them, never-seen ones and then the oldest first;
+    else all, in no order, which spares a sort of the table.
+    """
     stale = F.col(last_seen).isNull() | (F.col(last_seen) < F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {hours} HOURS"))
-    out = rows.where(stale).orderBy(F.col(last_seen).asc_nulls_first())
-    return out.limit(limit) if limit else out
+    out = rows.where(stale)
+    return out.orderBy(F.col(last_seen).asc_nulls_first()).limit(limit) if limit else out
 
 
 def ip_number(column: str) -> F.Column:
@@ -79,9 +118,11 @@ def geo_lookup(rows: DataFrame, ranges: DataFrame, ip: str) -> DataFrame:
     """The network (``first, last`` as numbers, with any facts) that holds each address.
 
     Joined on the first 16 bits, so that it is an equality join; a range that
-    spans several of them is a row for each.
+    spans several of them is a row for each. Of networks that overlap the
+    narrowest counts, then the one that begins first.
     """
     nets = ranges.withColumn("__hi", F.explode(F.sequence(F.shiftright("first", 16), F.shiftright("last", 16))))
-    asked = rows.withColumn("__n", ip_number(ip)).withColumn("__h", F.shiftright("__n", 16))
+    addresses = rows.select(F.col(ip).alias("__ip")).distinct().withColumn("__n", ip_number("__ip")).withColumn("__h", F.shiftright("__n", 16))
     match = (F.col("__h") == F.col("__hi")) & F.col("__n").between(F.col("first"), F.col("last"))
-    return asked.join(nets, match, "left").drop("__n", "__h", "__hi", "first", "last")
+    found = first_by(addresses.join(nets, match), ["__ip"], [F.col("last") - F.col("first"), F.col("first")])
+    return rows.join(found.drop("__n", "__h", "__hi", "first", "last"), F.col(ip) == F.col("__ip"), "left").drop("__ip")

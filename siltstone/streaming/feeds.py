@@ -6,14 +6,14 @@ ends, so the same code serves a schedule and an endless stream.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from siltstone.operators.latest import first_by
+from siltstone.sources.shared import versions
 
 
 def file_stream(spark: SparkSession, folder: str, schema: object, names: str = "*.parquet", files_per_batch: int = 64) -> DataFrame:
@@ -27,57 +27,126 @@ def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") ->
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def first_of_key(stream: DataFrame, key: str, at: str, within: str = "1 hour") -> DataFrame:
-    """One row for each key; state is kept as long as copies may come."""
+def first_of_key(stream: DataFrame, key: str, at: str | None = None, within: str | None = None) -> DataFrame:
+    """One row for each key, however late its copies come.
+
+    With ``at`` and ``within`` a key is remembered as long as its copies may come
+    only, and state stays bounded.
+    """
+    if within is None:
+        return stream.dropDuplicates([key])
     return stream.withWatermark(at, within).dropDuplicatesWithinWatermark([key])
 
 
-def state_changes(stream: DataFrame, key: str, at: str, tie: str, value: str) -> DataFrame:
+class StateChanges:
     """A row for each change of a key's value: ``key, at, tie, old, new``; the first one is no change.
 
-    The last value of each key is its state. Rows of one batch are taken in time
-    order; batches are expected to follow each other in time.
+    Runs as ``foreachBatch``. Rows wait until no earlier ones can come, that is
+    ``late`` behind the latest time seen; then the changes are worked out in time
+    order, against the last known row of each key. Last rows and waiting rows are
+    tables of each batch's number under ``folder``, so a batch that is run again
+    after a failure starts from the same state and writes the same changes.
+    Rows that come later than ``late`` change nothing and are kept in ``too_late``.
     """
-    kinds = dict(stream.dtypes)
-    out = f"`{key}` {kinds[key]}, `{at}` {kinds[at]}, `{tie}` {kinds[tie]}, old string, new string"
 
-    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values([at, tie])
-        last = state.get[0] if state.exists else None
-        old = rows[value].shift()
-        old.iloc[0] = last
-        rows = rows.assign(old=old, new=rows[value], **{key: group[0]})
-        changed = rows[rows["old"].notna() & (rows["old"] != rows["new"])]
-        state.update((rows[value].iloc[-1],))
-        yield changed[[key, at, tie, "old", "new"]]
+    def __init__(self, folder: str, key: str, at: str, tie: str, value: str, late: str = "1 hour"):
+        self.folder, self.key, self.at, self.tie, self.value, self.late = folder, key, at, tie, value, late
 
-    return stream.groupBy(key).applyInPandasWithState(step, out, "value string", "append", GroupStateTimeout.NoTimeout)
+    def _read(self, spark: SparkSession, name: str, number: int, schema: object) -> DataFrame:
+        """The table of the last batch before ``number``; empty before the first."""
+        past = [n for n in versions(spark, f"{self.folder}/{name}") if n < number]
+        return spark.read.schema(schema).parquet(f"{self.folder}/{name}/{max(past)}") if past else spark.createDataFrame([], schema)
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        self._take(batch, 2 * number, last=False)  # odd numbers are of what is done between runs
+
+    def _take(self, batch: DataFrame, number: int, last: bool) -> None:
+        spark, at = batch.sparkSession, F.col(self.at)
+        rows = batch.select(self.key, self.at, self.tie, F.col(self.value).cast("string").alias("value")).where(at.isNotNull())
+        known = self._read(spark, "known", number, rows.schema)
+        waiting = rows.unionByName(self._read(spark, "waiting", number, rows.schema))
+        seen_before = self._read(spark, "seen", number, "m timestamp")
+        newest = waiting.select(at.cast("timestamp").alias("m")).unionByName(seen_before).agg(F.max("m")).first()[0]
+        done = seen_before.agg(F.max("m")).first()[0]
+        lateness = F.expr(f"INTERVAL {self.late}")
+        ripe = F.lit(True) if last else at.cast("timestamp") <= F.lit(newest) - lateness
+        stale = F.lit(False) if done is None else at.cast("timestamp") <= F.lit(done) - lateness
+        ready = waiting.where(ripe & ~stale)
+        order = Window.partitionBy(self.key).orderBy(self.at, self.tie)
+        run = known.withColumn("fresh", F.lit(False)).unionByName(ready.withColumn("fresh", F.lit(True))).withColumn("old", F.lag("value").over(order))
+        changed = run.where("fresh AND old IS NOT NULL AND old <> value").select(self.key, self.at, self.tie, "old", F.col("value").alias("new"))
+        tables = {
+            "changes": changed,
+            "known": first_by(known.unionByName(ready), [self.key], [at.desc(), F.col(self.tie).desc()]),
+            "waiting": waiting.where(~ripe),
+            "too_late": waiting.where(stale),
+            "seen": spark.createDataFrame([(newest,)], "m timestamp"),
+        }
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{self.folder}/{name}/{number}")
+
+    def drain(self, stream: DataFrame, checkpoint: str, complete: bool = False) -> DataFrame:
+        """Take all that is there and return all changes so far; ``complete`` input lets no row wait on."""
+        stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        spark = stream.sparkSession
+        if complete:
+            latest = max(versions(spark, f"{self.folder}/seen"), default=0)
+            self._take(spark.createDataFrame([], stream.schema), latest | 1, last=True)
+        kinds = dict(stream.dtypes)
+        schema = f"`{self.key}` {kinds[self.key]}, `{self.at}` {kinds[self.at]}, `{self.tie}` {kinds[self.tie]}, old string, new string"
+        found = [f"{self.folder}/changes/{n}" for n in versions(spark, f"{self.folder}/changes")]
+        return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
 
 
 class StandingQueries:
     """Saved searches with a watermark each, matched against every new batch.
 
     ``searches`` has ``search_id, last_checked_at``; a match is newer than that.
-    A search's watermark moves on after its batch was delivered, with or without
-    matches, and stays if the delivery failed.
+    ``deliver`` gets a batch's matches and its number, and may return the ids of
+    searches whose delivery failed; if it raises, all have. The watermark of a
+    search moves on after its delivery, with or without matches. A search that
+    failed keeps its watermark, and its matches are delivered again with the next
+    batch. Watermarks and undelivered matches are tables of each batch's number
+    under ``folder``, so they outlive the driver.
     """
 
-    def __init__(self, searches: DataFrame, condition: Column, at: str, tie: str, deliver: Callable[[DataFrame, int], None], most: int = 10):
-        self.searches, self.condition, self.at, self.tie, self.deliver, self.most = searches, condition, at, tie, deliver, most
+    def __init__(self, searches: DataFrame, condition: Column, at: str, tie: str, deliver: Callable[[DataFrame, int], Iterable | None], folder: str, most: int = 10):
+        self.searches, self.condition, self.at, self.tie, self.deliver, self.folder, self.most = searches, condition, at, tie, deliver, folder, most
+
+    def _before(self, spark: SparkSession, name: str, number: int) -> DataFrame | None:
+        past = [n for n in versions(spark, f"{self.folder}/{name}") if n < number]
+        return spark.read.parquet(f"{self.folder}/{name}/{max(past)}") if past else None
 
-    def matches(self, batch: DataFrame) -> DataFrame:
-        """The ``most`` newest matches of each search; saved searches are the small side."""
+    def watermarks(self, spark: SparkSession, number: int = 1 << 60) -> DataFrame:
+        """``search_id, last_checked_at`` as they stand before a batch."""
+        stored = self._before(spark, "watermarks", number)
+        return self.searches.select("search_id", "last_checked_at") if stored is None else stored
+
+    def matches(self, batch: DataFrame, watermarks: DataFrame) -> DataFrame:
+        """The ``most`` newest matches of each search, by time and not by likeness."""
         newer = F.col(self.at) > F.coalesce(F.col("last_checked_at"), F.lit("0001-01-01").cast("timestamp_ntz"))
-        found = batch.join(F.broadcast(self.searches), self.condition & newer)
-        return first_by(found, ["search_id"], [F.col(self.at).desc(), F.col(self.tie)], self.most)
+        saved = self.searches.drop("last_checked_at").join(watermarks, "search_id", "left")
+        found = batch.join(saved, self.condition & newer)
+        return first_by(found, ["search_id"], [F.col(self.at).desc_nulls_last(), F.col(self.tie)], self.most)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         batch.persist()
         try:
-            self.deliver(self.matches(batch), number)
+            marks, again = self.watermarks(spark, number), self._before(spark, "undelivered", number)
+            found = self.matches(batch, marks)
+            if again is not None:
+                found = first_by(found.unionByName(again).distinct(), ["search_id"], [F.col(self.at).desc_nulls_last(), F.col(self.tie)], self.most)
+            try:
+                failed = list(self.deliver(found, number) or [])
+                lost = found.where(F.col("search_id").isin(failed)) if failed else found.limit(0)
+            except Exception:  # noqa: BLE001  whatever the delivery met, its matches wait for the next batch
+                failed, lost = None, found
+            lost.write.mode("overwrite").parquet(f"{self.folder}/undelivered/{number}")
             seen = batch.agg(F.max(self.at).alias("m")).first()["m"]
-            if seen is not None:
-                self.searches = self.searches.withColumn("last_checked_at", F.greatest("last_checked_at", F.lit(seen).cast("timestamp_ntz")))
+            moved = F.greatest("last_checked_at", F.lit(seen).cast("timestamp_ntz")) if seen is not None and failed is not None else F.col("last_checked_at")
+            kept = F.col("search_id").isin(failed) if failed else F.lit(False)
+            marks.withColumn("last_checked_at", F.when(kept, F.col("last_checked_at")).otherwise(moved)).write.mode("overwrite").parquet(f"{self.folder}/watermarks/{number}")
         finally:
             batch.unpersist()
 
@@ -85,6 +154,34 @@ class StandingQueries:
         stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def signed(body: Column, signature: Column, secret: bytes) -> Column:
+    """Whether ``signature`` is the hexadecimal HMAC-SHA256 of ``body`` under ``secret``; nulls are not."""
+    import hashlib
+
+    key = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(k ^ pad for k in key)) for pad in (0x36, 0x5C))
+    digest = F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(body, "UTF-8")), 256))), 256)
+    return F.coalesce(F.lower(F.regexp_replace(signature, "^sha256=", "")) == digest, F.lit(False))
+
+
+def due_schedules(schedules: DataFrame, now: Column, cadences: dict[str, str]) -> DataFrame:
+    """Jobs of the schedules that are due: never run, or not for their cadence (an interval of each name).
+
+    ``schedule_id, queued_at``; schedules that are switched off, or of no known cadence, are never due.
+    """
+    since = [F.when(F.col("cadence") == name, F.col("last_run_at") + F.expr(f"INTERVAL {length}") <= now) for name, length in cadences.items()]
+    due = F.coalesce(F.col("last_run_at").isNull() & F.col("cadence").isin(*cadences), F.lit(False)) | F.coalesce(*since, F.lit(False))
+    return schedules.where(F.coalesce(F.col("enabled"), F.lit(True)) & due).select("schedule_id", now.alias("queued_at"))
+
+
+def requeued(jobs: DataFrame, now: Column, stuck: str, attempts: int = 3) -> DataFrame:
+    """Jobs ``running`` for longer than ``stuck`` wait again, or have failed after so many attempts."""
+    hung = (F.col("status") == "running") & (F.col("started_at") + F.expr(f"INTERVAL {stuck}") < now)
+    hung = F.coalesce(hung, F.lit(False))
+    status = F.when(hung & (F.col("attempts") >= attempts), "failed").when(hung, "queued").otherwise(F.col("status"))
+    return jobs.withColumn("status", status).withColumn("started_at", F.when(~hung, F.col("started_at")))
+
+
 def windowed_counts(stream: DataFrame, at: str, keys: list[str], length: str, late: str) -> DataFrame:
     """Tumbling windows with a bound on lateness (an extension)."""
     return stream.withWatermark(at, late).groupBy(F.window(at, length), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), *keys, "n")

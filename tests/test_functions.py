@@ -1,9 +1,11 @@
 """Expressions on hand-made cases."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.functions import fulltext, hosting, links, strings
+from siltstone.functions import fulltext, hosting, links, registration, strings, vectors
 
 
 def value(spark, column):
@@ -47,6 +49,11 @@ def test_token_estimate(spark, text, n):
         ("https://mastodon.social/@me", ("mastodon", "@me@mastodon.social")),
         ("https://threads.net/@t", ("threads", "t")),
         ("https://x.com/home", ("other", None)),
+        ("https://www.facebook.com/sharer.php", ("other", None)),
+        ("https://twitter.com/i", ("other", None)),
+        ("https://twitter.com/signup", ("other", None)),
+        ("https://twitter.com/settings", ("twitter", "settings")),
+        ("https://instagram.com/help", ("instagram", "help")),
         ("https://example.org/me", ("other", None)),
     ],
 )
@@ -54,6 +61,14 @@ def test_canonical_social(spark, url, want):
     assert tuple(value(spark, links.canonical_social(F.lit(url)))) == want
 
 
+def test_a_hint_tells_the_platform(spark):
+    s = lambda url, hint: tuple(value(spark, links.canonical_social(F.lit(url), F.lit(hint))))
+    assert s("https://example.social/@me", "Mastodon") == ("mastodon", "@me@example.social")
+    assert s("https://example.org/@me", "x.com") == ("twitter", "me")
+    assert s("https://example.org/me", None) == ("other", None)
+    assert s("https://facebook.com/me", "twitter") == ("facebook", "me")
+
+
 @pytest.mark.parametrize(
     ("search", "text", "want"),
     [
@@ -70,6 +85,31 @@ def test_canonical_social(spark, url, want):
 )
 def test_matches(spark, search, text, want):
     assert value(spark, fulltext.matches(fulltext.lexemes(F.lit(text)), search)) is want
+    assert value(spark, fulltext.says(F.lit(text), search)) is want
+
+
+def test_analysers(spark):
+    terms = lambda text, name: value(spark, fulltext.analysed(F.lit(text), name))
+    assert terms("The Ministers were running policies", "simple") == ["the", "ministers", "were", "running", "policies"]
+    assert terms("The ministers' policies and a policy", "english") == ["minister", "polici", "polici"]
+    assert terms("Les gouvernements et le gouvernement", "french") == ["gouvern", "gouvern"]
+    assert terms(None, "english") == []
+
+
+def test_term_rank(spark):
+    rank = lambda text: round(value(spark, fulltext.term_rank(fulltext.lexemes(F.lit(text)), ["a", "b"])), 6)
+    assert rank("x") == 0 and rank("a x") == round(0.1 / 1.64493406685 / 2, 6)
+    assert rank("a a b") == round(0.1 * 2.25 / 1.64493406685 / 2, 6)
+
+
+def test_headline_fragments(spark):
+    words = [f"w{k}" for k in range(120)]
+    words[20] = words[30] = words[100] = "Hit,"
+    out = value(spark, fulltext.headline(F.lit(" ".join(words)), ["hit"]))
+    first, second = out.split(" … ")
+    assert first.split()[0] == "w10" and len(first.split()) == 35 and first.count("<b>Hit,</b>") == 2
+    assert second.split()[0] == "w90" and second.count("<b>") == 1
+    assert value(spark, fulltext.headline(F.lit(" ".join(words)), ["none"])).split() == words[:15]
 
 
 def test_html_to_text(spark):
@@ -108,3 +148,49 @@ def test_profile_score(spark):
     assert s("Ann Tall", "Member of house for York, ABC") == 1.0
     assert s("Bob", "member of") == 0.0
     assert s("Ann Tall parody", "") == 0.3
+
+
+def test_content_hash_of_compatible_texts(spark):
+    h = lambda text: value(spark, strings.content_hash(F.lit(text)))
+    assert h("ﬁne  Ａ½") == h("fine a1⁄2") == hashlib.sha256("fine a1⁄2".encode()).hexdigest()
+    assert h("a\u00a0b") == h("a b") and h(None) is None
+
+
+def test_other_attributions(spark):
+    a = lambda line: tuple(value(spark, strings.attribution_of(F.lit(line))))
+    assert a("Mr. John Low (York East)") == ("John Low", "York East", None)
+    assert a("Hon. Ann Tall, Minister of Health") == ("Ann Tall", None, "Minister of Health")
+    assert a("The Deputy Speaker (Ms. Li Wu)") == ("Li Wu", None, "The Deputy Speaker")
+    assert a("The Speaker:") == (None, None, "The Speaker")
+    assert a("Mme Roy :") == ("Roy", None, None)
+
+
+def test_site_score(spark):
+    s = lambda host, link, near: value(spark, strings.site_score(F.lit(host), F.lit(link), F.lit(near), F.array(F.lit("anna"), F.lit("tall")), F.array(F.lit("oakville")), ["donate"]))
+    assert s("annatall.ca", "", "") == 11
+    assert s("annatall.ca", "donate", 'website rel="external"') == 13
+    assert s("oakville.org", "", "her web site") == 11
+    assert s("something.example.org", "", "") == 1
+
+
+def test_canonical_terms(spark):
+    t = lambda x: value(spark, strings.canonical_term(F.lit(x), {"1st reading": "First Reading"}))
+    assert [t(" 1ST reading "), t("royal assent"), t(None)] == ["First Reading", "Royal Assent", None]
+
+
+def test_tier_labels(spark):
+    assert [value(spark, hosting.tier_label(F.lit(k))) for k in (1, 2, 6, 9)] == ["Canadian Sovereign", "Canadian Soil", "Unknown", "Unknown"]
+
+
+def test_query_prefix():
+    class Echo:
+        def encode(self, texts):
+            return [[float(len(t))] for t in texts]
+
+    assert vectors.encode_query(Echo(), "abc") == [float(len(vectors.QUERY_PREFIX) + 3)]
+
+
+def test_sql_functions(spark):
+    names = registration.register_udfs(spark)
+    row = spark.sql("SELECT accentless('Vallières') a, token_count('aaaaaaa') b, url_host('https://E.org/x') c, letter_grade(70) d, nfkc('ﬁ') e, sanitised_html('<script>x</script><p>y') f").first()
+    assert tuple(row) == ("Vallieres", 2, "e.org", "B", "fi", "<p>y</p>") and len(names) == 6

@@ -1,13 +1,19 @@
 """Operators on hand-made tables: nulls, ties, order, and what must not happen."""
 
 import datetime as dt
+import http.server
+import json
+import random
+import threading
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import changes, chunks, geo, intervals, resolve, retrieval, upserts
+from siltstone.functions import markup
+from siltstone.operators import changes, chunks, geo, intervals, outputs, resolve, retrieval, rollups, search, upserts
 from siltstone.operators.filters import SearchFilter, require_something
-from siltstone.sources import tables
+from siltstone.sources import paged, tables
 
 
 def day(text):
@@ -18,7 +24,7 @@ def frame(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
 
-def test_filter_guards():
+def test_filter_guards(spark):
     with pytest.raises(ValueError):
         require_something(" ", SearchFilter())
     require_something(None, SearchFilter(language="en"))
@@ -80,17 +86,215 @@ def test_map_merge(spark):
     assert out == {"a": "1", "b": "3"}
 
 
-@pytest.mark.parametrize(
-    ("text", "n"),
-    [(None, 0), ("", 0), ("a" * 26, 0), ("a" * 27, 1), ("a" * 1680, 1), ("b" * 4000, 1), ("\n".join(["c" * 700] * 5), 3), ("D" * 900 + ". " + "E" * 900 + ".", 2)],
-)
-def test_chunks(text, n):
-    assert len(chunks.split_text(text)) == n
+def chunks_of(spark, texts):
+    rows = chunks.chunked(frame(spark, list(enumerate(texts)), "id int, text string"), "id").orderBy("id", "chunk_index").collect()
+    return [[r for r in rows if r["id"] == k] for k in range(len(texts))]
+
+
+def test_chunks(spark):
+    cases = [(None, 0), ("", 0), (" \n ", 0), ("a" * 26, 0), ("a" * 27, 1), ("a" * 1680, 1), ("b" * 4000, 1), ("\n".join(["c" * 700] * 5), 3), ("D" * 900 + ". " + "E" * 900 + ".", 2)]
+    assert [len(c) for c in chunks_of(spark, [t for t, _ in cases])] == [n for _, n in cases]
+
+
+def test_chunks_are_parts_of_their_text(spark):
+    rnd = random.Random(4)
+    sentence = lambda: "Ab" + "".join(rnd.choice("abcdé ") for _ in range(rnd.randint(5, 400))).strip() + rnd.choice(".!?")
+    texts = ["  \n" + rnd.choice(["\n", "\n\n", "\n \n", " "]).join(sentence() for _ in range(rnd.randint(1, 40))) + " \n" for _ in range(40)]
+    for text, found in zip(texts, chunks_of(spark, texts), strict=True):
+        assert found or len(text.strip()) < 27
+        for r in found:
+            assert text[r["char_start"] : r["char_end"]] == r["chunk"] == r["chunk"].strip()
+            assert r["token_count"] == max(1, round(len(r["chunk"]) / 3.5))
+        for a, b in zip(found, found[1:], strict=False):
+            # A chunk begins with the end of the one before, and no text is left out.
+            assert a["char_start"] <= b["char_start"] <= a["char_end"] < b["char_end"]
+            assert a["char_end"] - b["char_start"] <= 175
+        if len(found) > 1:
+            assert found[0]["char_start"] == len(text) - len(text.lstrip())
+
+
+def test_chunk_overlap_is_kept(spark):
+    found = chunks_of(spark, ["\n".join(chr(97 + k) * 700 for k in range(5))])[0]
+    assert len(found) == 3 and all(b["chunk"].startswith(a["chunk"][-175:]) for a, b in zip(found, found[1:], strict=False))
+
+
+def test_line_turns(spark):
+    text = "ORDERS OF THE DAY\n10:05\nThe Speaker: Order.\nMr. Tall: I rise: today\n  to speak.\nANOTHER HEADING\nlost line\n11:00 a.m.\nMs. Low: Thanks."
+    rows = chunks.line_turns(frame(spark, [(1, text), (2, None)], "id int, text string"), "id").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, "The Speaker", "Order.", "10:05"), (1, 1, "Mr. Tall", "I rise: today\nto speak.", "10:05"), (1, 2, "Ms. Low", "Thanks.", "11:00")]
 
 
-def test_chunk_overlap_is_kept():
-    found = chunks.split_text("\n".join(chr(97 + k) * 700 for k in range(5)))
-    assert all(b[0].startswith(a[0][-175:]) for a, b in zip(found, found[1:], strict=False))
+def test_turns_by_era(spark):
+    old = '<META NAME="Generator" CONTENT="Microsoft Word 97"><P><B>Mr. Tall:</B> Old words.</P><P>More.</P>'
+    new = '<p class=MsoNormal>Mr. Low: New&nbsp;words.</p>'
+    marked = '<p class="SpeakerBegins">Ann: one</p>'
+    rows = chunks.turns_by_era(frame(spark, [(1, old), (2, new), (3, marked)], "id int, html string"), "id").collect()
+    assert {(r["id"], r["era"], r["speaker"], r["body"]) for r in rows} == {(1, "word97", "Mr. Tall", "Old words.\nMore."), (2, "modern", "Mr. Low", "New words."), (3, "classes", "Ann", "one")}
+
+
+def test_stage_events(spark):
+    html = "<table><tr><td>First Reading</td><td>2024-03-05</td></tr><tr><td>Second reading, referred to committee</td><td>March 7, 2024</td></tr><tr><td>no date</td></tr></table><li>Royal Assent: May 30 2024</li><li>Royal Assent: May 30 2024</li>"
+    rows = chunks.stage_events(frame(spark, [(1, html), (2, None)], "id int, html string"), "id").collect()
+    assert [(r["sequence"], r["stage"], str(r["day"])) for r in rows] == [(0, "first_reading", "2024-03-05"), (1, "committee", "2024-03-07"), (2, "royal_assent", "2024-05-30")]
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<p>a <b>b</b></p>", "<p>a b</p>"),
+        ("<a href=javascript:alert(1)>x</a>", "<a>x</a>"),
+        ('<a/onclick=alert(1) href="https://e.org/?a=1&amp;b=2">x</a>', '<a href="https://e.org/?a=1&amp;b=2">x</a>'),
+        ('<a href="java&#115;cript:alert(1)">x</a>', "<a>x</a>"),
+        ('<a href="java\tscript:alert(1)">x</a><a href=" JAVASCRIPT:x">y</a>', "<a>x</a><a>y</a>"),
+        ("<script>bad()</script>ok<style>p{}</style>", "ok"),
+        ("<p>1 < 2 &lt;script&gt;", "<p>1 &lt; 2 &lt;script&gt;</p>"),
+        ("<ul><li>a</ul>b", "<ul><li>a</li></ul>b"),
+        ("<iframe src=x><p>in</p></iframe>out", "out"),
+        ("<svg onload=alert(1)>x</svg><img src=x onerror=y>z", "z"),
+        ('<a href="/speeches/1#c">in</a><a href="data:text/html,x">out</a>', '<a href="/speeches/1#c">in</a><a>out</a>'),
+        (None, None),
+    ],
+)
+def test_sanitised(spark, html, want):
+    assert frame(spark, [(html,)], "h string").select(markup.sanitised(F.col("h")).alias("h")).first()["h"] == want
+
+
+def test_only_links_of_a_prefix_stay(spark):
+    html = '<a href="/speeches/1">a</a><a href="https://e.org">b</a>'
+    out = frame(spark, [(html,)], "h string").select(markup.sanitised(F.col("h"), prefix="/speeches/").alias("h")).first()["h"]
+    assert out == '<a href="/speeches/1">a</a><a>b</a>'
+
+
+def test_rewritten_links(spark):
+    html = """<a href="CHUNK:ab-1">x</a> <a href='chunk:ab-2'>y</a> <a href="https://e.org">z</a>"""
+    targets = F.create_map(F.lit("ab-1"), F.lit("/speeches/7#chunk-ab-1"))
+    out = frame(spark, [(html,)], "h string").select(markup.rewritten_links(F.col("h"), targets).alias("h")).first()["h"]
+    assert out == """<a href="/speeches/7#chunk-ab-1">x</a> <a >y</a> <a href="https://e.org">z</a>"""
+
+
+def test_intervals_have_no_last_year(spark):
+    spans = frame(spark, [("a", day("1990-05-01"), None), ("b", day("2150-01-01"), day("2150-12-31")), ("c", None, None), ("d", day("2000-01-01"), day("1999-01-01"))], "name string, s timestamp_ntz, e timestamp_ntz")
+    facts = frame(spark, [(1, day("2101-03-01")), (2, day("2150-12-31")), (3, day("1890-01-01")), (4, None), (5, day("1990-05-01"))], "id int, d timestamp_ntz")
+    got = {(r["id"], r["name"]) for r in intervals.interval_join(facts, spans, "d", "s", "e").collect()}
+    assert got == {(1, "a"), (2, "a"), (2, "b"), (5, "a")}
+    left = intervals.interval_join(facts, spans, "d", "s", "e", how="left", bin_days=7).collect()
+    assert {(r["id"], r["name"]) for r in left} == got | {(3, None), (4, None)}
+    assert intervals.interval_join(facts.limit(0), spans, "d", "s", "e").count() == 0
+
+
+def test_overlaps_equal_brute_force(spark):
+    rnd = random.Random(3)
+    start = dt.datetime(2020, 1, 1)
+    rows = []
+    for k in range(120):
+        s = start + dt.timedelta(days=rnd.randint(0, 400))
+        e = None if rnd.random() < 0.1 else s + dt.timedelta(days=rnd.choice([0, 1, 5, 30, 200, -3]))
+        rows.append((k, rnd.choice("xy"), None if rnd.random() < 0.05 else s, e))
+    a = frame(spark, rows, "i int, p string, s timestamp_ntz, e timestamp_ntz")
+    b = a.toDF("j", "p", "t", "u")
+    late = dt.datetime(9999, 1, 1)
+    ok = [r for r in rows if r[2] and (r[3] is None or r[3] >= r[2])]
+    want = {(x[0], y[0]) for x in ok for y in ok if x[1] == y[1] and x[2] <= (y[3] or late) and y[2] <= (x[3] or late)}
+    for bin_days in (1, 31, 1000):
+        found = intervals.overlapping(a, b, ["p"], ("s", "e"), ("t", "u"), bin_days).select("i", "j").collect()
+        assert len(found) == len(want) and {tuple(r) for r in found} == want
+
+
+def test_equal_terms_have_one_holder(spark):
+    terms = frame(spark, [("x", h, day("2020-01-01"), None) for h in "cab"], "role string, holder string, s timestamp_ntz, e timestamp_ntz")
+    facts = frame(spark, [(1, "x", day("2020-06-01"))], "id int, role string, d timestamp_ntz")
+    assert [r["holder"] for r in intervals.holder_at(facts, terms, "d", "s", "e", ["role"], "id").collect()] == ["a"]
+
+
+def test_repeated_keys_count_once(spark):
+    schema = "k int, v string, conf double, src string"
+    old = frame(spark, [(1, "a", 0.9, "o")], schema)
+    new = frame(spark, [(1, "b", 0.5, "n"), (1, "c", 0.95, "m"), (2, "d", 0.3, "n"), (2, "e", 0.3, "n")], schema)
+    rows = lambda df: sorted(tuple(r)[:2] for r in df.collect())
+    assert rows(upserts.upsert(old, new, ["k"])) == [(1, "c"), (2, "e")]
+    assert rows(upserts.upsert_if_surer(old, new, ["k"], "conf", ["src"])) == [(1, "c"), (2, "e")]
+    assert rows(upserts.insert_absent(old, new, ["k"])) == [(1, "a"), (2, "e")]
+    assert rows(upserts.fill_blanks(old.withColumn("v", F.lit("")), new, ["k"])) == [(1, "c")]
+    assert rows(upserts.apply_batch(old, [1, 1], ["z", None], "k", "v")) == [(1, None)]
+
+
+def test_scan_changes_of_all_kinds(spark):
+    rows = [(1, 1, "WP", "A", 2, ["1", "2"]), (1, 2, "Ghost", "B", 2, ["2", "3"])]
+    scans = frame(spark, rows, "site_id int, scanned_at int, cms string, tls_issuer string, tier int, ips array<string>")
+    got = {r["kind"]: (r["severity"], r["added"], r["removed"]) for r in changes.scan_changes(scans).collect()}
+    assert got == {"cms_changed": ("info", None, None), "tls_issuer_changed": ("info", None, None), "ip_changed": ("info", ["3"], ["1"])}
+
+
+def test_index_percentiles(spark):
+    rnd = random.Random(5)
+    rows = [("big", rnd.choice([1.0, 2.0, rnd.random()])) for _ in range(3000)] + [("one", 7.0), (None, 1.0), (None, 2.0), ("gone", None)]
+    found = rollups.index_percentiles(frame(spark, rows, "k string, v double").repartition(5), ["k"], "v", {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}).collect()
+    want = {}
+    for k, v in rows:
+        if v is not None:
+            want.setdefault(k, []).append(v)
+    at = lambda xs, q: sorted(xs)[min(int(len(xs) * q), len(xs) - 1)]
+    assert {tuple(r) for r in found} == {(k, *(at(xs, q) for q in (0, 0.5, 0.95, 1))) for k, xs in want.items()}
+
+
+def test_party_report(spark):
+    members = frame(spark, [("A", 1), ("A", 2), ("A", 3), ("B", 4), ("C", 5)], "party string, id int")
+    sites = frame(spark, [("A", 1, "h", 1, 1, 2), ("A", 2, "h", 2, 2, 4), ("A", 1, "g", 1, 3, 1), ("B", 4, "k", 1, 4, None)], "party string, id int, host string, at int, n int, tier int")
+    rows = {r["party"]: tuple(r)[1:] for r in rollups.party_report(members, sites, "party", "id", "host", "at", "n", "tier").collect()}
+    assert rows == {"A": (3, 2, 1, 0, 1, 0, 1, 50, "C"), "B": (1, 1, 0, 0, 0, 0, 0, 0, "F"), "C": (1, 0, 0, 0, 0, 0, 1, 0, "F")}
+    own = {r["id"]: (r["worst"], r["best"], r["home"], [s["host"] for s in r["sites"]]) for r in rollups.member_sites(sites, "id", "tier", "n", ["host"]).collect()}
+    assert own == {1: (2, 1, 2, ["h", "g"]), 2: (4, 4, 0, ["h"]), 4: (6, 6, 0, ["k"])}
+    assert [tuple(r) for r in rollups.top_values(sites.withColumn("p", F.lit("X")), "party", "host", "at", "n", "p").orderBy("party").collect()] == [("A", "X", 2), ("B", "X", 1)]
+
+
+def test_presiding_names(spark):
+    people = frame(spark, [(1, "jean augustine", "augustine"), (2, "ann tall", "tall"), (3, "bob tall", "tall")], "k int, full string, last string")
+    said = frame(spark, [(10, "The Deputy Speaker (Hon. Jean Augustine)"), (11, "The Acting Speaker (Mr. Augustine)"), (12, "The Chair (Mr. Tall)"), (13, "The Speaker"), (14, None)], "id int, line string")
+    out = resolve.presiding(said, people, "id", "k", "line", "full", "last").collect()
+    assert {r["id"]: (r["k"], r["confidence"]) for r in out} == {10: (1, 1.0), 11: (1, 0.9), 12: (None, None), 13: (None, None), 14: (None, None)}
+
+
+def test_pairs_of_known_ids(spark):
+    pairs = frame(spark, [(1, 2), (2, 1), (1, 1), (1, 9), (3, 2)], "a int, b int")
+    known = frame(spark, [(1,), (2,), (3,), (3,)], "id int")
+    assert sorted(map(tuple, resolve.valid_pairs(pairs, "a", "b", known, "id").collect())) == [(1, 2), (2, 3)]
+
+
+def test_quality_means(spark):
+    quality = frame(spark, [(1, 0.5, 1.0), (2, 0.0, 0.5), (3, 1.0, 0.0)], "q int, ndcg double, recall double")
+    asked = frame(spark, [(1, "A", "en", "en"), (2, "A", "en", "fr"), (3, None, "fr", None)], "q int, category string, language string, target_language string")
+    got = {r["category"]: tuple(r)[1:] for r in retrieval.quality_means(quality, asked, "q", "category").collect()}
+    assert got == {"A": (2, 0.25, 0.75), "_uncat": (1, 1.0, 0.0), "*": (3, 0.5, 0.5)}
+    ranking = frame(spark, [(2, "a", 1), (2, "b", 11)], "q int, item string, r int")
+    wanted = frame(spark, [(1, "z"), (2, "a"), (2, "b")], "q int, item string")
+    assert tuple(retrieval.cross_lingual_recall(ranking, wanted, asked, "q", "item", "r").first()) == (1, 0.5)
+
+
+def test_nearest_of_each_equals_brute_force(spark):
+    rnd = np.random.default_rng(2)
+    vectors = [rnd.integers(-2, 3, 4).astype(float).tolist() for _ in range(60)] + [None, [0.0] * 4]
+    rows = frame(spark, list(enumerate(vectors)), "id int, embedding array<double>").repartition(4)
+    asked = rows.where("id % 10 = 0").selectExpr("id AS qid", "embedding AS q")
+    found = search.nearest_of_each(rows, asked, "id", "qid", 3).collect()
+
+    def sim(a, b):
+        size = np.linalg.norm(a) * np.linalg.norm(b) if a and b else 0
+        return round(float(np.dot(a, b) / size), 6) if size else None
+
+    want = set()
+    for q in range(0, len(vectors), 10):
+        ranked = sorted((-s, k) for k, v in enumerate(vectors) if (s := sim(v, vectors[q])) is not None)
+        want |= {(q, k, -s) for s, k in ranked[:3]}
+    assert {(r["qid"], r["id"], round(r["sim"], 6)) for r in found} == want
+    one = search.with_similarity(rows, frame(spark, [([1.0, 0.0, 0.0, 0.0],)], "q array<double>"))
+    assert {r["id"]: r["sim"] for r in one.collect()} == {k: sim(v, [1.0, 0, 0, 0]) for k, v in enumerate(vectors)}
+    assert search.with_similarity(rows, frame(spark, [], "q array<double>")).where("sim IS NOT NULL").count() == 0
+
+
+def test_facets_keep_the_largest(spark):
+    pool = frame(spark, [(k % 3, float(k)) for k in range(7)] + [(None, 1.0)], "g int, sim double")
+    rows = search.facets(pool, {"g": F.col("g"), "all": F.lit("x")}, most={"g": 2}).collect()
+    assert {(r["facet"], r["value"], r["n"]) for r in rows} == {("g", "0", 3), ("g", "1", 2), ("all", "x", 8)}
 
 
 def test_turns(spark):
@@ -145,3 +349,66 @@ def test_sources(spark, tmp_path):
     assert tables.geojson_features(spark, str(tmp_path / "g.json")).first()["properties"] == {"n": "x"}
     (tmp_path / "q.json").write_text('{"data": {"nodes": [{"id": 5}, {"id": 6}]}}')
     assert tables.graphql_nodes(spark, str(tmp_path / "q.json"), "data.nodes", "id int").count() == 2
+
+
+def test_networks_that_overlap_give_one_row(spark):
+    nets = frame(spark, [(16777216, 16777471, "wide"), (16777220, 16777230, "narrow")], "first long, last long, name string")
+    asked = frame(spark, [("1.0.0.7",), ("1.0.0.200",), ("1.0.0.7",)], "ip string")
+    assert sorted(r["name"] for r in tables.geo_lookup(asked, nets, "ip").collect()) == ["narrow", "narrow", "wide"]
+
+
+def test_more_sources(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"results": {"bindings": [{"q": {"type": "uri", "value": "Q1"}}, {"q": {"type": "uri", "value": "Q2"}, "x": {"type": "literal", "value": "y"}}]}}')
+    assert sorted(map(tuple, tables.sparql_rows(spark, str(tmp_path / "s.json"), ["q", "x"]).collect()), key=repr) == [("Q1", None), ("Q2", "y")]
+    (tmp_path / "a.pdf").write_bytes(b"%text of a page")
+    (tmp_path / "b.pdf").write_bytes(b"broken")
+    (tmp_path / "c.html").write_text("<p>x</p>")
+
+    def to_text(raw):
+        if not raw.startswith(b"%"):
+            raise ValueError("no page")
+        return raw[1:].decode()
+
+    assert {r["text"] for r in tables.binary_pages(spark, str(tmp_path), to_text).collect()} == {"text of a page", None}
+    assert tables.html_pages(spark, str(tmp_path / "c.html")).first()["html"] == "<p>x</p>"
+    assert tables.newest(frame(spark, [(1,), (3,), (None,)], "at int"), "at").first()["seen_to"] == 3
+
+
+def test_pages_follow_their_links(spark):
+    failed = []
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            page = int(self.path.rsplit("=", 1)[1])
+            if page == 2 and not failed:
+                failed.append(page)
+                self.send_error(503)
+                return
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"objects": [{"n": page * 10 + k} for k in range(2)], "next_url": f"/?page={page + 1}" if page < 3 else None}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        first = f"http://127.0.0.1:{server.server_port}/?page="
+        rows = paged.paged_json(spark, [first + "1", first + "3"], wait=0.01).select(F.get_json_object("value", "$.n").cast("int").alias("n")).collect()
+        assert sorted(r["n"] for r in rows) == [10, 11, 20, 21, 30, 30, 31, 31] and failed
+    finally:
+        server.shutdown()
+
+
+def test_outputs(spark, tmp_path):
+    rows = frame(spark, [(1, "a,\"b\""), (2, None)], "id int, name string")
+    outputs.write_csv(rows, str(tmp_path / "csv"))
+    assert sorted(map(tuple, tables.csv_feed(spark, str(tmp_path / "csv"), "id int, name string").collect()), key=repr) == [(1, 'a,"b"'), (2, None)]
+    outputs.write_json_lines(rows, str(tmp_path / "json"))
+    assert tables.json_lines(spark, str(tmp_path / "json"), "id int, name string").count() == 2
+    for wanted in (rows, rows.where("id = 1")):
+        assert outputs.refresh(wanted, str(tmp_path / "view")).count() == wanted.count()
+    items = frame(spark, [(k, f"<item>{k}</item>") for k in range(5)], "at int, item string")
+    assert outputs.rss_channel(items, "A & B", "https://e.org", "d", "at", most=2).first()["feed"].endswith("<title>A &amp; B</title><link>https://e.org</link><description>d</description><item>4</item><item>3</item></channel></rss>")
+    assert outputs.touched(rows, F.lit("now")).columns == ["id", "name", "updated_at"]
