@@ -36,8 +36,9 @@ BLOCK_CHARS = 512
 #: The labelled sample of each language: so many documents, and so many characters of all of them together.
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 30_000
-#: Characters of all languages' samples together: the automata then hold fewer than 200 MB.
-TOTAL_CHARS = 1 << 21
+#: Characters of all languages' samples together: their automata have twice as many states at most and
+#: three times as many transitions, of which one of each state isn't hashed, so they hold fewer than 150 MB.
+TOTAL_CHARS = 1 << 20
 #: A text that gives only a part of itself gives passages of about so many characters, spread over all of it.
 PASSAGE_CHARS = 300
 UNDETERMINED = "und"
@@ -47,26 +48,43 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Parser(NamedTuple):
-    """The automata of all languages, with states numbered through."""
+    """The automata of all languages, with states numbered through.
+
+    Most states go on by one symbol, or by one above all: that one is looked up by
+    the state alone, and only the others of a state that branches are hashed.
+    """
 
     languages: list[str]
     symbols: np.ndarray  # of each code point; 0: met in no sample
     width: int  # symbols, and 0
-    keys: np.ndarray  # hash table of state * width + symbol + 1; 0: free
+    main: np.ndarray  # of each state the symbol it goes on by most often; -1: none
+    to: np.ndarray  # and where to
+    branches: np.ndarray  # whether there are others
+    keys: np.ndarray  # hash table of state * width + symbol + 1 of these; 0: free
     following: np.ndarray  # the next state
     begun: np.ndarray  # (languages, symbols): the state after a phrase's first symbol
     lengths: np.ndarray  # of each language's sample, in symbols
 
     def after(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """The next states, or -1 where a phrase ends before ``symbol``."""
-        key = (state.astype(np.int64) * self.width + symbol + 1).ravel()
-        slot = _slots(key, len(self.keys))
-        met = self.keys[slot]
-        while (on := (met != key) & (met != 0)).any():
-            at = np.flatnonzero(on)
-            slot[at] = (slot[at] + 1) & (len(self.keys) - 1)
-            met[at] = self.keys[slot[at]]
-        return np.where(met == key, self.following[slot], -1).reshape(state.shape)
+        flat = state.ravel()
+        now = np.broadcast_to(symbol, state.shape).ravel()
+        same = self.main[flat] == now
+        out = np.where(same, self.to[flat], -1)
+        rest = np.flatnonzero(self.branches[flat] & ~same)
+        if len(rest):
+            key = flat[rest].astype(np.int64) * self.width + now[rest] + 1
+            slot = _slots(key, len(self.keys))
+            met = self.keys[slot]
+            out[rest] = np.where(met == key, self.following[slot], -1)
+            on = np.flatnonzero((met != key) & (met != 0))
+            while len(on):
+                slot[on] = (slot[on] + 1) & (len(self.keys) - 1)
+                met = self.keys[slot[on]]
+                hit = met == key[on]
+                out[rest[on[hit]]] = self.following[slot[on[hit]]]
+                on = on[~hit & (met != 0)]
+        return out.reshape(state.shape)
 
 
 def _slots(key: np.ndarray, size: int) -> np.ndarray:
@@ -74,8 +92,8 @@ def _slots(key: np.ndarray, size: int) -> np.ndarray:
 
 
 def _hash_table(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Open addressing, at most half full."""
-    size = 1 << max(4, (2 * len(key)).bit_length())
+    """Open addressing, at most a quarter full."""
+    size = 1 << max(4, (4 * len(key)).bit_length())
     keys, values = np.zeros(size, np.int64), np.zeros(size, np.int32)
     slot, left = _slots(key, size), np.arange(len(key))
     while len(left):
@@ -88,13 +106,16 @@ def _hash_table(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys, values
 
 
-def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
-    """The transitions of the least automaton of all substrings; state 0 is the root."""
+def suffix_automaton(symbols: list[int]) -> tuple[list[dict[int, int]], list[int]]:
+    """The transitions of the least automaton of all substrings, and how often each state's substrings occur.
+
+    State 0 is the root.
+    """
     following: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
+    link, length, times, last = [-1], [0], [0], 0
     for c in symbols:
         current, p = len(following), last
-        following.append({}), length.append(length[last] + 1), link.append(0)
+        following.append({}), length.append(length[last] + 1), link.append(0), times.append(1)
         while p >= 0 and c not in following[p]:
             following[p][c] = current
             p = link[p]
@@ -104,13 +125,15 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
                 link[current] = q
             else:
                 copy = len(following)
-                following.append(dict(following[q])), length.append(length[p] + 1), link.append(link[q])
+                following.append(dict(following[q])), length.append(length[p] + 1), link.append(link[q]), times.append(0)
                 while p >= 0 and following[p].get(c) == q:
                     following[p][c] = copy
                     p = link[p]
                 link[q] = link[current] = copy
         last = current
-    return following
+    for state in sorted(range(1, len(link)), key=length.__getitem__, reverse=True):
+        times[link[state]] += times[state]
+    return following, times
 
 
 def _folded(text: str) -> str:
@@ -134,16 +157,22 @@ def build_parser(samples: dict[str, str]) -> Parser:
             points[ord(c.upper())] = k
     width, at = len(symbol) + 1, 0
     keys, following, begun = [], [], np.zeros((len(languages), width), np.int32)
+    main, to, branches = [], [], []
     for k, text in enumerate(texts):
-        states = suffix_automaton([symbol[c] for c in text])
+        states, times = suffix_automaton([symbol[c] for c in text])
         stray = at + len(states)  # after a symbol that the sample lacks, which is a phrase by itself
         begun[k] = stray
         begun[k, list(states[0])] = np.array(list(states[0].values())) + at
-        keys.append(np.fromiter(((at + n) * width + c + 1 for n, out in enumerate(states) for c in out), np.int64))
-        following.append(np.fromiter((at + to for out in states for to in out.values()), np.int64))
+        for n, out in enumerate([*states, {}]):
+            often = max(out, key=lambda c: (times[out[c]], c)) if out else -1
+            main.append(often)
+            to.append(at + out.pop(often) if out else -1)
+            branches.append(bool(out))
+            keys += [(at + n) * width + c + 1 for c in out]
+            following += [at + x for x in out.values()]
         at = stray + 1
-    none = np.zeros(0, np.int64)
-    return Parser(languages, points, width, *_hash_table(np.concatenate([none, *keys]), np.concatenate([none, *following])), begun, np.array([len(t) for t in texts]))
+    table = _hash_table(np.array(keys, np.int64), np.array(following, np.int32))
+    return Parser(languages, points, width, np.array(main, np.int32), np.array(to, np.int32), np.array(branches, bool), *table, begun, np.array([len(t) for t in texts]))
 
 
 def _parse(parser: Parser, column: pa.Array, block_chars: int = BLOCK_CHARS) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +219,7 @@ def _from_the_root(parser: Parser, symbol: np.ndarray, start: np.ndarray, size:
     order = np.argsort(-size, kind="stable")
     first, length = start[order], size[order]
     lang = np.arange(len(parser.languages))[:, None]
-    state = parser.begun[lang, symbol[first]] if len(first) else np.zeros((len(lang), 0), np.int32)
+    state = parser.begun[lang, symbol[first]]
     phrases = np.ones(state.shape, np.int64)
     live = np.searchsorted(-length, -np.arange(2, length.max(initial=0) + 1), "right")  # blocks that have each symbol
     for k, n in enumerate(live.tolist(), 1):
@@ -210,12 +239,13 @@ def _carried(parser: Parser, symbol: np.ndarray, start: np.ndarray, size: np.nda
     And the last states, -1 if they are those of the parse from the root.
     """
     more, last = np.zeros(len(start), np.int64), np.full(len(start), -1, np.int64)
-    live, root, k = np.arange(len(start)), np.full(len(start), -1), 0
+    live, root, k = np.arange(len(start)), state, 0
     while len(live):
-        now, own = symbol[start[live] + k], lang[live]
+        now, own, n = symbol[start[live] + k], lang[live], len(live)
         anew = parser.begun[own, now]
-        to = parser.after(state, now)
-        plain = parser.after(root, now) if k else np.full(len(live), -1)
+        # Both parses in one look-up; at the first symbol a phrase of the parse from the root begins.
+        both = parser.after(np.concatenate([state, root]), np.concatenate([now, now])) if k else np.append(parser.after(state, now), np.full(n, -1))
+        to, plain = both[:n], both[n:]
         more[live] += (to < 0).astype(np.int64) - (plain < 0)
         state, root = np.where(to < 0, anew, to), np.where(plain < 0, anew, plain)
         k += 1
