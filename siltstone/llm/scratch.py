@@ -74,7 +74,7 @@ class Scratch:
         path, before = self.path(name), self.spark.conf.get(_CLEANUP, None)
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            frame.write.mode("overwrite").parquet(path)
+            frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
         finally:
             if before is None:
                 self.spark.conf.unset(_CLEANUP)
