@@ -39,7 +39,7 @@ from siltstone.llm.components import connected_components
 from siltstone.llm.naming import row_key
 from siltstone.llm.scratch import Scratch
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 TREES, DEPTH = 24, 8
 SIMILARITY, NGRAM, TARGET_RECALL = 0.8, 5, 0.9999
 #: A block of a group has about this much text; so has, twice, a verifying task.
@@ -98,14 +98,23 @@ class _Sample(NamedTuple):
     values: np.ndarray
 
 
+def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of two arrays, in order."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
 def _sample(texts: list[str], ngram: int, trees: int, depth: int) -> _Sample:
     w = arrays.words(*arrays.utf8(pa.array(texts, pa.string())))
     number, distinct = arrays.numbered(w.data, w.bounds)
     grams, row = _shingles(w, arrays.word_hashes(distinct)[number], ngram)
     values, _ = _signature(grams, row, len(texts), trees, depth)
-    pairs = np.unique(np.rec.fromarrays([grams, row]))
-    known, first = np.unique(pairs.f0, return_index=True)
-    return _Sample(known, np.append(first, len(pairs)), pairs.f1, np.bincount(pairs.f1, minlength=len(texts)), values)
+    grams, row = _once(grams, row)
+    known, first = np.unique(grams, return_index=True)
+    return _Sample(known, np.append(first, len(grams)), row, np.bincount(row, minlength=len(texts)), values)
 
 
 def _links_to(sample: _Sample, grams: np.ndarray, row: np.ndarray, values: np.ndarray, similarity: float, trees: int) -> np.ndarray:
@@ -119,13 +128,14 @@ def _links_to(sample: _Sample, grams: np.ndarray, row: np.ndarray, values: np.nd
     if not len(sample.grams) or not len(grams):
         return out
     at = np.minimum(np.searchsorted(sample.grams, grams), len(sample.grams) - 1)
-    touched = np.unique(row[sample.grams[at] == grams])
-    mine = np.isin(row, touched)
-    pairs = np.unique(np.rec.fromarrays([row[mine], grams[mine]]))
-    size = np.bincount(pairs.f0, minlength=n)
-    at = np.minimum(np.searchsorted(sample.grams, pairs.f1), len(sample.grams) - 1)
-    known = sample.grams[at] == pairs.f1
-    owner, at = pairs.f0[known], at[known]
+    touched = np.zeros(n, bool)
+    touched[row[sample.grams[at] == grams]] = True
+    mine = touched[row]
+    row, grams = _once(row[mine], grams[mine])
+    size = np.bincount(row, minlength=n)
+    at = np.minimum(np.searchsorted(sample.grams, grams), len(sample.grams) - 1)
+    known = sample.grams[at] == grams
+    owner, at = row[known], at[known]
     times = sample.bounds[at + 1] - sample.bounds[at]
     met = arrays.take_ragged(sample.texts, sample.bounds[at], times)
     both, common = np.unique(np.repeat(owner, times).astype(np.int64) * len(sample.sizes) + met, return_counts=True)
@@ -188,7 +198,7 @@ def _gram_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.nda
 class _Shared:
     """Counts of common n-grams, a bounded dense block of the n-gram table at a time."""
 
-    def __init__(self, row: np.ndarray, name: np.ndarray, n: int, cells: int = 4 << 20):
+    def __init__(self, row: np.ndarray, name: np.ndarray, n: int, cells: int = 2 << 20):
         _, name, df = np.unique(name, return_inverse=True, return_counts=True)
         often = df[name] > 1
         used, column = np.unique(name[often], return_inverse=True)
@@ -196,15 +206,15 @@ class _Shared:
         self.n, self.row, self.column, self.width = n, row[often][order], column[order], len(used)
         self.rows, self.step = max(16, cells // max(n, 1)), max(64, cells // max(n, 1))
 
-    def between(self, a: int, b: int) -> np.ndarray:
-        """Texts a..b against all."""
-        out = np.zeros((b - a, self.n), np.float32)
+    def between(self, a: int, b: int, c: int) -> np.ndarray:
+        """Texts a..b against all from c on."""
+        out = np.zeros((b - a, self.n - c), np.float32)
         for at in range(0, self.width, self.step):
             i, j = np.searchsorted(self.column, [at, at + self.step])
             block = np.zeros((self.n, min(self.step, self.width - at)), np.float32)
             block[self.row[i:j], self.column[i:j] - at] = 1
-            out += block[a:b] @ block.T
-        return out.astype(np.int64)
+            out += block[a:b] @ block[c:].T
+        return out
 
 
 def _compare(group: pd.DataFrame, n: int, similarity: float) -> pd.DataFrame:
@@ -229,23 +239,27 @@ def _compare(group: pd.DataFrame, n: int, similarity: float) -> pd.DataFrame:
     limit = round(similarity * 1_000_000)
     for a in range(0, split, shared.rows):
         b = min(a + shared.rows, split)
-        common = shared.between(a, b)
-        union = size[a:b, None] + size[None, :] - common
-        near = (common * 1_000_000 >= limit * union) & (union > 0)
-        near[np.arange(b - a), np.arange(a, b)] = False
+        c = a if i == j else split  # every pair once
+        common = shared.between(a, b, c)
+        near = np.empty(common.shape, bool)
+        for x, row_common in enumerate(common):  # of the union: both sets less what they share
+            near[x] = row_common.astype(float) * (1_000_000 + limit) >= limit * (size[a + x] + size[c:])
+            if i == j:
+                near[x, : x + 1] = False
         if earlier.width:
-            near &= earlier.between(a, b) == 0
-        if i != j:
-            near[:, :split] = False
-            links[split:] += copies[a:b] @ near[:, split:]
-        links[a:b] += near @ copies
+            near &= earlier.between(a, b, c) == 0
+        links[a:b] += near @ copies[c:]
+        links[c:] += copies[a:b] @ near
         for x in np.flatnonzero(near.any(1)).tolist():
-            met = np.unique(np.append(root[near[x]], root[a + x]))
+            met = np.unique(np.append(root[c:][near[x]], root[a + x]))
             if len(met) > 1:
                 root[np.isin(root, met[1:])] = met[0]
     least = np.full(len(group), np.iinfo(np.int64).max)
     np.minimum.at(least, root, node)
-    return pd.DataFrame({"node": node, "links": links, "root": least[root]})
+    out = pd.DataFrame({"node": node, "links": links, "root": least[root]})
+    del shared, earlier, row, name
+    arrays.release()
+    return out
 
 
 def _beside_pivot(group: pd.DataFrame, n: int, similarity: float) -> pd.DataFrame:
