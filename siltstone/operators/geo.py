@@ -80,13 +80,40 @@ def _simplify(ring: np.ndarray, tolerance: float) -> np.ndarray:
     return ring[keep]
 
 
+def _crosses_itself(ring: np.ndarray) -> bool:
+    """Whether two sides of a closed ring that aren't neighbours touch."""
+    a, b = ring[:-1], ring[1:]
+    n = len(a)
+    side = lambda p, q, r: np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
+    for k in range(n - 2):  # each side against all later ones but its neighbours
+        other = np.arange(k + 2, n - (k == 0))
+        c, d = a[other], b[other]
+        if np.any((side(a[k], b[k], c) * side(a[k], b[k], d) <= 0) & (side(c, d, a[k]) * side(c, d, b[k]) <= 0)):
+            return True
+    return False
+
+
+def _valid_ring(ring: np.ndarray, tolerance: float) -> np.ndarray:
+    """The ring with fewer points, with as many as it takes not to cross itself."""
+    for _ in range(8):
+        fewer = _simplify(ring, tolerance)
+        if len(fewer) < 4 or not _crosses_itself(fewer):
+            return fewer
+        tolerance /= 2
+    return ring
+
+
 def simplified(rows: DataFrame, geometry: str, tolerance: float = 0.005) -> DataFrame:
-    """Add ``simple``, a MultiPolygon with fewer points; rings that collapse go."""
+    """Add ``simple``, a MultiPolygon with fewer points; rings that collapse go.
+
+    A ring that would cross itself keeps more of its points, so valid polygons
+    stay valid. What is no polygon has a null.
+    """
 
     @F.pandas_udf("string")
     def simple(g: pd.Series) -> pd.Series:
         def one(x: str | None) -> str | None:
-            rings = [[r for r in (_simplify(ring, tolerance) for ring in p) if len(r) >= 4] for p in _polygons(x)]
+            rings = [[r for r in (_valid_ring(ring, tolerance) for ring in p) if len(r) >= 4] for p in _polygons(x)]
             rings = [p for p in rings if p]
             return json.dumps({"type": "MultiPolygon", "coordinates": [[r.tolist() for r in p] for p in rings]}) if rings else None
 
@@ -97,13 +124,83 @@ def simplified(rows: DataFrame, geometry: str, tolerance: float = 0.005) -> Data
 
 def collected(rows: DataFrame, keys: list[str], geometry: str) -> DataFrame:
     """Each group's polygons as one MultiPolygon. Polygons are expected not to overlap; borders stay."""
-    polygons = F.from_json(F.get_json_object(geometry, "$.coordinates"), "array<array<array<array<double>>>>")
-    single = F.array(F.from_json(F.get_json_object(geometry, "$.coordinates"), "array<array<array<double>>>"))
-    parts = F.when(F.get_json_object(geometry, "$.type") == "MultiPolygon", polygons).otherwise(single)
-    out = rows.groupBy(*keys).agg(F.flatten(F.collect_list(parts)).alias("c"))
+    out = rows.groupBy(*keys).agg(F.flatten(F.collect_list(_coordinates(geometry))).alias("c"))
     return out.select(*keys, F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.col("c").alias("coordinates"))).alias("outline"))
 
 
+def _coordinates(geometry: str) -> Column:
+    """A polygon or several as lists of rings."""
+    many = F.from_json(F.get_json_object(geometry, "$.coordinates"), "array<array<array<array<double>>>>")
+    single = F.array(F.from_json(F.get_json_object(geometry, "$.coordinates"), "array<array<array<double>>>"))
+    return F.when(F.get_json_object(geometry, "$.type") == "MultiPolygon", many).otherwise(single)
+
+
+def dissolved(rows: DataFrame, keys: list[str], geometry: str) -> DataFrame:
+    """The outline of each group's polygons, without the borders between them: ``keys, outline``.
+
+    Polygons touch along sides that both have; such a side runs once each way and
+    is left out, which is an aggregation over all sides. What is left is put
+    together to rings for each group, so a task holds one outline. Polygons that
+    overlap, or whose common border has other points on each side, keep it.
+    """
+    ring = rows.select(*keys, F.explode(_coordinates(geometry)).alias("polygon")).select(*keys, F.posexplode("polygon").alias("nth", "ring"))
+    x, y = (lambda p: p[0]), (lambda p: p[1])
+    nxt = lambda i: F.element_at("ring", i + 2)
+    sides = F.transform(F.slice("ring", 1, F.size("ring") - 1), lambda p, i: F.struct(x(p).alias("ax"), y(p).alias("ay"), x(nxt(i)).alias("bx"), y(nxt(i)).alias("by")))
+    area = F.aggregate("sides", F.lit(0.0), lambda s, e: s + e["ax"] * e["by"] - e["bx"] * e["ay"])
+    ring = ring.select(*keys, "nth", sides.alias("sides")).withColumn("turn", F.when((area > 0) == (F.col("nth") == 0), 1).otherwise(-1))
+    side = ring.select(*keys, "turn", F.explode("sides").alias("e")).where("e.ax <> e.bx OR e.ay <> e.by")
+    ahead = (F.col("e.ax") < F.col("e.bx")) | ((F.col("e.ax") == F.col("e.bx")) & (F.col("e.ay") < F.col("e.by")))
+    end = lambda first, c: F.when(ahead == first, F.col(f"e.a{c}")).otherwise(F.col(f"e.b{c}")).alias(f"{'p' if first else 'q'}{c}")
+    side = side.select(*keys, end(True, "x"), end(True, "y"), end(False, "x"), end(False, "y"), F.when(ahead, F.col("turn")).otherwise(-F.col("turn")).alias("way"))
+    left = side.groupBy(*keys, "px", "py", "qx", "qy").agg(F.sum("way").alias("way")).where("way <> 0")
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "outline string"])
+
+    def put_together(group: pd.DataFrame) -> pd.DataFrame:
+        fixed = group[keys].head(1).reset_index(drop=True)
+        return fixed.assign(outline=_outline(group[["px", "py", "qx", "qy"]].to_numpy(), group["way"].to_numpy()))
+
+    return left.groupBy(*keys).applyInPandas(put_together, schema)
+
+
+def _outline(sides: np.ndarray, way: np.ndarray) -> str:
+    """Rings of directed sides as a MultiPolygon: outlines run one way, holes the other."""
+    after: dict[tuple, list[tuple]] = {}
+    for (px, py, qx, qy), w in zip(sides.tolist(), way.tolist(), strict=True):
+        a, b = ((px, py), (qx, qy)) if w > 0 else ((qx, qy), (px, py))
+        after.setdefault(a, []).append(b)
+    outer, holes = [], []
+    while after:
+        start = min(after)
+        ring, at = [start], start
+        while True:
+            ends = after[at]
+            nxt = ends.pop()
+            if not ends:
+                del after[at]
+            ring.append(nxt)
+            at = nxt
+            if at == start or at not in after:
+                break
+        points = np.array(ring)
+        area = float((points[:-1, 0] * points[1:, 1] - points[1:, 0] * points[:-1, 1]).sum())
+        (outer if area > 0 else holes).append(ring)
+    polygons = [[r] for r in sorted(outer)]
+    for hole in sorted(holes):
+        home = next((p for p in polygons if _inside(hole[0], np.array(p[0]))), None)
+        (home if home is not None else polygons[0]).append(hole) if polygons else None
+    return json.dumps({"type": "MultiPolygon", "coordinates": [[[list(c) for c in r] for r in p] for p in polygons]})
+
+
+def _inside(point: tuple, ring: np.ndarray) -> bool:
+    a, b = ring[:-1], ring[1:]
+    up = (a[:, 1] > point[1]) != (b[:, 1] > point[1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cross = a[:, 0] + (point[1] - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1])
+    return bool((up & (point[0] < cross)).sum() % 2)
+
+
 def features(rows: DataFrame, lng: str, lat: str, properties: list[str]) -> DataFrame:
     """A GeoJSON point feature for each row that has a place."""
     point = F.struct(F.lit("Point").alias("type"), F.array(lng, lat).alias("coordinates"))

@@ -248,3 +248,20 @@ def sane_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Years out of range give way to the year of the debate."""
     at = F.when(F.col("o_orderkey") % 3 == 0, F.add_months("o_orderdate", -3600)).otherwise(F.col("o_orderdate").cast("date"))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.year(strings.sane_date(at, F.lit("2024-05-01").cast("date"))).alias("y"))
+
+
+@query("""SELECT n_regionkey AS region, count(*) AS cells, count(*) * 2 + 2 AS sides FROM nation GROUP BY 1""")
+def region_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each region's nations as cells in a row; the borders between them are dissolved."""
+    from pyspark.sql.window import Window
+
+    from siltstone.operators.geo import dissolved
+
+    at = (F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1).cast("double")
+    cells = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("region"), at.alias("x"))
+    ring = F.array(*[F.array(F.col("x") + dx, F.lit(y)) for dx, y in ((0, 0.0), (1, 0.0), (1, 1.0), (0, 1.0), (0, 0.0))])
+    shape = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
+    outlines = dissolved(cells.select("region", shape.alias("g")), ["region"], "g")
+    counted = cells.groupBy("region").agg(F.count(F.lit(1)).alias("cells"))
+    points = F.from_json(F.get_json_object("outline", "$.coordinates"), "array<array<array<array<double>>>>")
+    return outlines.join(counted, "region").select("region", "cells", (F.size(points[0][0]) - 1).cast("long").alias("sides"))

@@ -328,6 +328,28 @@ def test_boundaries(spark):
     assert geo.collected(rows.where("id = 1").union(rows.where("id = 1")), [], "g").first()["outline"].count("[[[0.0") == 2
 
 
+def test_borders_between_polygons_go(spark):
+    cell = lambda x, y, turned: json.dumps({"type": "Polygon", "coordinates": [[[x, y], [x + 1, y], [x + 1, y + 1], [x, y + 1], [x, y]][:: -1 if turned else 1]]})
+    # A ring of eight cells around a hole, in both directions, and one cell apart.
+    cells = [("a", cell(x, y, (x + y) % 2)) for x in range(3) for y in range(3) if (x, y) != (1, 1)] + [("a", cell(10, 10, False)), ("b", cell(0, 0, True))]
+    rows = {r["k"]: json.loads(r["outline"])["coordinates"] for r in geo.dissolved(frame(spark, cells, "k string, g string"), ["k"], "g").collect()}
+    assert [len(p) for p in rows["a"]] == [2, 1] and len(rows["a"][0][0]) == 13 and len(rows["a"][0][1]) == 5
+    facts = geo.with_facts(frame(spark, [(json.dumps({"type": "MultiPolygon", "coordinates": rows["a"]}),)], "g string"), "g").first()["geo"]
+    parts = geo.with_facts(frame(spark, [c for c in cells if c[0] == "a"], "k string, g string"), "g").agg(F.sum("geo.area_km2")).first()[0]
+    assert abs(facts["area_km2"] - parts) < 1 and len(rows["b"]) == 1
+
+
+def test_simplified_rings_do_not_cross_themselves(spark):
+    # A thin tongue: without its own points the two sides of it would cross the far bank.
+    ring = [[0, 0], [10, 0], [10, 4], [5, 0.2], [0, 4], [0, 0]]
+    bumpy = [[0, 0], [4.9, 0], [5, 0.3], [5.1, 0], [10, 0], [10, 4], [5, 0.2], [0, 4], [0, 0]]
+    assert geo._crosses_itself(np.array([[0, 0], [2, 2], [2, 0], [0, 2], [0, 0]], float)) and not geo._crosses_itself(np.array(ring, float))
+    rows = frame(spark, [(json.dumps({"type": "Polygon", "coordinates": [r]}),) for r in (ring, bumpy)], "g string")
+    for r in geo.simplified(rows, "g", tolerance=0.5).collect():
+        for polygon in json.loads(r["simple"])["coordinates"]:
+            assert not geo._crosses_itself(np.array(polygon[0])) or polygon[0] == bumpy
+
+
 def test_geo_lookup(spark):
     nets = frame(spark, [(16777216, 16777471, "AU"), (3232235520, 3232301055, "home")], "first long, last long, country string")
     asked = frame(spark, [("1.0.0.7",), ("192.168.3.4",), ("9.9.9.9",), ("no",), (None,)], "ip string")
