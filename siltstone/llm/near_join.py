@@ -45,7 +45,7 @@ SIMILARITY, NGRAM, TARGET_RECALL = 0.8, 5, 0.9999
 #: A block of a group has about this much text; so has, twice, a verifying task.
 BLOCK_BYTES = 2 << 20
 #: The sample by which prefixes are shortened: so many distinct texts of at most so many bytes.
-SAMPLE_TEXTS, SAMPLE_BYTES = 256, 1 << 16
+SAMPLE_TEXTS, SAMPLE_BYTES = 1024, 1 << 15
 
 
 def meeting(similarity: np.ndarray | float, depth: int, trees: int) -> np.ndarray | float:
