@@ -34,7 +34,7 @@ def stratified_sample(rows: DataFrame, strata: list[str], key: str, target: int,
     sizes = sizes.withColumn("__quota", F.col("__quota") + step)
     first = rows.withColumn("__forced", F.lit(False)) if forced is None else rows.join(forced.select(key).distinct().withColumn("__forced", F.lit(True)), key, "left").fillna({"__forced": False})
     order = Window.partitionBy(*strata).orderBy(F.col("__forced").desc(), F.xxhash64(key, F.lit(seed)), key)
-    drawn = first.withColumn("__rn", F.row_number().over(order)).join(F.broadcast(sizes), strata)
+    drawn = first.withColumn("__rn", F.row_number().over(order)).join(sizes, strata)
     return drawn.where((F.col("__rn") <= F.col("__quota")) | F.col("__forced")).select(rows.columns)
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltstone.functions.markup import rewritten_links, sanitised
 from siltstone.functions.strings import letter_grade
 from siltstone.operators.latest import first_by
 from siltstone.sources.shared import shared_folder
@@ -95,6 +99,23 @@ def bucketed(rows: DataFrame, order: list[Column], size: int, text: str, most: i
     return numbered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), joined.alias("body"))
 
 
+def mapped_report(rows: DataFrame, order: list[Column], text: str, mapper: Callable[[str], str], reducer: Callable[[list[str]], str], targets: dict[str, str], size: int = 10, most: int = 300) -> DataFrame:
+    """A report of the first ``most`` rows, one row ``report``: buckets mapped, answers reduced, links rewritten, HTML cleaned.
+
+    ``mapper`` and ``reducer`` are the caller's, a language model for one;
+    ``targets`` are the places of the chunks that the report may link to. Buckets
+    are mapped in tasks; at most ``most / size`` answers come to the driver.
+    """
+
+    @F.pandas_udf("string")
+    def answers(bodies: pd.Series) -> pd.Series:
+        return bodies.map(mapper)
+
+    parts = bucketed(rows, order, size, text, most).select("bucket", answers("body").alias("answer")).orderBy("bucket").collect()
+    whole = rows.sparkSession.createDataFrame([(reducer([r["answer"] for r in parts]), targets)], "html string, targets map<string,string>")
+    return whole.select(sanitised(rewritten_links(F.col("html"), F.col("targets")), prefix="/").alias("report"))
+
+
 def index_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """The values at index ``int(n * share)`` of each key's sorted values, as a list index has it.
 

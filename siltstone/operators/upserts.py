@@ -6,7 +6,7 @@ of the greatest values), so a key never has more rows than it had.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siltstone.operators.latest import first_by
@@ -105,6 +105,16 @@ def soft_close(table: DataFrame, seen: DataFrame, keys: list[str], ended: str, a
     return table.join(right, on, "left").withColumn(ended, F.when(gone, at).otherwise(F.col(ended))).select(table.columns)
 
 
+def counted(rows: DataFrame, label: str, **conditions: Column) -> tuple[DataFrame, Observation]:
+    """The rows, and counts of them by condition that are known once they were written.
+
+    The counts come with the write itself, so a chain of updates reports what each
+    of its steps did without another pass.
+    """
+    seen = Observation(label)
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in conditions.items()]), seen
+
+
 def merge_entities(children: DataFrame, mapping: DataFrame, key: str, unique: list[str]) -> DataFrame:
     """Children of losers move to winners (``loser, winner``); rows that then repeat go."""
     moved = children.join(mapping, F.col(key) == F.col("loser"), "left").withColumn(key, F.coalesce("winner", key))

@@ -101,7 +101,8 @@ class StateChanges:
 class StandingQueries:
     """Saved searches with a watermark each, matched against every new batch.
 
-    ``searches`` has ``search_id, last_checked_at``; a match is newer than that.
+    ``searches`` has ``search_id, last_checked_at``; a match is newer than that, or
+    than ``first`` for a search that was never checked (by default all are new).
     ``deliver`` gets a batch's matches and its number, and may return the ids of
     searches whose delivery failed; if it raises, all have. The watermark of a
     search moves on after its delivery, with or without matches. A search that
@@ -110,8 +111,9 @@ class StandingQueries:
     under ``folder``, so they outlive the driver.
     """
 
-    def __init__(self, searches: DataFrame, condition: Column, at: str, tie: str, deliver: Callable[[DataFrame, int], Iterable | None], folder: str, most: int = 10):
+    def __init__(self, searches: DataFrame, condition: Column, at: str, tie: str, deliver: Callable[[DataFrame, int], Iterable | None], folder: str, most: int = 10, first: Column | None = None):
         self.searches, self.condition, self.at, self.tie, self.deliver, self.folder, self.most = searches, condition, at, tie, deliver, folder, most
+        self.first = F.lit("0001-01-01").cast("timestamp_ntz") if first is None else first
 
     def _before(self, spark: SparkSession, name: str, number: int) -> DataFrame | None:
         past = [n for n in versions(spark, f"{self.folder}/{name}") if n < number]
@@ -124,7 +126,7 @@ class StandingQueries:
 
     def matches(self, batch: DataFrame, watermarks: DataFrame) -> DataFrame:
         """The ``most`` newest matches of each search, by time and not by likeness."""
-        newer = F.col(self.at) > F.coalesce(F.col("last_checked_at"), F.lit("0001-01-01").cast("timestamp_ntz"))
+        newer = F.col(self.at) > F.coalesce(F.col("last_checked_at"), self.first)
         saved = self.searches.drop("last_checked_at").join(watermarks, "search_id", "left")
         found = batch.join(saved, self.condition & newer)
         return first_by(found, ["search_id"], [F.col(self.at).desc_nulls_last(), F.col(self.tie)], self.most)

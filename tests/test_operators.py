@@ -434,3 +434,30 @@ def test_outputs(spark, tmp_path):
     items = frame(spark, [(k, f"<item>{k}</item>") for k in range(5)], "at int, item string")
     assert outputs.rss_channel(items, "A & B", "https://e.org", "d", "at", most=2).first()["feed"].endswith("<title>A &amp; B</title><link>https://e.org</link><description>d</description><item>4</item><item>3</item></channel></rss>")
     assert outputs.touched(rows, F.lit("now")).columns == ["id", "name", "updated_at"]
+
+
+def test_socials_of_pages(spark):
+    html = '<a href="https://twitter.com/ann">a</a><a href="https://x.com/ann">b</a><a href="https://bsky.app/profile/ann.b">c</a><a href="https://other.org/x">d</a><a href="https://twitter.com/login">e</a>'
+    rows = chunks.page_socials(frame(spark, [(1, "https://own.org", html)], "id int, url string, html string"), "id").collect()
+    assert {tuple(r) for r in rows} == {(1, "twitter", "ann"), (1, "bluesky", "ann.b")}
+
+
+def test_candidates_of_platforms(spark):
+    people = frame(spark, [(1, ["Ann", "Tall"])], "id int, words array<string>")
+    rows = {(r["platform"], r["handle"]) for r in chunks.platform_candidates(people, "id", "words").collect()}
+    assert {("twitter", "ann_tall"), ("bluesky", "anntall.bsky.social"), ("mastodon", "@talla@mastodon.social")} - rows == {("mastodon", "@talla@mastodon.social")}
+    assert ("twitter", "ann.tall") not in rows and ("instagram", "ann.tall") in rows
+
+
+def test_counts_come_with_the_write(spark, tmp_path):
+    rows, seen = upserts.counted(frame(spark, [(1, "a"), (2, None), (3, "b")], "id int, v string"), "step", blank=F.col("v").isNull())
+    rows.write.parquet(str(tmp_path / "out"))
+    assert seen.get == {"rows": 3, "blank": 1}
+
+
+def test_mapped_report(spark):
+    rows = frame(spark, [(k, f"t{k}") for k in range(25)], "id int, text string")
+    mapper = lambda body: f"{len(body.split())}"
+    reducer = lambda answers: f'<p>{"+".join(answers)} <a href="CHUNK:ab">in</a><a href="CHUNK:cd">none</a><script>x</script></p>'
+    out = rollups.mapped_report(rows, [F.col("id")], "text", mapper, reducer, {"ab": "/speeches/1#ab"}, size=10, most=22).collect()
+    assert [r["report"] for r in out] == ['<p>10+10+2 <a href="/speeches/1#ab">in</a><a>none</a></p>']
