@@ -8,8 +8,9 @@ There equal windows are brought together by sorting and the least document id of
 each is found exactly: hashes only order the sort, the words decide.
 
 Each slice of rows is first searched in itself. A window that also lies in a
-smaller document of the slice is settled there and isn't sent, so a passage that
-a third of all documents share reaches its bucket once for each slice, not once
+smaller document of the slice is settled there and isn't sent, and a task keeps the
+windows that it met so, to settle those of its later slices. So a passage that
+a third of all documents share reaches its bucket about once for each task, not once
 for each document.
 
 Runs that are frequent in a sample of the rows are hot and no window's minimiser
@@ -20,7 +21,7 @@ which are found: equal windows always meet.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ MINIMISER_WORDS = 3
 #: A three-word run is hot if it occurs about this often (as super-k-mers, an average
 #: bucket), as told by one in so many rows. Of n words, n / HOT_RUNS runs at most are hot.
 HOT_RUNS, HOT_SAMPLE = 1 << 16, 64
+#: A task keeps so many windows that lie in several documents, about 100 bytes each.
+MOST_MET = 1 << 16
 #: A row is what a slice sends to a bucket, or (without ``text``) the spans that it settled itself.
 _SENT = "bucket int, docs binary, places binary, text binary"
 
@@ -52,7 +55,7 @@ def _same(numbers: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.n
     return equal
 
 
-def starts_earlier(numbers: np.ndarray, hashes: np.ndarray, starts: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
+def starts_earlier(numbers: np.ndarray, hashes: np.ndarray, starts: np.ndarray, doc: np.ndarray, width: int, keys: np.ndarray | None = None) -> np.ndarray:
     """For each window, whether its words also start in a document with a smaller id.
 
     ``numbers`` are word numbers, ``hashes`` their hashes, ``starts`` the windows'
@@ -61,7 +64,7 @@ def starts_earlier(numbers: np.ndarray, hashes: np.ndarray, starts: np.ndarray,
     """
     if not len(starts):
         return np.zeros(0, bool)
-    keys = arrays.window_hashes(hashes[numbers], width)[starts]
+    keys = arrays.window_hashes(hashes[numbers], width)[starts] if keys is None else keys
     order = np.argsort(keys, kind="stable")
     key, at = keys[order], starts[order]
     tied = np.flatnonzero(key[1:] == key[:-1])
@@ -112,8 +115,38 @@ def hot_runs(rows: DataFrame, often: int = HOT_RUNS, sample: int = HOT_SAMPLE) -
     return np.sort(np.array([r["run"] for r in found], np.int64).view(np.uint64))
 
 
-def _pack(part: pa.RecordBatch, width: int, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Super-k-mers of a slice, and the spans that the slice settles by itself."""
+class Met:
+    """Windows that lie in several documents of a task's slices, with the least of these: at most ``MOST_MET``.
+
+    A window that isn't here is sent, so the bound costs no result.
+    """
+
+    def __init__(self) -> None:
+        self.keys, self.docs, self.words = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
+
+    def earlier(self, keys: np.ndarray, docs: np.ndarray, words: Callable[[int], bytes]) -> np.ndarray:
+        """For each window whether its words were met in a smaller document."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        out = (self.keys[at] == keys) & (self.docs[at] < docs)
+        for k in np.flatnonzero(out).tolist():
+            out[k] = self.words[at[k]] == words(k)
+        return out
+
+    def add(self, keys: np.ndarray, docs: np.ndarray, words: Callable[[int], bytes]) -> None:
+        """Take windows in, each with the least document known of it."""
+        keys, first = np.unique(keys, return_index=True)
+        all_keys = np.concatenate([keys, self.keys])
+        all_docs = np.concatenate([docs[first], self.docs])
+        all_words = np.concatenate([np.array([words(k) for k in first.tolist()] + [None], object)[:-1], self.words])
+        order = np.lexsort((all_docs, all_keys))
+        kept = order[np.append(True, np.diff(all_keys[order]) != 0)][:MOST_MET] if len(order) else order
+        self.keys, self.docs, self.words = all_keys[kept], all_docs[kept], all_words[kept]
+
+
+def _pack(part: pa.RecordBatch, width: int, buckets: int, hot: np.ndarray, met: Met) -> Iterator[pa.RecordBatch]:
+    """Super-k-mers of a slice, and the spans that the slice settles by itself and by the ones before."""
     docs, keys = part.column(0).to_numpy(), part.column(1).to_numpy()
     _, once = np.unique(np.array([docs, keys]), axis=1, return_index=True)
     if len(once) < len(docs):  # repeated rows have equal results
@@ -126,7 +159,15 @@ def _pack(part: pa.RecordBatch, width: int, buckets: int, hot: np.ndarray) -> It
     numbers, distinct = arrays.numbered(w.data, w.bounds)
     hashes = arrays.word_hashes(distinct)
     doc = docs[w.row[starts]]
-    settled = starts_earlier(numbers, hashes, starts, doc, width)
+    whole = arrays.window_hashes(hashes[numbers], width)[starts]
+    settled = starts_earlier(numbers, hashes, starts, doc, width, whole)
+    text, shift = arrays.spaced(w.data, w.bounds).tobytes(), w.bounds + np.arange(len(w.bounds))
+    words_of = lambda at: lambda k: text[shift[starts[at[k]]] : shift[starts[at[k]] + width] - 1]
+    several = np.unique(whole[settled])
+    left = np.flatnonzero(~settled)
+    settled[left] = met.earlier(whole[left], doc[left], words_of(left))
+    least_ones = np.flatnonzero(~settled & np.isin(whole, several))
+    met.add(whole[least_ones], doc[least_ones], words_of(least_ones))
 
     least = arrays.window_hashes(hashes[numbers], MINIMISER_WORDS)
     if len(hot):  # hot runs come after all others
@@ -140,14 +181,13 @@ def _pack(part: pa.RecordBatch, width: int, buckets: int, hot: np.ndarray) -> It
     least = least[starts]
     if len(hot):
         only = least >> np.uint64(63) > 0
-        least[only] = arrays.window_hashes(hashes[numbers], width)[starts[only]]
+        least[only] = whole[only]
 
     apart = np.ones(len(starts), bool)
     apart[1:] = (np.diff(starts) != 1) | (w.row[starts[1:]] != w.row[starts[:-1]])
     turn = apart.copy()
     turn[1:] |= least[1:] != least[:-1]
     a, b = _runs(~settled, turn)
-    text, shift = arrays.spaced(w.data, w.bounds).tobytes(), w.bounds + np.arange(len(w.bounds))
     bucket = (arrays.mix64(least[a]) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     a, b, bucket = a[order], b[order], bucket[order]
@@ -213,8 +253,9 @@ def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Met()
         for part in arrays.slices(batches, "text", SLICE_BYTES):
-            yield from _pack(part, width, tasks * TASK_BUCKETS, hot.value)
+            yield from _pack(part, width, tasks * TASK_BUCKETS, hot.value, met)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
