@@ -82,7 +82,7 @@ def test_hot_minimisers_are_split(spark):
 
     def largest(hot):
         sent = Counter()
-        for part in substrings._pack(batch, 13, 1 << 20, hot):
+        for part in substrings._pack(batch, 13, 1 << 20, hot, substrings.Met()):
             for bucket, text in zip(part.column(0).to_pylist(), part.column(3).to_pylist(), strict=True):
                 sent[bucket] += 0 if text is None else zstandard.decompress(text).count(b"\n") + 1
         return max(sent.values())
@@ -91,6 +91,27 @@ def test_hot_minimisers_are_split(spark):
     assert largest(hot) < 100 < largest(np.zeros(0, np.uint64)) / 2
 
 
+@pytest.mark.parametrize("most", [1 << 16, 40, 0])
+def test_passages_are_sent_once_by_a_task(spark, most, monkeypatch):
+    monkeypatch.setattr(substrings, "SLICE_BYTES", 2000)
+    monkeypatch.setattr(substrings, "MOST_MET", most)
+    draw = random.Random(10)
+    shared = [f"p{k}" for k in range(30)]
+    docs = [(k, " ".join([f"u{draw.randrange(10**9)}" for _ in range(10)] + (shared if k % 3 else shared[: k % 25]))) for k in range(200)]
+    draw.shuffle(docs)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)
+    out = substrings.remove_repeats(frame).select("doc_id", "n_words", "n_removed", "text")
+    assert order(map(tuple, out.collect())) == order(brute_substrings(docs))
+    met, sent, inner = substrings.Met(), [], " ".join(shared[8:21]).encode()
+    for at in range(0, 200, 10):
+        ids, texts = zip(*docs[at : at + 10], strict=True)
+        batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(texts)], names=["doc_id", "row_key", "text"])
+        texts = [t for part in substrings._pack(batch, 13, 1, np.zeros(0, np.uint64), met) for t in part.column(3).to_pylist() if t is not None]
+        sent.append(any(inner in zstandard.decompress(t) for t in texts))
+    # Again only when a slice has a smaller document with it than all before; else by every slice.
+    assert sent[0] and (sum(sent) < 8 if most else sum(sent) == 20)
+
+
 def test_substrings_of_odd_rows(odd_docs, no_docs):
     out = substrings.remove_repeats(odd_docs)
     assert out.columns == [*odd_docs.columns, "n_words", "n_removed"]

@@ -354,19 +354,24 @@ def test_statistics_equal_brute_force(data):
     assert np.allclose(found, [brute_statistics(t) for t in texts], atol=1e-9)
 
 
-def test_densities_equal_the_textbook():
+@pytest.mark.parametrize(("to_pooled", "to_identity"), [(0.2, 0.0), (0.5, 0.3), (0.05, 0.1)])
+def test_densities_equal_the_textbook(to_pooled, to_identity):
     rnd = np.random.default_rng(0)
-    x = [rnd.normal(size=(50, len(quality.STATISTICS))) + 2 * k for k in (0, 1)]
-    count, total = np.array([50.0, 50.0]), np.array([a.sum(0) for a in x])
+    d = len(quality.STATISTICS)
+    mix = rnd.normal(size=(d, d)) / 3
+    x = [(rnd.normal(size=(n, d)) * (1 + k) + 2 * k) @ (np.eye(d) + mix) for k, n in enumerate((50, 80))]
+    count, total = np.array([50.0, 80.0]), np.array([a.sum(0) for a in x])
     product = np.array([a.T @ a for a in x])
-    model = quality.fit(count, total, product, 0.2, 0.0)
-    pooled = sum(np.cov(a.T, bias=True) for a in x) / 2
-    probe, logs = rnd.normal(size=(5, len(quality.STATISTICS))) + 1, []
-    for a in x:
-        cov = 0.8 * np.cov(a.T, bias=True) + 0.2 * pooled
-        d = probe - a.mean(0)
-        scale = np.log(np.maximum(np.diag(pooled), 1e-6)).sum()
-        logs.append(-(np.linalg.slogdet(cov)[1] - scale) / 2 - (d @ np.linalg.inv(cov) * d).sum(1) / 2)
+    model = quality.fit(count, total, product, to_pooled, to_identity)
+    covs = [np.cov(a.T, bias=True) for a in x]
+    pooled = (50 * covs[0] + 80 * covs[1]) / 130
+    scale = np.sqrt(np.diag(pooled))
+    probe, logs = rnd.normal(size=(5, d)) + 1, []
+    for a, own, n in zip(x, covs, (50, 80), strict=True):
+        cov = ((1 - to_pooled) * own + to_pooled * pooled) / np.outer(scale, scale)
+        cov = (1 - to_identity) * cov + to_identity * np.eye(d) * np.trace(cov) / d
+        off = (probe - a.mean(0)) / scale
+        logs.append(np.log(n / 130) - np.linalg.slogdet(cov)[1] / 2 - (off @ np.linalg.inv(cov) * off).sum(1) / 2)
     assert np.allclose(model.scores(probe), 1 / (1 + np.exp(logs[0] - logs[1])))
 
 
