@@ -40,8 +40,9 @@ SLICE_BYTES = 2 << 20
 TASK_BYTES, TASK_BUCKETS = 32 << 20, 4
 MINIMISER_WORDS = 3
 #: A three-word run is hot if it occurs about this often (as super-k-mers, an average
-#: bucket), as told by one in so many rows. Of n words, n / HOT_RUNS runs at most are hot.
-HOT_RUNS, HOT_SAMPLE = 1 << 16, 64
+#: bucket), as told by one in so many rows; or, in a corpus of so many words that this were
+#: more than MOST_HOT runs, as often as no more than MOST_HOT can: so they fill 32 MB at most.
+HOT_RUNS, HOT_SAMPLE, MOST_HOT = 1 << 16, 64, 1 << 22
 #: A task keeps so many windows that lie in several documents, about 100 bytes each.
 MOST_MET = 1 << 16
 #: A row is what a slice sends to a bucket, or (without ``text``) the spans that it settled itself.
@@ -103,7 +104,7 @@ def _count_runs(column: pa.Array) -> pa.RecordBatch:
 
 
 def hot_runs(rows: DataFrame, often: int = HOT_RUNS, sample: int = HOT_SAMPLE) -> np.ndarray:
-    """The sorted hashes of the three-word runs that occur ``often``, told by one in ``sample`` rows."""
+    """The sorted hashes of the three-word runs that occur ``often``, told by one in ``sample`` rows; at most MOST_HOT."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrays.slices(batches, "text", SLICE_BYTES):
@@ -111,7 +112,11 @@ def hot_runs(rows: DataFrame, often: int = HOT_RUNS, sample: int = HOT_SAMPLE) -
 
     some = rows.where(F.pmod(F.xxhash64("row_key", "doc_id"), F.lit(sample)) == 0).select("text")
     counts = map_arrow(some, count, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
-    found = counts.where(F.col("n") * sample >= often).select("run").collect()
+    scratch = Scratch(rows.sparkSession, "runs")
+    counts = scratch.keep(counts, "counts")
+    words = (counts.agg(F.sum("n")).first()[0] or 0) * sample
+    found = counts.where(F.col("n") * sample >= max(often, words // MOST_HOT + 1)).select("run").collect()
+    scratch.drop("counts")
     return np.sort(np.array([r["run"] for r in found], np.int64).view(np.uint64))
 
 

@@ -61,7 +61,7 @@ def test_substrings(spark, seed):
     assert order(map(tuple, out.collect())) == order(brute_substrings(docs))
 
 
-def test_hot_minimisers_are_split(spark):
+def test_hot_minimisers_are_split(spark, monkeypatch):
     draw = random.Random(9)
     fresh = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
     # Five common words between differing ones, a passage of them only, and passages around them that repeat.
@@ -71,6 +71,9 @@ def test_hot_minimisers_are_split(spark):
     rows = frame.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
     hot = substrings.hot_runs(rows, often=100, sample=1)
     assert 3 <= len(hot) < 30
+    with monkeypatch.context() as less:
+        less.setattr(substrings, "MOST_HOT", 5)  # fewer than fit: only those that no more than five can match
+        assert len(substrings.hot_runs(rows, often=1, sample=1)) <= 5
     spans = [substrings.repeated_spans(frame, often=often, sample=1).distinct() for often in (100, 1 << 40)]
     words = lambda found: {(r["doc_id"], k) for r in found.collect() for k in range(r["first"], r["first"] + r["span"])}
     texts = dict(docs)
