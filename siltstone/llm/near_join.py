@@ -42,8 +42,8 @@ from siltstone.llm.scratch import Scratch
 SLICE_BYTES = 1 << 20
 TREES, DEPTH = 24, 8
 SIMILARITY, NGRAM, TARGET_RECALL = 0.8, 5, 0.9999
-#: A block of a group has about this much text; so has, twice, a verifying task.
-BLOCK_BYTES = 2 << 20
+#: A block of a group has this much text or so many texts at most, about; so has, twice, a verifying task.
+BLOCK_BYTES, BLOCK_TEXTS = 2 << 20, 512
 #: The sample by which prefixes are shortened: so many distinct texts of at most so many bytes.
 SAMPLE_TEXTS, SAMPLE_BYTES = 1024, 1 << 15
 
@@ -376,7 +376,7 @@ def _sampled(rows: DataFrame, most: int) -> list[str]:
 
 def _verified(docs: DataFrame, id_col: str, text: Column, texts: DataFrame, groups: DataFrame, scratch: Scratch, ngram: int, similarity: float, block_bytes: int) -> DataFrame:
     """``node, links, root`` of all pairs that share a group; a text may have several rows."""
-    sized = groups.join(texts.select("node", "digest", "first", "copies", "bytes"), "node").withColumn("bytes", F.col("bytes") + 64)
+    sized = groups.join(texts.select("node", "digest", "first", "copies", "bytes"), "node").withColumn("bytes", F.col("bytes") + max(1, block_bytes // BLOCK_TEXTS))
     blocks_of = lambda b: F.ceil(b / F.lit(block_bytes)).cast("int")
     leads = F.min(F.when(F.size("before") == 0, F.col("node"))).alias("pivot")
     # Facts of a group are tables of their own: the join that takes them back to its texts can then be split.
