@@ -34,7 +34,9 @@ from siltstone.llm import arrays
 from siltstone.llm.columns import map_arrow, parts_for, quoted, type_of, without
 from siltstone.llm.scratch import Scratch
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
+#: A task adds up the counts of so many terms before it hands them on.
+HELD_TERMS = 1 << 17
 PART_BYTES = 24 << 20
 #: The band of document frequencies, as shares of all documents.
 LEAST, MOST = 0.0005, 0.2
@@ -143,9 +145,20 @@ def learn_lexicon(docs: DataFrame, scratch: Scratch, text_col: str = "text", lea
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in arrays.slices(batches, "text", 4 * SLICE_BYTES):
+        held: dict[bytes, int] = {}
+
+        def added_up() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
+            held.clear()
+            return out
+
+        for part in arrays.slices(batches, "text", SLICE_BYTES):
             _, term, distinct, _ = _terms(part.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.binary()), pa.array(np.bincount(term, minlength=len(distinct)))], names=["term", "n"])
+            for t, n in zip(distinct, np.bincount(term, minlength=len(distinct)).tolist(), strict=True):
+                held[t] = held.get(t, 0) + n
+            if len(held) > HELD_TERMS:
+                yield added_up()
+        yield added_up()
 
     texts = docs.select(F.coalesce(quoted(text_col), F.lit("")).alias("text"))
     total = docs.count()
