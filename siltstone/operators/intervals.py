@@ -42,12 +42,12 @@ def unique_candidate(rows: DataFrame, keys: list[str], candidate: str) -> DataFr
     return found.where("__n = 1").drop("__n")
 
 
-def holder_at(facts: DataFrame, terms: DataFrame, at: str, start: str, end: str, keys: list[str], fact_id: str, tie: list[str] | None = None) -> DataFrame:
+def holder_at(facts: DataFrame, terms: DataFrame, at: str, start: str, end: str, keys: list[str], fact_id: str, tie: list[str] | None = None, bin_days: int = 366) -> DataFrame:
     """The holder on a date, half-open; of overlapping terms the first that began. No holder: nulls.
 
     Terms of equal ends are told apart by the columns ``tie``, by default all of theirs.
     """
-    joined = interval_join(facts, terms, at, start, end, keys, closed=False, how="left")
+    joined = interval_join(facts, terms, at, start, end, keys, closed=False, how="left", bin_days=bin_days)
     last = tie if tie is not None else [c for c in terms.columns if c not in (*keys, start, end)]
     return first_by(joined, [fact_id], [F.col(start).asc_nulls_last(), F.col(end).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in last]])
 

@@ -140,7 +140,7 @@ j AS (SELECT fact, holder, t_start, row_number() OVER (PARTITION BY fact ORDER B
 def asof_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     facts = facts.select(F.col("o_orderkey").alias("fact"), F.col("c_nationkey").alias("place"), F.col("o_orderdate").alias("d"))
-    out = intervals.holder_at(facts, _terms(spark, sf_dir), "d", "t_start", "t_end", ["place"], "fact", tie=["term"])
+    out = intervals.holder_at(facts, _terms(spark, sf_dir), "d", "t_start", "t_end", ["place"], "fact", tie=["term"], bin_days=31)
     return out.select("fact", "holder", F.col("t_start").alias("since"))
 
 
@@ -152,7 +152,7 @@ SELECT fact, min(holder) AS holder FROM f JOIN t ON t.place = f.place AND d >= t
 def unique_candidate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     facts = facts.select(F.col("o_orderkey").alias("fact"), F.col("c_nationkey").alias("place"), F.col("o_orderdate").alias("d"))
-    joined = intervals.interval_join(facts, _terms(spark, sf_dir), "d", "t_start", "t_end", ["place"])
+    joined = intervals.interval_join(facts, _terms(spark, sf_dir), "d", "t_start", "t_end", ["place"], bin_days=31)
     return intervals.unique_candidate(joined, ["fact"], "holder")
 
 

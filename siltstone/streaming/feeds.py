@@ -66,8 +66,8 @@ class StateChanges:
         known = self._read(spark, "known", number, rows.schema)
         waiting = rows.unionByName(self._read(spark, "waiting", number, rows.schema))
         seen_before = self._read(spark, "seen", number, "m timestamp")
-        newest = waiting.select(at.cast("timestamp").alias("m")).unionByName(seen_before).agg(F.max("m")).first()[0]
-        done = seen_before.agg(F.max("m")).first()[0]
+        times = waiting.select(at.cast("timestamp").alias("m"), F.lit(False).alias("old")).unionByName(seen_before.withColumn("old", F.lit(True)))
+        newest, done = times.agg(F.max("m"), F.max(F.when(F.col("old"), F.col("m")))).first()
         lateness = F.expr(f"INTERVAL {self.late}")
         ripe = F.lit(True) if last else at.cast("timestamp") <= F.lit(newest) - lateness
         stale = F.lit(False) if done is None else at.cast("timestamp") <= F.lit(done) - lateness
@@ -79,7 +79,7 @@ class StateChanges:
             "changes": changed,
             "known": first_by(known.unionByName(ready), [self.key], [at.desc(), F.col(self.tie).desc()]),
             "waiting": waiting.where(~ripe),
-            "too_late": waiting.where(stale),
+            **({"too_late": waiting.where(stale)} if done is not None else {}),
             "seen": spark.createDataFrame([(newest,)], "m timestamp"),
         }
         for name, table in tables.items():
