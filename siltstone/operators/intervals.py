@@ -38,8 +38,8 @@ def interval_join(facts: DataFrame, spans: DataFrame, at: str, start: str, end:
 
 def unique_candidate(rows: DataFrame, keys: list[str], candidate: str) -> DataFrame:
     """Keys with exactly one candidate, and that one; ambiguous keys are left out, never guessed."""
-    found = rows.groupBy(*keys).agg(F.count_distinct(candidate).alias("__n"), F.min(candidate).alias(candidate))
-    return found.where("__n = 1").drop("__n")
+    found = rows.groupBy(*keys).agg(F.min(candidate).alias(candidate), F.max(candidate).alias("__last"))
+    return found.where(F.col(candidate) == F.col("__last")).drop("__last")
 
 
 def holder_at(facts: DataFrame, terms: DataFrame, at: str, start: str, end: str, keys: list[str], fact_id: str, tie: list[str] | None = None, bin_days: int = 366) -> DataFrame:
