@@ -87,9 +87,9 @@ class Words(NamedTuple):
     row: np.ndarray  # the row of each word
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Split rows at white space; a word never crosses rows."""
-    inside = ~IS_SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = IS_SPACE) -> Words:
+    """Split rows at white space, or at the bytes that ``apart`` marks; a word never crosses rows."""
+    inside = ~apart[data]
     first = np.zeros(len(data) + 1, dtype=bool)
     first[offsets[:-1]] = True
     before = np.empty(len(data), dtype=bool)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from siltstone.llm import bpe, fill_middle, fingerprints, language, naming, near_join, packing, quality, sharding, substrings, token_files
+from siltstone.llm import bpe, fill_middle, fingerprints, language, naming, near_join, packing, quality, resample, sharding, substrings, token_files, warc
+from siltstone.llm.columns import type_of
 from siltstone.llm.scratch import Scratch
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -81,7 +82,20 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_virtual_slots, op4_document_fingerprints, op5_best_fit_packing, op6_quality_classifier, op7_language_id, op8_ngram_jaccard_join, op9_bpe_round_trip, op10_token_files, op11_fill_in_middle)}
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    out = resample.resample(documents(spark, sf_dir).select("doc_id", "text"), target)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, path = spark.read.parquet(f"{sf_dir}/pages.parquet"), Scratch(spark, "archives").root
+    warc.write_warc(pages, path)
+    out = warc.read_warc(spark, path, id_type=type_of(pages, "page_id"), with_payload=False)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_virtual_slots, op4_document_fingerprints, op5_best_fit_packing, op6_quality_classifier, op7_language_id, op8_ngram_jaccard_join, op9_bpe_round_trip, op10_token_files, op11_fill_in_middle, op12_importance_resampling, op13_warc_round_trip)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": r"""
@@ -108,4 +122,10 @@ part AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(arra
 SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
        sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
 FROM part""",
+    "op13_warc_round_trip": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+sized AS (SELECT page_id, strlen(h) AS n, sha1(h) AS digest, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+FROM sized""",
 }

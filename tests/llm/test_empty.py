@@ -10,7 +10,7 @@ from siltstone.llm.scratch import Scratch
 @pytest.fixture(scope="module")
 def nothing(spark, data):
     own = Scratch(spark, "empty")
-    for name in ("documents", "labels"):
+    for name in ("documents", "labels", "benchmark", "pages"):
         own.keep(spark.read.parquet(f"{data}/{name}.parquet").limit(0), f"{name}.parquet")
     return own.root
 
