@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urlsplit
+from urllib.parse import unquote, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: The tags of a report.
 REPORT_TAGS = ("p", "h2", "h3", "ul", "ol", "li", "blockquote", "em", "strong", "a")
 #: Tags whose content goes with them.
-_WITH_CONTENT = {"script", "style", "iframe", "noscript", "template", "object", "embed", "svg", "math", "title"}
+_WITH_CONTENT = {"script", "style", "iframe", "noscript", "template", "object", "svg", "math", "title"}
 _VOID = {"br", "hr"}
 
 
@@ -29,10 +29,12 @@ class _Rebuilder(HTMLParser):
         self.open: list[str] = []
 
     def safe(self, link: str) -> bool:
-        if self.prefix is not None:
-            return link.startswith(self.prefix)
         # Browsers drop blanks and control characters before they look for a scheme.
         bare = "".join(c for c in link if c > " " and c != "\x7f")
+        if self.prefix is not None:
+            # Two slashes, either way round, begin another host's name, and two dots leave the prefix.
+            steps = unquote(bare).replace("\\", "/")
+            return bare.startswith(self.prefix) and not steps.startswith("//") and ".." not in urlsplit(steps).path.split("/")
         try:
             scheme = urlsplit(bare).scheme.lower()
         except ValueError:
@@ -80,7 +82,7 @@ def sanitised(text: Column, allowed: tuple[str, ...] = REPORT_TAGS, schemes: tup
 
     Attributes go, but for a link's target of one of the ``schemes`` (or without
     a scheme), as it reads once entities are decoded; with ``prefix`` only targets
-    that begin with it stay. Scripts and the like go with their content, tags that
+    of the own host that begin with it stay. Scripts and the like go with their content, tags that
     aren't closed are closed, and a text's own ``<`` and ``&`` are escaped.
     """
 
@@ -94,7 +96,8 @@ def sanitised(text: Column, allowed: tuple[str, ...] = REPORT_TAGS, schemes: tup
 
 def rewritten_links(text: Column, targets: Column) -> Column:
     """``href="CHUNK:<id>"`` to the target that the map ``targets`` has for the id; unknown ones lose it."""
-    shape = r"""(?i)href=(["'])CHUNK:([0-9a-f-]+)\1"""
+    #: Fixed value: the shape of a link to a chunk, whose id has 36 characters.
+    shape = r"""(?i)href=(["'])CHUNK:([0-9a-f-]{36})\1"""
     ids = F.array_distinct(F.regexp_extract_all(text, F.lit(shape), F.lit(2)))
     link = lambda i: F.coalesce(F.concat(F.lit('href="'), F.try_element_at(targets, i), F.lit('"')), F.lit(""))
     one = lambda quote, i: F.concat(F.lit(f"href={quote}CHUNK:"), i, F.lit(quote))

@@ -17,8 +17,9 @@ class Encoder(Protocol):
     def encode(self, texts: list[str]) -> list[list[float]]: ...
 
 
-def encode_query(encoder: Encoder, text: str) -> list[float]:
-    return encoder.encode([QUERY_PREFIX + text])[0]
+def encode_query(encoder: Encoder, text: str, prefix: str = QUERY_PREFIX) -> list[float]:
+    """A query's vector; ``prefix`` is what the encoder's model wants before queries."""
+    return encoder.encode([prefix + text])[0]
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -40,11 +40,16 @@ def cascade(mentions: DataFrame, entities: DataFrame, mention_id: str, key: str,
 
 
 def by_key_then_name(rows: DataFrame, entities: DataFrame, row_id: str, key: str, slug: str, name: str) -> DataFrame:
-    """By slug, else by a name that one entity has; ``learned`` says the slug can be written back."""
-    by_slug = entities.select(F.col(slug).alias("__slug"), F.col(key).alias("__by_slug")).where("__slug IS NOT NULL")
-    by_name = entities.groupBy(F.col(name).alias("__name")).agg(F.count_distinct(key).alias("__n"), F.min(key).alias("__by_name")).where("__n = 1").drop("__n")
+    """By a slug that one entity has, else by a name that one has; ``learned`` says the slug can be written back.
+
+    A slug or a name of several entities decides nothing, and every row stays one
+    row. Of a slug that several have nothing is learned either.
+    """
+    single = lambda c, to, out: entities.where(F.col(c).isNotNull()).groupBy(F.col(c).alias(to)).agg(F.count_distinct(key).alias("__n"), F.min(key).alias(out))
+    by_slug = single(slug, "__slug", "__by_slug").withColumns({"__by_slug": F.when(F.col("__n") == 1, F.col("__by_slug")), "__shared": F.col("__n") > 1}).drop("__n")
+    by_name = single(name, "__name", "__by_name").where("__n = 1").drop("__n")
     out = rows.join(by_slug, F.col(slug) == F.col("__slug"), "left").join(by_name, F.col(name) == F.col("__name"), "left")
-    learned = F.col("__by_slug").isNull() & F.col("__by_name").isNotNull()
+    learned = F.col("__by_slug").isNull() & F.col("__by_name").isNotNull() & ~F.coalesce("__shared", F.lit(False))
     return out.select(*rows.columns, F.coalesce("__by_slug", "__by_name").alias(key), learned.alias("learned"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from siltstone.functions.markup import rewritten_links, sanitised
 from siltstone.functions.strings import letter_grade
 from siltstone.operators.latest import first_by
-from siltstone.sources.shared import shared_folder
+from siltstone.sources.shared import Workspace
 
 
 def share(part: Column, digits: int = 1) -> Column:
@@ -24,9 +24,17 @@ def counts_where(rows: DataFrame, keys: list[str], conditions: dict[str, Column]
     return rows.groupBy(*keys).agg(*[F.count_if(c).alias(n) for n, c in conditions.items()])
 
 
-def gap_matrix(entities: DataFrame, kinds: DataFrame, present: DataFrame, key: str, kind: str) -> DataFrame:
-    """The (entity, kind) pairs that are missing; kinds are a short list, which is broadcast."""
-    return entities.select(key).crossJoin(F.broadcast(kinds.select(kind))).join(present.select(key, kind), [key, kind], "left_anti")
+def gap_matrix(entities: DataFrame, kinds: DataFrame, present: DataFrame, key: str, kind: str, most: int = 1000) -> DataFrame:
+    """The (entity, kind) pairs that are missing.
+
+    Kinds are a stated, short list: more than ``most`` raise, so each entity is a
+    bounded number of pairs and the list can go to every task.
+    """
+    short = kinds.select(kind).distinct().limit(most + 1).collect()
+    if len(short) > most:
+        raise ValueError(f"a gap matrix takes at most {most} kinds")
+    every = F.array(*[F.lit(r[0]) for r in short]) if short else F.array().cast(f"array<{dict(kinds.dtypes)[kind]}>")
+    return entities.select(key, F.explode(every).alias(kind)).join(present.select(key, kind), [key, kind], "left_anti")
 
 
 def report_card(sites: DataFrame, group: str, host: str, at: str, tie: str, good: Column) -> DataFrame:
@@ -99,11 +107,12 @@ def bucketed(rows: DataFrame, order: list[Column], size: int, text: str, most: i
     return numbered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), joined.alias("body"))
 
 
-def mapped_report(rows: DataFrame, order: list[Column], text: str, mapper: Callable[[str], str], reducer: Callable[[list[str]], str], targets: dict[str, str], size: int = 10, most: int = 300) -> DataFrame:
+def mapped_report(rows: DataFrame, order: list[Column], text: str, mapper: Callable[[str], str], reducer: Callable[[list[str]], str], targets: dict[str, str], size: int = 10, most: int = 300, prefix: str = "/speeches/") -> DataFrame:
     """A report of the first ``most`` rows, one row ``report``: buckets mapped, answers reduced, links rewritten, HTML cleaned.
 
     ``mapper`` and ``reducer`` are the caller's, a language model for one;
-    ``targets`` are the places of the chunks that the report may link to. Buckets
+    ``targets`` are the places of the chunks that the report may link to, and only
+    links that begin with ``prefix`` stay. Buckets
     are mapped in tasks; at most ``most / size`` answers come to the driver.
     """
 
@@ -113,7 +122,7 @@ def mapped_report(rows: DataFrame, order: list[Column], text: str, mapper: Calla
 
     parts = bucketed(rows, order, size, text, most).select("bucket", answers("body").alias("answer")).orderBy("bucket").collect()
     whole = rows.sparkSession.createDataFrame([(reducer([r["answer"] for r in parts]), targets)], "html string, targets map<string,string>")
-    return whole.select(sanitised(rewritten_links(F.col("html"), F.col("targets")), prefix="/").alias("report"))
+    return whole.select(sanitised(rewritten_links(F.col("html"), F.col("targets")), prefix=prefix).alias("report"))
 
 
 def index_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
@@ -125,11 +134,10 @@ def index_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict
     ``value`` don't count.
     """
     spark = rows.sparkSession
-    folder = shared_folder(spark, "percentiles")
+    own = Workspace(spark, "percentiles")
     kept = rows.where(F.col(value).isNotNull()).select(*keys, value, F.monotonically_increasing_id().alias("__tie"))
     ranged = kept.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, value, "__tie").drop("__tie")
-    ranged.withColumn("__part", F.spark_partition_id()).write.parquet(folder)
-    ranged = spark.read.parquet(folder)
+    ranged = own.keep(ranged.withColumn("__part", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
     whole = Window.partitionBy(*keys)
     counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__all", F.sum("__n").over(whole))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siltstone.operators.latest import first_by
+from siltstone.sources.shared import Workspace
 
 
 def _joined(table: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
@@ -115,9 +116,32 @@ def counted(rows: DataFrame, label: str, **conditions: Column) -> tuple[DataFram
     return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in conditions.items()]), seen
 
 
+def last_winners(mapping: DataFrame) -> DataFrame:
+    """``loser, winner`` with every winner one that loses to none itself.
+
+    Of several winners of a loser the least counts; pairs with themselves or with
+    a null say nothing. Each round every winner takes its own winner's place, so a
+    chain of n merges takes log2(n) rounds, each of one join; raises on a cycle.
+    """
+    own = Workspace(mapping.sparkSession, "merges")
+    first = mapping.where("loser <> winner").groupBy("loser").agg(F.min("winner").alias("winner"))
+    pairs, length = own.keep(first, "1"), 1
+    while True:
+        further = pairs.select(F.col("loser").alias("__l"), F.col("winner").alias("__w"))
+        step = pairs.join(further, F.col("winner") == F.col("__l"), "left")
+        step = own.keep(step.select("loser", F.coalesce("__w", "winner").alias("winner"), F.col("__w").isNotNull().alias("moved")), str(2 * length))
+        total, moved = step.agg(F.count(F.lit(1)), F.count_if("moved")).first()
+        own.drop(str(length))
+        if not moved:
+            return step.drop("moved")
+        if length > total:  # any chain would have ended
+            raise ValueError("merges go round in a circle")
+        pairs, length = step.drop("moved"), 2 * length
+
+
 def merge_entities(children: DataFrame, mapping: DataFrame, key: str, unique: list[str]) -> DataFrame:
-    """Children of losers move to winners (``loser, winner``); rows that then repeat go."""
-    moved = children.join(mapping, F.col(key) == F.col("loser"), "left").withColumn(key, F.coalesce("winner", key))
+    """Children of losers move to their last winners (``loser, winner``, see ``last_winners``); rows that then repeat go."""
+    moved = children.join(last_winners(mapping), F.col(key) == F.col("loser"), "left").withColumn(key, F.coalesce("winner", key))
     return moved.select(children.columns).dropDuplicates(unique)
 
 

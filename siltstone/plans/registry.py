@@ -21,10 +21,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
-
-
-def also(name: str, f: Query) -> None:
-    """Register a query under a second name, which it was known by before."""
-    QUERIES[name] = f
-    if f.__name__ in ORACLE_SQL:
-        ORACLE_SQL[name] = ORACLE_SQL[f.__name__]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import hosting
 from siltstone.operators import changes, intervals, latest, resolve, rollups, upserts
-from siltstone.plans.registry import also, query
+from siltstone.plans.registry import query
 from siltstone.sources import tables
 from siltstone.sources.tables import table
 
@@ -144,9 +144,6 @@ def asof_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("fact", "holder", F.col("t_start").alias("since"))
 
 
-also("asof_lookup_whole", asof_lookup)
-
-
 @query(f"""WITH t AS {_TERMS_SQL}, f AS (SELECT o_orderkey AS fact, c_nationkey AS place, o_orderdate AS d FROM orders JOIN customer ON o_custkey = c_custkey)
 SELECT fact, min(holder) AS holder FROM f JOIN t ON t.place = f.place AND d >= t_start AND (t_end IS NULL OR d <= t_end) GROUP BY fact HAVING count(DISTINCT holder) = 1""")
 def unique_candidate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,9 +153,6 @@ def unique_candidate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.unique_candidate(joined, ["fact"], "holder")
 
 
-also("unique_candidate_gate_whole", unique_candidate_gate)
-
-
 @query(f"""WITH t AS (SELECT * FROM {_TERMS_SQL}) SELECT count(*) AS pairs, count(DISTINCT a.term) AS terms FROM t a JOIN t b ON a.place = b.place AND a.term < b.term AND a.t_start <= coalesce(b.t_end, TIMESTAMP '9999-12-31') AND b.t_start <= coalesce(a.t_end, TIMESTAMP '9999-12-31')""")
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _terms(spark, sf_dir)
@@ -167,9 +161,6 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("term").alias("terms"))
 
 
-also("interval_overlap_whole", interval_overlap)
-
-
 @query("""WITH e AS (SELECT p_partkey AS k, p_name AS full_name, split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', -1) AS short, split_part(p_name, ' ', -1) AS last FROM part),
 m AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'unknown' END AS n1, split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', -1) AS n2, split_part(p_name, ' ', -1) AS n3 FROM part),
 c AS (SELECT id, 0 AS step, count(DISTINCT k) AS n, min(k) AS k FROM m JOIN e ON n1 = full_name GROUP BY 1 UNION ALL SELECT id, 1, count(DISTINCT k), min(k) FROM m JOIN e ON n2 = short GROUP BY 1 UNION ALL SELECT id, 2, count(DISTINCT k), min(k) FROM m JOIN e ON n3 = last GROUP BY 1),
@@ -184,26 +175,23 @@ def name_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "k", "step", "confidence")
 
 
-also("name_cascade_whole", name_cascade)
-
-
 @query("""WITH v AS (SELECT p_partkey AS k, p_name AS variant, 0 AS priority FROM part UNION ALL SELECT p_partkey, split_part(p_name, ' ', -1), 1 FROM part) SELECT variant, priority, min(k) AS k FROM v WHERE variant <> '' GROUP BY 1, 2 HAVING count(DISTINCT k) = 1""")
 def name_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_name", F.split_part("p_name", F.lit(" "), F.lit(-1)).alias("last"))
     return resolve.name_index(p, "k", [("p_name", 0), ("last", 1)])
 
 
-@query("""WITH b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_partkey::VARCHAR END AS slug, p_name AS name FROM part), n AS (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) = 1)
-SELECT b.id, coalesce(s.p_partkey, n.k) AS k, s.p_partkey IS NULL AND n.k IS NOT NULL AS learned FROM b LEFT JOIN part s ON s.p_partkey::VARCHAR = b.slug LEFT JOIN n ON n.p_name = b.name""")
+@query("""WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 4 THEN 'shared ' || p_partkey % 100 ELSE p_partkey::VARCHAR END AS slug, p_name AS name FROM part),
+b AS (SELECT k AS id, CASE WHEN k % 2 = 0 THEN slug END AS slug, name FROM p), n AS (SELECT name, min(k) AS k FROM p GROUP BY 1 HAVING count(*) = 1), s AS (SELECT slug, CASE WHEN count(*) = 1 THEN min(k) END AS k, count(*) AS n FROM p GROUP BY 1)
+SELECT b.id, coalesce(s.k, n.k) AS k, s.k IS NULL AND n.k IS NOT NULL AND coalesce(s.n, 0) < 2 AS learned FROM b LEFT JOIN s USING (slug) LEFT JOIN n USING (name)""")
 def slug_then_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_partkey").cast("string").alias("slug"), F.col("p_name").alias("name"))
+    """Slugs are shared by the parts of one ending where that is a four."""
+    slug = F.when(F.col("p_partkey") % 10 == 4, F.concat(F.lit("shared "), F.col("p_partkey") % 100)).otherwise(F.col("p_partkey").cast("string"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), slug.alias("slug"), F.col("p_name").alias("name"))
     rows = p.select(F.col("k").alias("id"), F.when(F.col("k") % 2 == 0, F.col("slug")).alias("slug"), "name")
     return resolve.by_key_then_name(rows, p, "id", "k", "slug", "name").select("id", "k", "learned")
 
 
-also("slug_then_name_whole", slug_then_name)
-
-
 @query("""SELECT DISTINCT a.p_partkey AS id, b.p_brand AS hit FROM part a JOIN (SELECT DISTINCT p_brand, split_part(p_brand, '#', 2) AS num FROM part) b ON b.p_brand = a.p_brand OR b.num = split_part(a.p_type, ' ', 1)""")
 def or_condition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
@@ -213,18 +201,12 @@ def or_condition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.any_key(p.withColumnRenamed("p_partkey", "id"), keys, "id", keyed, "ek", "hit")
 
 
-also("or_condition_join_whole", or_condition_join)
-
-
 @query("""SELECT regexp_extract(c_name, '#0*([0-9]+)', 1)::BIGINT AS k, o_orderkey FROM customer JOIN orders ON o_custkey = regexp_extract(c_name, '#0*([0-9]+)', 1)::BIGINT""")
 def regex_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.expr("try_cast(regexp_extract(c_name, '#0*([0-9]+)', 1) AS bigint)").alias("k"))
     return c.join(table(spark, sf_dir, "orders"), F.col("k") == F.col("o_custkey")).select("k", "o_orderkey")
 
 
-also("regex_key_join_whole", regex_key_join)
-
-
 @query("""SELECT a.c_custkey AS loser, b.s_suppkey + 1000000 AS winner FROM customer a JOIN supplier b ON regexp_replace(lower(a.c_name), '[^0-9]', '', 'g') = regexp_replace(lower(b.s_name), '[^0-9]', '', 'g')""")
 def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
@@ -290,9 +272,6 @@ def replace_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upserts.replace_source(tagged, new.select("k", "name", F.lit("feed").alias("src")), "src", "feed").withColumn("src", F.lit("old"))
 
 
-also("replace_by_source_whole", replace_by_source)
-
-
 @query("""SELECT o_orderkey, CASE WHEN c_mktsegment IS DISTINCT FROM o_orderpriority THEN c_mktsegment ELSE o_orderpriority END AS tag, c_mktsegment IS DISTINCT FROM o_orderpriority AS changed FROM orders JOIN customer ON c_custkey = o_custkey""")
 def reconcile_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("tag"))
@@ -300,13 +279,14 @@ def reconcile_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upserts.update_distinct(o, source, "o_custkey", "tag").select("o_orderkey", "tag", "changed")
 
 
-also("reconcile_copies_whole", reconcile_copies)
-
-
-@query("""SELECT DISTINCT CASE WHEN user_id % 10 = 3 THEN user_id - 3 ELSE user_id END AS user_id, event_type FROM events""")
+@query("""WITH RECURSIVE m AS (SELECT DISTINCT user_id AS loser, CASE WHEN user_id % 10 = 3 THEN user_id - 3 ELSE user_id - 10 END AS winner FROM events WHERE user_id % 10 IN (0, 3) AND user_id > 3),
+t AS (SELECT loser, winner AS heir FROM m UNION ALL SELECT t.loser, m.winner FROM t JOIN m ON m.loser = t.heir), ends AS (SELECT loser, heir FROM t WHERE heir NOT IN (SELECT loser FROM m))
+SELECT DISTINCT coalesce(heir, user_id) AS user_id, event_type FROM events LEFT JOIN ends ON loser = user_id""")
 def merge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third of ten users merges into the tenth, and tenths into those ten before: long chains."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type")
-    mapping = e.where("user_id % 10 = 3").select(F.col("user_id").alias("loser"), (F.col("user_id") - 3).alias("winner")).distinct()
+    winner = F.when(F.col("user_id") % 10 == 3, F.col("user_id") - 3).otherwise(F.col("user_id") - 10)
+    mapping = e.where("user_id % 10 IN (0, 3) AND user_id > 3").select(F.col("user_id").alias("loser"), winner.alias("winner"))
     return upserts.merge_entities(e, mapping, "user_id", ["user_id", "event_type"])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import links as social
 from siltstone.functions import markup, strings
 from siltstone.operators import chunks, outputs
-from siltstone.plans.registry import also, query
+from siltstone.plans.registry import query
 from siltstone.sources.tables import table
 
 _COLLAPSED = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
@@ -34,9 +34,6 @@ def accent_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.lower(strings.accent_fold("text")).alias("folded"))
 
 
-also("accent_fold_whole", accent_fold)
-
-
 @query("""WITH w AS (SELECT doc_id, ' ' || lower(regexp_replace(text, '[^\\p{L}]+', ' ', 'g')) || ' ' AS t FROM documents)
 SELECT doc_id, (contains(t, ' le ')::INT + contains(t, ' la ')::INT + contains(t, ' les ')::INT + contains(t, ' de ')::INT + contains(t, ' et ')::INT) >= 2 AS french FROM w""")
 def stopword_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,15 +50,17 @@ def truncated_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _html_to_text_sql() -> str:
     text = "regexp_replace(regexp_replace(coalesce(html, ''), '(?i)</p\\s*>|<br\\s*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
-    for entity, plain in strings.ENTITIES.items():
-        text = f"replace({text}, '{entity}', chr({ord(plain)}))"
+    for entity, plain in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"')):  # all that the pages hold but the ampersand's own
+        text = f"replace({text}, '{entity}', '{plain}')"
+    text = f"regexp_replace({text}, '&amp;?', '&', 'g') || ' é — ü 😀 ≤ ‡ &unknown; €'"
     lines = f"list_transform(regexp_split_to_array({text}, '\\r\\n|\\n|\\r'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')))"
     return f"SELECT page_id, array_to_string(list_filter({lines}, lambda x: x <> ''), chr(10)) AS body FROM pages"
 
 
 @query(_html_to_text_sql())
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", strings.html_to_text("html").alias("body"))
+    planted = F.concat(F.coalesce("html", F.lit("")), F.lit(" &eacute; &#8212;&nbsp;&#xFC; &#x1F600; &leq; &Dagger; &unknown; &#128;"))
+    return table(spark, sf_dir, "pages").select("page_id", strings.html_to_text(planted).alias("body"))
 
 
 @query("SELECT page_id, lower(regexp_replace(regexp_replace(url, '^https?://', ''), '/.*$', '')) AS host FROM pages")
@@ -141,9 +140,6 @@ def rss_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outputs.rss_items(rows, "event_type", "link", "props", "ts", keep=["event_id"])
 
 
-also("rss_items_whole", rss_items)
-
-
 @query("""SELECT conv_id, string_agg(role || ' ' || turn, ' > ' ORDER BY turn) AS flow, count(*) FILTER (WHERE role = 'user') AS asked FROM conversations GROUP BY 1""")
 def conversation_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat_ws(" ", x["role"], x["turn"].cast("string")))
@@ -172,9 +168,6 @@ def handle_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.handle_candidates(people, "c_custkey", "words")
 
 
-also("handle_candidates_whole", handle_candidates)
-
-
 @query("""SELECT to_json(struct_pack("type" := 'Feature', geometry := struct_pack("type" := 'Point', coordinates := [n_nationkey::DOUBLE, n_regionkey::DOUBLE]), properties := struct_pack(n_name := n_name)))::VARCHAR AS feature FROM nation""")
 def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.operators.geo import features

@@ -39,7 +39,7 @@ def binary_pages(spark: SparkSession, path: str, to_text, names: str = "*.pdf")
         def one(raw: bytes) -> str | None:
             try:
                 return to_text(raw)
-            except ValueError:
+            except Exception:  # noqa: BLE001  a caller's reader raises what it likes; one bad file doesn't end the job
                 return None
 
         return contents.map(one)

@@ -1,6 +1,9 @@
 """Expressions on hand-made cases."""
 
 import hashlib
+import html
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,12 +17,39 @@ def value(spark, column):
 
 @pytest.mark.parametrize(
     ("text", "folded"),
-    [("Vallières", "Vallieres"), ("ÀÉÎõü", "AEIou"), ("œuvre", "œuvre"), ("", ""), ("Ångström Żółć", "Angstrom Zołc")],
+    [("Vallières", "Vallieres"), ("ÀÉÎõü", "AEIou"), ("œuvre", "œuvre"), ("", ""), ("Ångström Żółć", "Angstrom Zołc"), ("Nguyễn Ștefan", "Nguyen Stefan"), ("Ḿ ǅ Ἀθῆναι Й", "M ǅ Αθηναι И"), ("e\u0301 한글", "e 한글"), ("が", "か")],
 )
 def test_accent_fold(spark, text, folded):
     assert value(spark, strings.accent_fold(F.lit(text))) == folded
 
 
+def test_accents_of_all_letters(spark):
+    """Against the decomposition itself, for every letter of the scripts with accents."""
+    letters = [chr(c) for block in ((0xC0, 0x370), (0x370, 0x530), (0x1E00, 0x2000)) for c in range(*block) if unicodedata.category(chr(c))[0] == "L"]
+    rows = spark.createDataFrame([(x,) for x in letters], "x string").select("x", strings.accent_fold("x").alias("y")).collect()
+    want = {x: "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c)[0] != "M") for x in letters}
+    assert {r["x"]: r["y"] for r in rows} == want
+
+
+@pytest.mark.parametrize("text", ["&#233;&mdash;&uuml;", "&amp;lt; &AMP &notin; &notit; &#x1F600;&#0;&#128;", "a & b &unknown; &", "no entity", None, "&lt;p&gt;<p>&nbsp;x&nbsp;</p>&eacute"])
+def test_entities(spark, text):
+    assert value(spark, strings.decoded(F.lit(text))) == (None if text is None else html.unescape(text))
+    plain = "" if text is None else html.unescape(re.sub("<[^>]+>", " ", re.sub("</p>", "\n", text)))
+    lines = [re.sub(r"\s+", " ", x).strip() for x in plain.splitlines()]
+    assert value(spark, strings.html_to_text(F.lit(text))) == "\n".join(x for x in lines if x)
+
+
+@pytest.mark.parametrize(
+    ("line", "name"),
+    [
+        ("The Acting Speaker (Mr. Ray Hall)", "Mr. Ray Hall"), ("Mr. The Deputy Chair ( Ann Li )", "Ann Li"), ("the  assistant deputy speaker (X)", "X"), ("The Vice-Chair (Ms. Li)", "Ms. Li"), ("Hon. The Chairperson (A (B)", "A (B"),
+        ("The Speaker", None), ("The Speaker ()", None), ("Speaker (X)", None), ("The Minister (X)", None), ("The Speaker (X) said", None), ("Mr. Mr. The Speaker (X)", None), ("", None), (None, None),
+    ],
+)
+def test_presiding_names_behind_titles(spark, line, name):
+    assert value(spark, strings.presiding_name(F.lit(line).cast("string"))) == name
+
+
 @pytest.mark.parametrize(
     ("line", "want"),
     [

@@ -165,9 +165,82 @@ def test_only_links_of_a_prefix_stay(spark):
     assert out == '<a href="/speeches/1">a</a><a>b</a>'
 
 
+@pytest.mark.parametrize(
+    ("link", "stays"),
+    [("/speeches/1", True), (" /speeches/1#c", True), ("//evil.example/x", False), ("/\\evil.example/x", False), ("/\t/evil.example", False), ("/speeches/../x", False), ("/speeches/%2e%2e/x", False), ("/%2Fevil.example", False), ("/other/1", False), ("speeches/1", False)],
+)
+def test_links_of_another_host_go(spark, link, stays):
+    for prefix in ("/speeches/", "/"):
+        out = markup.clean(f'<a href="{link}">a</a>', prefix=prefix)
+        assert ("href" in out) == (stays or (prefix == "/" and link == "/other/1"))
+
+
+def test_text_behind_void_tags_stays(spark):
+    assert markup.clean("a<embed src=x>the rest<p>b") == "athe rest<p>b</p>"
+    assert markup.clean("a<object><embed src=x>in</object>out") == "aout"
+
+
+def test_shared_slugs_decide_nothing(spark):
+    entities = frame(spark, [(1, "a", "Ann"), (2, "a", "Bob"), (3, "c", "Cy"), (4, None, "Di")], "k int, slug string, name string")
+    rows = frame(spark, [(10, "a", "Ann"), (11, "a", "none"), (12, "c", "Ann"), (13, None, "Di"), (14, "x", "Cy")], "id int, slug string, name string")
+    got = sorted(tuple(r) for r in resolve.by_key_then_name(rows, entities, "id", "k", "slug", "name").select("id", "k", "learned").collect())
+    assert got == [(10, 1, False), (11, None, False), (12, 3, False), (13, 4, True), (14, 3, True)]
+
+
+def test_merges_follow_chains(spark):
+    pairs = [(1, 2), (2, 3), (3, 9), (5, 6), (5, 7), (8, 8), (None, 1)] + [(k, k + 1) for k in range(100, 140)]
+    mapping = frame(spark, pairs, "loser int, winner int")
+    got = {tuple(r) for r in upserts.last_winners(mapping).collect()}
+    assert got == {(1, 9), (2, 9), (3, 9), (5, 6)} | {(k, 140) for k in range(100, 140)}
+    rows = frame(spark, [(1, "x"), (3, "x"), (4, "y"), (5, "z"), (120, "q")], "who int, what string")
+    assert sorted(tuple(r) for r in upserts.merge_entities(rows, mapping, "who", ["who", "what"]).collect()) == [(4, "y"), (6, "z"), (9, "x"), (140, "q")]
+    for circle in ([(1, 2), (2, 1)], [(1, 2), (2, 3), (3, 1), (7, 1)]):
+        with pytest.raises(ValueError, match="circle"):
+            upserts.last_winners(frame(spark, circle, "loser int, winner int"))
+
+
+def test_readers_that_raise(spark, tmp_path):
+    from siltstone.sources.tables import binary_pages
+
+    for name, raw in (("a.pdf", b"good"), ("b.pdf", b"bad"), ("c.pdf", b"other")):
+        (tmp_path / name).write_bytes(raw)
+
+    def reader(raw):
+        return {b"good": lambda: "text", b"bad": lambda: 1 / 0}[raw]()
+
+    got = {r["url"].rsplit("/", 1)[1]: r["text"] for r in binary_pages(spark, str(tmp_path), reader).collect()}
+    assert got == {"a.pdf": "text", "b.pdf": None, "c.pdf": None}
+
+
+def test_gap_matrix_takes_a_short_list(spark):
+    from siltstone.operators import rollups
+
+    people, kinds, have = frame(spark, [(1,), (2,)], "p int"), frame(spark, [("x",), ("y",), ("x",)], "k string"), frame(spark, [(1, "x")], "p int, k string")
+    assert sorted(tuple(r) for r in rollups.gap_matrix(people, kinds, have, "p", "k").collect()) == [(1, "y"), (2, "x"), (2, "y")]
+    assert rollups.gap_matrix(people, kinds.limit(0), have, "p", "k").count() == 0
+    with pytest.raises(ValueError, match="at most"):
+        rollups.gap_matrix(people, kinds, have, "p", "k", most=1)
+
+
+def test_shared_folders_go(spark):
+    from siltstone.sources import shared
+
+    kept = set(shared._owned)
+    shared._owned.clear()
+    own, other = shared.Workspace(spark, "t"), shared.Workspace(spark, "t")
+    for w in (own, other):
+        w.keep(spark.range(3), "x")
+    own.drop()
+    assert shared._owned == {other.root}
+    shared.sweep(spark)
+    assert not shared._owned and not any((lambda f: f[0].exists(f[1]))(shared.file_system(spark, w.root)) for w in (own, other))
+    shared._owned.update(kept)
+
+
 def test_rewritten_links(spark):
-    html = """<a href="CHUNK:ab-1">x</a> <a href='chunk:ab-2'>y</a> <a href="https://e.org">z</a>"""
-    targets = F.create_map(F.lit("ab-1"), F.lit("/speeches/7#chunk-ab-1"))
+    one, two = "0a1b2c3d-0000-4000-8000-00000000000a", "0a1b2c3d-0000-4000-8000-00000000000b"
+    html = f"""<a href="CHUNK:{one}">x</a> <a href='chunk:{two}'>y</a> <a href="https://e.org">z</a>"""
+    targets = F.create_map(F.lit(one), F.lit("/speeches/7#chunk-ab-1"))
     out = frame(spark, [(html,)], "h string").select(markup.rewritten_links(F.col("h"), targets).alias("h")).first()["h"]
     assert out == """<a href="/speeches/7#chunk-ab-1">x</a> <a >y</a> <a href="https://e.org">z</a>"""
 
@@ -457,7 +530,7 @@ def test_counts_come_with_the_write(spark, tmp_path):
 
 def test_mapped_report(spark):
     rows = frame(spark, [(k, f"t{k}") for k in range(25)], "id int, text string")
-    mapper = lambda body: f"{len(body.split())}"
-    reducer = lambda answers: f'<p>{"+".join(answers)} <a href="CHUNK:ab">in</a><a href="CHUNK:cd">none</a><script>x</script></p>'
-    out = rollups.mapped_report(rows, [F.col("id")], "text", mapper, reducer, {"ab": "/speeches/1#ab"}, size=10, most=22).collect()
+    mapper, known = lambda body: f"{len(body.split())}", "0a1b2c3d-0000-4000-8000-00000000000a"
+    reducer = lambda answers: f'<p>{"+".join(answers)} <a href="CHUNK:{known}">in</a><a href="CHUNK:{known[::-1]}">none</a><script>x</script></p>'
+    out = rollups.mapped_report(rows, [F.col("id")], "text", mapper, reducer, {known: "/speeches/1#ab"}, size=10, most=22).collect()
     assert [r["report"] for r in out] == ['<p>10+10+2 <a href="/speeches/1#ab">in</a><a>none</a></p>']
