@@ -13,10 +13,15 @@ from siltstone.llm.scratch import Scratch
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text is in some language stay, with the language found as ``lang``.
 
-    Null and empty texts and those without a letter go. Without labels to learn
-    from, and of an empty table, nothing stays.
+    Null and empty texts and those without a letter go. Without a label to learn
+    from no language is known: then all texts with a letter stay as they are. Texts
+    of any length are parsed whole, repeated rows stay repeated, extra columns pass
+    through whatever their names, and an empty table stays empty.
     """
-    parser = language.learn(docs, usable=queries.remainder(5) != 0)
+    usable = queries.remainder(5) != 0
+    if not docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).limit(1).count():
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    parser = language.learn(docs, usable=usable)
     own_lang, own_score = unused(docs, "found", "score")
     found = language.identify(docs, parser, lang_as=own_lang, score_as=own_score)
     return found.where(F.col(own_lang) != language.UNDETERMINED).withColumn("lang", F.col(own_lang)).select(*map(quoted, docs.columns))
@@ -25,7 +30,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text stays, the longest and then the one with the smallest id.
 
-    Null texts are empty, empty ones are one text; an empty table stays empty.
+    Null texts are empty, empty ones are one text. Very long texts are read whole,
+    of rows repeated in all columns one stays, extra columns pass through whatever
+    their names, and an empty table stays empty.
     """
     return naming.drop_copies(docs)
 
@@ -33,7 +40,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays, the one with the smallest id.
 
-    Texts without a word are near to none but equal ones; an empty table stays empty.
+    Texts without a word, null ones too, are near to none but equal ones. Very long
+    texts are read whole, of repeated rows one stays, extra columns pass through
+    whatever their names, and an empty table stays empty.
     """
     return near_join.drop_near_duplicates(docs)
 
@@ -41,20 +50,27 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go, ``n_chars`` follows the text, and documents that lost all words go.
 
-    Documents that lose nothing stay as they are, null and empty texts too; an
-    empty table stays empty.
+    Documents that lose nothing stay as they are, null and empty texts too; very
+    long texts are read whole, and of rows repeated in text that with the smallest
+    id keeps it. Extra columns pass through whatever their names; without a column
+    ``n_chars`` there is none to follow. An empty table stays empty.
     """
-    cut = substrings.remove_repeats(docs, rejoin=False)
+    own = {n: unused(docs, n)[0] for n in ("n_words", "n_removed") if unused(docs, n)[0] != n}
+    apart = docs.withColumnsRenamed({c: own[c.lower()] for c in docs.columns if c.lower() in own})
+    cut = substrings.remove_repeats(apart, rejoin=False)
     changed = F.col("n_removed") > 0
     kept = cut.where(~changed | (F.col("text") != ""))
-    kind = docs.schema["n_chars"].dataType
-    return kept.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars"))).select(*map(quoted, docs.columns))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        kept = kept.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return kept.select(*[F.col(quoted(a)).alias(c) for a, c in zip(apart.columns, docs.columns, strict=True)])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each piece of a document and its place; null and empty texts are an end id each.
 
-    An empty table gives an empty one.
+    Very long texts are cut into pieces, repeated rows are packed each, other
+    columns are not read, and an empty table gives an empty one.
     """
     return packing.pack_documents(docs, queries.WORD_BPE)
 
