@@ -1,18 +1,23 @@
 """Keyword search over texts: analysers, search boxes, ranks and headlines.
 
 The ``simple`` analyser takes lower-case words as they are. ``english`` and
-``french`` leave out stop words and cut common endings; they stand in for the
-dictionaries of a database, whose stems they often but not always equal.
+``french`` leave out stop words and take the others' stems (see ``stemmers``).
+``operators.postings`` answers the same searches from a stored index.
 """
 
 from __future__ import annotations
 
 import re
 from functools import reduce
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siltstone.functions.stemmers import STEMMERS
+
 
 def lexemes(text: Column | str) -> Column:
     """The words of a text in order, lower case: runs of letters and digits."""
@@ -24,30 +29,50 @@ def _words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
-def _has_phrase(words: Column, phrase: list[str]) -> Column:
-    if len(phrase) == 1:
-        return F.array_contains(words, phrase[0])
+class Phrase(NamedTuple):
+    """Terms with their distances from the first one, and whether a text must not have them so."""
+
+    minus: bool
+    terms: tuple[tuple[str, int], ...]
+
+
+def parsed(search: str, analyser: str = "simple") -> list[list[Phrase]]:
+    """A search box's text as alternatives, each a list of what must hold together.
+
+    All words, ``"a phrase"``, ``-without`` and ``or``. Words are analysed like a
+    text's, and those that an analyser leaves out ask for nothing; in a phrase
+    they keep their place.
+    """
+    stop, stem = STOP_WORDS[analyser], STEMMERS[analyser] or (lambda w: w)
+    groups: list[list[Phrase]] = [[]]
+    for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', search):
+        if word.lower() == "or" and not minus:
+            groups.append([])
+            continue
+        found = [(stem(w), k) for k, w in enumerate(_words(phrase or word)) if w not in stop]
+        if found:
+            groups[-1].append(Phrase(bool(minus), tuple((t, k - found[0][1]) for t, k in found)))
+    return [g for g in groups if g]
+
+
+def _has_phrase(words: Column, phrase: Phrase) -> Column:
+    if len(phrase.terms) == 1:
+        return F.array_contains(words, phrase.terms[0][0])
     joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    return F.contains(joined, F.lit(f" {' '.join(phrase)} "))
+    return F.contains(joined, F.lit(f" {' '.join(t for t, _ in phrase.terms)} "))
 
 
 def matches(words: Column, search: str) -> Column:
-    """A search box's text: all words, ``"a phrase"``, ``-without`` and ``or``.
+    """Whether a text's words answer a search (see ``parsed``; the simple analyser).
 
     Nothing to look for matches nothing. The words are worked out once for all
     conditions.
     """
-    groups: list[list[tuple[bool, list[str]]]] = [[]]
-    for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', search):
-        if word.lower() == "or" and not minus:
-            groups.append([])
-        elif term := _words(phrase or word):
-            groups[-1].append((bool(minus), term))
-    filled = [g for g in groups if g]
-    if not filled:
+    groups = parsed(search)
+    if not groups:
         return F.lit(False)
-    holds = lambda w, minus, term: ~_has_phrase(w, term) if minus else _has_phrase(w, term)
-    return F.exists(F.array(words), lambda w: reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [holds(w, *t) for t in g]) for g in filled]))
+    holds = lambda w, p: ~_has_phrase(w, p) if p.minus else _has_phrase(w, p)
+    return F.exists(F.array(words), lambda w: reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [holds(w, p) for p in g]) for g in groups]))
 
 
 def says(text: Column, search: str) -> Column:
@@ -58,13 +83,8 @@ def says(text: Column, search: str) -> Column:
     """
     low = F.lower(F.coalesce(text, F.lit("")))
     has = lambda term: F.contains(low, F.lit(max(term, key=len))) & low.rlike(r"(?<![\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(map(re.escape, term)) + r"(?![\p{L}\p{N}])")
-    groups: list[list[Column]] = [[]]
-    for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', search):
-        if word.lower() == "or" and not minus:
-            groups.append([])
-        elif term := _words(phrase or word):
-            groups[-1].append(~has(term) if minus else has(term))
-    filled = [reduce(lambda a, b: a & b, g) for g in groups if g]
+    holds = lambda p: ~has([t for t, _ in p.terms]) if p.minus else has([t for t, _ in p.terms])
+    filled = [reduce(lambda a, b: a & b, [holds(p) for p in g]) for g in parsed(search)]
     return reduce(lambda a, b: a | b, filled) if filled else F.lit(False)
 
 
@@ -74,12 +94,22 @@ STOP_WORDS = {
     "english": tuple("a an and are as at be been but by for from had has have he her his i if in into is it its me my no not of on or our she so than that the their them then there these they this to was we were what when which who will with would you your".split()),
     "french": tuple("à au aux avec ce ces dans de des du elle en est et eux il ils je la le les leur lui ma mais me mes moi mon ne nos notre nous on ou par pas pour qu que qui sa se ses son sont sur ta te tes toi ton tu un une vos votre vous d l c j m n s t y".split()),
 }
-#: Endings that are cut, in order, the first that fits; what is left has three letters or more.
-_ENDINGS = {
-    "simple": (),
-    "english": (("sses$", "ss"), ("ies$", "i"), ("(?<=[^aeiou])y$", "i"), ("(?<![us])s$", ""), ("(?<=[a-z]{2})(?:ational|ation)$", "at"), ("(?<=[a-z]{3})(?:ing|ed|ement|ment|ness|ly)$", ""), ("(?<=[a-z]{3})e$", "")),
-    "french": (("(?<=[a-zà-ÿ]{3})(?:issements?|ements?|ments?)$", ""), ("(?<=[a-zà-ÿ]{3})(?:ations?|ateurs?|atrices?)$", ""), ("(?<=[a-zà-ÿ]{3})(?:euses?|eux|ives?|ifs?)$", ""), ("aux$", "al"), ("(?<=[a-zà-ÿ]{3})(?:ées?|és|er|ez|ent|es|e|s|x)$", "")),
-}
+
+
+def stems(words: Column, analyser: str) -> Column:
+    """The stems of a list of words: an Arrow function that stems each distinct word of a batch once."""
+    stem = STEMMERS[analyser]
+    if stem is None:
+        return words
+
+    @F.arrow_udf("array<string>")
+    def run(batch: pa.Array) -> pa.Array:
+        coded = batch.flatten().dictionary_encode()
+        made = pa.array([None if w is None else stem(w) for w in coded.dictionary.to_pylist()], pa.string())
+        bounds = np.concatenate([[0], np.cumsum(batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), made.take(coded.indices), mask=batch.is_null())
+
+    return run(words)
 
 
 def analysed(text: Column | str, analyser: str = "simple") -> Column:
@@ -87,16 +117,7 @@ def analysed(text: Column | str, analyser: str = "simple") -> Column:
     words = lexemes(text)
     if stop := STOP_WORDS[analyser]:
         words = F.filter(words, lambda w: ~w.isin(*stop))
-    if not _ENDINGS[analyser]:
-        return words
-
-    def stem(w: Column) -> Column:
-        out = w
-        for ending, left in reversed(_ENDINGS[analyser]):
-            out = F.when(w.rlike(ending), F.regexp_replace(w, ending, left)).otherwise(out)
-        return F.when(F.length(out) >= 3, out).otherwise(w)
-
-    return F.transform(words, stem)
+    return stems(words, analyser)
 
 
 def term_rank(terms: Column, asked: list[str]) -> Column:
@@ -137,3 +158,69 @@ def headline(text: Column, terms: list[str], words: int = 35, before: int = 10,
     starts = F.aggregate(hits, F.array().cast("array<int>"), add)
     parts = F.transform(starts, lambda s: F.array_join(F.slice(bold, s + 1, F.lit(words)), " "))
     return F.when(F.size(hits) == 0, F.array_join(F.slice(shown, 1, least), " ")).otherwise(F.array_join(parts, between))
+
+
+def covers(marks: list[int | None], most: int) -> list[tuple[int, int, int]]:
+    """The covers of a text's words: ``(distinct terms, first, last)`` of runs of at most ``most`` words.
+
+    ``marks`` has each word's term number, or None. A cover is a run that no
+    shorter run inside it equals in distinct terms: those of its first and its last
+    word are there once.
+    """
+    hits = [k for k, m in enumerate(marks) if m is not None]
+    found = []
+    for place, first in enumerate(hits):
+        seen = {marks[first]}
+        found.append((1, first, first))
+        for k in hits[place + 1 :]:
+            if k - first >= most or marks[k] == marks[first]:
+                break
+            if marks[k] not in seen:
+                seen.add(marks[k])
+                found.append((len(seen), first, k))
+    return found
+
+
+def _fragments(shown: list[str], marks: list[int | None], words: int, least: int, fragments: int, between: str) -> str:
+    """The best covers that don't overlap, stretched to ``least`` words and joined in order."""
+    taken: list[tuple[int, int]] = []
+    for _, first, last in sorted(covers(marks, words), key=lambda c: (-c[0], c[2] - c[1], c[1])):
+        if len(taken) == fragments:
+            break
+        # Stretch evenly, inside the text and clear of the runs taken before.
+        low = max((b + 1 for a, b in taken if b < first), default=0)
+        high = min((a - 1 for a, _ in taken if a > last), default=len(shown) - 1)
+        if any(a <= last and first <= b for a, b in taken):
+            continue
+        room = max(0, least - (last - first + 1))
+        begin = max(low, first - room // 2)
+        end = min(high, max(last, begin + least - 1))
+        begin = max(low, min(begin, end - least + 1))
+        taken.append((min(begin, first), max(end, last)))
+    if not taken:
+        return " ".join(shown[:least])
+    bold = lambda k: f"<b>{shown[k]}</b>" if marks[k] is not None else shown[k]
+    return between.join(" ".join(bold(k) for k in range(a, b + 1)) for a, b in sorted(taken))
+
+
+def best_fragments(text: Column, search: str, analyser: str = "simple", words: int = 35, least: int = 15, fragments: int = 2, between: str = " … ") -> Column:
+    """Up to ``fragments`` runs of a text that answer a search best, hits in bold.
+
+    A run is a cover, the shortest run with the most of the asked terms, of at
+    most ``words`` words and stretched to ``least``; runs don't overlap, those of
+    more terms come before shorter ones, and these before earlier ones. Terms are
+    matched by their stems. A text without a hit gives its first ``least`` words.
+    Meant for the few rows that a page of results shows: each is worked out by itself.
+    """
+    terms = {t: k for k, t in enumerate(sorted({t for g in parsed(search, analyser) for p in g if not p.minus for t, _ in p.terms}))}
+    stem = STEMMERS[analyser] or str
+
+    def mark(word: str) -> int | None:
+        return next((terms[t] for w in _words(word) if (t := stem(w)) in terms), None)
+
+    @F.arrow_udf("string")
+    def run(batch: pa.Array) -> pa.Array:
+        split = [None if t is None else t.split() for t in batch.to_pylist()]
+        return pa.array([None if w is None else _fragments(w, [mark(x) for x in w], words, least, fragments, between) for w in split], pa.string())
+
+    return run(text)

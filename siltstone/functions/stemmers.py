@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import lru_cache
 
 
 def _region(word: str, vowels: str, start: int = 0) -> int:
@@ -268,4 +267,4 @@ def french(word: str) -> str:
 
 
 #: Each analyser's stemmer; ``simple`` leaves words as they are.
-STEMMERS: dict[str, Callable[[str], str] | None] = {"simple": None, "english": lru_cache(1 << 16)(english), "french": lru_cache(1 << 16)(french)}
+STEMMERS: dict[str, Callable[[str], str] | None] = {"simple": None, "english": english, "french": french}

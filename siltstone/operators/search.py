@@ -57,6 +57,14 @@ def nearest(rows: DataFrame, key: str, k: int, floor: float | None = None) -> Da
     return rows.orderBy(F.col("sim").desc_nulls_last(), F.col(key)).limit(k)
 
 
+def held(pool: DataFrame, most: int = 1000) -> DataFrame:
+    """A pool of a bounded number of rows, worked out once: ``most`` and more raise."""
+    rows = pool.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a pool has at most {most} rows")
+    return pool.sparkSession.createDataFrame(rows, pool.schema)
+
+
 def nearest_of_each(rows: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, vector: str = "embedding") -> DataFrame:
     """The ``k`` nearest rows of each of a stated set of queries, against all rows.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import fulltext
 from siltstone.operators.latest import first_by
 from siltstone.plans.registry import query
+from siltstone.plans.search_plans import text_index
 from siltstone.sources import tables
 from siltstone.sources.tables import table
 
@@ -34,9 +35,9 @@ _ASKED = [(1, "the"), (2, "nicht"), (3, "les")]
 s AS (SELECT q, doc_id, round(len(list_filter(w, lambda x: x = term)) / (1.0 + ln(greatest(len(w), 1))), 6) AS score FROM d, (VALUES (1, 'the'), (2, 'nicht'), (3, 'les')) t(q, term) WHERE list_contains(w, term))
 SELECT q AS query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 20""")
 def auto_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", fulltext.lexemes("text").alias("w"))
-    parts = [docs.where(F.array_contains("w", term)).select(F.lit(q).alias("query_id"), "doc_id", F.round(fulltext.rank(F.col("w"), [term]), 6).alias("score")) for q, term in _ASKED]
-    scored = reduce(DataFrame.unionByName, parts)
+    numbers = F.create_map(*[F.lit(x) for q, term in _ASKED for x in (term, q)])
+    shares = text_index(spark, sf_dir).shares([term for _, term in _ASKED])
+    scored = shares.select(numbers[F.col("term")].alias("query_id"), "doc_id", F.round("share", 6).alias("score"))
     return first_by(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], 20).select("query_id", "doc_id")
 
 

@@ -121,7 +121,7 @@ def test_matches(spark, search, text, want):
 def test_analysers(spark):
     terms = lambda text, name: value(spark, fulltext.analysed(F.lit(text), name))
     assert terms("The Ministers were running policies", "simple") == ["the", "ministers", "were", "running", "policies"]
-    assert terms("The ministers' policies and a policy", "english") == ["minister", "polici", "polici"]
+    assert terms("The ministers' policies and a policy", "english") == ["minist", "polici", "polici"]
     assert terms("Les gouvernements et le gouvernement", "french") == ["gouvern", "gouvern"]
     assert terms(None, "english") == []
 
