@@ -65,32 +65,57 @@ def held(pool: DataFrame, most: int = 1000) -> DataFrame:
     return pool.sparkSession.createDataFrame(rows, pool.schema)
 
 
-def nearest_of_each(rows: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, vector: str = "embedding") -> DataFrame:
+#: Queries of up to so many bytes go to every task; more are dealt in blocks, as rows are.
+QUERY_BYTES, BLOCK_QUERIES, BLOCK_ROWS = 32 << 20, 2_000, 50_000
+
+
+def _best(names: pa.Array, q: np.ndarray, keys: pa.Array, units: np.ndarray, k: int) -> list[pa.Array]:
+    """The best ``k`` rows of each query, ties by key: query names, row keys, similarities."""
+    sims = np.round(units @ q.T, DIGITS) if len(q) and len(units) else np.zeros((len(units), len(q)))
+    place = np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable")
+    order = place[np.argsort(-sims[place], axis=0, kind="stable")[:k]]
+    at, of = order.T.ravel(), np.repeat(np.arange(len(q)), len(order))
+    return [names.take(pa.array(of)), keys.take(pa.array(at)), pa.array(sims[at, of])]
+
+
+def nearest_of_each(rows: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, vector: str = "embedding", query_bytes: int = QUERY_BYTES, block_queries: int = BLOCK_QUERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The ``k`` nearest rows of each of a stated set of queries, against all rows.
 
-    ``key, query_key, sim``; ties by key. Each batch of rows is one matrix product
-    with all queries and hands on its own best ``k`` of each; so no pair of all
-    rows and queries is ever a row. The queries are sent to every task.
+    ``key, query_key, sim``; ties by key. Rows meet queries as matrix products, and
+    each hands on only its own best ``k`` of each query; so no pair of all rows and
+    queries is ever a row. Queries of at most ``query_bytes`` are broadcast, and
+    each batch of rows is one product. More of them are dealt in blocks that meet
+    blocks of rows, a bounded number of both in a task.
     """
     asked = queries.select(query_key, "q").where("q IS NOT NULL")
     kinds = dict(rows.dtypes) | {query_key: dict(asked.dtypes)[query_key]}
-    held = asked.toArrow()
-    names, q = _plain(held.column(0)), _matrix(_plain(held.column(1)))[0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            units, have = _matrix(batch.column(1))
-            if not len(have) or not len(q):
-                continue
-            sims = np.round(units @ q.T, DIGITS)
-            keys = batch.column(0).take(pa.array(have))
-            place = np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable")
-            order = place[np.argsort(-sims[place], axis=0, kind="stable")[:k]]  # best rows of each query, ties by key
-            at, of = order.T.ravel(), np.repeat(np.arange(len(q)), len(order))
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), keys.take(pa.array(at)), pa.array(sims[at, of])], names=[query_key, key, "sim"])
-
-    best = rows.select(key, vector).mapInArrow(run, f"`{query_key}` {kinds[query_key]}, `{key}` {kinds[key]}, sim double").where("NOT isnan(sim)")
-    return first_by(best, [query_key], [F.col("sim").desc(), F.col(key)], k)
+    schema = f"`{query_key}` {kinds[query_key]}, `{key}` {kinds[key]}, sim double"
+    n, size = asked.agg(F.count(F.lit(1)), F.sum(F.size("q")) * 8).first()
+    if (size or 0) <= query_bytes:
+        held = asked.toArrow()
+        shared = rows.sparkSession.sparkContext.broadcast((_plain(held.column(0)), _matrix(_plain(held.column(1)))[0]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            for batch in batches:
+                units, have = _matrix(batch.column(1))
+                if len(have) and len(q):
+                    yield pa.RecordBatch.from_arrays(_best(names, q, batch.column(0).take(pa.array(have)), units, k), names=[query_key, key, "sim"])
+
+        best = rows.select(key, vector).mapInArrow(run, schema)
+    else:
+        blocks, sections = -(-n // block_queries), max(1, -(-rows.count() // block_rows))
+        every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+        own = lambda parts: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")
+        left = asked.withColumn("__block", own(blocks)).withColumn("__section", every(sections))
+        right = rows.select(key, vector).where(F.col(vector).isNotNull()).withColumn("__section", own(sections)).withColumn("__block", every(blocks))
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            q, units = _matrix(_plain(a.column("q")))[0], _matrix(_plain(b.column(vector)))[0]
+            return pa.table(dict(zip((query_key, key, "sim"), _best(_plain(a.column(query_key)), q, _plain(b.column(key)), units, k), strict=True)))
+
+        best = left.groupBy("__block", "__section").cogroup(right.groupBy("__block", "__section")).applyInArrow(meet, schema)
+    return first_by(best.where("NOT isnan(sim)"), [query_key], [F.col("sim").desc(), F.col(key)], k)
 
 
 #: How groups can be ordered; ties go to the better best match, then the group.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import fulltext, vectors
 from siltstone.operators import retrieval, search
 from siltstone.operators.postings import TextIndex
+from siltstone.operators.vector_index import VectorIndex
 from siltstone.plans.registry import query
 from siltstone.sources.shared import shared_folder, versions
 from siltstone.sources.tables import table
@@ -30,6 +31,15 @@ def text_index(spark: SparkSession, sf_dir: str, analyser: str = "simple") -> Te
     return TextIndex(spark, _INDEXES[key])
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The stored index of ``embeddings``: written once by a session, then read by all searches."""
+    key = (spark.sparkContext.applicationId, sf_dir, "vectors")
+    if key not in _INDEXES or not versions(spark, f"{_INDEXES[key]}/commits"):
+        _INDEXES[key] = shared_folder(spark, "vector-index")
+        VectorIndex.begin(table(spark, sf_dir, "embeddings"), _INDEXES[key], "vec_id", "embedding")
+    return VectorIndex(spark, _INDEXES[key])
+
+
 def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return search.with_similarity(rows, rows.where("vec_id = 0").select(F.col("embedding").alias("q"))).drop("embedding")
@@ -54,6 +64,31 @@ def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest_of_each(rows, asked, "vec_id", "query_id", 5).select("query_id", "vec_id", "sim")
 
 
+@query(f"{_SIM} ORDER BY sim DESC, vec_id LIMIT 20")
+def knn_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the stored index, all cells that can hold one of the nearest rows."""
+    asked = table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]
+    return vector_index(spark, sf_dir).search(asked, 20, exact=True).select("vec_id", "label", "sim")
+
+
+@query()
+def knn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the stored index, the measured number of cells; how many neighbours this finds is in ``index_recall``."""
+    asked = table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]
+    return vector_index(spark, sf_dir).search(asked, 20).select("vec_id", "label", "sim")
+
+
+@query()
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each query the share of its true twenty nearest rows that the index finds."""
+    rows, index = table(spark, sf_dir, "embeddings"), vector_index(spark, sf_dir)
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    true = search.nearest_of_each(rows, asked, "vec_id", "query_id", 20).select("query_id", "vec_id")
+    found = index.search_each(asked, "query_id", 20).select("query_id", "vec_id", F.lit(True).alias("found"))
+    both = true.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("neighbours"), F.count("found").alias("found"))
+    return both.select("query_id", "neighbours", "found", (F.col("found") / F.col("neighbours")).alias("recall"), F.lit(index.probes).alias("cells_read"), F.lit(len(index.centroids)).alias("cells"))
+
+
 _THE = "regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])the([^\\p{L}\\p{N}]|$)')"
 
 
