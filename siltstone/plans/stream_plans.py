@@ -9,7 +9,8 @@ from siltstone.operators.intervals import covers
 from siltstone.plans.registry import query
 from siltstone.sources.shared import shared_folder
 from siltstone.sources.tables import table
-from siltstone.streaming import feeds
+from siltstone.streaming import feeds, timed
+from siltstone.streaming.percolator import Percolator
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def stream_state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     hour = F.floor((F.unix_timestamp("ts") - F.lit(1704067200)) / 3600) + F.col("event_id") % 24
     stream = _in_files(spark, rows, F.least(F.floor(hour / 240), F.lit(2)), 3, "changes")
     folder = shared_folder(spark, "changes-state")
-    work = feeds.StateChanges(folder, "user_id", "ts", "event_id", "event_type", late="2 days")
+    work = timed.StateChanges(folder, "user_id", "ts", "event_id", "event_type", late="2 days")
     return work.drain(stream, f"{folder}/checkpoint", complete=True).select("user_id", "event_id", "old", "new")
 
 
@@ -48,19 +49,47 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     twice = events.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
     stream = _in_files(spark, twice, F.col("copy"), 2, "dedup")
-    return _drained(spark, feeds.first_of_key(stream, "event_id"), "dedup").select("event_id")
+    return _drained(spark, feeds.first_of_key(stream, "event_id", "ts", within="60 days"), "dedup").select("event_id")
 
 
 @query("""WITH m AS (SELECT s.id AS search_id, event_id, row_number() OVER (PARTITION BY s.id ORDER BY ts DESC, event_id) AS r FROM events JOIN (VALUES (1, 'click', TIMESTAMP '2024-01-10'), (2, 'purchase', NULL), (3, 'error', TIMESTAMP '2030-01-01')) s(id, kind, since) ON event_type = kind AND ts > coalesce(since, TIMESTAMP '0001-01-01')) SELECT search_id, event_id FROM m WHERE r <= 10""")
 def standing_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    saved = spark.createDataFrame([(1, "click", "2024-01-10"), (2, "purchase", None), (3, "error", "2030-01-01")], "search_id int, kind string, since string")
-    saved = saved.select("search_id", "kind", F.col("since").cast("timestamp_ntz").alias("last_checked_at"))
+    saved = spark.createDataFrame([(1, {"event_type": ["click"]}, "2024-01-10"), (2, {"event_type": ["purchase"]}, None), (3, {"event_type": ["error"]}, "2030-01-01")], "search_id int, filters map<string,array<string>>, since string")
+    saved = saved.select("search_id", "filters", F.col("since").cast("timestamp_ntz").alias("last_checked_at"))
     folder = shared_folder(spark, "standing")
-    work = feeds.StandingQueries(saved, F.col("event_type") == F.col("kind"), "ts", "event_id", lambda found, n: found.select("search_id", "event_id").write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/state")
+    asked = Percolator(saved, ["event_type"], "ts", "event_id")
+    work = feeds.StandingQueries(asked, lambda found, n: found.select("search_id", "event_id").write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/state")
     work.run(_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp_ntz")), f"{folder}/checkpoint")
     return spark.read.schema("search_id int, event_id bigint").parquet(f"{folder}/out").select("search_id", "event_id")
 
 
+_ROWS = """SELECT doc_id, lang, ts, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' ') || ' ' AS s, embedding::DOUBLE[] AS v FROM documents JOIN events ON event_id = doc_id LEFT JOIN embeddings ON vec_id = doc_id"""
+_NEAR = "round(1 - round(list_cosine_similarity(v, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {})), 6), 6)"
+
+
+@query(f"""WITH r AS ({_ROWS}), m AS (
+SELECT 1 AS search_id, doc_id, ts, NULL::DOUBLE AS d FROM r WHERE lang = 'fr'
+UNION ALL SELECT 2, doc_id, ts, NULL FROM r WHERE lang IN ('en', 'de') AND contains(s, ' of the ') AND NOT contains(s, ' and ') OR lang IN ('en', 'de') AND contains(s, ' nicht ')
+UNION ALL SELECT 3, doc_id, ts, {_NEAR.format(3)} FROM r WHERE lang IN ('en', 'fr') AND v IS NOT NULL
+UNION ALL SELECT 4, doc_id, ts, {_NEAR.format(5)} FROM r WHERE v IS NOT NULL AND ts > TIMESTAMP '2024-01-10'
+UNION ALL SELECT 5, doc_id, ts, {_NEAR.format(7)} FROM r WHERE v IS NOT NULL AND contains(s, ' les ') AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-25'
+UNION ALL SELECT 6, doc_id, ts, {_NEAR.format(9)} FROM r WHERE v IS NOT NULL AND {_NEAR.format(9)} <= 0.9)
+SELECT search_id, doc_id, d AS distance FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY d NULLS LAST, CASE WHEN d IS NULL THEN ts END DESC, doc_id) AS k FROM m) WHERE k <= 10""")
+def percolated_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches by words, values, times and vectors against all documents, dated by the events of their ids."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").join(table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts"), "doc_id")
+    rows = rows.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    vectors = {r["vec_id"]: r["embedding"] for r in table(spark, sf_dir, "embeddings").where("vec_id IN (3, 5, 7, 9)").collect()}
+    asked = [
+        (1, {"lang": ["fr"]}, None, None, None, None, None, None), (2, {"lang": ["en", "de"]}, '"of the" -and or nicht', None, None, None, None, None), (3, {"lang": ["en", "fr"]}, None, vectors[3], None, None, None, None),
+        (4, None, None, vectors[5], None, None, None, "2024-01-10"), (5, None, "les", vectors[7], None, "2024-01-05", "2024-01-25", None), (6, {}, "", vectors[9], 0.1, None, None, None),
+    ]
+    saved = spark.createDataFrame(asked, "search_id int, filters map<string,array<string>>, search string, q array<float>, floor double, after string, before string, last_checked_at string")
+    known = Percolator(saved, ["lang"], "ts", "doc_id", "text", "embedding", sample=rows)
+    marks = known.searches.select("search_id", "last_checked_at")
+    return known.matches(rows, marks, F.lit("0001-01-01").cast("timestamp_ntz"), 10).select("search_id", "doc_id", F.round("distance", 6).alias("distance"))
+
+
 @query("SELECT user_id AS schedule_id, TIMESTAMP '2024-01-30' AS queued_at FROM (SELECT user_id, max(ts) AS seen FROM events GROUP BY 1) WHERE user_id % 5 <> 0 AND CASE user_id % 3 WHEN 0 THEN seen + INTERVAL 1 DAY <= TIMESTAMP '2024-01-30' WHEN 1 THEN seen + INTERVAL 7 DAY <= TIMESTAMP '2024-01-30' ELSE false END")
 def due_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("schedule_id")).agg(F.max("ts").alias("last_run_at"))

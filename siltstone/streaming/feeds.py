@@ -6,14 +6,15 @@ ends, so the same code serves a schedule and an endless stream.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siltstone.operators.latest import first_by
-from siltstone.sources.shared import versions
+from siltstone.sources.shared import drop_folder, versions
+from siltstone.streaming.percolator import Percolator
 
 
 def file_stream(spark: SparkSession, folder: str, schema: object, names: str = "*.parquet", files_per_batch: int = 64) -> DataFrame:
@@ -27,92 +28,37 @@ def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") ->
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def first_of_key(stream: DataFrame, key: str, at: str | None = None, within: str | None = None) -> DataFrame:
-    """One row for each key, however late its copies come.
+def first_of_key(stream: DataFrame, key: str, at: str, within: str | None = "7 days") -> DataFrame:
+    """One row for each key, if its copies come within a span of time.
 
-    With ``at`` and ``within`` a key is remembered as long as its copies may come
-    only, and state stays bounded.
+    A key is remembered for ``within`` after the latest time seen, and then its
+    state ends: a copy that comes later is a row again, or is dropped if its time
+    ``at`` lies behind the watermark. So is a first row that comes so late. Only an
+    explicit None remembers every key, and its state has no end.
     """
     if within is None:
         return stream.dropDuplicates([key])
     return stream.withWatermark(at, within).dropDuplicatesWithinWatermark([key])
 
 
-class StateChanges:
-    """A row for each change of a key's value: ``key, at, tie, old, new``; the first one is no change.
-
-    Runs as ``foreachBatch``. Rows wait until no earlier ones can come, that is
-    ``late`` behind the latest time seen; then the changes are worked out in time
-    order, against the last known row of each key. Last rows and waiting rows are
-    tables of each batch's number under ``folder``, so a batch that is run again
-    after a failure starts from the same state and writes the same changes.
-    Rows that come later than ``late`` change nothing and are kept in ``too_late``.
-    """
-
-    def __init__(self, folder: str, key: str, at: str, tie: str, value: str, late: str = "1 hour"):
-        self.folder, self.key, self.at, self.tie, self.value, self.late = folder, key, at, tie, value, late
-
-    def _read(self, spark: SparkSession, name: str, number: int, schema: object) -> DataFrame:
-        """The table of the last batch before ``number``; empty before the first."""
-        past = [n for n in versions(spark, f"{self.folder}/{name}") if n < number]
-        return spark.read.schema(schema).parquet(f"{self.folder}/{name}/{max(past)}") if past else spark.createDataFrame([], schema)
-
-    def __call__(self, batch: DataFrame, number: int) -> None:
-        self._take(batch, 2 * number, last=False)  # odd numbers are of what is done between runs
-
-    def _take(self, batch: DataFrame, number: int, last: bool) -> None:
-        spark, at = batch.sparkSession, F.col(self.at)
-        rows = batch.select(self.key, self.at, self.tie, F.col(self.value).cast("string").alias("value")).where(at.isNotNull())
-        known = self._read(spark, "known", number, rows.schema)
-        waiting = rows.unionByName(self._read(spark, "waiting", number, rows.schema))
-        seen_before = self._read(spark, "seen", number, "m timestamp")
-        times = waiting.select(at.cast("timestamp").alias("m"), F.lit(False).alias("old")).unionByName(seen_before.withColumn("old", F.lit(True)))
-        newest, done = times.agg(F.max("m"), F.max(F.when(F.col("old"), F.col("m")))).first()
-        lateness = F.expr(f"INTERVAL {self.late}")
-        ripe = F.lit(True) if last else at.cast("timestamp") <= F.lit(newest) - lateness
-        stale = F.lit(False) if done is None else at.cast("timestamp") <= F.lit(done) - lateness
-        ready = waiting.where(ripe & ~stale)
-        order = Window.partitionBy(self.key).orderBy(self.at, self.tie)
-        run = known.withColumn("fresh", F.lit(False)).unionByName(ready.withColumn("fresh", F.lit(True))).withColumn("old", F.lag("value").over(order))
-        changed = run.where("fresh AND old IS NOT NULL AND old <> value").select(self.key, self.at, self.tie, "old", F.col("value").alias("new"))
-        tables = {
-            "changes": changed,
-            "known": first_by(known.unionByName(ready), [self.key], [at.desc(), F.col(self.tie).desc()]),
-            "waiting": waiting.where(~ripe),
-            **({"too_late": waiting.where(stale)} if done is not None else {}),
-            "seen": spark.createDataFrame([(newest,)], "m timestamp"),
-        }
-        for name, table in tables.items():
-            table.write.mode("overwrite").parquet(f"{self.folder}/{name}/{number}")
-
-    def drain(self, stream: DataFrame, checkpoint: str, complete: bool = False) -> DataFrame:
-        """Take all that is there and return all changes so far; ``complete`` input lets no row wait on."""
-        stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-        spark = stream.sparkSession
-        if complete:
-            latest = max(versions(spark, f"{self.folder}/seen"), default=0)
-            self._take(spark.createDataFrame([], stream.schema), latest | 1, last=True)
-        kinds = dict(stream.dtypes)
-        schema = f"`{self.key}` {kinds[self.key]}, `{self.at}` {kinds[self.at]}, `{self.tie}` {kinds[self.tie]}, old string, new string"
-        found = [f"{self.folder}/changes/{n}" for n in versions(spark, f"{self.folder}/changes")]
-        return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
-
-
 class StandingQueries:
     """Saved searches with a watermark each, matched against every new batch.
 
-    ``searches`` has ``search_id, last_checked_at``; a match is newer than that, or
-    than ``first`` for a search that was never checked (by default all are new).
-    ``deliver`` gets a batch's matches and its number, and may return the ids of
-    searches whose delivery failed; if it raises, all have. The watermark of a
-    search moves on after its delivery, with or without matches. A search that
-    failed keeps its watermark, and its matches are delivered again with the next
-    batch. Watermarks and undelivered matches are tables of each batch's number
-    under ``folder``, so they outlive the driver.
+    ``percolator`` knows the searches and finds their matches. A match is newer
+    than the search's watermark, or than ``first`` for a search that was never
+    checked (by default all are new). ``deliver`` gets a batch's matches and its
+    number, and may return the ids of searches whose delivery failed; if it raises,
+    all have. What it raised is logged, and kept as ``failures``. After a delivery
+    the watermark of a search moves to the latest time seen less ``late``, and the
+    matches delivered since are remembered: so a row that comes late, but no more
+    than that, is delivered too, and none twice. A search that failed keeps its
+    watermark, and its matches are delivered again with the next batch. All this is
+    in tables of each batch's number under ``folder``, which outlive the driver; of
+    these the last two are kept.
     """
 
-    def __init__(self, searches: DataFrame, condition: Column, at: str, tie: str, deliver: Callable[[DataFrame, int], Iterable | None], folder: str, most: int = 10, first: Column | None = None):
-        self.searches, self.condition, self.at, self.tie, self.deliver, self.folder, self.most = searches, condition, at, tie, deliver, folder, most
+    def __init__(self, percolator: Percolator, deliver: Callable[[DataFrame, int], Iterable | None], folder: str, most: int = 10, first: Column | None = None, late: str = "1 hour"):
+        self.percolator, self.deliver, self.folder, self.most, self.late = percolator, deliver, folder, most, late
         self.first = F.lit("0001-01-01").cast("timestamp_ntz") if first is None else first
 
     def _before(self, spark: SparkSession, name: str, number: int) -> DataFrame | None:
@@ -120,35 +66,51 @@ class StandingQueries:
         return spark.read.parquet(f"{self.folder}/{name}/{max(past)}") if past else None
 
     def watermarks(self, spark: SparkSession, number: int = 1 << 60) -> DataFrame:
-        """``search_id, last_checked_at`` as they stand before a batch."""
+        """``search_id, last_checked_at`` as they stand before a batch; searches added since have their own."""
+        own = self.percolator.searches.select("search_id", "last_checked_at")
         stored = self._before(spark, "watermarks", number)
-        return self.searches.select("search_id", "last_checked_at") if stored is None else stored
+        return own if stored is None else stored.unionByName(own.join(stored, "search_id", "left_anti"))
 
-    def matches(self, batch: DataFrame, watermarks: DataFrame) -> DataFrame:
-        """The ``most`` newest matches of each search, by time and not by likeness."""
-        newer = F.col(self.at) > F.coalesce(F.col("last_checked_at"), self.first)
-        saved = self.searches.drop("last_checked_at").join(watermarks, "search_id", "left")
-        found = batch.join(saved, self.condition & newer)
-        return first_by(found, ["search_id"], [F.col(self.at).desc_nulls_last(), F.col(self.tie)], self.most)
+    def failures(self, spark: SparkSession) -> list[tuple[int, str]]:
+        """The batches whose delivery raised, as far as they are kept, and what it raised."""
+        found = versions(spark, f"{self.folder}/failures")
+        return [(n, r["reason"]) for n in found for r in spark.read.schema("reason string").parquet(f"{self.folder}/failures/{n}").collect()]
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        spark, at, tie = batch.sparkSession, self.percolator.at, self.percolator.tie
         batch.persist()
         try:
-            marks, again = self.watermarks(spark, number), self._before(spark, "undelivered", number)
-            found = self.matches(batch, marks)
+            marks, again, known = self.watermarks(spark, number), self._before(spark, "undelivered", number), self._before(spark, "delivered", number)
+            found = self.percolator.matches(batch, marks, self.first, self.most)
             if again is not None:
-                found = first_by(found.unionByName(again).distinct(), ["search_id"], [F.col(self.at).desc_nulls_last(), F.col(self.tie)], self.most)
+                found = found.unionByName(again.join(found.select("search_id", tie), ["search_id", tie], "left_anti"))
+            if known is not None:
+                found = found.join(known.select("search_id", tie), ["search_id", tie], "left_anti").select(*found.columns)
+            order = [F.col("distance").asc_nulls_last(), F.when(F.col("distance").isNull(), F.col(at)).desc_nulls_last(), F.col(tie)]
+            first_by(found, ["search_id"], order, self.most).write.mode("overwrite").parquet(f"{self.folder}/found/{number}")
+            found = spark.read.schema(found.schema).parquet(f"{self.folder}/found/{number}")
+            failed, reason = [], []
             try:
                 failed = list(self.deliver(found, number) or [])
-                lost = found.where(F.col("search_id").isin(failed)) if failed else found.limit(0)
-            except Exception:  # noqa: BLE001  whatever the delivery met, its matches wait for the next batch
-                failed, lost = None, found
-            lost.write.mode("overwrite").parquet(f"{self.folder}/undelivered/{number}")
-            seen = batch.agg(F.max(self.at).alias("m")).first()["m"]
-            moved = F.greatest("last_checked_at", F.lit(seen).cast("timestamp_ntz")) if seen is not None and failed is not None else F.col("last_checked_at")
-            kept = F.col("search_id").isin(failed) if failed else F.lit(False)
-            marks.withColumn("last_checked_at", F.when(kept, F.col("last_checked_at")).otherwise(moved)).write.mode("overwrite").parquet(f"{self.folder}/watermarks/{number}")
+            except Exception as error:  # noqa: BLE001  whatever the delivery met, its matches wait for the next batch
+                logging.getLogger(__name__).exception("batch %s was not delivered", number)
+                failed, reason = None, [(f"{type(error).__name__}: {error}",)]
+            spark.createDataFrame(reason, "reason string").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/failures/{number}")
+            kept = F.lit(True) if failed is None else F.col("search_id").isin(failed) if failed else F.lit(False)
+            found.where(kept).write.mode("overwrite").parquet(f"{self.folder}/undelivered/{number}")
+            seen = batch.agg(F.max(at).alias("m")).first()["m"]
+            moved = F.greatest("last_checked_at", F.lit(seen).cast("timestamp_ntz") - F.expr(f"INTERVAL {self.late}")) if seen is not None else F.col("last_checked_at")
+            marks = marks.select("search_id", F.when(kept, F.col("last_checked_at")).otherwise(moved).alias("last_checked_at"))
+            marks.write.mode("overwrite").parquet(f"{self.folder}/watermarks/{number}")
+            done = found.where(~kept).select("search_id", tie, at)
+            done = done if known is None else done.unionByName(known.select("search_id", tie, at))
+            now = spark.read.schema(marks.schema).parquet(f"{self.folder}/watermarks/{number}")
+            # What the watermark has passed can't match again.
+            held = done.join(now, "search_id").where(F.col("last_checked_at").isNull() | (F.col(at) > F.col("last_checked_at"))).select("search_id", tie, at)
+            held.write.mode("overwrite").parquet(f"{self.folder}/delivered/{number}")
+            for name in ("found", "undelivered", "delivered", "watermarks"):
+                for old in versions(spark, f"{self.folder}/{name}")[:-2]:
+                    drop_folder(spark, f"{self.folder}/{name}/{old}")
         finally:
             batch.unpersist()
 
