@@ -125,6 +125,22 @@ def grow(spark: SparkSession, path: str, shards: int, slots: int = SLOTS) -> int
     return version + 1
 
 
+def with_slots(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Add ``virtual_slot`` and ``place`` to ``doc_id, size, text_crc32``.
+
+    Equal rows of which there are more than a quarter of a slot's even share are
+    told apart by their places. There are at most four times as many such groups
+    as slots, so they are broadcast.
+    """
+    n = rows.count()
+    heavy = rows.groupBy("doc_id", "text_crc32").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2, -(-n // (4 * slots))))
+    heavy = heavy.select(F.col("doc_id").alias("d"), F.col("text_crc32").alias("c"), "n")
+    placed = rows.withColumn("place", F.monotonically_increasing_id())
+    placed = placed.join(F.broadcast(heavy), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_crc32") == F.col("c")), "left")
+    spread = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("place"), F.col("n")))
+    return placed.withColumn("virtual_slot", slot_of(F.col("doc_id"), F.col("text_crc32"), spread, slots=slots)).drop("d", "c", "n")
+
+
 def _slot_sizes(rows: DataFrame) -> dict[int, int]:
     # One row for each of a fixed number of slots.
     return {r["virtual_slot"]: r["bytes"] for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes")).collect()}
@@ -136,9 +152,9 @@ def shard_rows(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: s
     Returns ``id_col, size, text_crc32, law, shard, slot, grown_shard,
     virtual_slot, map_version, first_shard``. A row's ``size`` is the UTF-8 bytes
     of its text (null: none) and 16 more. Its virtual slot is a hash of its id and
-    text, so rows that share an id, or have none, spread. ``slot`` is its place in
-    its shard, from 0 without gaps; rows repeated in id and text lie in one virtual
-    slot.
+    text, so rows that share an id, or have none, spread. Rows repeated in id and
+    text so often that one slot of them would be heavy spread too, by their places.
+    ``slot`` is a row's place in its shard, from 0 without gaps.
 
     The map at ``map_path`` is read and edited: it grows to ``shards`` if it has
     fewer, and slots move where the bytes have become uneven; each edit is a new
@@ -152,8 +168,8 @@ def shard_rows(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: s
     path = map_path or scratch.path("map")
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    rows = rows.withColumn("virtual_slot", slot_of(F.col("doc_id"), F.col("text_crc32"), slots=slots))
-    rows = scratch.keep(rows.withColumn("place", F.monotonically_increasing_id()), "rows")
+    rows = with_slots(rows, slots)
+    rows = scratch.keep(rows, "rows")
     sizes, versions = _slot_sizes(rows), stored_versions(spark, path, slots)
     if not versions:
         versions[1] = with_sizes(dealt_map(shards, slots), sizes)

@@ -54,6 +54,67 @@ def loads_of(rows):
     return loads
 
 
+def test_repeated_rows_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN_ROWS", 50)
+    rows = [(7, "one text")] * 400 + [(None, None)] * 300 + [(k, f"text {k}") for k in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    found = sharding.shard_rows(frame, 40).collect()
+    check_places(found, rows)
+    loads = Counter()
+    for r in found:
+        loads[r["shard"]] += r["size"]
+    assert max(loads.values()) - min(loads.values()) < 60  # a row or two
+
+
+def brute_rebalanced(slot_map, uneven):
+    """Every move and swap between the fullest and the emptiest shard is tried; the best is made."""
+    out = dict(slot_map)
+    while True:
+        loads = Counter()
+        for shard, size in out.values():
+            loads[shard] += size
+        full, empty = max(loads, key=lambda s: (loads[s], s)), min(loads, key=lambda s: (loads[s], s))
+        gap = loads[full] - loads[empty]
+        if gap <= uneven * sum(loads.values()) / len(loads):
+            return loads
+        tried = []
+        for a, (shard, size) in out.items():
+            for b, (other, less) in [*out.items(), (None, (empty, 0))]:
+                if shard == full and other == empty and 0 < size - less < gap:
+                    tried.append((abs(gap - 2 * (size - less)), a, b))
+        best = min(tried, default=None, key=lambda t: t[0])
+        if best is None or best[0] >= gap:
+            return loads
+        for slot, target in ((best[1], empty), (best[2], full)):
+            if slot is not None:
+                out[slot] = (target, out[slot][1])
+
+
+def test_maps_are_as_even_as_by_brute_force():
+    rnd = random.Random(6)
+    for _ in range(60):
+        shards = rnd.randint(2, 5)
+        slot_map = {k: (k % shards, rnd.choice([0, 1, rnd.randint(1, 50), rnd.randint(1, 400)])) for k in range(rnd.randint(shards, 24))}
+        loads = Counter()
+        for shard, size in sharding.rebalanced_map(slot_map, 0.0).values():
+            loads[shard] += size
+        best = brute_rebalanced(slot_map, 0.0)
+        assert max(loads.values()) - min(loads.values()) <= max(best.values()) - min(best.values()) + max(size for _, size in slot_map.values())
+        assert sum(loads.values()) == sum(best.values())
+
+
+def test_the_query_keeps_its_law(spark):
+    """Forty shards over the whole table: every row placed, shards by the map's slots, bytes nearly equal."""
+    rows = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text").collect()
+    found = queries.QUERIES["op3_virtual_slots"](spark, LARGER).collect()
+    check_places(found, [(r["doc_id"], r["text"]) for r in rows])
+    shard_of, loads = {}, Counter()
+    for r in found:
+        assert shard_of.setdefault(r["virtual_slot"], r["shard"]) == r["shard"]
+        loads[r["shard"]] += r["size"]
+    assert len(loads) == 40 and max(loads.values()) - min(loads.values()) <= 0.01 * sum(loads.values()) / 40
+
+
 def test_shards_are_even(spark):
     rows = sharding.shard_rows(spark.read.parquet(f"{LARGER}/documents.parquet"), 10).collect()
     loads = loads_of(rows).values()
