@@ -15,8 +15,11 @@ for each document.
 
 Runs that are frequent in a sample of the rows are hot and no window's minimiser
 if it has another run; a window of hot runs only goes by the hash of its words.
-So no bucket grows with a hot run. The sample decides where windows go, never
-which are found: equal windows always meet.
+So no bucket grows with a hot run. Such a window may itself be in very many
+documents: it goes in two steps. First those of one salt meet, a share of the
+tasks, and all but the least are settled there; then the least ones of all salts
+meet, so a bucket has one of each salt at most. The sample decides where windows
+go, never which are found: equal windows always meet.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +41,7 @@ from siltstone.llm.scratch import Scratch
 SLICE_BYTES = 2 << 20
 #: Super-k-mers hold about three times the text. A task gets about this much of
 #: them, in about so many buckets, of which it has one in memory at a time.
-TASK_BYTES, TASK_BUCKETS = 32 << 20, 4
+TASK_BYTES, TASK_BUCKETS = 32 << 20, 6
 MINIMISER_WORDS = 3
 #: A three-word run is hot if it occurs about this often (as super-k-mers, an average
 #: bucket), as told by one in so many rows; or, in a corpus of so many words that this were
@@ -45,6 +49,8 @@ MINIMISER_WORDS = 3
 HOT_RUNS, HOT_SAMPLE, MOST_HOT = 1 << 16, 64, 1 << 22
 #: A task keeps so many windows that lie in several documents, about 100 bytes each.
 MOST_MET = 1 << 16
+#: Windows of hot runs only meet under so many salts first.
+SALTS = 1024
 #: A row is what a slice sends to a bucket, or (without ``text``) the spans that it settled itself.
 _SENT = "bucket int, docs binary, places binary, text binary"
 
@@ -115,9 +121,9 @@ def hot_runs(rows: DataFrame, often: int = HOT_RUNS, sample: int = HOT_SAMPLE) -
     scratch = Scratch(rows.sparkSession, "runs")
     counts = scratch.keep(counts, "counts")
     words = (counts.agg(F.sum("n")).first()[0] or 0) * sample
-    found = counts.where(F.col("n") * sample >= max(often, words // MOST_HOT + 1)).select("run").collect()
+    found = counts.where(F.col("n") * sample >= max(often, words // MOST_HOT + 1)).select("run").toArrow()
     scratch.drop("counts")
-    return np.sort(np.array([r["run"] for r in found], np.int64).view(np.uint64))
+    return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 class Met:
@@ -150,8 +156,11 @@ class Met:
         self.keys, self.docs, self.words = all_keys[kept], all_docs[kept], all_words[kept]
 
 
-def _pack(part: pa.RecordBatch, width: int, buckets: int, hot: np.ndarray, met: Met) -> Iterator[pa.RecordBatch]:
-    """Super-k-mers of a slice, and the spans that the slice settles by itself and by the ones before."""
+def _pack(part: pa.RecordBatch, width: int, buckets: int, hot: np.ndarray, met: Met, salt: int = 0) -> Iterator[pa.RecordBatch]:
+    """Super-k-mers of a slice, and the spans that the slice settles by itself and by the ones before.
+
+    Windows of hot runs only go to buckets of their own behind the others, by ``salt``.
+    """
     docs, keys = part.column(0).to_numpy(), part.column(1).to_numpy()
     _, once = np.unique(np.array([docs, keys]), axis=1, return_index=True)
     if len(once) < len(docs):  # repeated rows have equal results
@@ -171,8 +180,6 @@ def _pack(part: pa.RecordBatch, width: int, buckets: int, hot: np.ndarray, met:
     several = np.unique(whole[settled])
     left = np.flatnonzero(~settled)
     settled[left] = met.earlier(whole[left], doc[left], words_of(left))
-    least_ones = np.flatnonzero(~settled & np.isin(whole, several))
-    met.add(whole[least_ones], doc[least_ones], words_of(least_ones))
 
     least = arrays.window_hashes(hashes[numbers], MINIMISER_WORDS)
     if len(hot):  # hot runs come after all others
@@ -183,10 +190,13 @@ def _pack(part: pa.RecordBatch, width: int, buckets: int, hot: np.ndarray, met:
         step = min(have, reach - have)
         least = np.minimum(least[:-step], least[step:])
         have += step
-    least = least[starts]
+    least, only = least[starts], np.zeros(len(starts), bool)
     if len(hot):
         only = least >> np.uint64(63) > 0
         least[only] = whole[only]
+    # Windows that repeat here, or that the sample shows to be frequent, are kept for later slices.
+    kept = np.flatnonzero(~settled & (only | np.isin(whole, several)))
+    met.add(whole[kept], doc[kept], words_of(kept))
 
     apart = np.ones(len(starts), bool)
     apart[1:] = (np.diff(starts) != 1) | (w.row[starts[1:]] != w.row[starts[:-1]])
@@ -194,26 +204,38 @@ def _pack(part: pa.RecordBatch, width: int, buckets: int, hot: np.ndarray, met:
     turn[1:] |= least[1:] != least[:-1]
     a, b = _runs(~settled, turn)
     bucket = (arrays.mix64(least[a]) % np.uint64(buckets)).astype(np.int64)
+    salted = arrays.mix64(least[a] ^ arrays.mix64(np.array([salt], np.uint64))[0]) % np.uint64(buckets)
+    bucket = np.where(only[a], buckets + salted.astype(np.int64), bucket)
+    out = _parcels(w, docs, keys, w.rows, starts[a], starts[b - 1] + width, bucket, text, shift)
+    a, b = _runs(settled, apart)
+    if len(a):
+        out.append((int(starts[a[0]] + len(data)) % buckets, *_places(w, docs, keys, w.rows, starts[a], b - a - 1 + width), None))
+    yield _sent(out)
+
+
+def _sent(out: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*out, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "docs", "places", "text"])
+
+
+def _parcels(w: arrays.Words, docs: np.ndarray, keys: np.ndarray, origin: np.ndarray, first: np.ndarray, end: np.ndarray, bucket: np.ndarray, text: bytes, shift: np.ndarray) -> list[tuple]:
+    """What goes to each bucket: the words ``first`` to ``end`` of each entry, and their places."""
     order = np.argsort(bucket, kind="stable")
-    a, b, bucket = a[order], b[order], bucket[order]
-    left, right = shift[starts[a]].tolist(), (shift[starts[b - 1] + width] - 1).tolist()
+    first, end, bucket = first[order], end[order], bucket[order]
+    left, right = shift[first].tolist(), (shift[end] - 1).tolist()
     edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
     out = []
     for i, j in zip(edges, edges[1:]):  # noqa: B905
         packed = b"\n".join([text[x:y] for x, y in zip(left[i:j], right[i:j], strict=True)])
-        out.append((int(bucket[i]), *_places(w, docs, keys, starts[a[i:j]], None), zstandard.compress(packed, 1)))
-    a, b = _runs(settled, apart)
-    if len(a):
-        out.append((int(starts[a[0]] + len(data)) % buckets, *_places(w, docs, keys, starts[a], b - a - 1 + width), None))
-    columns = list(zip(*out, strict=True)) or [()] * 4
-    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "docs", "places", "text"])
+        out.append((int(bucket[i]), *_places(w, docs, keys, origin, first[i:j], None), zstandard.compress(packed, 1)))
+    return out
 
 
-def _places(w: arrays.Words, docs: np.ndarray, keys: np.ndarray, first: np.ndarray, span: np.ndarray | None) -> tuple[bytes, bytes]:
-    """Documents (id and key) and, as differences, each entry's document and first word."""
+def _places(w: arrays.Words, docs: np.ndarray, keys: np.ndarray, origin: np.ndarray, first: np.ndarray, span: np.ndarray | None) -> tuple[bytes, bytes]:
+    """Documents (id and key) and, as differences, each entry's document and first word, counted from its row's ``origin``."""
     row = w.row[first]
     met, at = np.unique(row, return_inverse=True)
-    entry = [at, first - w.rows[row]] + ([] if span is None else [span])
+    entry = [at, first - origin[row]] + ([] if span is None else [span])
     differences = np.diff(np.array(entry, np.int32), prepend=np.int32(0))
     return np.array([docs[met], keys[met]]).tobytes(), zstandard.compress(differences.tobytes(), 1)
 
@@ -232,8 +254,11 @@ def _found(columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["doc_id", "row_key", "first", "span"])
 
 
-def _search(sent: list[tuple[bytes, bytes, bytes]], width: int) -> pa.RecordBatch:
-    """The spans of the windows of a bucket that start in a smaller document too."""
+def _search(sent: list[tuple[bytes, bytes, bytes]], width: int, again: int = 0) -> tuple[pa.RecordBatch, list[tuple]]:
+    """The spans of the windows of a bucket that start in a smaller document too.
+
+    With ``again``, also the windows left, packed for so many buckets by their own hash.
+    """
     docs, keys, first = (np.concatenate(c) for c in zip(*(_placed(d, p, 2) for d, p, _ in sent), strict=True))
     data = np.frombuffer(b"\n".join(zstandard.decompress(t) for _, _, t in sent), np.uint8)
     offsets = np.concatenate([[0], np.flatnonzero(data == 0x0A) + 1, [len(data)]])
@@ -245,8 +270,14 @@ def _search(sent: list[tuple[bytes, bytes, bytes]], width: int) -> pa.RecordBatc
     apart = np.ones(len(starts), bool)
     apart[1:] = row[1:] != row[:-1]
     a, b = _runs(found, apart)
-    row = row[a]
-    return _found([docs[row], keys[row], (first[row] + starts[a] - w.rows[row]).astype(np.int32), (b - a - 1 + width).astype(np.int32)])
+    at = row[a]
+    spans = _found([docs[at], keys[at], (first[at] + starts[a] - w.rows[at]).astype(np.int32), (b - a - 1 + width).astype(np.int32)])
+    if not again:
+        return spans, []
+    left = starts[~found]
+    whole = arrays.window_hashes(arrays.word_hashes(distinct)[numbers], width)[left]
+    bucket = (arrays.mix64(whole) % np.uint64(again)).astype(np.int64)
+    return spans, _parcels(w, docs, keys, w.rows[:-1] - first, left, left + width, bucket, arrays.spaced(w.data, w.bounds).tobytes(), w.bounds + np.arange(len(w.bounds)))
 
 
 def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", often: int = HOT_RUNS, sample: int = HOT_SAMPLE) -> DataFrame:
@@ -258,27 +289,47 @@ def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = Met()
+        met, salt = Met(), TaskContext.get().partitionId() % SALTS
         for part in arrays.slices(batches, "text", SLICE_BYTES):
-            yield from _pack(part, width, tasks * TASK_BUCKETS, hot.value, met)
+            yield from _pack(part, width, buckets, hot.value, met, salt)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
         for batch in batches:
             for bucket, docs, places, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if text is None:
-                    yield _found(_placed(docs, places, 3))
+                    yield whole_row(_found(_placed(docs, places, 3)), None)
                 else:
                     held.setdefault(bucket, []).append((docs, places, text))
         while held:
-            yield _search(held.popitem()[1], width)
+            bucket, sent = held.popitem()
+            spans, left = _search(sent, width, again=buckets if bucket >= buckets else 0)
+            yield whole_row(spans, None)
+            if left:
+                yield whole_row(None, _sent(left))
             arrays.release()
 
+    def whole_row(spans: pa.RecordBatch | None, left: pa.RecordBatch | None) -> pa.RecordBatch:
+        """Spans found, or what is to be sent again; the other columns are null."""
+        n = (left if spans is None else spans).num_rows
+        kinds = [(c, k) for names, k in ((("doc_id", "row_key"), pa.int64()), (("first", "span", "bucket"), pa.int32()), (("docs", "places", "text"), pa.binary())) for c in names]
+        given = {name: part.column(k) for part in (spans, left) if part is not None for k, name in enumerate(part.schema.names)}
+        return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(n, k)) for c, k in kinds], names=[c for c, _ in kinds])
+
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     rows = rows.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
     tasks = parts_for(rows, "text", TASK_BYTES, factor=3)
+    buckets = tasks * TASK_BUCKETS
     hot = docs.sparkSession.sparkContext.broadcast(hot_runs(rows, often, sample))
-    return map_arrow(map_arrow(rows, pack, _SENT).repartition(tasks, "bucket"), search, _FOUND)
+    found = map_arrow(map_arrow(rows, pack, _SENT).repartition(tasks, "bucket"), search, f"{_FOUND}, {_SENT}")
+    spans = found.where("doc_id IS NOT NULL").select("doc_id", "row_key", "first", "span")
+    if not len(hot.value):  # no window goes in two steps
+        return spans
+    found = Scratch(docs.sparkSession, "salted").keep(found, "found")
+    spans = found.where("doc_id IS NOT NULL").select("doc_id", "row_key", "first", "span")
+    again = found.where("bucket IS NOT NULL").select("bucket", "docs", "places", "text").repartition(tasks, "bucket")
+    rest = map_arrow(again, search, f"{_FOUND}, {_SENT}").select("doc_id", "row_key", "first", "span")
+    return spans.unionByName(rest)
 
 
 def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", rejoin: bool = True) -> DataFrame:

@@ -115,6 +115,46 @@ def test_passages_are_sent_once_by_a_task(spark, most, monkeypatch):
     assert sent[0] and (sum(sent) < 8 if most else sum(sent) == 20)
 
 
+@pytest.mark.parametrize("salts", [1024, 3, 1])
+def test_hot_windows_meet_in_two_steps(spark, salts, monkeypatch):
+    """One passage once in every slice, ids falling: a bucket of the second step has one of each salt at most."""
+    monkeypatch.setattr(substrings, "SLICE_BYTES", 400)
+    monkeypatch.setattr(substrings, "SALTS", salts)
+    draw = random.Random(12)
+    shared = [f"p{k}" for k in range(16)]
+    docs = [(999 - k, " ".join([f"u{draw.randrange(10**9)}" for _ in range(12)] + shared + [f"u{draw.randrange(10**9)}" for _ in range(3)])) for k in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartitionByRange(20, F.col("doc_id").desc()).sortWithinPartitions(F.col("doc_id").desc())
+    spans = substrings.repeated_spans(frame, often=200, sample=1).distinct()
+    words = {(r["doc_id"], k) for r in spans.collect() for k in range(r["first"], r["first"] + r["span"])}
+    gone = Counter(d for d, _ in words)
+    assert {(d, gone[d]) for d, _ in docs} == {(d, removed) for d, _, removed, _ in brute_substrings(docs)}
+    assert sum(n > 0 for n in gone.values()) == 299
+
+
+def test_later_steps_hold_one_of_each_salt():
+    draw = random.Random(13)
+    shared = [f"p{k}" for k in range(13)]
+    hashes = substrings.arrays.word_hashes([x.encode() for x in shared])
+    hot = np.sort(substrings.arrays.window_hashes(hashes, 3))
+    sent = {}
+    for task in range(40):  # each with ten slices, ids falling
+        met = substrings.Met()
+        for k in range(10):
+            doc = 10_000 - 10 * task - k
+            text = " ".join([f"u{draw.randrange(10**9)}" for _ in range(3)] + shared)
+            batch = pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([doc]), pa.array([text])], names=["doc_id", "row_key", "text"])
+            for part in substrings._pack(batch, 13, 64, hot, met, salt=task % 4):
+                for bucket, *rest in zip(*(part.column(c).to_pylist() for c in range(4)), strict=True):
+                    if bucket >= 64:
+                        sent.setdefault(bucket, []).append(tuple(rest))
+    assert len(sent) <= 4 and sum(map(len, sent.values())) == 400
+    left = [x for parcels in sent.values() for x in substrings._search(parcels, 13, again=64)[1]]
+    assert len(left) <= 4 and len({b for b, *_ in left}) == 1
+    spans, _ = substrings._search([tuple(x[1:]) for x in left], 13)
+    settled = {d for p in sent.values() for d in substrings._search(p, 13, again=64)[0].column(0).to_pylist()} | set(spans.column(0).to_pylist())
+    assert settled == set(range(10_000 - 399, 10_001)) - {10_000 - 399}
+
+
 def test_substrings_of_odd_rows(odd_docs, no_docs):
     out = substrings.remove_repeats(odd_docs)
     assert out.columns == [*odd_docs.columns, "n_words", "n_removed"]
