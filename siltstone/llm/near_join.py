@@ -5,11 +5,19 @@ a string of values for each tree of the forest. A tree is a prefix trie, held as
 the sorted strings: texts that share a prefix lie under one of its nodes, and the
 nodes of a depth are the runs of strings that agree so far.
 
-How far prefixes are shortened is found from the data. The links of a bounded
-sample of texts to all others are determined exactly, together with the longest
-prefix that each linked pair shares in any tree. Starting from whole strings, the
-prefix loses a value until the share of links that meet under some node, as
-measured and as expected from the links' similarities, reaches the target recall.
+Strings are sorted in ranges, tree by tree, and each takes the longest prefix that
+it shares with a neighbour there: no other text shares a longer one with it. A text
+leaves a tree at the level at which it has company no more, so only texts with
+matched prefixes are shortened further.
+
+How far they are shortened is found from the data. The links of a bounded sample
+of texts to all others are determined exactly, together with the longest prefix
+that each linked pair shares in any tree. Starting from whole strings, the prefix
+loses a value until the share of links that meet under some node, as measured and
+as expected from the links' similarities, reaches the target recall. Once all
+links of that level are verified, their similarities say how many more there must
+be that did not meet; if that leaves the recall below the target, prefixes lose
+one more value. The recall so measured is returned with the result.
 
 Nodes of that depth with more than one text are the candidate groups; a node
 whose texts all lie under a larger one is left out. Pairs are verified exactly,
@@ -46,6 +54,8 @@ SIMILARITY, NGRAM, TARGET_RECALL = 0.8, 5, 0.9999
 BLOCK_BYTES, BLOCK_TEXTS = 2 << 20, 512
 #: The sample by which prefixes are shortened: so many distinct texts of at most so many bytes.
 SAMPLE_TEXTS, SAMPLE_BYTES = 1024, 1 << 15
+#: A range of sorted strings has about so many.
+RANGE_STRINGS = 1 << 20
 
 
 def meeting(similarity: np.ndarray | float, depth: int, trees: int) -> np.ndarray | float:
@@ -170,6 +180,42 @@ def shortened(found: np.ndarray, similarity: float, trees: int, recall: float) -
     return d, float(measured)
 
 
+def shared_prefixes(tree: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each two neighbours of sorted strings how many values they share at the front; none across trees."""
+    same = np.minimum.accumulate(values[1:] == values[:-1], axis=1).sum(1)
+    return np.where(tree[1:] == tree[:-1], same, 0)
+
+
+def _matched(texts: DataFrame, trees: int, depth: int) -> DataFrame:
+    """``node, key`` of the texts that share a prefix of ``depth`` values in a tree with a neighbour in its sorted strings.
+
+    Ranges are sorted by themselves, so a range's first and last string are kept
+    whatever they share: at most two strings of each range too many.
+    """
+    cut = lambda t: F.struct(F.lit(t).alias("tree"), F.substring("strings", 2 * DEPTH * t + 1, 2 * DEPTH).alias("string"))
+    leaves = texts.where("have").select("node", F.explode(F.array(*[cut(t) for t in range(trees)])).alias("leaf")).select("leaf.tree", "leaf.string", "node")
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() * trees // RANGE_STRINGS))
+    ranged = leaves.repartitionByRange(parts, "tree", "string", "node").sortWithinPartitions("tree", "string", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, DEPTH
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            shared = shared_prefixes(whole.column(0).to_numpy(), arrays.utf8(whole.column(1))[0].view(np.uint16).reshape(whole.num_rows, DEPTH))
+            # The last row waits for the batch after this one.
+            reach = np.maximum(np.concatenate([[before], shared[:-1]]), shared) if len(shared) else np.zeros(0, np.int64)
+            kept = np.flatnonzero(reach >= depth)
+            yield whole.take(pa.array(kept))
+            held, before = whole.slice(whole.num_rows - 1), int(shared[-1]) if len(shared) else before
+        if held is not None:
+            yield held
+
+    matched = map_arrow(ranged, run, "tree int, string binary, node bigint")
+    return matched.select("node", F.xxhash64("tree", F.substring("string", 1, 2 * depth)).alias("key"))
+
+
 def _gram_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exact n-gram numbers of each text, sorted by text, with bounds; no hash decides equality."""
     w = arrays.words(*arrays.utf8(pa.array(texts, pa.string())))
@@ -217,11 +263,14 @@ class _Shared:
         return out
 
 
-def _compare(group: pd.DataFrame, n: int, similarity: float) -> pd.DataFrame:
+def _compare(group: pd.DataFrame, n: int, similarity: float, depth: int, trees: int) -> pd.DataFrame:
     """Links of the pairs that a task has to verify: counts, and a forest of them.
 
     ``i`` and ``j`` are the blocks: all pairs of one, or of one with the other.
     A pair that shares one of the groups ``before`` this one is left to that.
+    ``pairs`` counts the links of a text that were found here, each at one of its
+    ends, and ``weight`` those that there are to be expected, met or not, by how
+    likely links of their similarities meet.
     """
     group = group.drop_duplicates("node").sort_values("node", ignore_index=True)
     i, j, split = int(group["i"].iloc[0]), int(group["j"].iloc[0]), len(group)
@@ -235,6 +284,7 @@ def _compare(group: pd.DataFrame, n: int, similarity: float) -> pd.DataFrame:
     earlier = _Shared(np.repeat(np.arange(len(group)), sizes), np.concatenate([np.zeros(0, np.int64), *group["before"]]), len(group))
     node, copies = group["node"].to_numpy(), group["copies"].to_numpy()
     links, root = np.zeros(len(group), np.int64), np.arange(len(group))
+    pairs, weight = np.zeros(len(group), np.int64), np.zeros(len(group))
     # Whole numbers decide, so that a pair at the limit isn't lost to rounding.
     limit = round(similarity * 1_000_000)
     for a in range(0, split, shared.rows):
@@ -251,12 +301,15 @@ def _compare(group: pd.DataFrame, n: int, similarity: float) -> pd.DataFrame:
         links[a:b] += near @ copies[c:]
         links[c:] += copies[a:b] @ near
         for x in np.flatnonzero(near.any(1)).tolist():
+            alike = common[x][near[x]].astype(float)
+            alike = alike / (size[a + x] + size[c:][near[x]] - alike)
+            pairs[a + x], weight[a + x] = pairs[a + x] + len(alike), weight[a + x] + (1 / meeting(alike, depth, trees)).sum()
             met = np.unique(np.append(root[c:][near[x]], root[a + x]))
             if len(met) > 1:
                 root[np.isin(root, met[1:])] = met[0]
     least = np.full(len(group), np.iinfo(np.int64).max)
     np.minimum.at(least, root, node)
-    out = pd.DataFrame({"node": node, "links": links, "root": least[root]})
+    out = pd.DataFrame({"node": node, "links": links, "root": least[root], "pairs": pairs, "weight": weight})
     del shared, earlier, row, name
     arrays.release()
     return out
@@ -299,7 +352,7 @@ def _groups(under: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, ngram: int = NGRAM, trees: int = TREES, recall: float = TARGET_RECALL, block_bytes: int = BLOCK_BYTES, sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
-    """One row for each row of ``docs``: ``id_col, row_key, class_id, copy_of, n_links, kept``.
+    """One row for each row of ``docs``: ``id_col, row_key, class_id, copy_of, n_links, kept, recall``.
 
     Two texts are linked if the sets of their runs of ``ngram`` words have a
     Jaccard similarity of at least ``similarity``. Words are runs of bytes other
@@ -313,7 +366,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null id is larger than any. An empty table gives an empty one; other columns
     are not read, whatever their names. Equal texts and texts of equal n-grams
     always meet; of all other links at least the share ``recall`` is expected to
-    be found. The sample of ``sample_texts`` texts decides how far prefixes are
+    be found. The column ``recall`` says which share was, by the similarities of
+    all links that were compared; without any, which share of links at the limit
+    would be. The sample of ``sample_texts`` texts decides how far prefixes are
     shortened, never which rows are searched.
     """
     spark = docs.sparkSession
@@ -342,11 +397,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for r in texts.where("found IS NOT NULL").select(F.posexplode("found").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect():
         found[r["at"]] = r["v"]
     depth, _ = shortened(found.reshape(2, -1), similarity, trees, recall)
-    prefix = lambda t: F.xxhash64(F.lit(t), F.substring("strings", 2 * DEPTH * t + 1, 2 * depth))
-    under = scratch.keep(texts.where("have").select("node", F.explode(F.array(*[prefix(t) for t in range(trees)])).alias("key")), "under")
-    groups = _groups(under, scratch)
-
-    checked = scratch.keep(_verified(docs, id_col, text, texts, groups, scratch, ngram, similarity, block_bytes), "checked")
+    while True:
+        groups = _groups(scratch.keep(_matched(texts, trees, depth), "under"), scratch)
+        checked = scratch.keep(_verified(docs, id_col, text, texts, groups, scratch, ngram, similarity, block_bytes, depth, trees), "checked")
+        pairs, weight = checked.agg(F.sum("pairs"), F.sum("weight")).first()
+        measured = pairs / weight if pairs else float(meeting(similarity, depth, trees))
+        if measured >= recall or depth == 1:
+            break
+        depth -= 1
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected_components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch, "classes")
 
@@ -364,6 +422,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("first").alias("copy_of"),
         (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"),
         (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("class_digest"))).alias("kept"),
+        F.lit(round(measured, 6)).alias("recall"),
     )
 
 
@@ -374,8 +433,8 @@ def _sampled(rows: DataFrame, most: int) -> list[str]:
     return [r["text"] for r in small.where(F.col("h").isin(lowest)).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()] if lowest else []
 
 
-def _verified(docs: DataFrame, id_col: str, text: Column, texts: DataFrame, groups: DataFrame, scratch: Scratch, ngram: int, similarity: float, block_bytes: int) -> DataFrame:
-    """``node, links, root`` of all pairs that share a group; a text may have several rows."""
+def _verified(docs: DataFrame, id_col: str, text: Column, texts: DataFrame, groups: DataFrame, scratch: Scratch, ngram: int, similarity: float, block_bytes: int, depth: int, trees: int) -> DataFrame:
+    """``node, links, root, pairs, weight`` of all pairs that share a group; a text may have several rows."""
     sized = groups.join(texts.select("node", "digest", "first", "copies", "bytes"), "node").withColumn("bytes", F.col("bytes") + max(1, block_bytes // BLOCK_TEXTS))
     blocks_of = lambda b: F.ceil(b / F.lit(block_bytes)).cast("int")
     leads = F.min(F.when(F.size("before") == 0, F.col("node"))).alias("pivot")
@@ -399,7 +458,7 @@ def _verified(docs: DataFrame, id_col: str, text: Column, texts: DataFrame, grou
 
     # All of a core are linked to each other and to the pivot.
     cores = scratch.keep(placed.where("core").groupBy(F.col("gid").alias("g")).agg(F.sum("copies").alias("total")), "cores")
-    counted = placed.where("core").join(cores, F.col("gid") == F.col("g")).select("node", (F.col("total") - F.col("copies")).alias("links"), F.col("pivot").alias("root"))
+    counted = placed.where("core").join(cores, F.col("gid") == F.col("g")).select("node", (F.col("total") - F.col("copies")).alias("links"), F.col("pivot").alias("root"), F.lit(0).cast("long").alias("pairs"), F.lit(0.0).alias("weight"))
 
     # The others in blocks against each other, and those not far from it against the core's blocks.
     kind = lambda core: F.sum(F.when(F.col("core") == core, F.col("bytes")).otherwise(0))
@@ -410,7 +469,7 @@ def _verified(docs: DataFrame, id_col: str, text: Column, texts: DataFrame, grou
     last = F.when(F.col("core") | F.col("far") | (F.col("tight") == 0), F.col("loose")).otherwise(F.col("loose") + F.col("tight")) - 1
     tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     tasks = tasks.select("gid", "node", "before", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(bodies, "node")
-    compared = tasks.groupBy("gid", "i", "j").applyInPandas(lambda g: _compare(g, ngram, similarity), "node bigint, links bigint, root bigint")
+    compared = tasks.groupBy("gid", "i", "j").applyInPandas(lambda g: _compare(g, ngram, similarity, depth, trees), "node bigint, links bigint, root bigint, pairs bigint, weight double")
     return counted.unionByName(compared)
 
 

@@ -269,6 +269,45 @@ def test_prefixes_shorten_until_recall():
         near_join.shortened(found(0.3, 0, 8), 0.3, trees, 0.9999)
 
 
+def test_shared_prefixes_of_neighbours():
+    rnd = random.Random(4)
+    rows = sorted((rnd.randrange(3), tuple(rnd.choice([0, 1]) for _ in range(near_join.DEPTH))) for _ in range(300))
+    tree, values = np.array([t for t, _ in rows]), np.array([v for _, v in rows])
+    shared = near_join.shared_prefixes(tree, values)
+    front = lambda a, b: next((k for k in range(near_join.DEPTH) if a[k] != b[k]), near_join.DEPTH)
+    assert shared.tolist() == [front(a, b) if s == t else 0 for (s, a), (t, b) in zip(rows, rows[1:], strict=False)]
+    # The longest prefix that any other string of the tree shares is shared by a neighbour.
+    reach = np.maximum(np.append(0, shared), np.append(shared, 0))
+    assert reach.tolist() == [max((front(a, b) for k, (t, b) in enumerate(rows) if t == s and k != n), default=0) for n, (s, a) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_texts_without_company_leave_the_forest(spark, parts):
+    rnd = random.Random(5)
+    draw = lambda: bytes(rnd.choice([0, 0, 0, 1]) for _ in range(near_join.TREES * near_join.DEPTH * 2))
+    rows = [(k, draw(), True) for k in range(60)]
+    texts = spark.createDataFrame(rows, "node bigint, strings binary, have boolean").repartition(parts)
+    for depth in (8, 4):
+        prefixes = Counter((t, s[16 * t : 16 * t + 2 * depth]) for _, s, _ in rows for t in range(near_join.TREES))
+        want = sum(n for n in prefixes.values() if n > 1)
+        found = near_join._matched(texts, near_join.TREES, depth)
+        together = found.groupBy("key").count().where("count > 1").agg({"count": "sum"}).first()[0] or 0
+        edges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert together == want and want <= found.count() <= want + edges
+
+
+def test_prefixes_are_shortened_until_the_measured_recall(spark, monkeypatch):
+    """With too few trees for its first level the join goes on to shorter prefixes, and says what it reached."""
+    docs = small_corpus(5, 150)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(near_join, "shortened", lambda found, similarity, trees, recall: (8, 1.0))
+    levels, matched = [], near_join._matched
+    monkeypatch.setattr(near_join, "_matched", lambda texts, trees, depth: levels.append(depth) or matched(texts, trees, depth))
+    out = near_join.near_duplicates(frame, recall=0.99999)
+    assert out.first()["recall"] >= 0.99999 and levels == list(range(8, levels[-1] - 1, -1)) and len(levels) > 1
+    assert order(map(tuple, out.select("doc_id", "class_id", "n_links").collect())) == order(brute_near(docs))
+
+
 def test_links_to_a_sample_are_exact():
     rnd = random.Random(3)
     texts = [t or "" for _, t in small_corpus(7, 90)]
