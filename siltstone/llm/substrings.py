@@ -15,10 +15,10 @@ for each document.
 
 Runs that are frequent in a sample of the rows are hot and no window's minimiser
 if it has another run; a window of hot runs only goes by the hash of its words.
-So no bucket grows with a hot run. Such a window may itself be in very many
-documents: it goes in two steps. First those of one salt meet, a share of the
-tasks, and all but the least are settled there; then the least ones of all salts
-meet, so a bucket has one of each salt at most. The sample decides where windows
+So no bucket grows with a hot run. A window that is itself as frequent in the
+sample is hot too and goes in two steps. First those of one salt meet, a share of
+the tasks, and all but the least are settled there; then the least ones of all
+salts meet, so a bucket has one of each salt at most. The sample decides where windows
 go, never which are found: equal windows always meet.
 """
 
@@ -43,13 +43,13 @@ SLICE_BYTES = 2 << 20
 #: them, in about so many buckets, of which it has one in memory at a time.
 TASK_BYTES, TASK_BUCKETS = 32 << 20, 6
 MINIMISER_WORDS = 3
-#: A three-word run is hot if it occurs about this often (as super-k-mers, an average
-#: bucket), as told by one in so many rows; or, in a corpus of so many words that this were
-#: more than MOST_HOT runs, as often as no more than MOST_HOT can: so they fill 32 MB at most.
+#: A three-word run, or a window, is hot if it occurs about this often (as super-k-mers, an
+#: average bucket), as told by one in so many rows; or, in a corpus of so many words that this
+#: were more than MOST_HOT, as often as no more than MOST_HOT can: so each fill 32 MB at most.
 HOT_RUNS, HOT_SAMPLE, MOST_HOT = 1 << 16, 64, 1 << 22
 #: A task keeps so many windows that lie in several documents, about 100 bytes each.
 MOST_MET = 1 << 16
-#: Windows of hot runs only meet under so many salts first.
+#: Hot windows meet under so many salts first.
 SALTS = 1024
 #: A row is what a slice sends to a bucket, or (without ``text``) the spans that it settled itself.
 _SENT = "bucket int, docs binary, places binary, text binary"
@@ -100,30 +100,33 @@ def _runs(flags: np.ndarray, *breaks: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first, ends + 1
 
 
-def _count_runs(column: pa.Array) -> pa.RecordBatch:
-    """The hashes of a slice's three-word runs, and how often each occurs."""
+def _count_runs(column: pa.Array, widths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """For each width the hashes of a slice's runs of so many words, and how often each occurs."""
     w = arrays.words(*arrays.utf8(column))
     numbers, distinct = arrays.numbered(w.data, w.bounds)
-    runs = arrays.window_hashes(arrays.word_hashes(distinct)[numbers], MINIMISER_WORDS)
-    run, n = np.unique(runs[arrays.whole_windows(w.row, MINIMISER_WORDS)], return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), pa.array(n.astype(np.int64))], names=["run", "n"])
+    hashes = arrays.word_hashes(distinct)[numbers]
+    for width in widths:
+        run, n = np.unique(arrays.window_hashes(hashes, width)[arrays.whole_windows(w.row, width)], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(run), width, np.int32)), pa.array(run.view(np.int64)), pa.array(n.astype(np.int64))], names=["width", "run", "n"])
 
 
-def hot_runs(rows: DataFrame, often: int = HOT_RUNS, sample: int = HOT_SAMPLE) -> np.ndarray:
-    """The sorted hashes of the three-word runs that occur ``often``, told by one in ``sample`` rows; at most MOST_HOT."""
+def hot_runs(rows: DataFrame, often: int = HOT_RUNS, sample: int = HOT_SAMPLE, width: int = 13) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of the three-word runs, and of the windows, that occur ``often``, told by one in ``sample`` rows; at most MOST_HOT each."""
+    widths = tuple(dict.fromkeys((MINIMISER_WORDS, width)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrays.slices(batches, "text", SLICE_BYTES):
-            yield _count_runs(part.column(0))
+            yield from _count_runs(part.column(0), widths)
 
     some = rows.where(F.pmod(F.xxhash64("row_key", "doc_id"), F.lit(sample)) == 0).select("text")
-    counts = map_arrow(some, count, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
+    counts = map_arrow(some, count, "width int, run bigint, n bigint").groupBy("width", "run").agg(F.sum("n").alias("n"))
     scratch = Scratch(rows.sparkSession, "runs")
     counts = scratch.keep(counts, "counts")
-    words = (counts.agg(F.sum("n")).first()[0] or 0) * sample
-    found = counts.where(F.col("n") * sample >= max(often, words // MOST_HOT + 1)).select("run").toArrow()
+    words = (counts.where(F.col("width") == MINIMISER_WORDS).agg(F.sum("n")).first()[0] or 0) * sample
+    found = counts.where(F.col("n") * sample >= max(often, words // MOST_HOT + 1)).select("width", "run").toArrow()
     scratch.drop("counts")
-    return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
+    kind, run = (found.column(k).to_numpy() for k in range(2))
+    return tuple(np.sort(run[kind == k].astype(np.int64).view(np.uint64)) for k in (MINIMISER_WORDS, width))
 
 
 class Met:
@@ -156,10 +159,10 @@ class Met:
         self.keys, self.docs, self.words = all_keys[kept], all_docs[kept], all_words[kept]
 
 
-def _pack(part: pa.RecordBatch, width: int, buckets: int, hot: np.ndarray, met: Met, salt: int = 0) -> Iterator[pa.RecordBatch]:
+def _pack(part: pa.RecordBatch, width: int, buckets: int, hot: np.ndarray, met: Met, hot_windows: np.ndarray | None = None, salt: int = 0) -> Iterator[pa.RecordBatch]:
     """Super-k-mers of a slice, and the spans that the slice settles by itself and by the ones before.
 
-    Windows of hot runs only go to buckets of their own behind the others, by ``salt``.
+    Hot windows go to buckets of their own behind the others, by ``salt``.
     """
     docs, keys = part.column(0).to_numpy(), part.column(1).to_numpy()
     _, once = np.unique(np.array([docs, keys]), axis=1, return_index=True)
@@ -190,22 +193,26 @@ def _pack(part: pa.RecordBatch, width: int, buckets: int, hot: np.ndarray, met:
         step = min(have, reach - have)
         least = np.minimum(least[:-step], least[step:])
         have += step
-    least, only = least[starts], np.zeros(len(starts), bool)
+    least = least[starts]
     if len(hot):
         only = least >> np.uint64(63) > 0
         least[only] = whole[only]
+    often = np.zeros(len(starts), bool)
+    if hot_windows is not None and len(hot_windows):
+        often = hot_windows[np.minimum(np.searchsorted(hot_windows, whole), len(hot_windows) - 1)] == whole
+        least[often] = whole[often]
     # Windows that repeat here, or that the sample shows to be frequent, are kept for later slices.
-    kept = np.flatnonzero(~settled & (only | np.isin(whole, several)))
+    kept = np.flatnonzero(~settled & (often | np.isin(whole, several)))
     met.add(whole[kept], doc[kept], words_of(kept))
 
     apart = np.ones(len(starts), bool)
     apart[1:] = (np.diff(starts) != 1) | (w.row[starts[1:]] != w.row[starts[:-1]])
     turn = apart.copy()
-    turn[1:] |= least[1:] != least[:-1]
+    turn[1:] |= (least[1:] != least[:-1]) | (often[1:] != often[:-1])
     a, b = _runs(~settled, turn)
     bucket = (arrays.mix64(least[a]) % np.uint64(buckets)).astype(np.int64)
     salted = arrays.mix64(least[a] ^ arrays.mix64(np.array([salt], np.uint64))[0]) % np.uint64(buckets)
-    bucket = np.where(only[a], buckets + salted.astype(np.int64), bucket)
+    bucket = np.where(often[a], buckets + salted.astype(np.int64), bucket)
     out = _parcels(w, docs, keys, w.rows, starts[a], starts[b - 1] + width, bucket, text, shift)
     a, b = _runs(settled, apart)
     if len(a):
@@ -291,7 +298,7 @@ def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met, salt = Met(), TaskContext.get().partitionId() % SALTS
         for part in arrays.slices(batches, "text", SLICE_BYTES):
-            yield from _pack(part, width, buckets, hot.value, met, salt)
+            yield from _pack(part, width, buckets, hot.value[0], met, hot.value[1], salt)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
@@ -320,10 +327,10 @@ def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     rows = rows.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
     tasks = parts_for(rows, "text", TASK_BYTES, factor=3)
     buckets = tasks * TASK_BUCKETS
-    hot = docs.sparkSession.sparkContext.broadcast(hot_runs(rows, often, sample))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_runs(rows, often, sample, width))
     found = map_arrow(map_arrow(rows, pack, _SENT).repartition(tasks, "bucket"), search, f"{_FOUND}, {_SENT}")
     spans = found.where("doc_id IS NOT NULL").select("doc_id", "row_key", "first", "span")
-    if not len(hot.value):  # no window goes in two steps
+    if not len(hot.value[1]):  # no window goes in two steps
         return spans
     found = Scratch(docs.sparkSession, "salted").keep(found, "found")
     spans = found.where("doc_id IS NOT NULL").select("doc_id", "row_key", "first", "span")
