@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.strings import collapse, xml_escape
+from siltstone.sources.shared import drop_folder, versions
 
 
 def rss_items(rows: DataFrame, title: str, link: str, body: str, at: str, keep: list[str] | None = None) -> DataFrame:
@@ -40,7 +41,24 @@ def touched(rows: DataFrame, at: Column, column: str = "updated_at") -> DataFram
     return rows.withColumn(column, at)
 
 
-def refresh(view: DataFrame, path: str) -> DataFrame:
-    """Write a derived table anew and read it; readers of the old files aren't disturbed by a failure."""
-    view.write.mode("overwrite").parquet(path)
-    return view.sparkSession.read.schema(view.schema).parquet(path)
+def refresh(view: DataFrame, path: str, keep: int = 2) -> DataFrame:
+    """Write a derived table as the next version under ``path``, and read it.
+
+    A version stands once it is written whole, so a refresh that fails changes
+    nothing: readers of ``refreshed`` go on with the one before. The last ``keep``
+    versions stay, for those who still read them.
+    """
+    spark = view.sparkSession
+    number = max(versions(spark, path), default=0) + 1
+    view.write.mode("overwrite").parquet(f"{path}/{number}")
+    for old in versions(spark, path)[:-keep]:
+        drop_folder(spark, f"{path}/{old}")
+    return spark.read.schema(view.schema).parquet(f"{path}/{number}")
+
+
+def refreshed(spark: SparkSession, path: str) -> DataFrame:
+    """The latest version that ``refresh`` has written; raises if there is none."""
+    known = versions(spark, path)
+    if not known:
+        raise FileNotFoundError(f"no version was written under {path}")
+    return spark.read.parquet(f"{path}/{known[-1]}")

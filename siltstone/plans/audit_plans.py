@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions import fulltext
+from siltstone.operators import upserts
 from siltstone.operators.latest import first_by
 from siltstone.plans.registry import query
 from siltstone.plans.search_plans import text_index
 from siltstone.sources import tables
+from siltstone.sources.shared import Workspace
 from siltstone.sources.tables import table
 
 
@@ -70,7 +70,9 @@ SELECT (SELECT count(*) FROM moved) AS moved, (SELECT count(*) FROM kept) AS kep
 def staged_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     poor = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("k"), F.lit(True).alias("poor"))
     rows = table(spark, sf_dir, "orders").join(poor, F.col("o_custkey") == F.col("k"), "left")
-    return rows.agg(F.count_if(F.col("poor").isNotNull()).alias("moved"), F.count_if(F.col("poor").isNull()).alias("kept"))
+    staged, seen = upserts.counted(rows, "staged", moved=F.col("poor").isNotNull(), kept=F.col("poor").isNull())
+    Workspace(spark, "staged").keep(staged, "rows")  # the counts come with the write
+    return spark.createDataFrame([(seen.get["moved"], seen.get["kept"])], "moved bigint, kept bigint")
 
 
 @query("""SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '5-LOW')""")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import hosting
 from siltstone.operators import changes, intervals, latest, resolve, rollups, upserts
+from siltstone.operators.stored import StoredTable
 from siltstone.plans.registry import query
 from siltstone.sources import tables
+from siltstone.sources.shared import shared_folder
 from siltstone.sources.tables import table
 
 _LAST = "SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1"
@@ -231,6 +233,27 @@ def upsert_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upserts.upsert(old, new, ["k"])
 
 
+@query(f"SELECT coalesce(n.k, o.k) AS k, CASE WHEN n.k IS NULL THEN o.name ELSE n.name END AS name, coalesce(n.seg, o.seg) AS seg, coalesce(n.conf, o.conf) AS conf, coalesce(n.src, o.src) AS src FROM ({_OLD}) o FULL JOIN ({_NEW}) n ON o.k = n.k")
+def stored_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same upsert into a stored table, in the buckets that the new rows fall into."""
+    old, new = _sides(spark, sf_dir)
+    kept = StoredTable.create(old, shared_folder(spark, "stored"), ["k"], buckets=16)
+    kept.merge(new, lambda a, b: upserts.upsert(a, b, ["k"]))
+    return kept.read()
+
+
+@query("""SELECT o_orderkey, o_custkey, CASE WHEN l.n IS NULL OR l.n < 4 THEN o_orderstatus ELSE 'R' END AS o_orderstatus, o_totalprice FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) l ON l_orderkey = o_orderkey WHERE o_orderpriority <> '5-LOW' OR l.n >= 4""")
+def stored_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders but those of low priority; then all with four returned lines are merged in as returned."""
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+    o = table(spark, sf_dir, "orders")
+    kept = StoredTable.create(o.where("o_orderpriority <> '5-LOW'").select(*columns), shared_folder(spark, "stored"), ["o_orderkey"])
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+    returned = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select(*columns).withColumn("o_orderstatus", F.lit("R"))
+    kept.merge(returned, lambda a, b: upserts.upsert(a, b, ["o_orderkey"]))
+    return kept.read()
+
+
 @query(f"SELECT * FROM ({_OLD}) UNION ALL SELECT * FROM ({_NEW}) n WHERE NOT EXISTS (SELECT 1 FROM ({_OLD}) o WHERE o.k = n.k)")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _sides(spark, sf_dir)
