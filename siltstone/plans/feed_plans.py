@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import hosting, strings
 from siltstone.operators import chunks, outputs, resolve, retrieval, rollups
 from siltstone.plans.registry import query
+from siltstone.sources.networks import network_lookup
 from siltstone.sources import tables
 from siltstone.sources.shared import shared_folder
 from siltstone.sources.tables import table
@@ -110,6 +111,21 @@ def address_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.geo_lookup(table(spark, sf_dir, "events").select("event_id", ip.alias("ip")), nets, "ip").select("event_id", "network")
 
 
+@query("""WITH a AS (SELECT c_custkey, c_custkey % 256 AS x, (c_custkey // 256) % 256 AS y FROM customer)
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN x < 16 THEN 'doc' WHEN x < 128 AND y % 4 = 1 THEN 'low' WHEN x < 128 THEN 'half' ELSE 'all' END WHEN c_custkey % 3 = 1 THEN CASE WHEN x = 10 THEN 'ten' ELSE 'every' END END AS network FROM a""")
+def networks_of_both_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' addresses of version 6 and 4, and texts that are none, against networks that lie in each other."""
+    k = F.col("c_custkey")
+    x, y = k % 256, F.floor(k / 256) % 256
+    wide = F.format_string("2001:db8:%02x%02x::%x", x, y, k % 65536)
+    ip = F.when(k % 3 == 0, wide).when(k % 3 == 1, F.format_string("%d.%d.0.7", x, y)).otherwise("no address")
+    nets = [("2001:db8::/32", "all"), ("2001:db8::/33", "half"), ("2001:db8:0000::/36", "doc"), ("0.0.0.0/0", "every"), ("10.0.0.0/8", "ten"), ("no network", "none")]
+    nets += [(f"2001:db8:{a:02x}{b:02x}::/48", "low") for a in range(16, 128) for b in range(1, 256, 4)]
+    known = spark.createDataFrame(nets, "network string, name string")
+    found = network_lookup(table(spark, sf_dir, "customer").select("c_custkey", ip.alias("ip")), known, "ip")
+    return found.select("c_custkey", F.col("name").alias("network"))
+
+
 @query("SELECT max(o_orderdate) AS seen_to FROM orders")
 def feed_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.newest(table(spark, sf_dir, "orders"), "o_orderdate")

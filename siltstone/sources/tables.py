@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators.latest import first_by
+from siltstone.sources.networks import network_lookup, networks_of
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -106,23 +106,12 @@ def due(rows: DataFrame, last_seen: str, as_of: str, hours: int, limit: int | No
     return out.orderBy(F.col(last_seen).asc_nulls_first()).limit(limit) if limit else out
 
 
-def ip_number(column: str) -> F.Column:
-    """An IPv4 address as a number; null if it is none."""
-    parts = F.split(column, r"\.")
-    whole = F.col(column).rlike(r"^(\d{1,3}\.){3}\d{1,3}$")
-    total = sum((F.element_at(parts, k + 1).cast("long") * (256 ** (3 - k)) for k in range(4)), F.lit(0))
-    return F.when(whole, total)
-
-
 def geo_lookup(rows: DataFrame, ranges: DataFrame, ip: str) -> DataFrame:
-    """The network (``first, last`` as numbers, with any facts) that holds each address.
+    """The network (``first, last`` as numbers, with any facts) that holds each address of version 4.
 
-    Joined on the first 16 bits, so that it is an equality join; a range that
-    spans several of them is a row for each. Of networks that overlap the
-    narrowest counts, then the one that begins first.
+    A range is a row for each of the networks that it is made of, at most 62. Of
+    ranges that overlap the narrowest counts, then the one that begins first. For
+    networks in the usual notation, of either version, see ``networks``.
     """
-    nets = ranges.withColumn("__hi", F.explode(F.sequence(F.shiftright("first", 16), F.shiftright("last", 16))))
-    addresses = rows.select(F.col(ip).alias("__ip")).distinct().withColumn("__n", ip_number("__ip")).withColumn("__h", F.shiftright("__n", 16))
-    match = (F.col("__h") == F.col("__hi")) & F.col("__n").between(F.col("first"), F.col("last"))
-    found = first_by(addresses.join(nets, match), ["__ip"], [F.col("last") - F.col("first"), F.col("first")])
-    return rows.join(found.drop("__n", "__h", "__hi", "first", "last"), F.col(ip) == F.col("__ip"), "left").drop("__ip")
+    narrowest = [F.col("last") - F.col("first"), F.col("first")]
+    return network_lookup(rows, networks_of(ranges, to="__network"), ip, "__network", narrowest).drop("first", "last")
