@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.operators import overlay
+
 EARTH_RADIUS_KM = 6371.0088
 
 
@@ -103,25 +107,100 @@ def _valid_ring(ring: np.ndarray, tolerance: float) -> np.ndarray:
     return ring
 
 
+def _as_json(polygons: list[list[np.ndarray]]) -> str | None:
+    return json.dumps({"type": "MultiPolygon", "coordinates": [[r.tolist() for r in p] for p in polygons]}) if polygons else None
+
+
+def _whole(geometry: str | None) -> list[list[np.ndarray]]:
+    """The polygons of a geometry, made valid one by one."""
+    return [v for p in _polygons(geometry) for v in overlay.repaired(p)]
+
+
+def repaired(rows: DataFrame, geometry: str, to: str = "valid") -> DataFrame:
+    """Add ``to``, the polygons of a geometry made valid, as a MultiPolygon.
+
+    What an odd number of a polygon's rings is around is inside: rings that cross
+    themselves become several, spikes and repeated points go, a hole that lies
+    outside is a polygon. Lines and points of a geometry go; what holds no area, or
+    is no polygon, has a null.
+    """
+
+    @F.pandas_udf("string")
+    def valid(g: pd.Series) -> pd.Series:
+        return g.map(lambda x: _as_json(_whole(x)))
+
+    return rows.withColumn(to, valid(F.col(geometry)))
+
+
 def simplified(rows: DataFrame, geometry: str, tolerance: float = 0.005) -> DataFrame:
-    """Add ``simple``, a MultiPolygon with fewer points; rings that collapse go.
+    """Add ``simple``, a valid MultiPolygon with fewer points; rings that collapse go.
 
-    A ring that would cross itself keeps more of its points, so valid polygons
-    stay valid. What is no polygon has a null.
+    Invalid polygons are repaired first. A ring that would cross itself keeps more
+    of its points; where rings come to cross each other they are repaired again.
+    What is no polygon has a null. Borders that rows share are simplified for each
+    row by itself; ``simplified_together`` keeps them common.
     """
 
     @F.pandas_udf("string")
     def simple(g: pd.Series) -> pd.Series:
         def one(x: str | None) -> str | None:
-            rings = [[r for r in (_valid_ring(ring, tolerance) for ring in p) if len(r) >= 4] for p in _polygons(x)]
-            rings = [p for p in rings if p]
-            return json.dumps({"type": "MultiPolygon", "coordinates": [[r.tolist() for r in p] for p in rings]}) if rings else None
+            rings = [[r for r in (_valid_ring(ring, tolerance) for ring in p) if len(r) >= 4] for p in _whole(x)]
+            return _as_json([v for p in rings if p for v in overlay.repaired(p)])
 
         return g.map(one)
 
     return rows.withColumn("simple", simple(F.col(geometry)))
 
 
+def simplified_together(rows: DataFrame, key: str, geometry: str, tolerance: float = 0.005) -> DataFrame:
+    """``key, simple``: polygons with fewer points, whose common borders stay common.
+
+    Points at which borders of three part, found over all rows, stay. The chains
+    between them are simplified one by one, each in the same direction wherever it
+    occurs, so that neighbours with the same points there still touch. ``key`` tells
+    rows apart; those without a polygon have no row. Polygons are repaired before
+    and after; after that one may touch its neighbour in other points only where
+    simplification made it cross itself.
+    """
+    valid = repaired(rows.select(F.col(key).alias("k"), F.col(geometry).alias("g")), "g", "valid").where("valid IS NOT NULL")
+    point = F.struct(F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    ring = valid.select("k", F.posexplode(_coordinates("valid")).alias("poly", "rings")).select("k", "poly", F.posexplode("rings").alias("nth", "ring"))
+    nodes = ring.select("k", "poly", "nth", F.size("ring").alias("n"), "ring", F.posexplode(F.slice("ring", 1, F.size("ring") - 1)).alias("at", "p"))
+    nxt = F.element_at("ring", F.col("at") + 2)
+    nodes = nodes.select("k", "poly", "nth", "at", point.alias("v"), F.struct(nxt[0].alias("x"), nxt[1].alias("y")).alias("w"))
+    ways = nodes.select("v", "w").unionByName(nodes.select(F.col("w").alias("v"), F.col("v").alias("w"))).groupBy("v").agg(F.size(F.collect_set("w")).alias("n"))
+    fixed = ways.where("n <> 2").select(F.col("v").alias("u"))
+    flagged = nodes.join(fixed, F.col("v") == F.col("u"), "left").select("k", "poly", "nth", "at", "v", F.col("u").isNotNull().alias("node"))
+    kinds = dict(rows.dtypes)
+
+    def put_together(group: pd.DataFrame) -> pd.DataFrame:
+        polygons: dict[int, dict[int, np.ndarray]] = {}
+        for (poly, nth), part in group.sort_values("at").groupby(["poly", "nth"]):
+            points = np.array([[v["x"], v["y"]] for v in part["v"]])
+            chained = _chains(points, part["node"].to_numpy(bool), tolerance)
+            if len(chained) >= 4:
+                polygons.setdefault(poly, {})[nth] = chained
+        valid = [v for poly in sorted(polygons) for v in overlay.repaired([polygons[poly][n] for n in sorted(polygons[poly])])]
+        return group[["k"]].head(1).reset_index(drop=True).assign(simple=_as_json(valid))
+
+    return flagged.groupBy("k").applyInPandas(put_together, f"k {kinds[key]}, simple string").withColumnRenamed("k", key)
+
+
+def _chains(points: np.ndarray, node: np.ndarray, tolerance: float) -> np.ndarray:
+    """A closed ring with its chains between nodes simplified, each from its lesser end; one without a node begins at its least point."""
+    first = int(np.flatnonzero(node)[0]) if node.any() else min(range(len(points)), key=lambda k: tuple(points[k]))
+    points, node = np.roll(points, -first, 0), np.roll(node, -first)
+    ends = [*np.flatnonzero(node).tolist(), len(points)] if node.any() else [0, len(points)]
+    closed, out = np.vstack([points, points[:1]]), []
+    for a, b in zip(ends, ends[1:], strict=False):
+        chain = closed[a : b + 1]
+        turned = tuple(map(tuple, chain)) > tuple(map(tuple, chain[::-1]))
+        kept = _simplify(chain[::-1] if turned else chain, tolerance)
+        out.append((kept[::-1] if turned else kept)[:-1])
+    ring = np.concatenate(out)
+    return np.vstack([ring, ring[:1]])
+
+
 def collected(rows: DataFrame, keys: list[str], geometry: str) -> DataFrame:
     """Each group's polygons as one MultiPolygon. Polygons are expected not to overlap; borders stay."""
     out = rows.groupBy(*keys).agg(F.flatten(F.collect_list(_coordinates(geometry))).alias("c"))
@@ -135,70 +214,58 @@ def _coordinates(geometry: str) -> Column:
     return F.when(F.get_json_object(geometry, "$.type") == "MultiPolygon", many).otherwise(single)
 
 
-def dissolved(rows: DataFrame, keys: list[str], geometry: str) -> DataFrame:
-    """The outline of each group's polygons, without the borders between them: ``keys, outline``.
+#: A block of polygons has about so many points.
+BLOCK_POINTS = 20_000
+
+
+def dissolved(rows: DataFrame, keys: list[str], geometry: str, block_points: int = BLOCK_POINTS) -> DataFrame:
+    """The area that each group's polygons cover together: ``keys, outline``, a MultiPolygon.
 
-    Polygons touch along sides that both have; such a side runs once each way and
-    is left out, which is an aggregation over all sides. What is left is put
-    together to rings for each group, so a task holds one outline. Polygons that
-    overlap, or whose common border has other points on each side, keep it.
+    Overlaps, nested polygons and borders go, whatever points they have on each
+    side. Polygons are put together in two steps: first those of one block, near to
+    each other and of about ``block_points`` points, then the blocks' outlines; so
+    no task holds a group's polygons. Invalid polygons are repaired first. A group
+    without a polygon has no row.
     """
-    ring = rows.select(*keys, F.explode(_coordinates(geometry)).alias("polygon")).select(*keys, F.posexplode("polygon").alias("nth", "ring"))
-    x, y = (lambda p: p[0]), (lambda p: p[1])
-    nxt = lambda i: F.element_at("ring", i + 2)
-    sides = F.transform(F.slice("ring", 1, F.size("ring") - 1), lambda p, i: F.struct(x(p).alias("ax"), y(p).alias("ay"), x(nxt(i)).alias("bx"), y(nxt(i)).alias("by")))
-    area = F.aggregate("sides", F.lit(0.0), lambda s, e: s + e["ax"] * e["by"] - e["bx"] * e["ay"])
-    ring = ring.select(*keys, "nth", sides.alias("sides")).withColumn("turn", F.when((area > 0) == (F.col("nth") == 0), 1).otherwise(-1))
-    side = ring.select(*keys, "turn", F.explode("sides").alias("e")).where("e.ax <> e.bx OR e.ay <> e.by")
-    ahead = (F.col("e.ax") < F.col("e.bx")) | ((F.col("e.ax") == F.col("e.bx")) & (F.col("e.ay") < F.col("e.by")))
-    end = lambda first, c: F.when(ahead == first, F.col(f"e.a{c}")).otherwise(F.col(f"e.b{c}")).alias(f"{'p' if first else 'q'}{c}")
-    side = side.select(*keys, end(True, "x"), end(True, "y"), end(False, "x"), end(False, "y"), F.when(ahead, F.col("turn")).otherwise(-F.col("turn")).alias("way"))
-    left = side.groupBy(*keys, "px", "py", "qx", "qy").agg(F.sum("way").alias("way")).where("way <> 0")
     kinds = dict(rows.dtypes)
+
+    @F.pandas_udf("valid string, points long, x double, y double")
+    def facts(g: pd.Series) -> pd.DataFrame:
+        found = [_whole(x) for x in g]
+        every = [np.concatenate([r for p in w for r in p]) if w else np.zeros((0, 2)) for w in found]
+        middle = [(e.min(0) + e.max(0)) / 2 if len(e) else (np.nan, np.nan) for e in every]
+        return pd.DataFrame({"valid": [_as_json(w) for w in found], "points": [len(e) for e in every], "x": [float(m[0]) for m in middle], "y": [float(m[1]) for m in middle]})
+
+    each = rows.select(*keys, facts(F.col(geometry)).alias("f")).select(*keys, "f.*").where("points > 0")
+    ends = each.groupBy(*keys).agg(F.sum("points").alias("all"), *[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("low", F.min), ("high", F.max))])
+    ends = ends.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in ends.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] or [F.lit(True)]
+    placed = each.join(ends, reduce(lambda a, b: a & b, same)) if keys else each.crossJoin(ends)
+    side = F.ceil(F.sqrt(F.col("all") / block_points))  # cells along each axis of the group's bounds
+    cell = lambda c: F.least(F.floor((F.col(c) - F.col(f"low_{c}")) / F.greatest(F.col(f"high_{c}") - F.col(f"low_{c}"), F.lit(1e-12)) * side), side - 1)
+    placed = placed.withColumn("cell", F.struct(cell("x").alias("i"), cell("y").alias("j")))
+    full = placed.groupBy(*keys, "cell").agg(F.ceil(F.sum("points") / block_points).alias("parts"))
+    full = full.select(*[F.col(k).alias(f"___{k}") for k in keys], F.col("cell").alias("c"), "parts")
+    near = [F.col(k).eqNullSafe(F.col(f"___{k}")) for k in keys]
+    placed = placed.join(full, reduce(lambda a, b: a & b, [*near, F.col("cell") == F.col("c")]))
+    placed = placed.select(*keys, "cell", F.pmod(F.xxhash64("valid"), F.col("parts")).alias("part"), "valid")
+
+    def united(column: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            outline = overlay.union([p for g in group[column] for p in _polygons(g)])
+            return group[keys].head(1).reset_index(drop=True).assign(outline=[_as_json(outline)])
+
+        return run
+
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "outline string"])
+    blocks = placed.groupBy(*keys, "cell", "part").applyInPandas(united("valid"), schema)
+    return blocks.groupBy(*keys).applyInPandas(united("outline"), schema)
 
-    def put_together(group: pd.DataFrame) -> pd.DataFrame:
-        fixed = group[keys].head(1).reset_index(drop=True)
-        return fixed.assign(outline=_outline(group[["px", "py", "qx", "qy"]].to_numpy(), group["way"].to_numpy()))
-
-    return left.groupBy(*keys).applyInPandas(put_together, schema)
-
-
-def _outline(sides: np.ndarray, way: np.ndarray) -> str:
-    """Rings of directed sides as a MultiPolygon: outlines run one way, holes the other."""
-    after: dict[tuple, list[tuple]] = {}
-    for (px, py, qx, qy), w in zip(sides.tolist(), way.tolist(), strict=True):
-        a, b = ((px, py), (qx, qy)) if w > 0 else ((qx, qy), (px, py))
-        after.setdefault(a, []).append(b)
-    outer, holes = [], []
-    while after:
-        start = min(after)
-        ring, at = [start], start
-        while True:
-            ends = after[at]
-            nxt = ends.pop()
-            if not ends:
-                del after[at]
-            ring.append(nxt)
-            at = nxt
-            if at == start or at not in after:
-                break
-        points = np.array(ring)
-        area = float((points[:-1, 0] * points[1:, 1] - points[1:, 0] * points[:-1, 1]).sum())
-        (outer if area > 0 else holes).append(ring)
-    polygons = [[r] for r in sorted(outer)]
-    for hole in sorted(holes):
-        home = next((p for p in polygons if _inside(hole[0], np.array(p[0]))), None)
-        (home if home is not None else polygons[0]).append(hole) if polygons else None
-    return json.dumps({"type": "MultiPolygon", "coordinates": [[[list(c) for c in r] for r in p] for p in polygons]})
-
-
-def _inside(point: tuple, ring: np.ndarray) -> bool:
-    a, b = ring[:-1], ring[1:]
-    up = (a[:, 1] > point[1]) != (b[:, 1] > point[1])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cross = a[:, 0] + (point[1] - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1])
-    return bool((up & (point[0] < cross)).sum() % 2)
+
+def planar_area(geometry: str) -> Column:
+    """The area of valid polygons in the plane of their coordinates; outlines run against the clock, holes with it."""
+    ring = lambda r: F.aggregate(F.sequence(F.lit(1), F.size(r) - 1), F.lit(0.0), lambda s, k: s + F.get(F.get(r, k - 1), F.lit(0)) * F.get(F.get(r, k), F.lit(1)) - F.get(F.get(r, k), F.lit(0)) * F.get(F.get(r, k - 1), F.lit(1)))
+    return F.aggregate(F.flatten(_coordinates(geometry)), F.lit(0.0), lambda s, r: s + ring(r)) / 2
 
 
 def features(rows: DataFrame, lng: str, lat: str, properties: list[str]) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltstone.functions import hosting, strings
-from siltstone.operators import chunks, outputs, resolve, retrieval, rollups
+from siltstone.operators import chunks, geo, outputs, resolve, retrieval, rollups
 from siltstone.plans.registry import query
 from siltstone.sources.networks import network_lookup
 from siltstone.sources import tables
@@ -269,15 +270,45 @@ def sane_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT n_regionkey AS region, count(*) AS cells, count(*) * 2 + 2 AS sides FROM nation GROUP BY 1""")
 def region_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each region's nations as cells in a row; the borders between them are dissolved."""
-    from pyspark.sql.window import Window
-
-    from siltstone.operators.geo import dissolved
-
     at = (F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1).cast("double")
     cells = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("region"), at.alias("x"))
     ring = F.array(*[F.array(F.col("x") + dx, F.lit(y)) for dx, y in ((0, 0.0), (1, 0.0), (1, 1.0), (0, 1.0), (0, 0.0))])
     shape = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
-    outlines = dissolved(cells.select("region", shape.alias("g")), ["region"], "g")
+    outlines = geo.dissolved(cells.select("region", shape.alias("g")), ["region"], "g")
     counted = cells.groupBy("region").agg(F.count(F.lit(1)).alias("cells"))
     points = F.from_json(F.get_json_object("outline", "$.coordinates"), "array<array<array<array<double>>>>")
     return outlines.join(counted, "region").select("region", "cells", (F.size(points[0][0]) - 1).cast("long").alias("sides"))
+
+
+def _box(x: Column, w: Column, h: Column) -> Column:
+    """A box on the x axis as GeoJSON."""
+    points = [(x, F.lit(0.0)), (x + w, F.lit(0.0)), (x + w, h), (x, h), (x, F.lit(0.0))]
+    return F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(F.array(*[F.array(a.cast("double"), b.cast("double")) for a, b in points])).alias("coordinates")))
+
+
+@query("""WITH b AS (SELECT c_nationkey AS k, (c_custkey * 37) % 997 AS x, 1 + c_custkey % 5 AS w FROM customer), o AS (SELECT *, max(x + w) OVER (PARTITION BY k ORDER BY x, w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR x > reach THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY x, w ROWS UNBOUNDED PRECEDING) AS n FROM o), m AS (SELECT k, n, min(x) AS a, max(x + w) AS b FROM i GROUP BY 1, 2)
+SELECT k AS nation, count(*)::INTEGER AS parts, round(sum(b - a) * 2.0, 3)::DOUBLE AS area FROM m GROUP BY 1""")
+def overlapping_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation's customers as boxes that overlap, touch and lie in each other, dissolved."""
+    k = F.col("c_custkey")
+    boxes = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), _box((k * 37) % 997, 1 + k % 5, F.lit(2.0)).alias("g"))
+    out = geo.dissolved(boxes, ["nation"], "g", block_points=100)
+    shapes = F.from_json(F.get_json_object("outline", "$.coordinates"), "array<array<array<array<double>>>>")
+    return out.select("nation", F.size(shapes).alias("parts"), F.round(geo.planar_area("outline"), 3).alias("area"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN 1 ELSE 2 END AS parts, round(CASE p_partkey % 3 WHEN 0 THEN p_size * 4.0 / 2 WHEN 1 THEN p_size * 4.0 + 1 ELSE p_size * 4.0 END, 3)::DOUBLE AS area FROM part""")
+def repaired_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bow-ties, boxes with a hole outside, and boxes with a spike and a point given twice."""
+    w, n = F.col("p_size").cast("double"), F.lit(0.0)
+    pair = lambda a, b: F.array(a, F.lit(float(b)) if not hasattr(b, "cast") else b)
+    tie = F.array(F.array(pair(n, 0), pair(w, 4), pair(w, 0), pair(n, 4), pair(n, 0)))
+    box = [pair(n, 0), pair(w, 0), pair(w, 4), pair(n, 4), pair(n, 0)]
+    apart = F.array(F.array(*box), F.array(*[pair(n - x, y) for x, y in ((5, 0), (4, 0), (4, 1), (5, 1), (5, 0))]))
+    spiked = F.array(F.array(*box[:2], box[1], pair(w, 2), pair(w + 3, 2), pair(w, 2), *box[2:]))
+    rings = F.when(F.col("p_partkey") % 3 == 0, tie).when(F.col("p_partkey") % 3 == 1, apart).otherwise(spiked)
+    shape = F.to_json(F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates")))
+    out = geo.repaired(table(spark, sf_dir, "part").select("p_partkey", shape.alias("g")), "g")
+    shapes = F.from_json(F.get_json_object("valid", "$.coordinates"), "array<array<array<array<double>>>>")
+    return out.select("p_partkey", F.size(shapes).alias("parts"), F.round(geo.planar_area("valid"), 3).alias("area"))

@@ -412,6 +412,32 @@ def test_borders_between_polygons_go(spark):
     assert abs(facts["area_km2"] - parts) < 1 and len(rows["b"]) == 1
 
 
+def test_outlines_in_two_steps(spark):
+    """Overlaps, T-junctions and nested polygons, in blocks of a few points as in one."""
+    rnd = random.Random(3)
+    boxes = [(k % 2, rnd.randint(0, 20), rnd.randint(0, 20), rnd.randint(1, 6), rnd.randint(1, 6)) for k in range(120)] + [(2, 0, 0, 0, 3), (3, 0, 0, 1, 1)]
+    shape = lambda x, y, w, h: json.dumps({"type": "Polygon", "coordinates": [[[x, y], [x + w, y], [x + w, y + h], [x, y + h], [x, y]]]})
+    rows = frame(spark, [(k, shape(*b)) for k, *b in boxes] + [(4, None), (3, '{"type":"Point","coordinates":[1,2]}')], "k int, g string")
+    cells = {k: {(x + i, y + j) for q, x, y, w, h in boxes if q == k for i in range(w) for j in range(h)} for k in range(4)}
+    for block in (20_000, 30):
+        found = {r["k"]: r["a"] for r in geo.dissolved(rows, ["k"], "g", block_points=block).select("k", geo.planar_area("outline").alias("a")).collect()}
+        assert {k: round(a, 6) for k, a in found.items() if a is not None} == {k: len(c) for k, c in cells.items() if c}
+
+
+def test_common_borders_are_simplified_once(spark):
+    wave = [[5 + 0.01 * (-1) ** k, k] for k in range(1, 10)]  # the border between two neighbours
+    left = [[0, 0], [5, 0], *wave, [5, 10], [0, 10], [0, 0]]
+    right = [[5, 0], [9, 0], [9, 10], [5, 10], *wave[::-1], [5, 0]]
+    island = [[20, 0], [21, 0.001], [22, 0], [22, 2], [20, 2], [20, 0]]
+    rows = frame(spark, [(n, json.dumps({"type": "Polygon", "coordinates": [r]})) for n, r in (("l", left), ("r", right), ("i", island))] + [("x", None)], "n string, g string")
+    for tolerance in (0.5, 0.001):
+        out = {r["n"]: json.loads(r["simple"])["coordinates"][0][0] for r in geo.simplified_together(rows, "n", "g", tolerance).collect()}
+        assert set(out) == {"l", "r", "i"}
+        border = lambda ring: {tuple(p) for p in ring if 4 < p[0] < 6}
+        assert border(out["l"]) == border(out["r"]) and len(border(out["l"])) == (2 if tolerance == 0.5 else 11)
+    assert len(out["i"]) == 5
+
+
 def test_simplified_rings_do_not_cross_themselves(spark):
     # A thin tongue: without its own points the two sides of it would cross the far bank.
     ring = [[0, 0], [10, 0], [10, 4], [5, 0.2], [0, 4], [0, 0]]
