@@ -54,6 +54,8 @@ SIMILARITY, NGRAM, TARGET_RECALL = 0.8, 5, 0.9999
 BLOCK_BYTES, BLOCK_TEXTS = 2 << 20, 512
 #: The sample by which prefixes are shortened: so many distinct texts of at most so many bytes.
 SAMPLE_TEXTS, SAMPLE_BYTES = 1024, 1 << 15
+#: So many links at the limit are counted in with those of the sample.
+LIMIT_LINKS = 10
 #: A range of sorted strings has about so many.
 RANGE_STRINGS = 1 << 20
 
@@ -165,8 +167,9 @@ def _links_to(sample: _Sample, grams: np.ndarray, row: np.ndarray, values: np.nd
 def shortened(found: np.ndarray, similarity: float, trees: int, recall: float) -> tuple[int, float]:
     """The longest prefix that reaches ``recall``, and the recall measured with it.
 
-    ``found`` are the sums of ``_links_to`` over all texts. A link at the limit
-    of ``similarity`` is added, so that without links the limit decides.
+    ``found`` are the sums of ``_links_to`` over all texts. LIMIT_LINKS links at
+    the limit of ``similarity`` are added, so that where there are few links the
+    limit decides.
     """
     depth = found.shape[1] - 1
     if meeting(similarity, 1, trees) < recall:
@@ -174,7 +177,7 @@ def shortened(found: np.ndarray, similarity: float, trees: int, recall: float) -
     links = found[0].sum()
     for d in range(depth, 0, -1):
         measured = found[0, d:].sum() / links if links else 1.0
-        expected = (meeting(similarity, d, trees) + found[1, d]) / (1 + links)
+        expected = (LIMIT_LINKS * meeting(similarity, d, trees) + found[1, d]) / (LIMIT_LINKS + links)
         if min(measured, expected) >= recall:
             break
     return d, float(measured)
