@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions import hosting, strings
-from siltstone.operators import chunks, geo, outputs, resolve, retrieval, rollups
+from siltstone.operators import chunks, geo, outputs, resolve, retrieval, rollups, transcripts
 from siltstone.plans.registry import query
 from siltstone.sources.networks import network_lookup
 from siltstone.sources import tables
@@ -312,3 +312,17 @@ def repaired_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = geo.repaired(table(spark, sf_dir, "part").select("p_partkey", shape.alias("g")), "g")
     shapes = F.from_json(F.get_json_object("valid", "$.coordinates"), "array<array<array<array<double>>>>")
     return out.select("p_partkey", F.size(shapes).alias("parts"), F.round(geo.planar_area("valid"), 3).alias("area"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS body FROM conversations)
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS sequence, CASE WHEN conv_id % 2 = 0 THEN 'Hon. ' ELSE 'Mr. ' END || role AS speaker, body, 'Debate' AS section, CASE WHEN conv_id % 2 = 0 THEN 'speaker starts' ELSE 'printed' END AS dialect FROM c WHERE body <> ''""")
+def transcripts_of_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as transcripts of two styles: pages with classes, and a print with its page numbers and running titles."""
+    said = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    html = F.concat(F.lit('<p class="speakerStart"><span id="para"/><strong>Hon. '), "role", F.lit(":</strong> "), strings.xml_escape(F.coalesce("text", F.lit(""))), F.lit('</p><p class="procedure">(Applause.)</p>'))
+    print_ = F.concat(F.lit("Mr. "), "role", F.lit(": "), said, F.lit("\n\n117\nRecord Hansard\nApril 16, 2026\n[Some applause]\n"))
+    each = table(spark, sf_dir, "conversations").withColumn("part", F.when(F.col("conv_id") % 2 == 0, html).otherwise(print_))
+    whole = each.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]), "\n").alias("body"))
+    opening = F.when(F.col("conv_id") % 2 == 0, "<h2>Debate</h2>").otherwise("Title: a day\nhead:\n\n116\nDebate\n")
+    pages = whole.select("conv_id", F.concat(opening, "body").alias("page"))
+    return transcripts.transcript_turns(pages, "conv_id", "page").select("conv_id", "sequence", "speaker", "body", "section", "dialect")

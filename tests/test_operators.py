@@ -124,14 +124,6 @@ def test_line_turns(spark):
     assert [tuple(r) for r in rows] == [(1, 0, "The Speaker", "Order.", "10:05"), (1, 1, "Mr. Tall", "I rise: today\nto speak.", "10:05"), (1, 2, "Ms. Low", "Thanks.", "11:00")]
 
 
-def test_turns_by_era(spark):
-    old = '<META NAME="Generator" CONTENT="Microsoft Word 97"><P><B>Mr. Tall:</B> Old words.</P><P>More.</P>'
-    new = '<p class=MsoNormal>Mr. Low: New&nbsp;words.</p>'
-    marked = '<p class="SpeakerBegins">Ann: one</p>'
-    rows = chunks.turns_by_era(frame(spark, [(1, old), (2, new), (3, marked)], "id int, html string"), "id").collect()
-    assert {(r["id"], r["era"], r["speaker"], r["body"]) for r in rows} == {(1, "word97", "Mr. Tall", "Old words.\nMore."), (2, "modern", "Mr. Low", "New words."), (3, "classes", "Ann", "one")}
-
-
 def test_stage_events(spark):
     html = "<table><tr><td>First Reading</td><td>2024-03-05</td></tr><tr><td>Second reading, referred to committee</td><td>March 7, 2024</td></tr><tr><td>no date</td></tr></table><li>Royal Assent: May 30 2024</li><li>Royal Assent: May 30 2024</li>"
     rows = chunks.stage_events(frame(spark, [(1, html), (2, None)], "id int, html string"), "id").collect()
