@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import upserts
@@ -96,24 +99,30 @@ def nested_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("lang = 'fr'").join(good, "doc_id", "left_semi").select("doc_id", "text")
 
 
-@query("SELECT b.item_id, count(*) AS documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(regexp_split_to_array(b.text, '[ \\n]')) >= 10 GROUP BY 1")
+@query("SELECT b.item_id, count(*) AS documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(regexp_split_to_array(b.text, '[ \\n]')) >= 3 GROUP BY 1")
 def passages_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage of ten words or more.
+    """Documents that hold a benchmark passage of three words or more.
 
-    Joined on the passage's second to ninth word, which stand whole in any text
-    that holds it, and then compared whole: an equality join, no nested loop.
+    A passage's words but the first and the last stand whole in any text that holds
+    it. Joined on the hash of these, of the first eight at most, and then compared
+    whole: an equality join on numbers, no nested loop, and texts only for hits.
     """
-    gram = lambda words, i: F.array_join(F.slice(words, i, 8), " ")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.split("text", r"[ \n]").alias("pw"))
-    items = items.where(F.size("pw") >= 10).select("item_id", "passage", gram(F.col("pw"), 2).alias("key"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", r"[ \n]").alias("w"))
-    places = F.sequence(F.lit(1), F.greatest(F.size("w") - 7, F.lit(1)))
-    keys = docs.select("doc_id", F.explode(F.array_distinct(F.transform(places, lambda i: gram(F.col("w"), i)))).alias("key"))
-    near = keys.join(items, "key").select("doc_id", "item_id", "passage").distinct()
-    found = near.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage")))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.split("text", r"[ \n]").alias("w"))
+    items = items.where(F.size("w") >= 3).withColumn("n", F.least(F.size("w") - 2, F.lit(8)))
+    items = items.select("item_id", "passage", "n", F.xxhash64(F.expr("slice(w, 2, n)")).alias("key"))
+    sizes = [r["n"] for r in items.select("n").distinct().collect()]  # eight at most
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    worded = docs.select("doc_id", F.split("text", r"[ \n]").alias("w"))
+    keys = [worded.select("doc_id", F.lit(n).alias("n"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), _window_hash(n)))).alias("key")) for n in sizes]
+    near = reduce(DataFrame.unionByName, keys).join(items, ["n", "key"]).select("doc_id", "item_id", "passage").distinct() if keys else items.select(F.lit(None).cast("long").alias("doc_id"), "item_id", "passage").limit(0)
+    found = docs.join(near, "doc_id").where(F.contains("text", F.col("passage")))
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def _window_hash(n: int) -> Callable[[Column], Column]:
+    return lambda i: F.xxhash64(F.slice("w", i, n))
+
+
 @query("SELECT 3 AS parliament, i AS session FROM range(1, 4) t(i)")
 def values_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.inline(spark, [(3, 1), (3, 2), (3, 3)], "parliament int, session bigint")

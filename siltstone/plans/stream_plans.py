@@ -113,6 +113,23 @@ def signed_webhooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", feeds.signed(F.col("props"), F.concat(F.lit("sha256="), signature), secret).alias("genuine"))
 
 
+@query("SELECT event_id, event_type AS kind, json_extract_string(props, '$.k')::INTEGER AS k FROM events WHERE event_id % 3 <> 0 AND event_id % 7 <> 0")
+def webhook_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries in two files, the second with the first's again; of every third the signature is another's, every seventh is no object."""
+    secret = b"shared secret"
+    pads = [F.lit(bytearray(k ^ pad for k in secret.ljust(64, b"\0"))) for pad in (0x36, 0x5C)]
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "props")
+    whole = F.to_json(F.struct(F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").cast("int").alias("k")))
+    body = F.when(F.col("event_id") % 7 == 0, "no object").otherwise(whole)
+    said = F.concat(F.when(F.col("event_id") % 3 == 0, "x").otherwise(""), "body")
+    sent = events.select("event_id", "ts", body.alias("body"))
+    sent = sent.withColumn("signature", F.sha2(F.concat(pads[1], F.unhex(F.sha2(F.concat(pads[0], F.encode(said, "UTF-8")), 256))), 256))
+    twice = sent.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1))))
+    stream = _in_files(spark, twice, F.col("part"), 2, "webhooks")
+    changes = feeds.webhook_changes(stream, secret, "kind string, k int", "event_id", "ts", within="60 days")
+    return _drained(spark, changes, "webhooks").select("event_id", "kind", "k")
+
+
 @query("SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'view')")
 def backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "event_type")

@@ -128,6 +128,20 @@ def signed(body: Column, signature: Column, secret: bytes) -> Column:
     return F.coalesce(F.lower(F.regexp_replace(signature, "^sha256=", "")) == digest, F.lit(False))
 
 
+def webhook_changes(stream: DataFrame, secret: bytes, schema: str, key: str, at: str, body: str = "body", signature: str = "signature", within: str | None = "7 days") -> DataFrame:
+    """The changes that signed deliveries report, one row each: ``key, at`` and the fields of ``schema``.
+
+    A stream of deliveries as they came, of which those with another signature and
+    those whose body is no object of the schema are left out. A delivery that comes
+    again within the span (see ``first_of_key``) counts once. What is left is a
+    stream to append to a table of changes.
+    """
+    genuine = stream.where(signed(F.col(body), F.col(signature), secret))
+    read = genuine.select(F.col(key), F.col(at), F.from_json(body, f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("__o"))
+    rows = read.where("__o IS NOT NULL AND __o._corrupt_record IS NULL").select(key, at, "__o.*").drop("_corrupt_record")
+    return first_of_key(rows, key, at, within)
+
+
 def due_schedules(schedules: DataFrame, now: Column, cadences: dict[str, str]) -> DataFrame:
     """Jobs of the schedules that are due: never run, or not for their cadence (an interval of each name).
 
