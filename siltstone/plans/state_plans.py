@@ -67,6 +67,29 @@ def scan_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.scan_changes(_scans(spark, sf_dir)).groupBy("kind", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+_FACTS = {"country": "CASE WHEN k % 5 > 0 THEN 'C' || (k % 3) END", "city": "CASE WHEN k % 3 > 0 THEN 'T' || (k % 4) END", "provider": "event_type", "cdn": "CASE WHEN k % 6 > 1 THEN 'N' || (k % 2) END", "cms": "'M' || (k % 5)", "tls_issuer": "CASE WHEN k % 7 <> 2 THEN 'I' || (k % 2) END"}
+_LEVELS = {"country": "major", "city": "notable", "provider": "major", "cdn": "info", "cms": "info", "tls_issuer": "info"}
+
+
+@query(f"""WITH f AS (SELECT user_id, ts, event_id, {", ".join(f"{v} AS {c}" for c, v in _FACTS.items())}, CASE WHEN k % 7 > 0 THEN k % 6 + 1 END AS tier, list_sort(list_distinct([(k % 2)::VARCHAR, (k % 4)::VARCHAR])) AS ips
+  FROM (SELECT *, json_extract_string(props, '$.k')::INTEGER AS k FROM events)),
+l AS (SELECT *, {", ".join(f"lag({c}) OVER w AS old_{c}" for c in [*_FACTS, "tier", "ips"])}, row_number() OVER w AS n FROM f WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+x AS ({" UNION ALL ".join(f"SELECT event_id, '{c}_changed' AS kind, '{_LEVELS[c]}' AS severity, coalesce(old_{c}, '') AS old, coalesce({c}, '') AS new, NULL::VARCHAR AS added, NULL::VARCHAR AS removed FROM l WHERE n > 1 AND coalesce(old_{c}, '') <> coalesce({c}, '')" for c in _FACTS)}
+UNION ALL SELECT event_id, 'tier_changed', CASE WHEN abs(old_tier - tier) >= 2 THEN 'major' ELSE 'notable' END, old_tier::VARCHAR, tier::VARCHAR, NULL, NULL FROM l WHERE n > 1 AND old_tier <> tier
+UNION ALL SELECT event_id, 'ip_changed', 'info', array_to_string(old_ips, ','), array_to_string(ips, ','), array_to_string(list_filter(ips, lambda i: NOT list_contains(old_ips, i)), ','), array_to_string(list_filter(old_ips, lambda i: NOT list_contains(ips, i)), ',') FROM l WHERE n > 1 AND old_ips <> ips)
+SELECT event_id, kind, severity, old, new, coalesce(added, '') AS added, coalesce(removed, '') AS removed FROM x""")
+def scan_changes_of_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans in which every fact changes now and then, with what each set of addresses gained and lost."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    k = lambda n: (F.col("k") % n).cast("string")
+    scans = e.select(
+        F.col("user_id").alias("site_id"), F.struct("ts", "event_id").alias("scanned_at"), F.when(F.col("k") % 5 > 0, F.concat(F.lit("C"), k(3))).alias("country"), F.when(F.col("k") % 3 > 0, F.concat(F.lit("T"), k(4))).alias("city"), F.col("event_type").alias("provider"),
+        F.when(F.col("k") % 6 > 1, F.concat(F.lit("N"), k(2))).alias("cdn"), F.concat(F.lit("M"), k(5)).alias("cms"), F.when(F.col("k") % 7 != 2, F.concat(F.lit("I"), k(2))).alias("tls_issuer"), F.when(F.col("k") % 7 > 0, F.col("k") % 6 + 1).alias("tier"), F.array(k(2), k(4)).alias("ips"),
+    )
+    text = lambda c: F.coalesce(F.array_join(c, ","), F.lit("")).alias(c)
+    return changes.scan_changes(scans).select(F.col("scanned_at.event_id").alias("event_id"), "kind", "severity", "old", "new", text("added"), text("removed"))
+
+
 @query("""WITH o AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS party FROM customer WHERE c_custkey % 10 <> 3),
 w AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN c_name || ' Jr' ELSE c_name END AS name, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_mktsegment END AS party FROM customer WHERE c_custkey % 10 <> 4)
 SELECT coalesce(o.id, w.id) AS id, kind FROM o FULL JOIN w ON o.id = w.id, LATERAL (SELECT unnest([CASE WHEN o.id IS NULL THEN 'newly_elected' END, CASE WHEN w.id IS NULL THEN 'retired' END,
