@@ -185,12 +185,12 @@ def plain_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.line_turns(pages, "conv_id").select("conv_id", "sequence", "speaker", "body")
 
 
-_SITES = "SELECT c_mktsegment AS party, o_custkey AS id, o_custkey % 400 AS host, o_orderdate AS seen, o_orderkey AS k, CASE WHEN o_orderkey % 7 > 0 THEN (o_orderkey % 6 + 1)::INTEGER END AS tier, o_orderpriority AS provider FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 150000"
+_SITES = "SELECT c_mktsegment AS party, o_custkey AS id, o_custkey % 400 AS host, o_orderdate AS seen, o_orderkey AS k, CASE WHEN o_orderkey % 7 > 0 THEN (o_orderkey % 6 + 1)::INTEGER END AS tier, o_orderpriority AS provider FROM orders JOIN customer ON o_custkey = c_custkey"
 
 
 def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as scans of sites that members share."""
-    rows = table(spark, sf_dir, "orders").where("o_totalprice > 150000").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     k = F.col("o_orderkey")
     return rows.select(F.col("c_mktsegment").alias("party"), F.col("o_custkey").alias("id"), (F.col("o_custkey") % 400).alias("host"), F.col("o_orderdate").alias("at"), k.alias("k"), F.when(k % 7 > 0, k % 6 + 1).cast("int").alias("tier"), F.col("o_orderpriority").alias("provider"))
 
@@ -247,13 +247,8 @@ e AS (SELECT q, round(dcg / (SELECT sum(1.0 / log2(i + 1)) FROM range(1, least(r
 SELECT 'c' || cat AS category, count(*) AS n, round(avg(ndcg), 4) AS ndcg, round(avg(recall), 4) AS recall FROM e JOIN q USING (q) GROUP BY 1 UNION ALL SELECT '*', count(*), round(avg(ndcg), 4), round(avg(recall), 4) FROM e""")
 def quality_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as rankings by price, the filled ones relevant; customers are the queries."""
-    from siltstone.operators.latest import first_by
-
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("q"), F.col("o_orderkey").alias("item"), "o_totalprice", "o_orderstatus")
-    best = first_by(orders, ["q"], [F.col("o_totalprice").desc(), F.col("item")], 1000)
-    from pyspark.sql.window import Window
-
-    ranking = best.select("q", "item", F.row_number().over(Window.partitionBy("q").orderBy(F.col("o_totalprice").desc(), "item")).alias("r"))
+    ranking = orders.select("q", "item", F.row_number().over(Window.partitionBy("q").orderBy(F.col("o_totalprice").desc(), "item")).alias("r"))
     relevant = orders.where("o_orderstatus = 'F'").select("q", "item")
     found = retrieval.ranking_quality(ranking, relevant, "q", "item", "r")
     asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("q"), F.concat(F.lit("c"), (F.col("c_nationkey") % 4).cast("string")).alias("category"))
