@@ -165,7 +165,7 @@ def learn_lexicon(docs: DataFrame, scratch: Scratch, text_col: str = "text", lea
     counts = map_arrow(texts, count, "term binary, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     band = scratch.keep(counts.where((F.col("n") >= least * total) & (F.col("n") <= max(1, most * total))), "lexicon")
     # At most (average distinct terms of a document) / least terms, whatever the number of documents.
-    return Lexicon([bytes(r["term"]) for r in band.select("term").collect()])
+    return Lexicon(band.select("term").toArrow().column(0).to_pylist())
 
 
 def fingerprints(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", to: str = "fingerprint") -> DataFrame:

@@ -36,6 +36,7 @@ BLOCK_CHARS = 512
 #: The labelled sample of each language: so many documents, and so many characters of all of them together.
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 30_000
+MOST_LABELS = 1000
 #: Characters of all languages' samples together: their automata have twice as many states at most and
 #: three times as many transitions, of which one of each state isn't hashed, so they hold fewer than 150 MB.
 TOTAL_CHARS = 1 << 20
@@ -263,13 +264,15 @@ def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     The sample is the ``sample_docs`` rows of each label whose ids hash lowest;
     ``sample_chars`` characters are taken of each label, in shares as equal as
     the texts' lengths allow: few texts give more of each. A text gives all of
-    itself or, if that is more than its share, passages from all over it. Labels
-    are assumed to be few; with more than TOTAL_CHARS / ``sample_chars`` of them
+    itself or, if that is more than its share, passages from all over it. More
+    than MOST_LABELS different labels raise; with more than TOTAL_CHARS / ``sample_chars`` of them
     each one's sample is smaller, so that the automata keep their size. Null
     labels, and texts of repeated rows beyond the first, are not used; null texts
     are empty. A table without labels gives a parser without languages.
     """
     rows = docs.where(usable).select(F.col(quoted(id_col)).alias("id"), F.col(quoted(lang_col)).alias("label"), F.coalesce(quoted(text_col), F.lit("")).alias("text")).where("label IS NOT NULL")
+    if rows.select("label").distinct().limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"at most {MOST_LABELS} languages can be learned")
     rows = rows.withColumn("tie", F.xxhash64("text"))
     order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", "tie")
     # Lengths first: Spark cuts every task's rows down to sample_docs a label before they are shuffled.
