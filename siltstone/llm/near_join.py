@@ -55,7 +55,7 @@ BLOCK_BYTES, BLOCK_TEXTS = 2 << 20, 512
 #: The sample by which prefixes are shortened: so many distinct texts of at most so many bytes.
 SAMPLE_TEXTS, SAMPLE_BYTES = 1024, 1 << 15
 #: So many links at the limit are counted in with those of the sample.
-LIMIT_LINKS = 10
+LIMIT_LINKS, MARGIN = 10, 4
 #: A range of sorted strings has about so many.
 RANGE_STRINGS = 1 << 20
 
@@ -169,7 +169,9 @@ def shortened(found: np.ndarray, similarity: float, trees: int, recall: float) -
 
     ``found`` are the sums of ``_links_to`` over all texts. LIMIT_LINKS links at
     the limit of ``similarity`` are added, so that where there are few links the
-    limit decides.
+    limit decides. A prefix that reaches ``recall`` for links at the limit reaches it
+    for all; a longer one has to be expected to lose no more than a MARGIN-th of
+    what may be lost, for to verify a second level costs more than a shorter prefix.
     """
     depth = found.shape[1] - 1
     if meeting(similarity, 1, trees) < recall:
@@ -178,7 +180,7 @@ def shortened(found: np.ndarray, similarity: float, trees: int, recall: float) -
     for d in range(depth, 0, -1):
         measured = found[0, d:].sum() / links if links else 1.0
         expected = (LIMIT_LINKS * meeting(similarity, d, trees) + found[1, d]) / (LIMIT_LINKS + links)
-        if min(measured, expected) >= recall:
+        if meeting(similarity, d, trees) >= recall or min(measured, 1 - MARGIN * (1 - expected)) >= recall:
             break
     return d, float(measured)
 
