@@ -366,6 +366,43 @@ def test_quality(spark):
         assert sum(r["predicted"] == mark for r in own) > 0.9 * len(own)
 
 
+def direct_fit(x, label, to_pooled, to_identity):
+    """Densities straight from the rows of each label."""
+    parts = [x[label == k] for k in (0, 1)]
+    pooled = sum(len(p) * np.cov(p.T, bias=True) for p in parts) / len(x)
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
+    models = []
+    for p in parts:
+        cov = ((1 - to_pooled) * np.cov(p.T, bias=True) + to_pooled * pooled) / np.outer(scale, scale)
+        cov = (1 - to_identity) * cov + to_identity * np.eye(len(cov)) * max(np.trace(cov) / len(cov), 1e-6)
+        models.append((p.mean(0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1], np.log(len(p) / len(x))))
+
+    def scores(z):
+        dens = [prior - det / 2 - np.einsum("ij,jk,ik->i", (z - m) / scale, inv, (z - m) / scale) / 2 for m, inv, det, prior in models]
+        return 1 / (1 + np.exp(np.clip(dens[0] - dens[1], -60, 60)))
+
+    return scores
+
+
+def test_quality_fit_equals_a_direct_one(spark):
+    rows = quality.with_statistics(spark.read.parquet(f"{LARGER}/documents.parquet"))
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet")
+    usable = queries.remainder(3) != 1
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2))
+    known = rows.where(usable).join(labels, "doc_id").select("x", "quality", fold.alias("fold")).collect()
+    x, label, half = (np.array([r[c] for r in known]) for c in ("x", "quality", "fold"))
+    losses = []
+    for grid in quality.GRID:
+        p = np.clip(direct_fit(x[half == 0], label[half == 0], *grid)(x[half == 1]), 1e-6, 1 - 1e-6)
+        truth = label[half == 1]
+        losses.append(round(-np.log(p[truth == 1]).mean() - np.log(1 - p[truth == 0]).mean(), 6))
+    want = direct_fit(x, label, *quality.GRID[int(np.argmin(losses))])
+    some = rows.collect()
+    got = {r["doc_id"]: r["score"] for r in quality.score(rows, quality.learn(rows, labels, usable)).collect()}
+    expected = want(np.array([r["x"] for r in some]))
+    assert max(abs(got[r["doc_id"]] - e) for r, e in zip(some, expected, strict=True)) < 1e-6
+
+
 def test_quality_of_odd_rows(spark, odd_docs, no_docs):
     x = quality.with_statistics(odd_docs)
     assert all(np.isfinite(r["x"]).all() for r in x.collect()) and x.count() == odd_docs.count()
