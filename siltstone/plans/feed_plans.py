@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions import hosting, strings
-from siltstone.operators import chunks, geo, outputs, resolve, retrieval, rollups, transcripts
+from siltstone.operators import bills, chunks, geo, outputs, resolve, retrieval, rollups, transcripts
 from siltstone.plans.registry import query
 from siltstone.sources.networks import network_lookup
 from siltstone.sources import tables
@@ -321,3 +321,27 @@ def transcripts_of_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     opening = F.when(F.col("conv_id") % 2 == 0, "<h2>Debate</h2>").otherwise("Title: a day\nhead:\n\n116\nDebate\n")
     pages = whole.select("conv_id", F.concat(opening, "body").alias("page"))
     return transcripts.transcript_turns(pages, "conv_id", "page").select("conv_id", "sequence", "speaker", "body", "section", "dialect")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)
+SELECT o_orderkey, 0 AS sequence, 'first_reading' AS stage, d AS day FROM o UNION ALL SELECT o_orderkey, 1, 'committee', (d + INTERVAL 40 DAY)::DATE FROM o
+UNION ALL SELECT o_orderkey, 2, 'withdrawn', NULL FROM o WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 2 + (o_orderkey % 2 = 0)::INTEGER, 'royal_assent', (d + INTERVAL 90 DAY)::DATE FROM o""")
+def stages_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as bills' pages: a legend, a committee that is there twice, rows that are no stage."""
+    day = lambda n: F.date_format(F.date_add(F.col("o_orderdate").cast("date"), n), "MMMM d, yyyy")
+    row = lambda label, body: F.concat(F.lit(f"<tr><td>{label}</td><td>"), body if isinstance(body, Column) else F.lit(body), F.lit("</td></tr>"))
+    gone = F.when(F.col("o_orderkey") % 2 == 0, row("Withdrawn", "")).otherwise("")
+    page = F.concat(row("First Reading", ""), row("Royal Assent", "-"), row("First Reading", day(0)), row("Private &amp; Local Bills", day(40)), row("Law Amendments Committee", F.concat(F.lit("<a>"), day(40), F.lit("</a>"))), row("Sponsor", day(41)), gone, row("Royal Assent", day(90)))
+    return bills.page_stages(table(spark, sf_dir, "orders").select("o_orderkey", page.alias("html")), "o_orderkey").select("o_orderkey", "sequence", "stage", "day")
+
+
+@query("""WITH c AS (SELECT c_custkey, list(o_orderdate::DATE ORDER BY o_orderdate, o_orderkey) AS d FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1),
+f AS (SELECT c_custkey, list_filter(d, lambda x, i: i = 1 OR x <> d[i - 1]) AS d FROM c), e AS (SELECT c_custkey, unnest(d[1:6]) AS day, unnest(range(0, len(d[1:6]))) AS sequence FROM f)
+SELECT c_custkey // 5000 AS page, (c_custkey % 5000)::VARCHAR AS bill, sequence::INTEGER AS sequence, (['first_reading', 'second_reading', 'committee', 'third_reading', 'royal_assent', 'in_effect'])[sequence + 1] AS stage, day FROM e""")
+def stages_of_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as bills of printed status tables, their orders' days as dates; a table has five thousand numbers."""
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
+    days = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))), lambda x: F.date_format(x["o_orderdate"], "MMM. d, yyyy")), "\n")
+    each = orders.groupBy("c_custkey").agg(F.concat((F.col("c_custkey") % 5000).cast("string"), F.lit(" The Act\nRoyal\nAssent\n"), days).alias("part"))
+    pages = each.groupBy(F.floor(F.col("c_custkey") / 5000).alias("page")).agg(F.concat(F.lit("Bill Status 2025-12\nSTATUS OF BILLS\n"), F.array_join(F.collect_list("part"), "\nGOVERNMENT BILLS\n")).alias("text"))
+    return bills.printed_stages(pages, "page").select("page", "bill", "sequence", "stage", "day")
