@@ -24,12 +24,11 @@ def _landed(spark: SparkSession, rows: DataFrame, label: str) -> str:
 
 @query("SELECT c_custkey AS id, c_name AS name FROM customer")
 def json_page_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed pages of a JSON service, each with a list of objects."""
-    one = F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    pages = table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 50).alias("page")).agg(F.collect_list(one).alias("objects"))
-    folder = _landed(spark, pages.select(F.to_json(F.struct("objects", F.lit(None).cast("string").alias("next_url"))).alias("value")), "pages")
-    rows = spark.read.schema("objects array<struct<id:bigint,name:string>>").json(folder)
-    return rows.select(F.explode("objects").alias("item")).select("item.*")
+    """Landed pages of a JSON service, a file each with a list of objects."""
+    one, folder = F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), shared_folder(spark, "pages")
+    pages = table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 500).alias("page")).agg(F.collect_list(one).alias("objects"))
+    pages.select(F.to_json(F.struct("objects", F.lit(None).cast("string").alias("next_url"))).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    return tables.json_pages(spark, folder)
 
 
 @query("SELECT c_custkey AS id, unnest([c_name, c_mktsegment]) AS url FROM customer")

@@ -215,8 +215,10 @@ _STOPS = ", ".join(f"'{w}'" for w in fulltext.STOP_WORDS["english"])
 
 @query(f"""WITH d AS (SELECT doc_id, list_filter({_WORDS}, lambda x: NOT list_contains([{_STOPS}], x)) AS w FROM documents) SELECT doc_id, len(w)::INTEGER AS terms, len(list_distinct(w))::INTEGER AS distinct_terms FROM d""")
 def stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The English analyser's terms, as many as the words that aren't stop words; and these words, once each."""
     words = F.filter(fulltext.lexemes("text"), lambda w: ~w.isin(*fulltext.STOP_WORDS["english"]))
-    return table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("terms"), F.size(F.array_distinct("w")).alias("distinct_terms"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"), fulltext.analysed("text", "english").alias("t"))
+    return docs.select("doc_id", F.size("t").alias("terms"), F.size(F.array_distinct("w")).alias("distinct_terms"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents)

@@ -178,12 +178,12 @@ def unique_candidate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.unique_candidate(joined, ["fact"], "holder")
 
 
-@query(f"""WITH t AS (SELECT * FROM {_TERMS_SQL}) SELECT count(*) AS pairs, count(DISTINCT a.term) AS terms FROM t a JOIN t b ON a.place = b.place AND a.term < b.term AND a.t_start <= coalesce(b.t_end, TIMESTAMP '9999-12-31') AND b.t_start <= coalesce(a.t_end, TIMESTAMP '9999-12-31')""")
+@query(f"""WITH t AS (SELECT * FROM {_TERMS_SQL}) SELECT a.term, count(*) AS pairs, min(b.term) AS first, max(b.term) AS last, sum(b.term)::BIGINT AS total FROM t a JOIN t b ON a.place = b.place AND a.term < b.term AND a.t_start <= coalesce(b.t_end, TIMESTAMP '9999-12-31') AND b.t_start <= coalesce(a.t_end, TIMESTAMP '9999-12-31') GROUP BY a.term""")
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _terms(spark, sf_dir)
     other = t.select("place", F.col("term").alias("term2"), F.col("t_start").alias("u_start"), F.col("t_end").alias("u_end"))
     pairs = intervals.overlapping(t, other, ["place"], ("t_start", "t_end"), ("u_start", "u_end")).where("term < term2")
-    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("term").alias("terms"))
+    return pairs.groupBy("term").agg(F.count(F.lit(1)).alias("pairs"), F.min("term2").alias("first"), F.max("term2").alias("last"), F.sum("term2").alias("total"))
 
 
 @query("""WITH e AS (SELECT p_partkey AS k, p_name AS full_name, split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', -1) AS short, split_part(p_name, ' ', -1) AS last FROM part),
