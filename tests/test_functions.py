@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import random
 import re
 import unicodedata
 
@@ -203,6 +204,41 @@ def test_site_score(spark):
     assert s("something.example.org", "", "") == 1
 
 
+def test_scores_of_many_facts(spark):
+    """Every rule of both scores, and their sums, by a plain reading on random facts."""
+    rnd = random.Random(7)
+    words = lambda t: {w for w in re.sub("[^a-z0-9]+", " ", (t or "").lower()).split() if len(w) >= 2}
+    rows = []
+    for k in range(300):
+        pick = lambda *x: rnd.choice(x)
+        rows.append((k, pick("Ann Tall", "Bo", ""), pick("ABC", "Long Party", None), pick("York Hill", "", None), rnd.random() < 0.3, rnd.random() < 0.3, pick("Ann Tall", "Ann of York", "Tall parody", "", None, "Bo abc"), pick("member of abc", "parody", "york", None, "")))
+
+    def brute(name, party, place, own, other, title, bio):
+        text = f"{title or ''} {bio or ''}".lower()
+        overlap = len(words(name) & words(title)) / len(words(name)) if words(name) else 0.0
+        if not title or not overlap:
+            return 0.0
+        political = "member of" in text
+        total = 0.6 * overlap + 0.2 * political + 0.15 * any(w in text for w in words(place)) + 0.1 * own + 0.05 * any(w and len(w) <= 4 and w in text for w in (party or "").lower().split()) - 0.4 * other - 0.3 * ("parody" in text)
+        return max(0.0, min(1.0, total if political else min(total, 0.55)))
+
+    frame = spark.createDataFrame(rows, "k int, name string, party string, place string, own boolean, other boolean, title string, bio string")
+    score = strings.profile_score(*[F.col(c) for c in ("name", "party", "place", "own", "other", "title", "bio")], ["member of"], ["parody"])
+    got = {r["k"]: round(r["s"], 6) for r in frame.select("k", score.alias("s")).collect()}
+    assert got == {r[0]: round(brute(*r[1:]), 6) for r in rows} and len(set(got.values())) > 12
+    sites = [(k, rnd.choice(["annatall.ca", "www.anna-tall.example.org", "oakville.org", "x.co", "a.b.c.d"]), rnd.choice(["donate now", "", None]), rnd.choice(["her web site", 'rel="external"', "campaign", "websites", ""])) for k in range(200)]
+
+    def brute_site(host, link, near):
+        parts = [p for p in re.split(r"[.\-]", host.lower()) if len(p) >= 4]
+        hits = lambda own: sum(any(w in p or p in w for w in own if len(w) >= 4) for p in parts)
+        label, n = bool(re.search(r"\b(web ?site|web|campaign|personal)\b", near)), hits(["anna", "tall"])
+        return 10 * n + 4 * label + 2 * ('rel="external"' in near) + 6 * (hits(["oakville"]) > 0 and label and n == 0) + (host.count(".") <= 2 and 4 <= len(host.split(".")[0]) <= 20) - 4 * ("donate" in (link or ""))
+
+    frame = spark.createDataFrame(sites, "k int, host string, link string, near string")
+    score = strings.site_score(F.col("host"), F.col("link"), F.col("near"), F.array(F.lit("anna"), F.lit("tall")), F.array(F.lit("oakville")), ["donate"])
+    assert {r["k"]: r["s"] for r in frame.select("k", score.alias("s")).collect()} == {r[0]: brute_site(*r[1:]) for r in sites}
+
+
 def test_canonical_terms(spark):
     t = lambda x: value(spark, strings.canonical_term(F.lit(x), {"1st reading": "First Reading"}))
     assert [t(" 1ST reading "), t("royal assent"), t(None)] == ["First Reading", "Royal Assent", None]
