@@ -41,7 +41,7 @@ from siltstone.llm.scratch import Scratch
 SLICE_BYTES = 2 << 20
 #: Super-k-mers hold about three times the text. A task gets about this much of
 #: them, in about so many buckets, of which it has one in memory at a time.
-TASK_BYTES, TASK_BUCKETS = 32 << 20, 6
+TASK_BYTES, TASK_BUCKETS = 32 << 20, 8
 MINIMISER_WORDS = 3
 #: A three-word run, or a window, is hot if it occurs about this often (as super-k-mers, an
 #: average bucket), as told by one in so many rows; or, in a corpus of so many words that this
