@@ -90,16 +90,15 @@ class Words(NamedTuple):
 def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = IS_SPACE) -> Words:
     """Split rows at white space, or at the bytes that ``apart`` marks; a word never crosses rows."""
     inside = ~apart[data]
-    first = np.zeros(len(data) + 1, dtype=bool)
-    first[offsets[:-1]] = True
-    before = np.empty(len(data), dtype=bool)
-    before[:1], before[1:] = False, inside[:-1]
-    starts = np.flatnonzero(inside & (~before | first[:-1]))
-    kept = np.cumsum(inside)
+    turn = np.zeros(len(data) + 1, dtype=bool)  # where a row begins, or the one before it has ended
+    turn[offsets] = True
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | turn[1:-1]
+    ends[:-1] &= ~inside[1:] | turn[1:-1]
+    starts = np.flatnonzero(begins)
     bounds = np.zeros(len(starts) + 1, np.int64)
-    if len(starts):
-        bounds[:-1] = kept[starts] - 1
-        bounds[-1] = kept[-1]
+    np.cumsum(np.flatnonzero(ends) - starts + 1, out=bounds[1:])
+    del begins, ends, turn
     row = np.searchsorted(offsets, starts, "right") - 1
     return Words(data[inside], bounds, np.searchsorted(starts, offsets).astype(np.int64), row)
 

@@ -122,6 +122,22 @@ part AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(arra
 SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
        sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
 FROM part""",
+    # CRC-32 by half bytes: the list is what it becomes by each value of its low half byte (0xEDB88320).
+    "op12_importance_resampling": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+f AS (SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS x FROM d),
+g AS (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS x FROM b),
+u AS (SELECT x, hex(x) AS h FROM (SELECT x FROM f UNION SELECT x FROM g)),
+n AS (SELECT x, list_transform(range(0, len(h)), lambda i: strpos('0123456789ABCDEF', h[i + 2 - 2 * (i % 2)]) - 1) AS digits FROM u),
+k AS (SELECT x, xor(list_reduce(list_prepend(4294967295::BIGINT, digits), lambda c, q: xor([0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][(xor(c, q) & 15) + 1], c >> 4)), 4294967295::BIGINT) % 10000 AS bucket FROM n),
+s AS (SELECT bucket, count(*) AS s FROM f JOIN k USING (x) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM g JOIN k USING (x) GROUP BY 1),
+z AS (SELECT (SELECT count(*) FROM f) AS total, (SELECT count(*) FROM g) AS aimed),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (total + 10000) / ((s + 1)::DOUBLE * (aimed + 10000)))) AS gain FROM z, s LEFT JOIN t USING (bucket)),
+v AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM f JOIN k USING (x) JOIN gain USING (bucket) GROUP BY 1),
+r AS (SELECT d.doc_id, len(w) AS n, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || d.doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN v USING (doc_id)),
+o AS (SELECT *, CASE WHEN n >= 20 THEN row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id) END AS place FROM r)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN place <= 5 * (SELECT count(*) FROM r WHERE n >= 20) // 100 THEN place END AS rank FROM o""",
     "op13_warc_round_trip": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 sized AS (SELECT page_id, strlen(h) AS n, sha1(h) AS digest, max(page_id) OVER (PARTITION BY h) AS top FROM p)
