@@ -8,6 +8,8 @@ page that has none of these is for ``chunks.stage_events``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +29,9 @@ LEGEND = ("first reading", "second reading", "committee", "third reading", "roya
 CODES = {"r1r": "first_reading", "r2r": "second_reading", "rcw": "committee", "r3r": "third_reading", "rra": "royal_assent", "rcf": "comes_into_force"}
 #: The stages of a printed table's columns, in order.
 COLUMNS = ("first_reading", "second_reading", "committee", "third_reading", "royal_assent", "in_effect")
+#: The lines of a printed page's head, and how others of them begin; months in brackets begin some too.
+HEAD_LINES = ("", "bill", "no.", "1st", "2nd", "committee/", "stage", "amend.", "reading", "concurrence", "and 3rd", "royal", "assent", "in", "effect", "reported", "government bills", "private bills", "private members bills", "private members' bills")
+HEAD_BEGINNINGS = ("bill status 2", "legislative assembly of ", "status of bills", "first session", "second session", "third session", "fourth session", "fifth session", "title sponsor", "amended report")
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 _DATE = r"(?i)\b(" + "|".join(_MONTHS) + r")[a-z]*\.?\s+(\d{1,2})[.,]\s*(\d{4})\b"
 
@@ -58,9 +63,9 @@ def page_stages(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     Rows of another label are none, nor are a legend's, which have no date; other
     labels without a date are events of no day. A stage of one day counts once.
     """
-    row = r"(?is)<tr[^>]*>\s*<td[^>]*>\s*([^<]+?)\s*</td>\s*<td[^>]*>(.*?)</td>\s*</tr>"
-    rows = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(row), F.lit(0))).alias("at", "r"))
-    rows = rows.select(key, "at", _bare(F.regexp_extract("r", row, 1)).alias("label"), _bare(F.regexp_extract("r", row, 2)).alias("body"))
+    rows = pages.select(key, F.posexplode(F.split(html, "(?i)<tr")).alias("at", "r"))
+    rows = rows.select(key, "at", F.regexp_extract_all("r", F.lit("(?is)<td[^>]*>(.*?)</td"), F.lit(1)).alias("cells")).where(F.size("cells") == 2)
+    rows = rows.select(key, "at", _bare(F.col("cells")[0]).alias("label"), _bare(F.col("cells")[1]).alias("body"))
     rows = rows.withColumns({"stage": _known(F.col("label"), LABELS), "day": _day_of(F.col("body")), "status": F.lit(None).cast("string")})
     return _numbered(rows.where(F.col("stage").isNotNull() & (F.col("day").isNotNull() | ~F.lower("label").isin(*LEGEND))), [key])
 
@@ -71,12 +76,12 @@ def dashboard_stages(pages: DataFrame, key: str, html: str = "html") -> DataFram
     A stage of a code that isn't known is ``other``. Blocks without a code, and what
     stands before the first bill, are none.
     """
-    blocks = pages.select(key, F.explode(F.slice(F.split(html, r'(?i)<a\s+id="g(?=\d+")'), 2, 1 << 20)).alias("b"))
-    entry = r'(?is)<div\s+class="b_entry\s+b_\w+"[^>]*>(.*?)</div>\s*</div>'
-    rows = blocks.select(key, F.regexp_extract("b", r"^(\d+)", 1).alias("bill"), F.posexplode(F.regexp_extract_all("b", F.lit(entry), F.lit(0))).alias("at", "e"))
-    head = r'(?is)<span\s+title="([^"]+)"\s+class="reading\s+(r\w+)'
-    part = lambda name: _bare(F.regexp_extract("e", rf'(?is)<div\s+class="{name}"[^>]*>(.*?)</div>', 1))
-    rows = rows.where(F.col("e").rlike(head)).withColumns({"label": decoded(F.regexp_extract("e", head, 1)), "stage": F.coalesce(_known(F.regexp_extract("e", head, 2), CODES), F.lit("other")), "day": _day_of(part("b_date")), "status": F.nullif(part("b_status"), F.lit(""))})
+    blocks = pages.select(key, F.explode(F.slice(F.split(html, '(?i)id="g(?=[0-9])'), 2, 1 << 20)).alias("b"))
+    entries = blocks.select(key, F.substring_index("b", '"', 1).alias("bill"), F.posexplode(F.split("b", '(?i)class="b_entry')).alias("at", "e")).where("at > 0")
+    value = lambda before, what: F.regexp_extract("e", f"(?is){before}{what}", 1)
+    inside = lambda name: _bare(value(f'class="{name}"[^>]*>', "(.*?)</div"))
+    rows = entries.withColumns({"code": value('class="reading ', r"(\w+)"), "label": decoded(value('title="', '([^"]*)'))}).where("code <> ''")
+    rows = rows.withColumns({"stage": F.coalesce(_known(F.col("code"), CODES), F.lit("other")), "day": _day_of(inside("b_date")), "status": F.nullif(inside("b_status"), F.lit(""))})
     return _numbered(rows, [key, "bill"])
 
 
@@ -87,8 +92,9 @@ def printed_stages(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     columns, and a date that stands there twice in a row is one. Page heads and
     titles between are left out. A formal bill has its first stage only.
     """
-    noise = r"(?im)^(?:\s*|Bill Status \d{4}-\d{2}.*|LEGISLATIVE ASSEMBLY OF .*|STATUS OF BILLS.*|(?:FIRST|SECOND|THIRD|FOURTH|FIFTH) SESSION.*|\((?:" + "|".join(_MONTHS) + r")[a-z]* .*|Bill|No\.|Title Sponsor.*|1st|2nd|Committee/|Amended Report.*|Stage|Amend\.|Reading|Concurrence|and 3rd|Royal|Assent|In|Effect|Reported|GOVERNMENT BILLS|PRIVATE (?:MEMBERS'? )?BILLS)\s*$\n?"
-    clean = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\r", ""), noise, "")
+    plain = lambda line: F.lower(F.trim(line))
+    head = lambda line: plain(line).isin(*HEAD_LINES) | reduce(lambda a, b: a | b, [F.startswith(plain(line), F.lit(x)) for x in (*HEAD_BEGINNINGS, *(f"({m}" for m in _MONTHS))])
+    clean = F.array_join(F.filter(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda line: ~head(line)), "\n")
     blocks = texts.select(key, F.explode(F.split(clean, r"(?m)^(?=\d{1,4}\s+[A-Z])")).alias("b")).where(F.col("b").rlike(r"^\d{1,4}\s+[A-Z]"))
     found = F.filter(F.transform(F.regexp_extract_all("b", F.lit(_DATE), F.lit(0)), _day_of), lambda d: d.isNotNull())
     once = F.filter(found, lambda d, i: (i == 0) | (d != F.get(found, i - 1)))

@@ -11,7 +11,7 @@ change. Dialects so are data; there is one parser.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
 
@@ -137,6 +137,7 @@ class Rule(NamedTuple):
     link: str = ""
     lead: str = ""
     text: str = ""
+    named: Callable[[str], bool] | None = None  # whether the name found is one
 
     def match(self, p: Paragraph) -> dict[str, str] | None:
         if (self.cls and p.cls not in self.cls) or (self.tag and p.tag not in self.tag) or (self.centred is not None and p.centred != self.centred) or (self.link and p.link != self.link):
@@ -148,7 +149,7 @@ class Rule(NamedTuple):
                 if not m:
                     return None
                 found |= {k: v or "" for k, v in m.groupdict().items()}
-        return found
+        return found if self.named is None or self.named(found["name"]) else None
 
 
 # States: before the proceedings, with no turn open, with one, awaiting a heading's words, and after the end.
@@ -183,13 +184,28 @@ class Dialect(NamedTuple):
 
 _CLOCK = r"(?P<time>\d{1,2}[:.]\d{2}(?:\s*[ap]\.?\s?m\.?)?)"
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
-_HONORIFIC = r"(?:Mr\.|Mrs\.|Ms\.?|Miss|Dr\.|Hon\.|Madam|Member|MLA)"
-_NAME = r"[\wÀ-ɏ'’.\-]+"
 _LABEL = r"(?P<name>[^:]{1,160}?)\s*:\s*"
-#: The labels of the chair, of officers and of many at once in printed transcripts.
-_OFFICERS = r"The\s+(?:(?:Acting|Deputy|Assistant\s+Deputy|Vice)[-\s]+)?(?:Speaker|Chair(?:man|person|woman)?|Clerk(?:\s+Assistant)?|Sergeant[-\s]at[-\s]Arms)|(?:Mr\.|Madame?)\s+(?:Deputy\s+|Acting\s+)?(?:Speaker|Chair(?:man|person|woman)?)"
-_MANY = r"(?:Some\s+)?Hon\.\s+Members|Some\s+(?:Honourable\s+)?Members|An\s+Hon(?:ourable|\.)\s+Member"
-_PRINTED_LABEL = rf"(?i)^(?P<name>{_OFFICERS}|{_MANY}|{_HONORIFIC}\s+{_NAME}(?:\s+{_NAME}){{0,4}}(?:,\s[^:]{{0,200}})?)\s?:\s*(?P<body>.*)$"
+_ANY_LABEL = r"^(?P<name>[^:]{1,240}?)\s?:\s*(?P<body>.*)$"
+#: Who is named by an office, what may stand before it, and the labels of many at once.
+OFFICES = ("speaker", "chair", "chairman", "chairperson", "chairwoman", "clerk", "clerk assistant", "sergeant at arms")
+RANKS = ("", "acting ", "deputy ", "assistant deputy ", "vice ")
+ADDRESSES = ("the", "mr.", "madam", "madame")
+MANY = ("hon. members", "some hon. members", "some members", "some honourable members", "an hon. member", "an honourable member")
+#: What a person's label begins with.
+HONORIFICS = ("mr.", "mrs.", "ms", "ms.", "miss", "dr.", "hon.", "madam", "member", "mla")
+_OFFICIAL = {f"{a} {r}{o}" for a in ADDRESSES for r in RANKS for o in OFFICES} | set(MANY)
+
+
+def printed_label(name: str) -> bool:
+    """Whether a print's words before a colon name a speaker: an office, many, or an honorific and one to five words.
+
+    A person's office may follow behind a comma.
+    """
+    words = name.lower().replace("-", " ").split()
+    if " ".join(words) in _OFFICIAL:
+        return True
+    own = name.partition(",")[0].split()
+    return 2 <= len(own) <= 6 and own[0].lower() in HONORIFICS and all(w[:1].isalpha() and not set(w) & set("()[];!?\"") for w in own[1:])
 
 #: The dialects, in the order in which a page is tried.
 DIALECTS: dict[str, Dialect] = {
@@ -226,15 +242,15 @@ DIALECTS: dict[str, Dialect] = {
             Rule("note", text=r"^\d{3,5}$"),
             Rule("note", text=r"(?i)^[A-Z]\w+ Hansard$"),
             Rule("note", text=rf"^(?:{_MONTHS})\s+\d{{1,2}},\s+\d{{4}}$"),
-            Rule("chair", text=r"(?i)^\[[^\]]*in\s+the\s+chair\]$"),
-            Rule("note", text=r"^\[[^\]]+\]$"),
+            Rule("chair", text=r"(?P<name>\[.*)$", named=lambda t: t.lower().endswith(" in the chair]")),
+            Rule("note", text=r"(?P<name>\[.*)$", named=lambda t: t.find("]") == len(t) - 1),
             Rule("announced", text=r"(?i)^head:$"),
             Rule("heading", text=r"(?i)^head:\s*(?P<section>.+)$"),
-            Rule("begins", text=_PRINTED_LABEL),
+            Rule("begins", text=_ANY_LABEL, named=printed_label),
         ),
         start=BEFORE,
         printed=True,
-        mark=r"(?im)^\s*head:|^\s*\[[^\]\n]*in the chair\]",
+        mark=r"(?im)^\s*head:|in the chair\]\s*$",
         transitions={(AWAITING, "note"): (AWAITING, ""), (AWAITING, "blank"): (AWAITING, "")},
     ),
     "two languages": Dialect(
@@ -244,8 +260,8 @@ DIALECTS: dict[str, Dialect] = {
             Rule("note", text=r"^\d{1,5}$"),
             Rule("time", text=rf"^{_CLOCK}$"),
             Rule("note", text=rf"(?i)^(?:legislative assembly|province of \w[\w ]*|assemblée législative|province d\w+ [\w\- ]+|(?:{_MONTHS})\s+\d{{1,2}}(?:,\s+\d{{4}})?)$"),
-            Rule("note", text=r"^[(\[][^\])]+[\])]$"),
-            Rule("begins", text=_PRINTED_LABEL),
+            Rule("note", text=r"(?P<name>[(\[].*)$", named=lambda t: t[-1] in "])"),
+            Rule("begins", text=_ANY_LABEL, named=printed_label),
         ),
         printed=True,
         mark=r"(?im)^(?:Mr\.|Madame?) Speaker:",
