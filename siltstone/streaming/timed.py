@@ -14,15 +14,14 @@ import json
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
 from siltstone.sources.shared import file_system
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PROVIDER, _EMPTY_BATCHES = "spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.noDataMicroBatches.enabled"
 #: The state store that keeps timers and lists; it spills to local disk and is saved with the checkpoint.
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: A time after all others, as far as times in nanoseconds go.
@@ -44,25 +43,23 @@ class _Changes(StatefulProcessor):
         """A timer for when the watermark has passed a time, in whole milliseconds."""
         self.handle.registerTimer(-(-us // 1000))
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        came = [r for batch in rows for r in batch[["us", "tie", "value"]].astype(object).itertuples(index=False, name=None)]
-        came = [(int(us), tie, None if pd.isna(value) else value) for us, tie, value in came if us != _CLOCK]
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        came = [(r["us"], r["tie"], r["value"]) for r in rows if r["us"] != _CLOCK]
         if came:
             self.waiting.appendList(came)
             self._wake(min(r[0] for r in came))
         return iter(())
 
-    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(self.waiting.get(), key=lambda r: (r[0], r[1])) if self.waiting.exists() else []
+        held = sorted(self.waiting.get(), key=lambda r: (r[0], r[1]))
         ripe, rest = [r for r in held if r[0] <= passed], [r for r in held if r[0] > passed]
-        last = tuple(self.last.get()) if self.last.exists() else None
-        found = []
+        last = self.last.get()
         for row in ripe:
             if last is not None and self.forget_ms is not None and row[0] - last[0] >= self.forget_ms * 1000:
                 last = None  # whether or not a timer has cleared it yet
             if last is not None and None not in (last[2], row[2]) and last[2] != row[2]:
-                found.append((None if pd.isna(key[0]) else key[0], row[0], row[1], last[2], row[2]))
+                yield Row(key=key[0], us=row[0], tie=row[1], old=last[2], new=row[2])
             last = tuple(row)
         if ripe:
             self.last.update(last)
@@ -74,8 +71,6 @@ class _Changes(StatefulProcessor):
                 self.last.clear()
             else:
                 self._wake(last[0] + self.forget_ms * 1000)
-        if found:
-            yield pd.DataFrame(found, columns=["key", "us", "tie", "old", "new"])
 
     def close(self) -> None:
         pass
@@ -104,21 +99,25 @@ class StateChanges:
         fs.mkdirs(where)
         return spark.readStream.schema(rows.schema).parquet(path)
 
-    def _run(self, stream: DataFrame, checkpoint: str) -> None:
+    def _run(self, stream: DataFrame, checkpoint: str, fire: bool = True) -> None:
+        """Take all that is there; with ``fire`` the timers that the last batch's rows set off are run too."""
         spark, kinds = stream.sparkSession, dict(stream.dtypes)
         at = F.col(self.at).cast("timestamp")
         rows = stream.where(at.isNotNull()).select(F.col(self.key).alias("key"), at.alias("at"), F.unix_micros(at).alias("us"), F.col(self.tie).alias("tie"), F.col(self.value).cast("string").alias("value"))
         rows = rows.unionByName(self._clock(spark, rows)).withWatermark("at", self.late)
         forget = None if self.forget is None else int(spark.range(1).select(F.unix_millis(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {self.forget}"))).first()[0])
-        changes = rows.groupBy("key").transformWithStateInPandas(_Changes(kinds[self.tie], forget), f"key {kinds[self.key]}, us bigint, tie {kinds[self.tie]}, old string, new string", "append", "EventTime")
+        changes = rows.groupBy("key").transformWithState(_Changes(kinds[self.tie], forget), f"key {kinds[self.key]}, us bigint, tie {kinds[self.tie]}, old string, new string", "append", "EventTime")
         found = changes.select(F.col("key").alias(self.key), F.timestamp_micros("us").cast(kinds[self.at]).alias(self.at), F.col("tie").alias(self.tie), "old", "new")
-        before = spark.conf.get(_PROVIDER, None)
-        spark.conf.set(_PROVIDER, _ROCKS)
+        wanted = {_PROVIDER: _ROCKS, _EMPTY_BATCHES: str(fire).lower()}
+        before = {k: spark.conf.get(k, None) for k in wanted}
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         try:
             running = found.writeStream.format("parquet").option("path", f"{self.folder}/changes").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
             running.awaitTermination()
         finally:
-            spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
         self.progress = [json.loads(p.json) for p in running.recentProgress]
         self.dropped += sum(op["numRowsDroppedByWatermark"] for p in self.progress for op in p["stateOperators"])
 
@@ -131,7 +130,7 @@ class StateChanges:
         spark, kinds = stream.sparkSession, dict(stream.dtypes)
         if complete:
             end = spark.range(1).select(F.lit(None).cast(kinds[self.key]).alias("key"), F.lit(_END).cast("timestamp").alias("at"), F.lit(_CLOCK).cast("long").alias("us"), F.lit(None).cast(kinds[self.tie]).alias("tie"), F.lit(None).cast("string").alias("value"))
-            self._run(stream, checkpoint)
+            self._run(stream, checkpoint, fire=False)  # the end of time fires them all
             end.coalesce(1).write.mode("append").parquet(f"{self.folder}/clock")
         self._run(stream, checkpoint)
         schema = StructType.fromDDL(f"`{self.key}` {kinds[self.key]}, `{self.at}` {kinds[self.at]}, `{self.tie}` {kinds[self.tie]}, old string, new string")
