@@ -70,13 +70,22 @@ def address_keys(address: Column, bits: list[int]) -> Column:
 
 
 def networks_of(ranges: DataFrame, first: str = "first", last: str = "last", version: int = 4, to: str = "network") -> DataFrame:
-    """Ranges of address numbers as networks: a row for each of the few that a range is made of, as column ``to``."""
-    kind = ipaddress.IPv4Address if version == 4 else ipaddress.IPv6Address
+    """Ranges of address numbers as networks: a row for each of the few that a range is made of, as column ``to``.
+
+    What lies beyond the version's addresses holds none: a range that leaves them
+    counts as far as they go, one outside of them has no row.
+    """
+    kind, end = (ipaddress.IPv4Address, (1 << 32) - 1) if version == 4 else (ipaddress.IPv6Address, (1 << 128) - 1)
+
+    def parts(first: str | None, last: str | None) -> list[str] | None:
+        if first is None or last is None:
+            return None
+        low, high = max(int(first), 0), min(int(last), end)
+        return [str(n) for n in ipaddress.summarize_address_range(kind(low), kind(high))] if low <= high else None
 
     @F.arrow_udf("array<string>")
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        pairs = zip(a.to_pylist(), b.to_pylist(), strict=True)
-        return pa.array([None if x is None or y is None or int(y) < int(x) else [str(n) for n in ipaddress.summarize_address_range(kind(int(x)), kind(int(y)))] for x, y in pairs], pa.list_(pa.string()))
+        return pa.array([parts(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.list_(pa.string()))
 
     return ranges.withColumn(to, F.explode(run(F.col(first).cast("string"), F.col(last).cast("string"))))
 

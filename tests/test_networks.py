@@ -145,3 +145,11 @@ def test_files_of_version_four(spark, tmp_path):
     path = tmp_path / "nets.db"
     path.write_bytes(file_of(facts, 24, version=4))
     assert sorted((r["network"], json.loads(r["facts"])) for r in networks.network_file(spark, f"file://{path}").collect()) == sorted(facts.items())
+
+
+def test_ranges_beyond_all_addresses(spark):
+    """A range that leaves version 4's addresses counts as far as they go; one outside holds none."""
+    ranges = spark.createDataFrame([(2**32 - 2, 2**32 + 9, "end"), (2**33, 2**33 + 9, "outside"), (-7, 1, "start"), (-9, -8, "before"), (-5, 2**40, "all")], "first long, last long, name string")
+    rows = spark.createDataFrame([("255.255.255.255",), ("0.0.0.1",), ("0.0.0.2",)], "ip string")
+    found = {r["ip"]: r["name"] for r in tables.geo_lookup(rows, ranges, "ip").collect()}
+    assert found == {"255.255.255.255": "end", "0.0.0.1": "start", "0.0.0.2": "all"}
