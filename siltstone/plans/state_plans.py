@@ -174,8 +174,7 @@ SELECT fact, min(holder) AS holder FROM f JOIN t ON t.place = f.place AND d >= t
 def unique_candidate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     facts = facts.select(F.col("o_orderkey").alias("fact"), F.col("c_nationkey").alias("place"), F.col("o_orderdate").alias("d"))
-    joined = intervals.interval_join(facts, _terms(spark, sf_dir), "d", "t_start", "t_end", ["place"], bin_days=31)
-    return intervals.unique_candidate(joined, ["fact"], "holder")
+    return intervals.sole_holder_at(facts, _terms(spark, sf_dir), "d", "t_start", "t_end", ["place"], "fact", "holder", bin_days=31)
 
 
 @query(f"""WITH t AS (SELECT * FROM {_TERMS_SQL}) SELECT a.term, count(*) AS pairs, min(b.term) AS first, max(b.term) AS last, sum(b.term)::BIGINT AS total FROM t a JOIN t b ON a.place = b.place AND a.term < b.term AND a.t_start <= coalesce(b.t_end, TIMESTAMP '9999-12-31') AND b.t_start <= coalesce(a.t_end, TIMESTAMP '9999-12-31') GROUP BY a.term""")
