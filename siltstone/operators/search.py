@@ -69,13 +69,37 @@ def held(pool: DataFrame, most: int = 1000) -> DataFrame:
 QUERY_BYTES, BLOCK_QUERIES, BLOCK_ROWS = 32 << 20, 2_000, 50_000
 
 
+#: Numbers of a matrix product that are held at once.
+PRODUCT = 1 << 20
+
+
+def in_blocks(rows: int, width: int, most: int = PRODUCT) -> Iterator[slice]:
+    """Slices of so many rows that a matrix of them and ``width`` columns has about ``most`` numbers."""
+    step = max(1, most // max(1, width))
+    return (slice(k, k + step) for k in range(0, rows, step))
+
+
 def _best(names: pa.Array, q: np.ndarray, keys: pa.Array, units: np.ndarray, k: int) -> list[pa.Array]:
-    """The best ``k`` rows of each query, ties by key: query names, row keys, similarities."""
-    sims = np.round(units @ q.T, DIGITS) if len(q) and len(units) else np.zeros((len(units), len(q)))
+    """The best ``k`` rows of each query, ties by key: query names, row keys, similarities; none without a similarity.
+
+    Queries come in blocks, so what is held doesn't follow their number; of a
+    query's similarities those as good as the ``k``-th are sorted, not all.
+    """
     place = np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable")
-    order = place[np.argsort(-sims[place], axis=0, kind="stable")[:k]]
-    at, of = order.T.ravel(), np.repeat(np.arange(len(q)), len(order))
-    return [names.take(pa.array(of)), keys.take(pa.array(at)), pa.array(sims[at, of])]
+    placed, n = units[place], len(units)
+    of, at, sims = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for some in in_blocks(len(q) if n else 0, n):
+        own = np.round(q[some] @ placed.T, DIGITS)
+        own[np.isnan(own)] = -np.inf
+        least = np.partition(own, n - k, axis=1)[:, n - k] if n > k else np.full(len(own), -np.inf)
+        row, col = np.nonzero((own >= least[:, None]) & (own > -np.inf))
+        order = np.lexsort((col, -own[row, col], row))
+        row, col = row[order], col[order]
+        first = np.searchsorted(row, row)  # where the query's rows begin
+        kept = np.arange(len(row)) - first < k
+        row, col = row[kept], col[kept]
+        of, at, sims = [*of, row + some.start], [*at, place[col]], [*sims, own[row, col]]
+    return [names.take(pa.array(np.concatenate(of))), keys.take(pa.array(np.concatenate(at))), pa.array(np.concatenate(sims))]
 
 
 def nearest_of_each(rows: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, vector: str = "embedding", query_bytes: int = QUERY_BYTES, block_queries: int = BLOCK_QUERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from siltstone.operators.latest import first_by
-from siltstone.operators.search import DIGITS, _best, _matrix, _plain, nearest, nearest_of_each, similarity_to
+from siltstone.operators.search import DIGITS, _best, _matrix, _plain, in_blocks, nearest, nearest_of_each, similarity_to
 from siltstone.sources.shared import versions
 
 #: The training sample has so many numbers at most, and there are so many cells at most.
@@ -40,7 +40,7 @@ def trained(units: np.ndarray, cells: int, rounds: int = ROUNDS, seed: int = 0)
     units = np.unique(units, axis=0)
     centroids = units[rnd.permutation(len(units))[:cells]]
     for _ in range(rounds):
-        near = (units @ centroids.T).argmax(1)
+        near = np.concatenate([(units[some] @ centroids.T).argmax(1) for some in in_blocks(len(units), len(centroids))])
         total = np.zeros_like(centroids)
         np.add.at(total, near, units)
         length = np.sqrt((total * total).sum(1, keepdims=True))
@@ -114,12 +114,12 @@ class VectorIndex:
             for batch in batches:
                 units, have = _matrix(batch.column(at))
                 cell, near = np.full(batch.num_rows, NOWHERE, np.int32), np.zeros(batch.num_rows)
-                if len(have) and len(shared.value):
-                    sims = units @ shared.value.T
+                for some in in_blocks(len(have) if len(shared.value) else 0, len(shared.value)):
+                    sims = units[some] @ shared.value.T
                     sure = ~np.isnan(sims).any(1)
                     best = np.where(sure, np.nan_to_num(sims, nan=-2.0).argmax(1), 0)
-                    cell[have] = np.where(sure, best, NOWHERE)
-                    near[have] = np.where(sure, sims[np.arange(len(best)), best], 0.0)
+                    cell[have[some]] = np.where(sure, best, NOWHERE)
+                    near[have[some]] = np.where(sure, sims[np.arange(len(best)), best], 0.0)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(near)], names=[*batch.schema.names, "cell", "near"])
 
         schema = rows.select("*").schema.add("cell", "integer").add("near", "double")
@@ -192,9 +192,11 @@ class VectorIndex:
                 if len(have) and len(shared.value) and units.shape[1] == shared.value.shape[1]:
                     sure = ~np.isnan(units).any(1)
                     units, have = units[sure], have[sure]
-                    best = np.argsort(-(units @ shared.value.T), axis=1, kind="stable")[:, :wanted]
-                    row = np.repeat(have, best.shape[1])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(best.ravel().astype(np.int32))], names=["id", "q", "cell"])
+                    # A query is a row for each of its cells, with its vector.
+                    for some in in_blocks(len(units), len(shared.value) + min(wanted, len(shared.value)) * units.shape[1]):
+                        best = np.argsort(-(units[some] @ shared.value.T), axis=1, kind="stable")[:, :wanted]
+                        row = np.repeat(have[some], best.shape[1])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(best.ravel().astype(np.int32))], names=["id", "q", "cell"])
 
         asked = queries.select(F.col(query_key).alias("id"), "q").mapInArrow(near, f"id {kinds[query_key]}, q {kinds['q']}, cell int")
         facts = self.cells()

@@ -100,3 +100,26 @@ def test_queries_reach_their_recall(spark, data):
     near = [r["vec_id"] for r in catalog.QUERIES["knn_index"](spark, data).collect()]
     true = [r["vec_id"] for r in catalog.QUERIES["knn_topk"](spark, data).collect()]
     assert len(set(near) & set(true)) >= 17 and near[0] == true[0]
+
+
+def test_memory_of_products_is_bounded():
+    """Many queries against many rows: what is held doesn't follow their product, and ties go by key."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from siltstone.operators.search import _best
+
+    rnd = np.random.default_rng(3)
+    units, q = rnd.integers(-2, 3, (6000, 4)).astype(float), rnd.integers(-2, 3, (3000, 4)).astype(float)
+    units[7] = np.nan
+    keys = rnd.permutation(6000)
+    tracemalloc.start()
+    names, found, sims = _best(pa.array(np.arange(3000)), q, pa.array(keys), units, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20  # all products at once are 144 MB, and were sorted besides
+    assert names.to_pylist() == np.repeat(np.arange(3000), 5).tolist()
+    for k in range(0, 3000, 500):
+        want = sorted((-s, key) for s, key in zip((units @ q[k]).tolist(), keys.tolist(), strict=True) if s == s)[:5]
+        assert list(zip((-np.array(sims[5 * k : 5 * k + 5])).tolist(), found[5 * k : 5 * k + 5].to_pylist(), strict=True)) == want
