@@ -29,17 +29,44 @@ from siltstone.sources.shared import versions
 BUCKETS, SECTION_BYTES = 32, 256 << 20
 
 
-def _postings_of(words: pa.ListArray, ids: pa.Array, analyser: str) -> pa.RecordBatch:
-    """``term, doc_id, positions`` of a batch: each distinct word is analysed once."""
+#: A task works on so many words at a time, and remembers the terms of so many.
+SLICE_WORDS, KNOWN_WORDS = 1 << 18, 1 << 16
+
+
+def _slices(words: pa.ListArray, most: int = SLICE_WORDS) -> Iterator[slice]:
+    """A batch's texts in slices of about ``most`` words; a longer text is one by itself."""
+    ends = np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield slice(start, stop)
+        start = stop
+
+
+def _postings_of(words: pa.ListArray, ids: pa.Array, analyser: str, known: dict[str, str] | None = None, by_term: bool = False) -> pa.RecordBatch:
+    """``term, doc_id, positions`` of a batch: each distinct word is analysed once.
+
+    ``known`` keeps terms for later batches. Rows are in the order of the texts, or
+    with ``by_term`` those of a term together, which packs better.
+    """
     lengths = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(lengths)), lengths)
     position = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     coded = words.flatten().dictionary_encode()
-    stem, stop, numbers = STEMMERS[analyser] or str, set(STOP_WORDS[analyser]), {}
-    term_of = np.array([-1 if w in stop else numbers.setdefault(stem(w), len(numbers)) for w in coded.dictionary.to_pylist()] or [-1], np.int64)
+    stem, stop, numbers, known = STEMMERS[analyser], set(STOP_WORDS[analyser]), {}, {} if known is None else known
+    if len(known) > KNOWN_WORDS:
+        known.clear()
+
+    def analysed(word: str) -> str:
+        if word not in known:
+            known[word] = stem(word)
+        return known[word]
+
+    term = analysed if stem else str
+    term_of = np.array([-1 if w in stop else numbers.setdefault(term(w), len(numbers)) for w in coded.dictionary.to_pylist()] or [-1], np.int64)
     term = term_of[coded.indices.to_numpy(zero_copy_only=False)] if len(row) else np.zeros(0, np.int64)
     kept = np.flatnonzero(term >= 0)
-    kept = kept[np.lexsort((term[kept], row[kept]))]  # positions stay in order
+    kept = kept[np.lexsort((row[kept], term[kept]) if by_term else (term[kept], row[kept]))]  # positions stay in order
     row, term, position = row[kept], term[kept], position[kept]
     first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(term, prepend=-1) != 0))
     bounds = pa.array(np.append(first, len(row)), pa.int32())
@@ -85,19 +112,22 @@ class TextIndex:
         lengths.write.mode("overwrite").parquet(f"{self.path}/documents/batch={number}")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[str, str] = {}
             for batch in batches:
-                if batch.num_rows:
-                    yield _postings_of(batch.column(1), batch.column(0), analyser)
+                for some in _slices(batch.column(1)):
+                    part = batch.slice(some.start, some.stop - some.start)
+                    yield _postings_of(part.column(1), part.column(0), analyser, known, by_term=True)
 
         sections = max(1, -(-(size or 0) // section_bytes))
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sections)
+        # A task for each section of a bucket: what it sorts is bounded, so it needn't spill.
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sections * self.buckets)
         bucket = F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(self.buckets)).cast("int")
         made = worded.mapInArrow(run, "term string, doc_id bigint, positions array<int>").withColumn("bucket", bucket)
         made = made.repartition(tasks, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(sections))).sortWithinPartitions("bucket", "term", "doc_id")
         made.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/batch={number}")
         written = spark.read.schema("term string, positions array<int>").parquet(f"{self.path}/postings/batch={number}")
         terms = written.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("positions")).alias("occurrences"))
-        terms.repartitionByRange(max(1, tasks // 4), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/terms/batch={number}")
+        terms.repartitionByRange(max(1, min(tasks, sections * 4)), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/terms/batch={number}")
         old = self._read("documents", "doc_id bigint, length int, batch int")
         again = number > 1 and old.join(lengths.select("doc_id"), "doc_id", "left_semi").limit(1).count() > 0
         commit = [(number, self.analyser, self.buckets, bool(again))]

@@ -172,3 +172,18 @@ def test_headlines_of_a_page(spark, data):
     rows = catalog.QUERIES["search_headlines"](spark, data).collect()
     assert 0 < len(rows) <= 50 and all("<b>" in r["headline"] for r in rows)
     assert all(len(r["headline"].replace(" … ", " ").split()) <= 70 for r in rows)
+
+
+def test_texts_are_worked_on_in_slices():
+    """A batch's words are never all held as numbers at once; terms are remembered, and how many is bounded."""
+    import pyarrow as pa
+
+    from siltstone.operators import postings
+
+    words = pa.array([["a"] * 5, None, [], ["b"] * 9, ["c"] * 20, ["d"], ["e"]], pa.list_(pa.string()))
+    assert [(s.start, s.stop) for s in postings._slices(words, 10)] == [(0, 3), (3, 4), (4, 5), (5, 7)]
+    asked = {}
+    for text in (["things", "ends"], ["things"]):
+        made = postings._postings_of(pa.array([text]), pa.array([1]), "english", asked, by_term=True)
+        assert made.column(0).to_pylist() == [stemmers.STEMMERS["english"](w) for w in text]
+    assert set(asked) == {"things", "ends"}
