@@ -88,3 +88,20 @@ def canonical_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Unordered pairs, once each, without self pairs."""
     out = pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias(a), F.greatest(a, b).alias(b))
     return out.distinct()
+
+
+def pairs_within(rows: DataFrame, groups: list[str], key: str, a: str, b: str) -> DataFrame:
+    """``canonical_pairs`` of the keys that share a group: each is made once, in its order.
+
+    Only two keys that are both in several groups can meet more than once, and only
+    such pairs are told apart; so no task holds all pairs. Null groups and keys pair with none.
+    """
+    own = F.struct(*groups)
+    whole = rows.select(key, own.alias("__g")).where(F.col(key).isNotNull())
+    for g in groups:
+        whole = whole.where(F.col(f"__g.{g}").isNotNull())
+    each = whole.groupBy(key).agg(F.collect_set("__g").alias("__all")).select(key, (F.size("__all") > 1).alias("__several"), F.explode("__all").alias("__g"))
+    side = lambda name, flag: each.select(F.col(key).alias(name), F.col("__several").alias(flag), "__g")
+    met = side(a, "__m").join(side(b, "__n"), "__g").where(F.col(a) < F.col(b))
+    again = F.col("__m") & F.col("__n")
+    return met.where(~again).select(a, b).unionByName(met.where(again).select(a, b).distinct())

@@ -262,11 +262,10 @@ def distinct_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH p AS (SELECT least(a.c_custkey, b.c_custkey) AS a, greatest(a.c_custkey, b.c_custkey) AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND floor(a.c_acctbal / 50) = floor(b.c_acctbal / 50) WHERE a.c_custkey <> b.c_custkey)
 SELECT DISTINCT a, b FROM p""")
 def unordered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siltstone.operators.resolve import canonical_pairs
+    from siltstone.operators.resolve import pairs_within
 
     rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 50).alias("bin"), "c_custkey")
-    other = rows.withColumnRenamed("c_custkey", "b")
-    return canonical_pairs(rows.withColumnRenamed("c_custkey", "a").join(other, ["c_nationkey", "c_mktsegment", "bin"]), "a", "b")
+    return pairs_within(rows, ["c_nationkey", "c_mktsegment", "bin"], "c_custkey", "a", "b")
 
 
 @query("SELECT unnest([1, 2, 3]) AS id, unnest(['a', 'b', 'c']) AS tag")
