@@ -127,7 +127,7 @@ def repaired(rows: DataFrame, geometry: str, to: str = "valid") -> DataFrame:
 
     @F.pandas_udf("string")
     def valid(g: pd.Series) -> pd.Series:
-        return g.map(lambda x: _as_json(_whole(x)))
+        return g.map({x: _as_json(_whole(x)) for x in g.dropna().unique()}).astype(object).where(g.notna(), None)  # equal texts once
 
     return rows.withColumn(to, valid(F.col(geometry)))
 
@@ -236,7 +236,8 @@ def dissolved(rows: DataFrame, keys: list[str], geometry: str, block_points: int
         middle = [(e.min(0) + e.max(0)) / 2 if len(e) else (np.nan, np.nan) for e in every]
         return pd.DataFrame({"valid": [_as_json(w) for w in found], "points": [len(e) for e in every], "x": [float(m[0]) for m in middle], "y": [float(m[1]) for m in middle]})
 
-    each = rows.select(*keys, facts(F.col(geometry)).alias("f")).select(*keys, "f.*").where("points > 0")
+    # Equal geometries of a group cover nothing more: they are parsed and laid over others once.
+    each = rows.select(*keys, F.col(geometry).alias("__g")).distinct().select(*keys, facts(F.col("__g")).alias("f")).select(*keys, "f.*").where("points > 0")
     ends = each.groupBy(*keys).agg(F.sum("points").alias("all"), *[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("low", F.min), ("high", F.max))])
     ends = ends.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in ends.columns if c not in keys])
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] or [F.lit(True)]
