@@ -237,7 +237,9 @@ def dissolved(rows: DataFrame, keys: list[str], geometry: str, block_points: int
         return pd.DataFrame({"valid": [_as_json(w) for w in found], "points": [len(e) for e in every], "x": [float(m[0]) for m in middle], "y": [float(m[1]) for m in middle]})
 
     # Equal geometries of a group cover nothing more: they are parsed and laid over others once.
-    each = rows.select(*keys, F.col(geometry).alias("__g")).distinct().select(*keys, facts(F.col("__g")).alias("f")).select(*keys, "f.*").where("points > 0")
+    # Few bytes are much work here, so the number of tasks is given, not left to their size.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = rows.select(*keys, F.col(geometry).alias("__g")).repartition(parts, *keys, "__g").distinct().select(*keys, facts(F.col("__g")).alias("f")).select(*keys, "f.*").where("points > 0")
     ends = each.groupBy(*keys).agg(F.sum("points").alias("all"), *[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("low", F.min), ("high", F.max))])
     ends = ends.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in ends.columns if c not in keys])
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] or [F.lit(True)]
@@ -259,7 +261,7 @@ def dissolved(rows: DataFrame, keys: list[str], geometry: str, block_points: int
         return run
 
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "outline string"])
-    blocks = placed.groupBy(*keys, "cell", "part").applyInPandas(united("valid"), schema)
+    blocks = placed.repartition(parts, *keys, "cell", "part").groupBy(*keys, "cell", "part").applyInPandas(united("valid"), schema)
     return blocks.groupBy(*keys).applyInPandas(united("outline"), schema)
 
 
