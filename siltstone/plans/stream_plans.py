@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators.intervals import covers
 from siltstone.plans.registry import query
-from siltstone.sources.shared import shared_folder
+from siltstone.sources.shared import Workspace, shared_folder
 from siltstone.sources.tables import table
 from siltstone.streaming import feeds, timed
 from siltstone.streaming.percolator import Percolator
@@ -77,15 +77,18 @@ UNION ALL SELECT 6, doc_id, ts, {_NEAR.format(9)} FROM r WHERE v IS NOT NULL AND
 SELECT search_id, doc_id, d AS distance FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY d NULLS LAST, CASE WHEN d IS NULL THEN ts END DESC, doc_id) AS k FROM m) WHERE k <= 10""")
 def percolated_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches by words, values, times and vectors against all documents, dated by the events of their ids."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").join(table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts"), "doc_id")
-    rows = rows.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     vectors = {r["vec_id"]: r["embedding"] for r in table(spark, sf_dir, "embeddings").where("vec_id IN (3, 5, 7, 9)").collect()}
     asked = [
         (1, {"lang": ["fr"]}, None, None, None, None, None, None), (2, {"lang": ["en", "de"]}, '"of the" -and or nicht', None, None, None, None, None), (3, {"lang": ["en", "fr"]}, None, vectors[3], None, None, None, None),
         (4, None, None, vectors[5], None, None, None, "2024-01-10"), (5, None, "les", vectors[7], None, "2024-01-05", "2024-01-25", None), (6, {}, "", vectors[9], 0.1, None, None, None),
     ]
     saved = spark.createDataFrame(asked, "search_id int, filters map<string,array<string>>, search string, q array<float>, floor double, after string, before string, last_checked_at string")
-    known = Percolator(saved, ["lang"], "ts", "doc_id", "text", "embedding", sample=rows)
+    known = Percolator(saved, ["lang"], "ts", "doc_id", "text", "embedding", sample=documents)
+    # Texts are read before they meet times and vectors, which only take along what is asked for.
+    rows = known.with_terms(documents).drop("text").join(table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts"), "doc_id")
+    rows = rows.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    rows = Workspace(spark, "percolated").keep(rows, "rows")
     marks = known.searches.select("search_id", "last_checked_at")
     return known.matches(rows, marks, F.lit("0001-01-01").cast("timestamp_ntz"), 10).select("search_id", "doc_id", F.round("distance", 6).alias("distance"))
 

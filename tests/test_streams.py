@@ -200,6 +200,21 @@ def test_ten_thousand_searches_meet_rows_by_keys(spark):
     assert got == want and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_no_join_carries_a_text(spark):
+    """Of texts only the asked terms' places are kept, and matches by these need no text."""
+    schema, at = "id int, kind string, at timestamp_ntz, text string", START
+    batch = spark.createDataFrame([(1, "x", at, "a long b text"), (2, "x", at, "b a and so on"), (3, "y", at, "no more"), (4, "x", at, None)], schema)
+    saved = spark.createDataFrame([(1, "a -c", None), (2, '"b a"', None), (3, None, {"kind": ["x"]})], "search_id int, search string, filters map<string,array<string>>")
+    known = Percolator(saved, ["kind"], "at", "id", "text", sample=batch)
+    read = known.with_terms(batch).drop("text")
+    assert {r["id"]: r["__at"] for r in read.collect()} == {1: {"a": [0], "b": [2]}, 2: {"b": [0], "a": [1]}, 3: {}, 4: {}}
+    marks, first = known.searches.select("search_id", "last_checked_at"), F.lit("0001-01-01").cast("timestamp_ntz")
+    for rows in (read, batch):
+        found = known.matches(rows, marks, first, 10)
+        assert found.columns == ["search_id", *[c for c in rows.columns if c != "__at"], "distance"]
+        assert sorted((r["search_id"], r["id"]) for r in found.collect()) == [(1, 1), (1, 2), (2, 2), (3, 1), (3, 2), (3, 4)]
+
+
 def test_a_search_for_nothing_raises(spark):
     for search in ("", "-a", None):
         with pytest.raises(ValueError, match="asks for"):
