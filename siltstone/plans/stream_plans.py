@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators.intervals import covers
 from siltstone.plans.registry import query
-from siltstone.sources.shared import Workspace, shared_folder
+from siltstone.sources.shared import Workspace, file_system, shared_folder
 from siltstone.sources.tables import table
 from siltstone.streaming import feeds, timed
 from siltstone.streaming.percolator import Percolator
@@ -23,13 +23,26 @@ def _drained(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
     return feeds.drain(stream, f"{folder}/out", f"{folder}/checkpoint")
 
 
+#: Rows of a part for each of its files, which are written by a task each.
+FILE_ROWS = 500_000
+
+
 def _in_files(spark: SparkSession, rows: DataFrame, part: Column, parts: int, label: str) -> DataFrame:
-    """The rows as a stream of files, one after the other."""
+    """The rows as a stream of parts, one after the other: a batch is a part, of as many files as the largest needs."""
     folder = f"{shared_folder(spark, label)}/files"
     held = rows.withColumn("__part", part)
+    sizes = {r["__part"]: r["count"] for r in held.groupBy("__part").count().collect()}  # a row for each part
+    files = max(1, -(-max(sizes.values(), default=0) // FILE_ROWS))
     for k in range(parts):
-        held.where(F.col("__part") == k).drop("__part").coalesce(1).write.mode("append").parquet(folder)
-    return feeds.file_stream(spark, folder, rows.schema, files_per_batch=1)
+        # Rows are dealt in turn to tasks that write one file each; a part of few rows has empty files too.
+        some = held.where(F.col("__part") == k).drop("__part")
+        some = some.coalesce(1) if files == 1 else some.repartition(files)
+        some.write.mode("append").parquet(folder)
+        fs, where = file_system(spark, folder)
+        lacking = files * (k + 1) - sum(s.getPath().getName().endswith(".parquet") for s in fs.listStatus(where))
+        for _ in range(lacking):
+            spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(folder)
+    return feeds.file_stream(spark, folder, rows.schema, files_per_batch=files)
 
 
 @query("""WITH l AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM events) SELECT user_id, event_id, old, event_type AS new FROM l WHERE old IS NOT NULL AND old <> event_type""")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.plans import stream_plans
 from siltstone.streaming import feeds, percolator, timed
 from siltstone.streaming.percolator import Percolator
 from tests.test_postings import answer
@@ -221,6 +222,20 @@ def test_a_search_for_nothing_raises(spark):
             Percolator(spark.createDataFrame([(1, search)], "search_id int, search string"), [], "at", "id", "text")
 
 
+def test_a_part_is_one_batch_of_several_files(spark, tmp_path, monkeypatch):
+    """Parts are written by several tasks, and a batch takes all files of one part and no others."""
+    monkeypatch.setattr(stream_plans, "FILE_ROWS", 100)
+    sizes = {0: 450, 1: 2, 2: 0, 3: 120}
+    rows = spark.createDataFrame([(n, p) for p, size in sizes.items() for n in range(size)], "n int, p int")
+    stream, seen = stream_plans._in_files(spark, rows, F.col("p"), 4, "parts"), {}
+
+    def take(batch, number):
+        seen[number] = ({r["p"]: r["count"] for r in batch.groupBy("p").count().collect()}, batch.select(F.input_file_name()).distinct().count())
+
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    assert [seen[k][0] for k in range(4)] == [{0: 450}, {1: 2}, {}, {3: 120}] and seen[0][1] == seen[3][1] == 5
+
+
 def test_windows_and_sessions(spark, tmp_path):
     schema = "k int, at timestamp"
     rows = [(1, START + dt.timedelta(minutes=m)) for m in (0, 1, 30, 31, 400)]
