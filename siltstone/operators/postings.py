@@ -27,6 +27,8 @@ from siltstone.sources.shared import versions
 
 #: Buckets of terms, and about how much text a section's documents have.
 BUCKETS, SECTION_BYTES = 32, 256 << 20
+#: The bucket of the documents' lengths while a batch is written; no term is in it.
+LENGTHS = -1
 
 
 #: A task works on so many words at a time, and remembers the terms of so many.
@@ -108,25 +110,29 @@ class TextIndex:
         if n != distinct:
             rows = rows.groupBy("doc_id").agg(F.max("text").alias("text"))
         worded = rows.select("doc_id", lexemes("text").alias("words"))
-        lengths = worded.select("doc_id", F.size("words").alias("length"))
-        lengths.write.mode("overwrite").parquet(f"{self.path}/documents/batch={number}")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: dict[str, str] = {}
             for batch in batches:
                 for some in _slices(batch.column(1)):
                     part = batch.slice(some.start, some.stop - some.start)
-                    yield _postings_of(part.column(1), part.column(0), analyser, known, by_term=True)
+                    made = _postings_of(part.column(1), part.column(0), analyser, known, by_term=True)
+                    yield made.append_column("length", pa.nulls(made.num_rows, pa.int32()))
+                    size = part.column(1).value_lengths().fill_null(0).cast(pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(size), pa.string()), part.column(0), pa.nulls(len(size), pa.list_(pa.int32())), size], names=["term", "doc_id", "positions", "length"])
 
         sections = max(1, -(-(size or 0) // section_bytes))
         # A task for each section of a bucket: what it sorts is bounded, so it needn't spill.
         tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sections * self.buckets)
-        bucket = F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(self.buckets)).cast("int")
-        made = worded.mapInArrow(run, "term string, doc_id bigint, positions array<int>").withColumn("bucket", bucket)
+        # Texts are read once: rows without a term have their documents' lengths, in a bucket of their own.
+        bucket = F.coalesce(F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(self.buckets)).cast("int"), F.lit(LENGTHS))
+        made = worded.mapInArrow(run, "term string, doc_id bigint, positions array<int>, length int").withColumn("bucket", bucket)
         made = made.repartition(tasks, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(sections))).sortWithinPartitions("bucket", "term", "doc_id")
         made.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/batch={number}")
-        written = spark.read.schema("term string, positions array<int>").parquet(f"{self.path}/postings/batch={number}")
-        terms = written.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("positions")).alias("occurrences"))
+        written = spark.read.schema("term string, doc_id bigint, positions array<int>, length int, bucket int").parquet(f"{self.path}/postings/batch={number}")
+        lengths = written.where(F.col("bucket") == LENGTHS).select("doc_id", "length")
+        lengths.write.mode("overwrite").parquet(f"{self.path}/documents/batch={number}")
+        terms = written.where(F.col("bucket") != LENGTHS).groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("positions")).alias("occurrences"))
         terms.repartitionByRange(max(1, min(tasks, sections * 4)), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/terms/batch={number}")
         old = self._read("documents", "doc_id bigint, length int, batch int")
         again = number > 1 and old.join(lengths.select("doc_id"), "doc_id", "left_semi").limit(1).count() > 0

@@ -187,3 +187,20 @@ def test_texts_are_worked_on_in_slices():
         made = postings._postings_of(pa.array([text]), pa.array([1]), "english", asked, by_term=True)
         assert made.column(0).to_pylist() == [stemmers.STEMMERS["english"](w) for w in text]
     assert set(asked) == {"things", "ends"}
+
+
+def test_texts_are_split_into_words_once(spark, tmp_path):
+    """A batch's texts are read to be counted and to be split; lengths come with the postings."""
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        reads.add(1)
+        return text
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, ""), (3, "c")], "doc_id int, text string").coalesce(1)
+    index = TextIndex(spark, str(tmp_path))
+    index.append(docs.select("doc_id", read("text").alias("text")))
+    assert reads.value == 6
+    assert {r["doc_id"]: r["length"] for r in index.documents().collect()} == {1: 3, 2: 0, 3: 1}
+    assert index.frequencies(["a", "b", "c"]) == {"a": 1, "b": 1, "c": 1} and index._read("terms", "term string, documents bigint, batch int").count() == 3
