@@ -48,7 +48,7 @@ def _in_files(spark: SparkSession, rows: DataFrame, part: Column, parts: int, la
 @query("""WITH l AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM events) SELECT user_id, event_id, old, event_type AS new FROM l WHERE old IS NOT NULL AND old <> event_type""")
 def stream_state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events in files that overlap in time: rows come up to a day behind later ones."""
-    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
     hour = F.floor((F.unix_timestamp("ts") - F.lit(1704067200)) / 3600) + F.col("event_id") % 24
     stream = _in_files(spark, rows, F.least(F.floor(hour / 240), F.lit(2)), 3, "changes")
     folder = shared_folder(spark, "changes-state")

@@ -3,15 +3,18 @@
 Rows may come out of order. Each key holds the rows that came and can still be
 overtaken, and its last settled row. A timer at the earliest waiting row fires
 once the watermark has passed it: no earlier row can come any more, so all rows up
-to the watermark are compared in order of time, and go. A batch so reads and
-writes the state of the keys that came and of those whose timers fire, and of no
-others.
+to the watermark are compared in order of time, and go; where rows of the key come
+with a batch, this is done as they come. A batch so reads and writes the state of
+the keys that came and of those whose timers fire, once each, and of no others.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
+from bisect import bisect_right
 from collections.abc import Iterator
+from operator import itemgetter
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -22,55 +25,70 @@ from pyspark.sql.types import StructType
 from siltstone.sources.shared import file_system
 
 _PROVIDER, _EMPTY_BATCHES = "spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.noDataMicroBatches.enabled"
-#: The state store that keeps timers and lists; it spills to local disk and is saved with the checkpoint.
+#: The state store that keeps timers; it spills to local disk and is saved with the checkpoint.
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: A time after all others, as far as times in nanoseconds go.
 _END = "2261-01-01"
 #: Marks a row that only moves the watermark.
 _CLOCK = -(1 << 62)
+#: Changes of a key that leave Python as one row of arrays, at most.
+_CHANGES = 1000
 
 
 class _Changes(StatefulProcessor):
-    def __init__(self, tie_type: str, forget_ms: int | None):
-        self.tie_type, self.forget_ms = tie_type, forget_ms
+    """A key's state is one packed value: its only timer, its last settled row and the waiting rows in order.
+
+    Each call of the state costs a round trip to the JVM, and each row read from it a
+    schema; so a key is read and written once in a batch, whatever number of rows it holds.
+    """
+
+    def __init__(self, forget_ms: int | None):
+        self.forget_ms = forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", f"us bigint, tie {self.tie_type}, value string")
-        self.waiting = handle.getListState("waiting", f"us bigint, tie {self.tie_type}, value string")
-
-    def _wake(self, us: int) -> None:
-        """A timer for when the watermark has passed a time, in whole milliseconds."""
-        self.handle.registerTimer(-(-us // 1000))
+        self.held = handle.getValueState("held", "packed binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        came = [(r["us"], r["tie"], r["value"]) for r in rows if r["us"] != _CLOCK]
+        came = [r for row in rows if (r := row[-3:])[0] != _CLOCK]  # us, tie, value
         if came:
-            self.waiting.appendList(came)
-            self._wake(min(r[0] for r in came))
-        return iter(())
+            yield from self._settled(key, came, timerValues, None)
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(self.waiting.get(), key=lambda r: (r[0], r[1]))
-        ripe, rest = [r for r in held if r[0] <= passed], [r for r in held if r[0] > passed]
-        last = self.last.get()
-        for row in ripe:
+        yield from self._settled(key, [], timerValues, expiredTimerInfo.getExpiryTimeInMs())
+
+    def _settled(self, key: Any, came: list[tuple], timerValues: TimerValues, fired: int | None) -> Iterator[Row]:
+        """Compare all rows that the watermark has passed, those that came with this batch too, and keep the others."""
+        passed, packed = timerValues.getCurrentWatermarkInMs() * 1000, self.held.get()
+        timer, last, waiting = pickle.loads(packed[0]) if packed else (None, None, [])
+        held = sorted(waiting + came, key=itemgetter(0, 1))
+        n, found = bisect_right(held, passed, key=itemgetter(0)), []
+        for row in held[:n]:
             if last is not None and self.forget_ms is not None and row[0] - last[0] >= self.forget_ms * 1000:
                 last = None  # whether or not a timer has cleared it yet
             if last is not None and None not in (last[2], row[2]) and last[2] != row[2]:
-                yield Row(key=key[0], us=row[0], tie=row[1], old=last[2], new=row[2])
-            last = tuple(row)
-        if ripe:
-            self.last.update(last)
-            self.waiting.put(rest) if rest else self.waiting.clear()
+                found.append((row[0], row[1], last[2], row[2]))
+            last = row
+        rest, wake = held[n:], None
         if rest:
-            self._wake(rest[0][0])
+            wake = rest[0][0]
         elif last is not None and self.forget_ms is not None:
-            if passed - last[0] >= self.forget_ms * 1000:
-                self.last.clear()
-            else:
-                self._wake(last[0] + self.forget_ms * 1000)
+            wake = last[0] + self.forget_ms * 1000
+            if wake <= passed:
+                last, wake = None, None
+        wake = None if wake is None else -(-wake // 1000)  # when the watermark has passed a time, in whole milliseconds
+        if wake != timer:
+            if timer not in (None, fired):  # one that fired is deleted by Spark
+                self.handle.deleteTimer(timer)
+            if wake is not None:
+                self.handle.registerTimer(wake)
+        if rest or last is not None:
+            self.held.update((pickle.dumps((wake, last, rest), -1),))
+        elif packed:
+            self.held.clear()
+        for k in range(0, len(found), _CHANGES):
+            us, tie, old, new = zip(*found[k : k + _CHANGES], strict=True)
+            yield Row(key=key[0], us=us, tie=tie, old=old, new=new)
 
     def close(self) -> None:
         pass
@@ -106,7 +124,8 @@ class StateChanges:
         rows = stream.where(at.isNotNull()).select(F.col(self.key).alias("key"), at.alias("at"), F.unix_micros(at).alias("us"), F.col(self.tie).alias("tie"), F.col(self.value).cast("string").alias("value"))
         rows = rows.unionByName(self._clock(spark, rows)).withWatermark("at", self.late)
         forget = None if self.forget is None else int(spark.range(1).select(F.unix_millis(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {self.forget}"))).first()[0])
-        changes = rows.groupBy("key").transformWithState(_Changes(kinds[self.tie], forget), f"key {kinds[self.key]}, us bigint, tie {kinds[self.tie]}, old string, new string", "append", "EventTime")
+        changes = rows.groupBy("key").transformWithState(_Changes(forget), f"key {kinds[self.key]}, us array<bigint>, tie array<{kinds[self.tie]}>, old array<string>, new array<string>", "append", "EventTime")
+        changes = changes.select("key", F.inline(F.arrays_zip("us", "tie", "old", "new")))
         found = changes.select(F.col("key").alias(self.key), F.timestamp_micros("us").cast(kinds[self.at]).alias(self.at), F.col("tie").alias(self.tie), "old", "new")
         wanted = {_PROVIDER: _ROCKS, _EMPTY_BATCHES: str(fire).lower()}
         before = {k: spark.conf.get(k, None) for k in wanted}

@@ -71,6 +71,18 @@ def test_keys_that_did_not_come_are_not_written(spark, tmp_path):
     assert max(written[3:]) <= 4  # once all first timers have fired
 
 
+def test_a_key_is_written_once_in_a_batch(spark, tmp_path):
+    """Whatever number of rows a key has waiting, its state is written once; its changes leave Python in parts."""
+    rnd = random.Random(3)
+    rows = [(n % 4, START + dt.timedelta(minutes=n), n, rnd.choice("ab")) for n in range(9000)]
+    stream = files(spark, str(tmp_path / "in"), [rows[:8400], rows[8400:8700], rows[8700:]], SCHEMA)
+    work, written = timed.StateChanges(str(tmp_path / "state"), "k", "at", "tie", "v", late="1 hour"), []
+    run = work._run
+    work._run = lambda *a, **k: (run(*a, **k), written.extend(p["stateOperators"][0]["numRowsUpdated"] for p in work.progress))
+    assert found(work.drain(stream, str(tmp_path / "checkpoint"), complete=True)) == brute_changes(rows)
+    assert len(written) >= 4 and max(written) <= 4
+
+
 def test_a_silent_key_is_forgotten(spark, tmp_path):
     day = lambda d: START + dt.timedelta(days=d)
     batches = [[(1, day(0), 1, "a"), (2, day(0), 2, "a")], [(2, day(3), 3, "b")], [(2, day(8), 4, "c"), (3, day(20), 5, "x")], [(1, day(21), 6, "b"), (2, day(22), 7, "d")]]
