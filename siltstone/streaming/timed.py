@@ -3,9 +3,10 @@
 Rows may come out of order. Each key holds the rows that came and can still be
 overtaken, and its last settled row. A timer at the earliest waiting row fires
 once the watermark has passed it: no earlier row can come any more, so all rows up
-to the watermark are compared in order of time, and go; where rows of the key come
-with a batch, this is done as they come. A batch so reads and writes the state of
-the keys that came and of those whose timers fire, once each, and of no others.
+to the watermark are compared in order of time, and go; where rows come with a
+batch, this is done as they come. Keys are dealt by hash over buckets that share a
+timer and are read and written as one. A batch so reads and writes the buckets of
+the keys that came and of those whose timers fire, once each, and no others.
 """
 
 from __future__ import annotations
@@ -31,64 +32,70 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 _END = "2261-01-01"
 #: Marks a row that only moves the watermark.
 _CLOCK = -(1 << 62)
-#: Changes of a key that leave Python as one row of arrays, at most.
+#: Changes that leave Python as one row of arrays, at most.
 _CHANGES = 1000
+_FOUND = Row("key", "us", "tie", "old", "new")
 
 
 class _Changes(StatefulProcessor):
-    """A key's state is one packed value: its only timer, its last settled row and the waiting rows in order.
+    """The state of a bucket of keys is one packed value: its only timer, and each key's last settled row and waiting rows.
 
-    Each call of the state costs a round trip to the JVM, and each row read from it a
-    schema; so a key is read and written once in a batch, whatever number of rows it holds.
+    Each call of the state costs a round trip to the JVM, some of which a timer takes
+    too; so these are made for buckets, not for each key or row.
     """
 
     def __init__(self, forget_ms: int | None):
-        self.forget_ms = forget_ms
+        self.forget_us = None if forget_ms is None else forget_ms * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getValueState("held", "packed binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        came = [r for row in rows if (r := row[-3:])[0] != _CLOCK]  # us, tie, value
+        came = [r for row in rows if (r := row[-4:])[1] != _CLOCK]  # key, us, tie, value
         if came:
-            yield from self._settled(key, came, timerValues, None)
+            yield from self._settled(came, timerValues, None)
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        yield from self._settled(key, [], timerValues, expiredTimerInfo.getExpiryTimeInMs())
+        yield from self._settled([], timerValues, expiredTimerInfo.getExpiryTimeInMs())
 
-    def _settled(self, key: Any, came: list[tuple], timerValues: TimerValues, fired: int | None) -> Iterator[Row]:
-        """Compare all rows that the watermark has passed, those that came with this batch too, and keep the others."""
-        passed, packed = timerValues.getCurrentWatermarkInMs() * 1000, self.held.get()
-        timer, last, waiting = pickle.loads(packed[0]) if packed else (None, None, [])
-        held = sorted(waiting + came, key=itemgetter(0, 1))
-        n, found = bisect_right(held, passed, key=itemgetter(0)), []
-        for row in held[:n]:
-            if last is not None and self.forget_ms is not None and row[0] - last[0] >= self.forget_ms * 1000:
+    def _compared(self, key: Any, last: tuple | None, rows: list[tuple]) -> Iterator[tuple]:
+        for row in rows:
+            if last is not None and self.forget_us is not None and row[0] - last[0] >= self.forget_us:
                 last = None  # whether or not a timer has cleared it yet
             if last is not None and None not in (last[2], row[2]) and last[2] != row[2]:
-                found.append((row[0], row[1], last[2], row[2]))
+                yield key, row[0], row[1], last[2], row[2]
             last = row
-        rest, wake = held[n:], None
-        if rest:
-            wake = rest[0][0]
-        elif last is not None and self.forget_ms is not None:
-            wake = last[0] + self.forget_ms * 1000
-            if wake <= passed:
-                last, wake = None, None
+
+    def _settled(self, came: list[tuple], timerValues: TimerValues, fired: int | None) -> Iterator[Row]:
+        """Compare all rows that the watermark has passed, those that came with this batch too, and keep the others."""
+        passed, packed = timerValues.getCurrentWatermarkInMs() * 1000, self.held.get()
+        timer, keys = pickle.loads(packed[0]) if packed else (None, {})
+        for key, *row in came:
+            # Told apart by what is written, as not all keys that Spark holds equal are so in Python.
+            keys.setdefault(repr(key), (key, None, []))[2].append(tuple(row))
+        found, kept, wake = [], {}, None
+        for name, (key, last, held) in keys.items():
+            held.sort(key=itemgetter(0, 1))
+            n = bisect_right(held, passed, key=itemgetter(0))
+            found.extend(self._compared(key, last, held[:n]))
+            last, rest = held[n - 1] if n else last, held[n:]
+            until = rest[0][0] if rest else None if self.forget_us is None else last[0] + self.forget_us
+            if rest or until is None or until > passed:
+                kept[name] = (key, last, rest)
+                wake = until if wake is None else wake if until is None else min(wake, until)
         wake = None if wake is None else -(-wake // 1000)  # when the watermark has passed a time, in whole milliseconds
         if wake != timer:
             if timer not in (None, fired):  # one that fired is deleted by Spark
                 self.handle.deleteTimer(timer)
             if wake is not None:
                 self.handle.registerTimer(wake)
-        if rest or last is not None:
-            self.held.update((pickle.dumps((wake, last, rest), -1),))
+        if kept:
+            self.held.update((pickle.dumps((wake, kept), -1),))
         elif packed:
             self.held.clear()
         for k in range(0, len(found), _CHANGES):
-            us, tie, old, new = zip(*found[k : k + _CHANGES], strict=True)
-            yield Row(key=key[0], us=us, tie=tie, old=old, new=new)
+            yield _FOUND(*zip(*found[k : k + _CHANGES], strict=True))
 
     def close(self) -> None:
         pass
@@ -103,11 +110,13 @@ class StateChanges:
     that was silent for so long is new again, so that state ends; without it the
     last row of each key is kept. State, timers and what was written are the
     checkpoint's, so a run goes on where the last one stopped and writes no change
-    twice. The rows of one key in a batch are held by one task.
+    twice. A task holds the waiting rows and those of a batch of one bucket, of which
+    there are ``buckets``: as many as divide the keys into some hundreds each. A
+    checkpoint's number of buckets can't be changed.
     """
 
-    def __init__(self, folder: str, key: str, at: str, tie: str, value: str, late: str = "1 hour", forget: str | None = None):
-        self.folder, self.key, self.at, self.tie, self.value, self.late, self.forget = folder, key, at, tie, value, late, forget
+    def __init__(self, folder: str, key: str, at: str, tie: str, value: str, late: str = "1 hour", forget: str | None = None, buckets: int = 2048):
+        self.folder, self.key, self.at, self.tie, self.value, self.late, self.forget, self.buckets = folder, key, at, tie, value, late, forget, buckets
         self.dropped, self.progress = 0, []
 
     def _clock(self, spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -121,11 +130,15 @@ class StateChanges:
         """Take all that is there; with ``fire`` the timers that the last batch's rows set off are run too."""
         spark, kinds = stream.sparkSession, dict(stream.dtypes)
         at = F.col(self.at).cast("timestamp")
-        rows = stream.where(at.isNotNull()).select(F.col(self.key).alias("key"), at.alias("at"), F.unix_micros(at).alias("us"), F.col(self.tie).alias("tie"), F.col(self.value).cast("string").alias("value"))
+        key = F.col(self.key)
+        if kinds[self.key] in ("float", "double"):
+            key = F.when(key == 0, F.lit(0).cast(kinds[self.key])).otherwise(key)  # zero has one sign
+        rows = stream.where(at.isNotNull()).select(at.alias("at"), key.alias("key"), F.unix_micros(at).alias("us"), F.col(self.tie).alias("tie"), F.col(self.value).cast("string").alias("value"))
         rows = rows.unionByName(self._clock(spark, rows)).withWatermark("at", self.late)
+        rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int").alias("bucket"), "at", "key", "us", "tie", "value")
         forget = None if self.forget is None else int(spark.range(1).select(F.unix_millis(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {self.forget}"))).first()[0])
-        changes = rows.groupBy("key").transformWithState(_Changes(forget), f"key {kinds[self.key]}, us array<bigint>, tie array<{kinds[self.tie]}>, old array<string>, new array<string>", "append", "EventTime")
-        changes = changes.select("key", F.inline(F.arrays_zip("us", "tie", "old", "new")))
+        changes = rows.groupBy("bucket").transformWithState(_Changes(forget), f"key array<{kinds[self.key]}>, us array<bigint>, tie array<{kinds[self.tie]}>, old array<string>, new array<string>", "append", "EventTime")
+        changes = changes.select(F.inline(F.arrays_zip("key", "us", "tie", "old", "new")))
         found = changes.select(F.col("key").alias(self.key), F.timestamp_micros("us").cast(kinds[self.at]).alias(self.at), F.col("tie").alias(self.tie), "old", "new")
         wanted = {_PROVIDER: _ROCKS, _EMPTY_BATCHES: str(fire).lower()}
         before = {k: spark.conf.get(k, None) for k in wanted}

@@ -83,6 +83,22 @@ def test_a_key_is_written_once_in_a_batch(spark, tmp_path):
     assert len(written) >= 4 and max(written) <= 4
 
 
+def test_keys_of_a_bucket_are_written_as_one(spark, tmp_path):
+    """However many keys come, a bucket is read and written once in a batch; not a number and both zeros are a key each."""
+    rnd = random.Random(4)
+    keys = [float("nan"), 0.0, -0.0, None, *(float(k) for k in range(1, 60))]
+    rows = [(keys[n % 63], START + dt.timedelta(minutes=n), n, rnd.choice("ab")) for n in range(1200)]
+    schema = SCHEMA.replace("k int", "k double")
+    work, written = timed.StateChanges(str(tmp_path / "state"), "k", "at", "tie", "v", late="1 day", forget="10 days", buckets=1), []
+    run = work._run
+    work._run = lambda *a, **k: (run(*a, **k), written.extend(p["stateOperators"][0]["numRowsUpdated"] for p in work.progress))
+    stream = files(spark, str(tmp_path / "in"), [rows[1::2], rows[::2]], schema)
+    got = work.drain(stream, str(tmp_path / "checkpoint"), complete=True)
+    name = lambda k: "0.0" if k == 0 else str(k)
+    assert {(name(k), *rest) for k, *rest in found(got)} == brute_changes([(name(k), *rest) for k, *rest in rows])
+    assert len(written) >= 3 and max(written) <= 1
+
+
 def test_a_silent_key_is_forgotten(spark, tmp_path):
     day = lambda d: START + dt.timedelta(days=d)
     batches = [[(1, day(0), 1, "a"), (2, day(0), 2, "a")], [(2, day(3), 3, "b")], [(2, day(8), 4, "c"), (3, day(20), 5, "x")], [(1, day(21), 6, "b"), (2, day(22), 7, "d")]]
