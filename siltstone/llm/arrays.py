@@ -99,8 +99,18 @@ def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = IS_SPACE) -
     bounds = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(np.flatnonzero(ends) - starts + 1, out=bounds[1:])
     del begins, ends, turn
-    row = np.searchsorted(offsets, starts, "right") - 1
-    return Words(data[inside], bounds, np.searchsorted(starts, offsets).astype(np.int64), row)
+    rows = np.searchsorted(starts, offsets).astype(np.int64)
+    return Words(data[inside], bounds, rows, np.repeat(np.arange(len(rows) - 1), np.diff(rows)))
+
+
+def single_spaced(data: np.ndarray) -> Words:
+    """Split lines of words with one blank between, as ``words`` does; ``data`` stays, each word with the blank that follows it."""
+    ends = np.flatnonzero((data == 0x20) | (data == 0x0A))
+    rows = np.concatenate([[0], np.flatnonzero(data[ends] == 0x0A) + 1, [len(ends) + 1]])
+    bounds = np.concatenate([[0], ends + 1, [len(data) + 1]])
+    spaced = np.append(data, np.uint8(0x20))
+    spaced[ends] = 0x20
+    return Words(spaced, bounds, rows, np.repeat(np.arange(len(rows) - 1), np.diff(rows)))
 
 
 def as_binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -108,16 +118,34 @@ def as_binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def coded(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Number equal words alike: each word's number, and the distinct words as a column."""
+    found = as_binary(data, bounds).dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False), found.dictionary
+
+
+def _each(column: pa.Array) -> Iterator[bytes]:
+    """The values of a binary column, cut from its bytes: Arrow makes a scalar of each first."""
+    data, offsets = utf8(column)
+    at = offsets.tolist()
+    return map(data.tobytes().__getitem__, map(slice, at, at[1:]))
+
+
 def numbered(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """Number equal words alike: each word's number, and the distinct words."""
-    coded = as_binary(data, bounds).dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    numbers, distinct = coded(data, bounds)
+    return numbers, list(_each(distinct))
 
 
 def word_hashes(distinct: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
 
 
+def column_hashes(distinct: pa.Array) -> np.ndarray:
+    """``word_hashes`` of a binary column, of which no more than one value is held as an object."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, _each(distinct)), np.uint64, len(distinct))
+
+
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -152,7 +180,9 @@ def spaced(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The words, each followed by one blank; word k starts at ``bounds[k] + k``."""
     lengths = np.diff(bounds)
     out = np.full(len(data) + len(lengths), 0x20, np.uint8)
-    out[np.arange(len(data)) + np.repeat(np.arange(len(lengths)), lengths)] = data
+    own = np.ones(len(out), bool)
+    own[bounds[1:] + np.arange(len(lengths))] = False
+    out[own] = data
     return out
 
 

@@ -72,22 +72,43 @@ def starts_earlier(numbers: np.ndarray, hashes: np.ndarray, starts: np.ndarray,
     if not len(starts):
         return np.zeros(0, bool)
     keys = arrays.window_hashes(hashes[numbers], width)[starts] if keys is None else keys
-    order = np.argsort(keys, kind="stable")
-    key, at = keys[order], starts[order]
-    tied = np.flatnonzero(key[1:] == key[:-1])
-    if not _same(numbers, at[tied], at[tied + 1], width).all():
+    order, tied = _by_key(keys)
+    if not _same(numbers, starts[order[tied]], starts[order[tied + 1]], width).all():
         order = np.lexsort([numbers[starts + k] for k in range(width)])
         at = starts[order]
         tied = np.flatnonzero(_same(numbers, at[:-1], at[1:], width))
-    begins = np.ones(len(at), bool)
+    out = np.zeros(len(starts), bool)
+    if not len(tied):
+        return out
+    # Only windows that have an equal one are gone through.
+    begins, several = np.ones(len(order), bool), np.zeros(len(order), bool)
     begins[tied + 1] = False
-    first = np.flatnonzero(begins)
-    least = np.minimum.reduceat(doc[order], first)
-    out = np.empty(len(starts), bool)
-    out[order] = doc[order] > np.repeat(least, np.diff(np.append(first, len(at))))
+    several[tied] = several[tied + 1] = True
+    first, at = np.flatnonzero(begins[several]), order[several]
+    least = np.minimum.reduceat(doc[at], first)
+    out[at] = doc[at] > np.repeat(least, np.diff(np.append(first, len(at))))
     return out
 
 
+def _by_key(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal keys are neighbours, and the places in it that are followed by an equal key.
+
+    The places of the keys take their low bits, so that plain numbers are sorted,
+    which takes a fraction of an argsort; if that mixes up different keys, they are sorted whole.
+    """
+    low = np.uint64((1 << int(len(keys)).bit_length()) - 1)
+    packed = keys & ~low
+    packed |= np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    tied = np.flatnonzero((packed[1:] ^ packed[:-1]) <= low)
+    order = (packed & low).astype(np.int64)
+    if (keys[order[tied]] != keys[order[tied + 1]]).any():
+        order = np.argsort(keys, kind="stable")
+        key = keys[order]
+        tied = np.flatnonzero(key[1:] == key[:-1])
+    return order, tied
+
+
 def _runs(flags: np.ndarray, *breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bounds of the runs of true flags, cut also where a break is true."""
     before = np.zeros(len(flags), bool)
@@ -103,8 +124,8 @@ def _runs(flags: np.ndarray, *breaks: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _count_runs(column: pa.Array, widths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     """For each width the hashes of a slice's runs of so many words, and how often each occurs."""
     w = arrays.words(*arrays.utf8(column))
-    numbers, distinct = arrays.numbered(w.data, w.bounds)
-    hashes = arrays.word_hashes(distinct)[numbers]
+    numbers, distinct = arrays.coded(w.data, w.bounds)
+    hashes = arrays.column_hashes(distinct)[numbers]
     for width in widths:
         run, n = np.unique(arrays.window_hashes(hashes, width)[arrays.whole_windows(w.row, width)], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(run), width, np.int32)), pa.array(run.view(np.int64)), pa.array(n.astype(np.int64))], names=["width", "run", "n"])
@@ -129,6 +150,14 @@ def hot_runs(rows: DataFrame, often: int = HOT_RUNS, sample: int = HOT_SAMPLE, w
     return tuple(np.sort(run[kind == k].astype(np.int64).view(np.uint64)) for k in (MINIMISER_WORDS, width))
 
 
+def _maybe_in(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For each key false if it can't be one of ``known``, told by its low 20 bits."""
+    low = np.uint64((1 << 20) - 1)
+    seen = np.zeros(1 << 20, bool)
+    seen[known & low] = True
+    return seen[keys & low]
+
+
 class Met:
     """Windows that lie in several documents of a task's slices, with the least of these: at most ``MOST_MET``.
 
@@ -142,10 +171,12 @@ class Met:
         """For each window whether its words were met in a smaller document."""
         if not len(self.keys):
             return np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        out = (self.keys[at] == keys) & (self.docs[at] < docs)
-        for k in np.flatnonzero(out).tolist():
-            out[k] = self.words[at[k]] == words(k)
+        some = np.flatnonzero(_maybe_in(self.keys, keys))
+        at = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
+        out = np.zeros(len(keys), bool)
+        hit = (self.keys[at] == keys[some]) & (self.docs[at] < docs[some])
+        for k, j in zip(some[hit].tolist(), at[hit].tolist(), strict=True):
+            out[k] = self.words[j] == words(k)
         return out
 
     def add(self, keys: np.ndarray, docs: np.ndarray, words: Callable[[int], bytes]) -> None:
@@ -173,8 +204,8 @@ def _pack(part: pa.RecordBatch, width: int, buckets: int, hot: np.ndarray, met:
     starts = arrays.whole_windows(w.row, width)
     if not len(starts):
         return
-    numbers, distinct = arrays.numbered(w.data, w.bounds)
-    hashes = arrays.word_hashes(distinct)
+    numbers, distinct = arrays.coded(w.data, w.bounds)
+    hashes = arrays.column_hashes(distinct)
     doc = docs[w.row[starts]]
     whole = arrays.window_hashes(hashes[numbers], width)[starts]
     settled = starts_earlier(numbers, hashes, starts, doc, width, whole)
@@ -202,7 +233,9 @@ def _pack(part: pa.RecordBatch, width: int, buckets: int, hot: np.ndarray, met:
         often = hot_windows[np.minimum(np.searchsorted(hot_windows, whole), len(hot_windows) - 1)] == whole
         least[often] = whole[often]
     # Windows that repeat here, or that the sample shows to be frequent, are kept for later slices.
-    kept = np.flatnonzero(~settled & (often | np.isin(whole, several)))
+    again = ~settled & _maybe_in(several, whole)
+    again[again] = np.isin(whole[again], several)
+    kept = np.flatnonzero(again | (often & ~settled))
     met.add(whole[kept], doc[kept], words_of(kept))
 
     apart = np.ones(len(starts), bool)
@@ -267,13 +300,13 @@ def _search(sent: list[tuple[bytes, bytes, bytes]], width: int, again: int = 0)
     With ``again``, also the windows left, packed for so many buckets by their own hash.
     """
     docs, keys, first = (np.concatenate(c) for c in zip(*(_placed(d, p, 2) for d, p, _ in sent), strict=True))
-    data = np.frombuffer(b"\n".join(zstandard.decompress(t) for _, _, t in sent), np.uint8)
-    offsets = np.concatenate([[0], np.flatnonzero(data == 0x0A) + 1, [len(data)]])
-    w = arrays.words(data, offsets)
-    numbers, distinct = arrays.numbered(w.data, w.bounds)
+    w = arrays.single_spaced(np.frombuffer(b"\n".join([zstandard.decompress(t) for _, _, t in sent]), np.uint8))
+    numbers, distinct = arrays.coded(w.data, w.bounds)
     starts = arrays.whole_windows(w.row, width)
     row = w.row[starts]
-    found = starts_earlier(numbers, arrays.word_hashes(distinct), starts, docs[row], width)
+    # Hashes that go to other buckets are of the words; here the words' numbers do.
+    hashes = arrays.column_hashes(distinct) if again else arrays.mix64(np.arange(len(distinct)))
+    found = starts_earlier(numbers, hashes, starts, docs[row], width)
     apart = np.ones(len(starts), bool)
     apart[1:] = row[1:] != row[:-1]
     a, b = _runs(found, apart)
@@ -282,9 +315,9 @@ def _search(sent: list[tuple[bytes, bytes, bytes]], width: int, again: int = 0)
     if not again:
         return spans, []
     left = starts[~found]
-    whole = arrays.window_hashes(arrays.word_hashes(distinct)[numbers], width)[left]
+    whole = arrays.window_hashes(hashes[numbers], width)[left]
     bucket = (arrays.mix64(whole) % np.uint64(again)).astype(np.int64)
-    return spans, _parcels(w, docs, keys, w.rows[:-1] - first, left, left + width, bucket, arrays.spaced(w.data, w.bounds).tobytes(), w.bounds + np.arange(len(w.bounds)))
+    return spans, _parcels(w, docs, keys, w.rows[:-1] - first, left, left + width, bucket, w.data.tobytes(), w.bounds)
 
 
 def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", often: int = HOT_RUNS, sample: int = HOT_SAMPLE) -> DataFrame:

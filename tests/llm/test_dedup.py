@@ -177,6 +177,37 @@ def test_windows_of_one_hash_are_told_apart():
     assert substrings.starts_earlier(numbers, same, starts, np.array([1, 2, 3]), 3).tolist() == [False, False, True]
 
 
+def test_keys_that_differ_in_low_bits_only_are_no_neighbours():
+    keys = np.array([8, 9, 8, 1 << 60, 9, 8, 1 << 60, 7], np.uint64)  # places take the low four bits
+    for some in (keys, keys >> np.uint64(1), keys[:1], keys[3:4], keys[[3, 6]], np.arange(5, dtype=np.uint64) << np.uint64(40)):
+        order, tied = substrings._by_key(some)
+        assert sorted(order.tolist()) == list(range(len(some)))
+        same = [k for k in range(len(some) - 1) if some[order[k]] == some[order[k + 1]]]
+        assert tied.tolist() == same and len(some) - len(same) == len(set(some.tolist()))
+
+
+def test_lines_of_words_are_split_as_rows():
+    lines = ["a bb ccc", "d", "é \x00\x01 日本 x\x1f", "e e e e"]
+    rows, w = substrings.arrays.words(*substrings.arrays.utf8(pa.array(lines))), substrings.arrays.single_spaced(np.frombuffer("\n".join(lines).encode(), np.uint8))
+    assert w.rows.tolist() == rows.rows.tolist() and w.row.tolist() == rows.row.tolist()
+    assert [w.data[i:j].tobytes() for i, j in zip(w.bounds, w.bounds[1:])] == [rows.data[i:j].tobytes() + b" " for i, j in zip(rows.bounds, rows.bounds[1:])]  # noqa: B905
+
+
+def test_a_bucket_hashes_no_word(monkeypatch):
+    """Words are hashed once, as they are sent; what a bucket sorts by are their numbers."""
+    draw, shared = random.Random(14), [f"p{k}" for k in range(20)]
+    texts = [" ".join([f"u{draw.randrange(10**9)}" for _ in range(30)] + shared + [f"u{draw.randrange(10**9)}" for _ in range(30)]) for _ in range(40)]
+    sent = []
+    for k in range(0, 40, 10):  # four tasks, so that the passage meets in the bucket
+        batch = pa.RecordBatch.from_arrays([pa.array(range(k, k + 10))] * 2 + [pa.array(texts[k : k + 10])], names=["doc_id", "row_key", "text"])
+        for part in substrings._pack(batch, 13, 1, np.zeros(0, np.uint64), substrings.Met()):
+            sent += [tuple(x) for _, *x in zip(*(part.column(c).to_pylist() for c in range(4)), strict=True) if x[2] is not None]
+    hashed, digest = [], substrings.arrays.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(substrings.arrays.xxhash, "xxh3_64_intdigest", lambda x: hashed.append(x) or digest(x))
+    spans, left = substrings._search(sent, 13)
+    assert set(spans.column(0).to_pylist()) == {10, 20, 30} and left == [] and hashed == []
+
+
 def brute_exact(docs):
     groups = {}
     for i, t in docs:
