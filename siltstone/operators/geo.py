@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -218,6 +217,15 @@ def _coordinates(geometry: str) -> Column:
 BLOCK_POINTS = 20_000
 
 
+def _places(rows: DataFrame, keys: list[str], geometry: str) -> DataFrame:
+    """``keys, geometry``, how many points it has, and the middle ``x, y`` of its bounds, without Python; these only say where it is worked on."""
+    axis = lambda n: F.transform("__p", lambda q: F.get(q, F.lit(n)))
+    every = F.flatten(F.flatten(_coordinates(geometry)))
+    put = rows.select(*keys, geometry, every.alias("__p"))
+    put = put.select(*keys, geometry, F.greatest(F.size("__p"), F.lit(1)).alias("points"), axis(0).alias("__x"), axis(1).alias("__y"))
+    return put.select(*keys, geometry, "points", *[((F.array_min(f"__{c}") + F.array_max(f"__{c}")) / 2).alias(c) for c in "xy"])
+
+
 def dissolved(rows: DataFrame, keys: list[str], geometry: str, block_points: int = BLOCK_POINTS) -> DataFrame:
     """The area that each group's polygons cover together: ``keys, outline``, a MultiPolygon.
 
@@ -228,41 +236,41 @@ def dissolved(rows: DataFrame, keys: list[str], geometry: str, block_points: int
     without a polygon has no row.
     """
     kinds = dict(rows.dtypes)
-
-    @F.pandas_udf("valid string, points long, x double, y double")
-    def facts(g: pd.Series) -> pd.DataFrame:
-        found = [_whole(x) for x in g]
-        every = [np.concatenate([r for p in w for r in p]) if w else np.zeros((0, 2)) for w in found]
-        middle = [(e.min(0) + e.max(0)) / 2 if len(e) else (np.nan, np.nan) for e in every]
-        return pd.DataFrame({"valid": [_as_json(w) for w in found], "points": [len(e) for e in every], "x": [float(m[0]) for m in middle], "y": [float(m[1]) for m in middle]})
-
     # Equal geometries of a group cover nothing more: they are parsed and laid over others once.
-    # Few bytes are much work here, so the number of tasks is given, not left to their size.
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = rows.select(*keys, F.col(geometry).alias("__g")).repartition(parts, *keys, "__g").distinct().select(*keys, facts(F.col("__g")).alias("f")).select(*keys, "f.*").where("points > 0")
-    ends = each.groupBy(*keys).agg(F.sum("points").alias("all"), *[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("low", F.min), ("high", F.max))])
-    ends = ends.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in ends.columns if c not in keys])
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] or [F.lit(True)]
+    each = _places(rows.select(*keys, F.col(geometry).alias("__g")).distinct(), keys, "__g")
+    ends = each.groupBy(*keys).agg(F.ceil(F.sum("points") / block_points).alias("wanted"), *[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("low", F.min), ("high", F.max))])
+    # About as many cells as blocks, and as wide as high where the group's bounds allow it.
+    n, wide, high = F.col("wanted"), F.col("high_x") - F.col("low_x"), F.col("high_y") - F.col("low_y")
+    ends = ends.withColumn("side_x", F.when(high > 0, F.greatest(F.lit(1), F.least(n, F.ceil(F.sqrt(n * wide / high))))).otherwise(n)).withColumn("side_y", F.ceil(n / F.col("side_x")))
+    ends = ends.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in ends.columns if c not in (*keys, "wanted")])
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     placed = each.join(ends, reduce(lambda a, b: a & b, same)) if keys else each.crossJoin(ends)
-    side = F.ceil(F.sqrt(F.col("all") / block_points))  # cells along each axis of the group's bounds
-    cell = lambda c: F.least(F.floor((F.col(c) - F.col(f"low_{c}")) / F.greatest(F.col(f"high_{c}") - F.col(f"low_{c}"), F.lit(1e-12)) * side), side - 1)
+    cell = lambda c: F.coalesce(F.least(F.floor((F.col(c) - F.col(f"low_{c}")) / F.greatest(F.col(f"high_{c}") - F.col(f"low_{c}"), F.lit(1e-12)) * F.col(f"side_{c}")), F.col(f"side_{c}") - 1), F.lit(0))
     placed = placed.withColumn("cell", F.struct(cell("x").alias("i"), cell("y").alias("j")))
-    full = placed.groupBy(*keys, "cell").agg(F.ceil(F.sum("points") / block_points).alias("parts"))
+    full = placed.groupBy(*keys, "cell").agg(F.greatest(F.lit(1), F.round(F.sum("points") / block_points)).cast("long").alias("parts"))
     full = full.select(*[F.col(k).alias(f"___{k}") for k in keys], F.col("cell").alias("c"), "parts")
     near = [F.col(k).eqNullSafe(F.col(f"___{k}")) for k in keys]
     placed = placed.join(full, reduce(lambda a, b: a & b, [*near, F.col("cell") == F.col("c")]))
-    placed = placed.select(*keys, "cell", F.pmod(F.xxhash64("valid"), F.col("parts")).alias("part"), "valid")
+    placed = placed.select(*keys, "cell", F.pmod(F.xxhash64("__g"), F.col("parts")).alias("part"), "__g")
+
+    def outlined(group: pd.DataFrame, outline: str | None) -> pd.DataFrame:
+        return group[keys].head(1).reset_index(drop=True).assign(outline=[outline])
 
-    def united(column: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        def run(group: pd.DataFrame) -> pd.DataFrame:
-            outline = overlay.union([p for g in group[column] for p in _polygons(g)])
-            return group[keys].head(1).reset_index(drop=True).assign(outline=[_as_json(outline)])
+    def block(group: pd.DataFrame) -> pd.DataFrame:
+        found = [p for g in group["__g"] for p in _polygons(g)]
+        valid = [v for p, sound in zip(found, overlay.convex(found), strict=True) for v in ([p] if sound else overlay.repaired(p))]
+        return outlined(group, _as_json(overlay.union(valid)))
 
-        return run
+    def together(group: pd.DataFrame) -> pd.DataFrame:
+        some = group["outline"].tolist()
+        return outlined(group, some[0] if len(some) == 1 else _as_json(overlay.union([p for g in some for p in _polygons(g)])))
 
+    # Few bytes are much work here, so the number of tasks is given, not left to their size.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "outline string"])
-    blocks = placed.repartition(parts, *keys, "cell", "part").groupBy(*keys, "cell", "part").applyInPandas(united("valid"), schema)
-    return blocks.groupBy(*keys).applyInPandas(united("outline"), schema)
+    blocks = placed.repartition(parts, *keys, "cell", "part").groupBy(*keys, "cell", "part").applyInPandas(block, schema).where("outline IS NOT NULL")
+    blocks = blocks.repartition(parts, *keys) if keys else blocks
+    return blocks.groupBy(*keys).applyInPandas(together, schema)
 
 
 def planar_area(geometry: str) -> Column:
