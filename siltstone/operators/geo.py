@@ -213,8 +213,8 @@ def _coordinates(geometry: str) -> Column:
     return F.when(F.get_json_object(geometry, "$.type") == "MultiPolygon", many).otherwise(single)
 
 
-#: A block of polygons has about so many points.
-BLOCK_POINTS = 20_000
+#: A block of polygons has about so many points; small blocks are Python's together, up to so many.
+BLOCK_POINTS, BUNDLE_POINTS = 20_000, 2000
 
 
 def _places(rows: DataFrame, keys: list[str], geometry: str) -> DataFrame:
@@ -246,31 +246,34 @@ def dissolved(rows: DataFrame, keys: list[str], geometry: str, block_points: int
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     placed = each.join(ends, reduce(lambda a, b: a & b, same)) if keys else each.crossJoin(ends)
     cell = lambda c: F.coalesce(F.least(F.floor((F.col(c) - F.col(f"low_{c}")) / F.greatest(F.col(f"high_{c}") - F.col(f"low_{c}"), F.lit(1e-12)) * F.col(f"side_{c}")), F.col(f"side_{c}") - 1), F.lit(0))
-    placed = placed.withColumn("cell", F.struct(cell("x").alias("i"), cell("y").alias("j")))
+    placed = placed.withColumn("cell", (cell("y") * F.col("side_x") + cell("x")).cast("long"))
     full = placed.groupBy(*keys, "cell").agg(F.greatest(F.lit(1), F.round(F.sum("points") / block_points)).cast("long").alias("parts"))
     full = full.select(*[F.col(k).alias(f"___{k}") for k in keys], F.col("cell").alias("c"), "parts")
     near = [F.col(k).eqNullSafe(F.col(f"___{k}")) for k in keys]
     placed = placed.join(full, reduce(lambda a, b: a & b, [*near, F.col("cell") == F.col("c")]))
-    placed = placed.select(*keys, "cell", F.pmod(F.xxhash64("__g"), F.col("parts")).alias("part"), "__g")
+    bundle = F.floor(F.col("cell") / max(1, BUNDLE_POINTS // block_points))  # some cells next to each other
+    placed = placed.select(*keys, bundle.alias("bundle"), F.pmod(F.xxhash64("__g"), F.col("parts")).alias("part"), "cell", "__g")
 
-    def outlined(group: pd.DataFrame, outline: str | None) -> pd.DataFrame:
-        return group[keys].head(1).reset_index(drop=True).assign(outline=[outline])
+    def outlined(group: pd.DataFrame, outlines: list[str | None]) -> pd.DataFrame:
+        return group[keys].head(len(outlines)).reset_index(drop=True).assign(outline=outlines)
 
-    def block(group: pd.DataFrame) -> pd.DataFrame:
-        found = [p for g in group["__g"] for p in _polygons(g)]
-        valid = [v for p, sound in zip(found, overlay.convex(found), strict=True) for v in ([p] if sound else overlay.repaired(p))]
-        return outlined(group, _as_json(overlay.union(valid)))
+    def blocks(group: pd.DataFrame) -> pd.DataFrame:
+        valid = []
+        for _, some in group["__g"].groupby(group["cell"]):
+            found = [p for g in some for p in _polygons(g)]
+            valid.append([v for p, sound in zip(found, overlay.convex(found), strict=True) for v in ([p] if sound else overlay.repaired(p))])
+        return outlined(group, [_as_json(u) for u in overlay.unions(valid)])
 
     def together(group: pd.DataFrame) -> pd.DataFrame:
         some = group["outline"].tolist()
-        return outlined(group, some[0] if len(some) == 1 else _as_json(overlay.union([p for g in some for p in _polygons(g)])))
+        return outlined(group, [some[0] if len(some) == 1 else _as_json(overlay.union([p for g in some for p in _polygons(g)]))])
 
     # Few bytes are much work here, so the number of tasks is given, not left to their size.
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "outline string"])
-    blocks = placed.repartition(parts, *keys, "cell", "part").groupBy(*keys, "cell", "part").applyInPandas(block, schema).where("outline IS NOT NULL")
-    blocks = blocks.repartition(parts, *keys) if keys else blocks
-    return blocks.groupBy(*keys).applyInPandas(together, schema)
+    each = placed.repartition(parts, *keys, "bundle", "part").groupBy(*keys, "bundle", "part").applyInPandas(blocks, schema).where("outline IS NOT NULL")
+    each = each.repartition(parts, *keys) if keys else each
+    return each.groupBy(*keys).applyInPandas(together, schema)
 
 
 def planar_area(geometry: str) -> Column:

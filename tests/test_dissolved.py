@@ -76,3 +76,30 @@ def test_rows_of_boxes_and_odd_rows(spark, block, flat):
     found = {r["n"]: r["a"] for r in geo.dissolved(frame, ["n"], "g", block_points=block).select("n", area).collect()}
     assert found == {0: covered(spots[::2]) + 8, 1: covered(spots[1::2]), None: 1}
     assert [r["a"] for r in geo.dissolved(frame, [], "g", block_points=block).select(area).collect()] == [covered([*spots, (0, 0, 1, 1)]) + 8]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_groups_united_together_are_as_one_by_one(seed):
+    rnd = random.Random(seed)
+    groups = []
+    for _ in range(rnd.randint(1, 7)):
+        polygons = []
+        for _ in range(rnd.randint(0, 8)):
+            cx, cy = rnd.uniform(-180, 180) if seed % 2 else rnd.randint(0, 5), rnd.randint(0, 5)
+            angles = sorted(rnd.uniform(0, 2 * np.pi) for _ in range(rnd.randint(3, 7)))
+            points = [[cx + rnd.uniform(1, 3) * np.cos(t), cy + rnd.uniform(1, 3) * np.sin(t)] for t in angles]
+            polygons += overlay.repaired(ring(*[[round(x), round(y)] for x, y in points] if seed % 3 == 0 else points))
+        groups.append(polygons)
+    alone = [overlay.union(g) for g in groups]
+    together = overlay.unions([[], *groups, []])
+    assert together[0] == together[-1] == [] and [len(u) for u in together[1:-1]] == [len(u) for u in alone]
+    for one, two in zip(alone, together[1:-1], strict=True):
+        assert all(len(p) == len(q) and all((a == b).all() for a, b in zip(p, q, strict=True)) for p, q in zip(one, two, strict=True))
+
+
+def test_small_blocks_of_a_row_are_united_to_one(spark):
+    rows = spark.createDataFrame([(0, box(2 * k, 0, 3, 2)) for k in range(1000)], "k int, g string")
+    for block in (50, geo.BUNDLE_POINTS, 20_000):
+        (one,) = geo.dissolved(rows, ["k"], "g", block_points=block).collect()
+        assert json.loads(one["outline"])["coordinates"][0][0][0] == [0.0, 0.0] and one["outline"].count("[[[[") == 1 == one["outline"].count("]]]")
+        assert spark.createDataFrame([one]).select(geo.planar_area("outline")).first()[0] == 4002.0
